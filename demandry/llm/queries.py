@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from .langid import op4_language
+from .lines import OP3_SQL, op3_line_dedup
+from .mixing import OP2_SQL, op2_mixing
 from .simhash import op1_simhash
 from .suffix import op6_decontaminate
+from .toxicity import op8_toxicity
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_decontaminate": op6_decontaminate}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_language": op4_language,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_toxicity": op8_toxicity,
+}
+SQL = {"op2_mixing": OP2_SQL, "op3_line_dedup": OP3_SQL}
