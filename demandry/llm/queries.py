@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .langid import op4_language
+from .licenses import OP7_SQL, op7_licenses
 from .lines import OP3_SQL, op3_line_dedup
 from .mixing import OP2_SQL, op2_mixing
 from .simhash import op1_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_language": op4_language,
     "op6_decontaminate": op6_decontaminate,
+    "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
 }
-SQL = {"op2_mixing": OP2_SQL, "op3_line_dedup": OP3_SQL}
+SQL = {"op2_mixing": OP2_SQL, "op3_line_dedup": OP3_SQL, "op7_licenses": OP7_SQL}
