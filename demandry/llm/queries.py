@@ -5,6 +5,7 @@ from __future__ import annotations
 from .langid import op4_language
 from .licenses import OP7_SQL, op7_licenses
 from .lines import OP3_SQL, op3_line_dedup
+from .media import op9_media
 from .mixing import OP2_SQL, op2_mixing
 from .simhash import op1_simhash
 from .suffix import op6_decontaminate
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
+    "op9_media": op9_media,
 }
 SQL = {"op2_mixing": OP2_SQL, "op3_line_dedup": OP3_SQL, "op7_licenses": OP7_SQL}
