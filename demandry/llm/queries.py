@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import op10_html
 from .langid import op4_language
 from .licenses import OP7_SQL, op7_licenses
 from .lines import OP3_SQL, op3_line_dedup
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
+    "op10_html": op10_html,
 }
 SQL = {"op2_mixing": OP2_SQL, "op3_line_dedup": OP3_SQL, "op7_licenses": OP7_SQL}
