@@ -6,6 +6,7 @@ from .html import op10_html
 from .langid import op4_language
 from .licenses import OP7_SQL, op7_licenses
 from .lines import OP3_SQL, op3_line_dedup
+from .lm import op5_lm_score
 from .media import op9_media
 from .mixing import OP2_SQL, op2_mixing
 from .simhash import op1_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_language": op4_language,
+    "op5_lm_score": op5_lm_score,
     "op6_decontaminate": op6_decontaminate,
     "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
