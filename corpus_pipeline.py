@@ -1,8 +1,75 @@
-"""A corpus pipeline of five stages over the documents table."""
+"""A corpus pipeline of five stages over the documents table: language, lines, near-duplicates, benchmarks, mixture.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; ``run`` writes each result as Parquet to the
+shared folder and reads it again for the next stage. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from demandry.llm.common import materialise, small
+from demandry.llm.langid import UND, identify, remainder
+from demandry.llm.lines import drop_boilerplate
+from demandry.llm.mixing import mix, quality_weight, with_quality, word_count
+from demandry.llm.simhash import simhash_groups
+from demandry.llm.suffix import contaminated, decontaminate
+
+#: A document whose language is less sure than this is rejected: no learned language is near it.
+SURE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those without a letter, and those near none, go."""
+    learn = F.coalesce(remainder("doc_id", 4) != 2, F.lit(False))
+    found = identify(docs, learn)
+    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= SURE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their source's boilerplate lines; n_chars follows the text."""
+    cut = drop_boilerplate(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; of repeated rows one.
+
+    Rows are named by a hash of all their columns. Only rows that are to go, or repeat, are joined to the documents, by
+    broadcast if they are counted to be few.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    groups = materialise(simhash_groups(keyed.select("__row", "text"), "__row"), "groups")
+    repeated = groups.where("__row = component_id").groupBy("__row").count().where("count > 1").select("__row")
+    bad = groups.where("__row != component_id").select("__row").distinct().unionByName(repeated).checkpoint()
+    many = bad.count()
+    once = keyed.join(small(bad, many), "__row", "left_anti")
+    one_of = keyed.join(small(repeated, many), "__row", "left_semi").dropDuplicates(["__row"])
+    return once.unionByName(one_of).select(*docs.columns)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row").alias("__row")).distinct().checkpoint()
+    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(small(bad, bad.count()), "__row", "left_anti").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target and taken (words)."""
+    rated = with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    mixed = mix(rated, word_count(F.col("text")), quality_weight(F.col("quality")))
+    return mixed.where("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmarks", benchmarks), ("mixture", mixture)]
+#: SQL can't express the stages; tests/llm compares them with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -149,7 +149,7 @@ def _union_spans(rows: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
-    """One row per document: (id column, n_words, starts, ends, items, n_hit).
+    """One row per document: (id column, row, n_words, starts, ends, items, n_hit); row is a hash of the id and the text.
 
     Each shard of documents (an Arrow batch) becomes an array of word suffixes; every test suffix is binary-searched in
     it, which gives all its verbatim matches and their locations. A window is `window` consecutive words of an item, or
@@ -174,7 +174,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             every = every.unionByName(more)
         rows = _union_spans(every)
     hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select(F.col("id").alias(id_col), "n_words", "starts", "ends", F.array_sort("items").alias("items"), hit.alias("n_hit"))
+    return rows.select(F.col("id").alias(id_col), "row", "n_words", "starts", "ends", F.array_sort("items").alias("items"), hit.alias("n_hit"))
 
 
 def contaminated(n_hit, n_words):
