@@ -1,6 +1,674 @@
-"""The retail queries by name, and their SQL."""
+"""The retail queries by name, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from demandry.config import BUDGET, DECAY, DOMAIN, POTENTIAL
+from demandry.functions.exprs import ceil_to, pct_rank
+from demandry.operators import budget as b
+from demandry.operators import explain as x
+from demandry.operators import models as ml
+from demandry.operators import panel as p
+from demandry.operators import quality as q
+from demandry.operators import spatial as s
+from demandry.plans import features as f
+from demandry.plans import oracle as o
+from demandry.plans import potential as pot
+from demandry.plans import reporting as rep
+from demandry.plans import silver, validate
+from demandry.plans import views as v
+from demandry.streaming.quality_stream import event_quality_stream
+
+QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, with SQL on top of the common expressions of plans.oracle."""
+
+    def add(function: Callable) -> Callable:
+        QUERIES[name] = function
+        if sql:
+            SQL[name] = o.BASE + sql
+        return function
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def R(expr: str, name: str | None = None, digits: int = 6) -> str:  # noqa: N802
+    return f"round({expr}, {digits}) as {name or expr}"
+
+
+# Quality rules
+
+
+@query("dq_duplicates", f"""select order_key, line, case when rn > 1 then 'duplicate on [''outlet_id'', ''year'', ''month'', ''sku_id'']' end as failure_reason
+from (select *, row_number() over (partition by outlet_id, year, month, sku_id order by order_key, line, volume, bill) as rn from dirty)""")
+def dq_duplicates(spark, d):
+    own = v.dirty_transactions(spark, d)
+    return q.tag(own, q.duplicate_reason(["outlet_id", "year", "month", "sku_id"], ["order_key", "line", "volume", "bill"])).select("order_key", "line", q.REASON)
+
+
+@query("dq_nulls", "select order_key, line, case when outlet_id is null then 'null in: outlet_id' end as failure_reason from dirty")
+def dq_nulls(spark, d):
+    own = v.dirty_transactions(spark, d)
+    return q.tag(own, q.null_reason(own, ["outlet_id", "sku_id"])).select("order_key", "line", q.REASON)
+
+
+@query("dq_ref_integrity", "select order_key, line, case when outlet_id is null or outlet_id not in (select outlet_id from outlet) then 'outlet_id not in outlets' end as failure_reason from dirty")
+def dq_ref_integrity(spark, d):
+    return q.reference(v.dirty_transactions(spark, d), "outlet_id", v.outlets(spark, d), "outlet_id", "outlets").select("order_key", "line", q.REASON)
+
+
+@query("dq_value_range", "select order_key, line, case when not coalesce(volume >= 1e-9 and volume <= 45, false) then 'volume out of range [1e-09, 45.0]' end as failure_reason from dirty")
+def dq_value_range(spark, d):
+    return q.tag(v.dirty_transactions(spark, d), q.range_reason("volume", 1e-9, 45.0)).select("order_key", "line", q.REASON)
+
+
+@query("dq_allowed_values", f"select order_key, line, case when year not in {o.IN(DOMAIN.years)} then 'year not in {list(DOMAIN.years)}' end as failure_reason from dirty")
+def dq_allowed_values(spark, d):
+    return q.tag(v.dirty_transactions(spark, d), q.allowed_reason("year", DOMAIN.years)).select("order_key", "line", q.REASON)
+
+
+@query("dq_regex", "select order_key, line, case when not regexp_full_match(sku_id, 'SKU_[0-2]?[0-9]') then 'sku_id does not match SKU_[0-2]?[0-9]' end as failure_reason from dirty")
+def dq_regex(spark, d):
+    return q.tag(v.dirty_transactions(spark, d), q.regex_reason("sku_id", "SKU_[0-2]?[0-9]")).select("order_key", "line", q.REASON)
+
+
+@query("dq_dtype", """select row_no, case when not coalesce(try_cast(coolers as double) = floor(try_cast(coolers as double)), false) then 'coolers is not int' end as failure_reason from raw_outlet""")
+def dq_dtype(spark, d):
+    return q.tag(v.raw_outlets(spark, d), q.type_reason("coolers", "int")).select("row_no", q.REASON)
+
+
+@query("dq_geo_bounds", "select outlet_id, case when not (lat between 5.9 and 9.9 and lon between 79.5 and 82.0) then 'outside the bounding box' end as failure_reason from coord")
+def dq_geo_bounds(spark, d):
+    return q.tag(v.coordinates(spark, d), q.geo_reason("lat", "lon", DOMAIN.box)).select("outlet_id", q.REASON)
+
+
+@query("dq_price", """, pr as (select *, case when volume > 0 then bill / volume end as price from dirty),
+bd as (select sku_id, quantile_cont(price, 0.01) as lo, quantile_cont(price, 0.99) as hi, count(price) as n from pr group by sku_id)
+select order_key, line, case when n > 1 and not coalesce(price between lo and hi, false) then 'price outside P1-P99 of its sku_id' end as failure_reason from pr join bd using (sku_id)""")
+def dq_price(spark, d):
+    return q.price_check(v.dirty_transactions(spark, d), "volume", "bill", "sku_id").select("order_key", "line", q.REASON)
+
+
+@query("dq_p999", """select order_key, line, case when volume > p then 'volume above P99.9 of its sku_id' end as failure_reason
+from dirty join (select sku_id, quantile_cont(volume, 0.999) as p from dirty group by sku_id) using (sku_id)""")
+def dq_p999(spark, d):
+    return q.upper_tail(v.dirty_transactions(spark, d), "volume", "sku_id").select("order_key", "line", q.REASON)
+
+
+RING_SQL = "coalesce(" + ", ".join(
+    f"case when least(coalesce({t}_500, 0), coalesce({t}_1000, 0), coalesce({t}_2000, 0)) < 0 or coalesce({t}_500, 0) > coalesce({t}_1000, 0) or coalesce({t}_1000, 0) > coalesce({t}_2000, 0) then 'rings of {t} not monotone' end" for t in DECAY.types
+) + ")"
+
+
+@query("dq_rings", f"select outlet_id, {RING_SQL} as failure_reason from ring")
+def dq_rings(spark, d):
+    return q.tag(v.rings(spark, d), q.ring_reason(DECAY.types, DECAY.rings)).select("outlet_id", q.REASON)
+
+
+FUNNEL_SQL = f""", s1 as (
+  select *, case when outlet_id is null then '1 nulls' when year not in {o.IN(DOMAIN.years)} then '2 year' when volume < 1e-9 then '4 volume' when bill < 1e-9 then '5 bill'
+    when outlet_id not in (select outlet_id from outlet) then '6 outlet' end as st from dirty
+), s2 as (
+  select * exclude (st), coalesce(st, case when row_number() over (partition by st is null, outlet_id, year, month, sku_id, distributor_id order by volume, bill, order_key, line) > 1 then case when st is null then '8 duplicate' end end) as st from s1
+), s3 as (
+  select s2.* exclude (st), coalesce(st, case when volume > p then '9 outlier' end) as st from s2 left join (select sku_id, quantile_cont(volume, 0.999) as p from s2 where st is null group by sku_id) using (sku_id)
+), s4 as (
+  select s3.* exclude (st), coalesce(st, case when n > 1 and not (bill / volume between lo and hi) then '10 price' end, 'passed') as stage
+  from s3 left join (select sku_id, quantile_cont(bill / volume, 0.01) as lo, quantile_cont(bill / volume, 0.99) as hi, count(*) as n from s3 where st is null group by sku_id) using (sku_id)
+)"""
+
+
+def _tagged(spark, d) -> DataFrame:
+    sellers = v.seasonality(spark, d).select("distributor_id").distinct()
+    return silver.clean_transactions(v.dirty_transactions(spark, d), v.outlets(spark, d), sellers)
+
+
+@query("dq_funnel", FUNNEL_SQL + "select stage, count(*) as n_rows, " + o.SUM("volume") + " as volume from s4 group by stage")
+def dq_funnel(spark, d):
+    return _tagged(spark, d).groupBy("stage").agg(F.count("*").alias("n_rows"), F.sum(F.col("volume").cast("decimal(18,2)")).cast("double").alias("volume"))
+
+
+@query("reject_buckets", FUNNEL_SQL + """, why as (select case stage when '1 nulls' then 'Missing values' when '2 year' then 'Unknown references' when '4 volume' then 'Bad quantities' when '5 bill' then 'Bad quantities'
+  when '6 outlet' then 'Unknown references' when '8 duplicate' then 'Duplicates' when '9 outlier' then 'Outliers' when '10 price' then 'Price checks' end as bucket from s4 where stage <> 'passed')
+select bucket, count(*) as n_rows from why group by bucket order by n_rows desc, bucket limit 12""")
+def reject_buckets(spark, d):
+    return rep.reject_buckets(_tagged(spark, d).where(F.col(q.REASON).isNotNull()))
+
+
+@query("funnel_summary", FUNNEL_SQL + """select 'transactions' as dataset, u.metric, u.value from (
+  select count(*) as input, count(*) filter (stage = 'passed') as final, count(*) filter (stage <> 'passed') as rejected from s4) unpivot (value for metric in (input, final, rejected)) u""")
+def funnel_summary(spark, d):
+    passed = F.col("stage") == "passed"
+    return q.summary("transactions", {"input": F.count("*"), "final": F.count_if(passed), "rejected": F.count_if(~passed)}, _tagged(spark, d))
+
+
+MASTER_SQL = f""", fx as (
+  select *, array_to_string(list_transform(string_split(lower(trim(outlet_size)), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as title,
+    coalesce(case trim(outlet_type) when 'MACHNERY' then 'MACHINERY' when 'BUILDNG' then 'BUILDING' when 'FURNITRE' then 'FURNITURE' else trim(outlet_type) end, 'Unknown') as kind,
+    case when coolers not in {o.IN(DOMAIN.null_tokens)} then try_cast(coolers as double) end as number, row_number() over (partition by outlet_id order by row_no) as rn from raw_outlet
+)"""
+
+
+@query("master_impute", MASTER_SQL + f"""select outlet_id, kind as outlet_type, case when coalesce(title in {o.IN(DOMAIN.sizes)}, false) then title else 'Medium' end as outlet_size,
+  cast(case when number is null then 1 when number < 0 then 0 else floor(number) end as bigint) as coolers from fx where outlet_id is not null and rn = 1""")
+def master_impute(spark, d):
+    return silver.clean_outlets(v.raw_outlets(spark, d))
+
+
+@query("master_audit", MASTER_SQL + f"""select row_no, 'invalid outlet_size' as failure_reason from fx where not coalesce(title in {o.IN(DOMAIN.sizes)}, false)
+union all select row_no, 'null outlet_type' from fx where outlet_type is null union all select row_no, 'null coolers' from fx where number is null
+union all select row_no, 'negative coolers' from fx where number < 0 union all select row_no, 'null outlet_id' from fx where outlet_id is null
+union all select row_no, 'duplicate outlet_id' from fx where outlet_id is not null and rn > 1""")
+def master_audit(spark, d):
+    return silver.audit_outlets(v.raw_outlets(spark, d))
+
+
+@query("coordinates_flag", "select outlet_id, lat, lon, lat between 5.9 and 9.9 and lon between 79.5 and 82.0 as in_box from coord")
+def coordinates_flag(spark, d):
+    return silver.clean_coordinates(v.coordinates(spark, d))
+
+
+@query("seasonality_clean", f"select distributor_id, year, month, label, case when label = 'Unknown' then 'label not in {str(sorted(DOMAIN.labels)).replace(chr(39), chr(39) * 2)}' when rn > 1 then 'duplicate on [''distributor_id'', ''year'', ''month'']' end as failure_reason from (select *, row_number() over (partition by distributor_id, year, month, label = 'Unknown' order by row_no) as rn from label)")
+def seasonality_clean(spark, d):
+    labels = v.seasonality(spark, d)
+    return silver.clean_seasonality(labels, labels).drop("row_no")
+
+
+@query("holidays_clean", """select day, name, kind, try_cast(day as date) as date, case when try_cast(day as date) is null then 'day is not datetime' when rn > 1 then 'duplicate on [''date'', ''name'', ''kind'']' end as failure_reason
+from (select *, row_number() over (partition by try_cast(day as date), name, kind, try_cast(day as date) is null order by row_no) as rn from holiday)""")
+def holidays_clean(spark, d):
+    return silver.clean_holidays(v.holidays(spark)).drop("row_no")
+
+
+@query("working_days", """, ok as (select distinct cast(day as date) as date, name, kind from holiday where try_cast(day as date) between date '2000-01-01' and date '2000-01-31'),
+cal as (select cast(d as date) as date, isodow(d) >= 6 as weekend from range(timestamp '2000-01-01', timestamp '2000-02-01', interval 1 day) r(d))
+select count(*) filter (kind = 'Public') as n_public, count(*) filter (kind = 'Bank') as n_bank, count(*) filter (kind = 'Mercantile') as n_mercantile, count(*) filter (kind = 'Poya Day') as n_poya_day, count(distinct date) as n_dates,
+  (select count(*) filter (weekend) from cal) as n_weekend, (select count(*) filter (not weekend and date not in (select date from ok where kind = 'Public')) from cal) as n_working from ok""")
+def working_days(spark, d):
+    return silver.working_days(v.holidays(spark), "2000-01-01", "2000-01-31")
+
+
+@query("advisory_counts", """select 'multi_distributor' as metric, count(*) as value from (select outlet_id from tx group by outlet_id having count(distinct distributor_id) > 1)
+union all select 'no_cooler_but_large', count(*) from outlet where coolers = 0 and outlet_size in ('Large', 'Extra Large')
+union all select 'ghost_outlets', count(*) from outlet where outlet_id not in (select outlet_id from tx where year = 1996)""")
+def advisory_counts(spark, d):
+    tx, master = v.transactions(spark, d), v.outlets(spark, d)
+    many = tx.groupBy("outlet_id").agg(F.count_distinct("distributor_id").alias("n")).where("n > 1")
+    bare = master.where("coolers = 0 and outlet_size in ('Large', 'Extra Large')")
+    ghosts = master.join(tx.where("year = 1996").select("outlet_id"), "outlet_id", "left_anti")
+    one = lambda df, name: df.agg(F.lit(name).alias("metric"), F.count("*").alias("value"))
+    return one(many, "multi_distributor").unionByName(one(bare, "no_cooler_but_large")).unionByName(one(ghosts, "ghost_outlets"))
+
+
+@query("ghost_outlets", "select outlet_id from outlet where outlet_id not in (select outlet_id from tx where year = 1996)")
+def ghost_outlets(spark, d):
+    return v.outlets(spark, d).join(v.transactions(spark, d).where("year = 1996").select("outlet_id"), "outlet_id", "left_anti").select("outlet_id")
+
+
+@query("null_census", "select u.column_name, u.nulls from (select " + ", ".join(f"count(*) filter ({c} is null) as {c}" for c in ("outlet_id", "outlet_size", "outlet_type", "coolers", "row_no")) + " from raw_outlet) unpivot (nulls for column_name in (outlet_id, outlet_size, outlet_type, coolers, row_no)) u")
+def null_census(spark, d):
+    return q.null_census(v.raw_outlets(spark, d))
+
+
+# Panel and features
+
+
+@query("monthly_rollup", "select outlet_id, year, month, volume, bill, n_skus, n_tx, distributor_id from m")
+def monthly_rollup(spark, d):
+    return f.months_of(spark, d)
+
+
+@query("primary_distributor", "select outlet_id, distributor_id, province from place")
+def primary_distributor(spark, d):
+    return f.places(f.months_of(spark, d))
+
+
+@query("multi_distributor", "select outlet_id, count(distinct distributor_id) as n from tx group by outlet_id having count(distinct distributor_id) > 1")
+def multi_distributor(spark, d):
+    return v.transactions(spark, d).groupBy("outlet_id").agg(F.count_distinct("distributor_id").alias("n")).where("n > 1")
+
+
+STAT_COLUMNS = ("vol_mean", "vol_median", "vol_max", "vol_std", "vol_p75", "vol_p95", "bill_mean", "vol_total", "sku_mean", "vol_cv", "price_avg")
+
+
+@query("tx_stats", "select outlet_id, n_tx, n_months, " + ", ".join(R(c) for c in STAT_COLUMNS) + " from stats")
+def tx_stats(spark, d):
+    return rounded(p.stats(f.months_of(spark, d)), *STAT_COLUMNS)
+
+
+@query("recent_trend", f"select outlet_id, {R('recent_trend')} from trend")
+def recent_trend(spark, d):
+    return rounded(p.recent_trend(f.months_of(spark, d)), "recent_trend")
+
+
+@query("yoy_growth", f"select outlet_id, {R('yoy_growth')} from growth")
+def yoy_growth(spark, d):
+    return rounded(p.growth(f.months_of(spark, d), 2000), "yoy_growth")
+
+
+@query("censoring_score", f"select outlet_id, {R('censoring_score')} from cens")
+def censoring_score(spark, d):
+    return rounded(p.censoring_score(f.months_of(spark, d)), "censoring_score")
+
+
+@query("plateau_score", "select outlet_id, plateau_score from plateau")
+def plateau_score(spark, d):
+    return p.plateau_score(f.months_of(spark, d))
+
+
+@query("structural_onehot", "select o.outlet_id, coolers, " + ", ".join(f"case when outlet_size = '{z}' then 1 else 0 end as size_{z.replace(' ', '_')}" for z in DOMAIN.sizes) + ", " + ", ".join(f"case when outlet_type = '{z}' then 1 else 0 end as type_{z}" for z in DOMAIN.types) + """,
+case outlet_size when 'Small' then 1 when 'Medium' then 2 when 'Large' then 3 when 'Extra Large' then 4 else 0 end as size_ordinal, """ + R("vol_mean / greatest(coolers, 1)", "volume_per_cooler") + ", " + R("coolers / greatest(vol_mean, 1.0)", "cooler_per_volume") + " from outlet o left join stats using (outlet_id)")
+def structural_onehot(spark, d):
+    return rounded(f.structural(v.outlets(spark, d), p.stats(f.months_of(spark, d))), "volume_per_cooler", "cooler_per_volume")
+
+
+@query("seasonality_latest", "select outlet_id, season_label from season")
+def seasonality_latest(spark, d):
+    return f.temporal(f.places(f.months_of(spark, d)), v.seasonality(spark, d).where("label != 'Unknown'"))
+
+
+@query("peer_cluster", "select outlet_id, cluster, poi_tier, urban from member")
+def peer_cluster(spark, d):
+    return f.members(spark, d, f.months_of(spark, d)).select("outlet_id", "cluster", "poi_tier", "urban")
+
+
+@query("quartile_tier", "select poi_tier, count(*) as n, min(poi_density) as low, max(poi_density) as high from member group by poi_tier")
+def quartile_tier(spark, d):
+    return f.members(spark, d, f.months_of(spark, d)).groupBy("poi_tier").agg(F.count("*").alias("n"), F.min("poi_density").alias("low"), F.max("poi_density").alias("high"))
+
+
+def _peers(spark, d) -> DataFrame:
+    months = f.months_of(spark, d)
+    who = f.members(spark, d, months).join(p.stats(months).select("outlet_id", "vol_mean"), "outlet_id")
+    return f.peers(who.select("outlet_id", "cluster", "vol_mean"), months)
+
+
+@query("peer_pct_rank", f"select outlet_id, cluster_size, {R('peer_rank')} from peer")
+def peer_pct_rank(spark, d):
+    return rounded(_peers(spark, d).select("outlet_id", "cluster_size", "peer_rank"), "peer_rank")
+
+
+@query("peer_percentiles", f"select outlet_id, {R('peer_p85')}, {R('peer_p99')}, {R('gap_to_p85')} from peer")
+def peer_percentiles(spark, d):
+    return rounded(_peers(spark, d).select("outlet_id", "peer_p85", "peer_p99", "gap_to_p85"), "peer_p85", "peer_p99", "gap_to_p85")
+
+
+@query("order_value_rank", """select o_orderkey, round((rank() over (partition by o_orderpriority order by o_totalprice) + (count(*) over (partition by o_orderpriority, o_totalprice) - 1) / 2.0::double) / count(*) over (partition by o_orderpriority), 9) as value_rank from orders""")
+def order_value_rank(spark, d):
+    return v.table(spark, d, "orders").select("o_orderkey", F.round(pct_rank(F.col("o_totalprice"), F.col("o_orderpriority")), 9).alias("value_rank"))
+
+
+# Places
+
+
+@query("ring_density", "select outlet_id, poi_density from density")
+def ring_density(spark, d):
+    rings = v.rings(spark, d)
+    return rings.select("outlet_id", s.ring_density(rings).cast("long").alias("poi_density"))
+
+
+@query("decay_density", "select outlet_id, " + ", ".join(R(o.exp_sql(t), f"decayed_{t}") for t in DECAY.types) + ", " + R(o.weighted_sql(o.exp_sql), "decayed_weighted") + " from ring")
+def decay_density(spark, d):
+    dens = s.densities(v.rings(spark, d))
+    names = [c for c in dens.columns if c.startswith("decayed")]
+    return rounded(dens.select("outlet_id", *names), *names)
+
+
+@query("gravity_density", "select outlet_id, " + ", ".join(R(o.gravity_sql(t), f"gravity_{t}", 9) for t in DECAY.types) + ", " + R(o.weighted_sql(o.gravity_sql), "gravity_weighted", 9) + " from ring")
+def gravity_density(spark, d):
+    dens = s.densities(v.rings(spark, d))
+    names = [c for c in dens.columns if c.startswith("gravity")]
+    return rounded(dens.select("outlet_id", *names), *names, digits=9)
+
+
+RIVAL_SQL = f""", near as (select a.outlet_id, {o.HAVERSINE} as metres from coord a join coord b on a.outlet_id <> b.outlet_id and abs(a.lat - b.lat) < 0.006 and abs(a.lon - b.lon) < 0.006 where a.lat <> 0 and b.lat <> 0),
+rv as (select outlet_id, count(*) as n, sum(exp(-metres / {DECAY.rival_length})) as w from near where metres <= {DECAY.radius} group by outlet_id)"""
+
+
+@query("competitor_radius_join", RIVAL_SQL + "select o.outlet_id, coalesce(n, 0) as n_competitors, " + R("coalesce(w, 0.0)", "competitor_weight") + ", " + R("1 / (1 + coalesce(w, 0.0))", "market_share") + ", case when c.lat = 0 then 1 else 0 end as competitor_imputed from outlet o join coord c using (outlet_id) left join rv using (outlet_id)")
+def competitor_radius_join(spark, d):
+    return rounded(s.rivals(v.coordinates(spark, d).where("lat != 0"), v.outlets(spark, d)), "competitor_weight", "market_share")
+
+
+@query("radius_pairs", f", near as (select a.outlet_id as id, b.outlet_id as other, {o.HAVERSINE} as metres from coord a join coord b on a.outlet_id <> b.outlet_id and abs(a.lat - b.lat) < 0.01 and abs(a.lon - b.lon) < 0.01 where a.lat <> 0 and b.lat <> 0) select id, other, round(metres, 3) as metres from near where metres <= 800")
+def radius_pairs(spark, d):
+    return rounded(s.radius_join(v.coordinates(spark, d).where("lat != 0"), 800.0), "metres", digits=3)
+
+
+@query("cluster_median_impute", """, x as (select member.outlet_id, outlet_type, province, r.school_1000::double as school, r.hospital_1000::double as hospital from member join ring r using (outlet_id)),
+c as (select outlet_type, province, median(school) as cs, median(hospital) as ch from x group by outlet_type, province)
+select x.outlet_id, outlet_type, province, coalesce(school, cs, (select median(school) from x), 0.0) as school, coalesce(hospital, ch, (select median(hospital) from x), 0.0) as hospital, case when school is null then 1 else 0 end as poi_imputed from x join c using (outlet_type, province)""")
+def cluster_median_impute(spark, d):
+    who = f.members(spark, d, f.months_of(spark, d)).select("outlet_id", "outlet_type", "province")
+    rings = v.rings(spark, d).select("outlet_id", F.col("school_1000").cast("double").alias("school"), F.col("hospital_1000").cast("double").alias("hospital"))
+    return s.impute(who.join(rings, "outlet_id", "left"), ["outlet_type", "province"], ["school", "hospital"], "poi_imputed")
+
+
+SPEARMAN = "select count(*) as n, round(corr(a, b), 4) as pearson, round(corr(ra, rb), 4) as spearman, round({mean}, 4) as mean_diff from (select a, b, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0::double as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0::double as rb from pairs)"
+
+
+@query("lambda_spearman", ", pairs as (select " + R(o.weighted_sql(o.exp_sql), "a") + ", " + R(o.weighted_sql(lambda t: o.exp_sql(t, 1.5)), "b") + " from ring where school_500 is not null) " + SPEARMAN.format(mean=o.AVG("a - b", 6)))
+def lambda_spearman(spark, d):
+    rings = v.rings(spark, d).where("school_500 is not null")
+    base, wide = s.densities(rings).select("outlet_id", F.round("decayed_weighted", 6).alias("a")), s.densities(rings, 1.5).select("outlet_id", F.round("decayed_weighted", 6).alias("b"))
+    return ml.agreement(base.join(wide, "outlet_id"), "a", "b")
+
+
+@query("poi_tag_counts", f""", tag(poi_type, key, value) as (values {o.TAGS}),
+el as (select c.outlet_id, c.lat, c.lon, (e.event_id % 40 - 20) / 2000.0::double + c.lat as elat, (e.event_id % 31 - 15) / 2000.0::double + c.lon as elon, e.event_id, e.event_id % 15 as k from coord c join events e on e.user_id = c.outlet_id where c.lat <> 0),
+nm as (select *, row_number() over () - 1 as k from tag), t as (select el.*, n.poi_type, 2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(elat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(elat)) * pow(sin(radians(elon - lon) / 2), 2), 1.0))) as metres
+  from el join nm h on el.k = h.k join tag n on n.key = h.key and n.value = h.value)
+select outlet_id, poi_type, count(distinct event_id) filter (metres <= 500) as n_500, count(distinct event_id) filter (metres <= 1000) as n_1000, count(distinct event_id) filter (metres <= 2000) as n_2000 from t group by outlet_id, poi_type""")
+def poi_tag_counts(spark, d):
+    at = v.coordinates(spark, d).where("lat != 0")
+    rules = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(x_).alias("value")) for _, k, x_ in s.POI_TAGS])
+    rule = F.element_at(rules, (F.col("event_id") % len(s.POI_TAGS) + 1).cast("int"))
+    events = v.table(spark, d, "events").select("event_id", "user_id")
+    el = events.join(at, events.user_id == at.outlet_id).select(
+        "outlet_id", "lat", "lon", F.lit("node").alias("kind"), F.col("event_id").alias("element_id"),
+        ((F.col("event_id") % 40 - 20) / 2000.0 + F.col("lat")).alias("elat"), ((F.col("event_id") % 31 - 15) / 2000.0 + F.col("lon")).alias("elon"), F.create_map(rule["key"], rule["value"]).alias("tags"),
+    )
+    return s.poi_counts(el)
+
+
+# Potential
+
+
+@query("physical_max", f"select outlet_id, physical_raw, {R('physical_max')}, {R('cooler_headroom')}, capacity_breached, {R('cooler_use')} from phys")
+def physical_max(spark, d):
+    own = v.outlets(spark, d).join(p.stats(f.months_of(spark, d)), "outlet_id")
+    got = f.physical(own).select("outlet_id", F.col("physical_raw").cast("double").alias("physical_raw"), "physical_max", "cooler_headroom", "capacity_breached", "cooler_use")
+    return rounded(got, "physical_max", "cooler_headroom", "cooler_use")
+
+
+@query("constraint_uplift", f"select outlet_id, {R('uplift')}, constraint_type from diag")
+def constraint_uplift(spark, d):
+    return rounded(pot.scored(spark, d).select("outlet_id", "uplift", "constraint_type"), "uplift")
+
+
+@query("potential_formula", f"select outlet_id, province, outlet_type, outlet_size, {R('vol_mean')}, {R('floor')}, {R('ceiling')}, {R('raw')}, {R('scaled')}, {R('potential')}, winner, constraint_type from diag")
+def potential_formula(spark, d):
+    got = pot.scored(spark, d).select("outlet_id", "province", "outlet_type", "outlet_size", "vol_mean", "floor", "ceiling", "raw", "scaled", "potential", "winner", "constraint_type")
+    return rounded(got, "vol_mean", "floor", "ceiling", "raw", "scaled", "potential")
+
+
+@query("predictions", "select outlet_id, ceil(round(potential, 6) * 100) / 100 as max_monthly_litres from diag")
+def predictions(spark, d):
+    return pot.scored(spark, d).select("outlet_id", ceil_to(F.round("potential", 6)).alias("max_monthly_litres"))
+
+
+@query("branch_winner", "select winner, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from diag group by winner")
+def branch_winner(spark, d):
+    return rep.value_counts(pot.scored(spark, d), "winner")
+
+
+@query("clamp_counters", "select count(*) filter (potential = floor) as floor_binds, count(*) filter (scaled > ceiling) as ceiling_binds, count(*) filter (floor > ceiling) as floor_over_ceiling, count(*) filter (capacity_breached = 0 and physical_max < 1.5 * peer_p99) as physical_binds from diag")
+def clamp_counters(spark, d):
+    return pot.scored(spark, d).agg(
+        F.count_if(F.expr("potential = floor")).alias("floor_binds"), F.count_if(F.expr("scaled > ceiling")).alias("ceiling_binds"), F.count_if(F.expr("floor > ceiling")).alias("floor_over_ceiling"),
+        F.count_if((F.col("capacity_breached") == 0) & (F.col("physical_max") < POTENTIAL.ceiling * F.col("peer_p99"))).alias("physical_binds"),
+    )
+
+
+@query("budget_greedy", "select outlet_id, spend from greedy")
+def budget_greedy(spark, d):
+    return b.greedy(pot.candidates(pot.scored(spark, d)).select("outlet_id", "gap", "k"), BUDGET.total, BUDGET.cap, BUDGET.step)
+
+
+@query("budget_waterfill", f"select outlet_id, spend_type, {R('spend', digits=2)}, {R('increment', digits=4)} from alloc")
+def budget_waterfill(spark, d):
+    return pot.allocate(pot.candidates(pot.scored(spark, d))).select("outlet_id", "spend_type", "spend", F.round("increment", 4).alias("increment"))
+
+
+@query("budget_by_type", f"select spend_type, count(*) as outlets, {o.SUM('spend')} as spend, round({o.SUM('increment', 6)}, 3) as increment from alloc where spend > 1 group by spend_type")
+def budget_by_type(spark, d):
+    got = pot.allocate(pot.candidates(pot.scored(spark, d))).where("spend > 1")
+    return got.groupBy("spend_type").agg(F.count("*").alias("outlets"), F.sum(F.col("spend").cast("decimal(18,2)")).cast("double").alias("spend"), F.round(F.sum(F.col("increment").cast("decimal(18,6)")).cast("double"), 3).alias("increment"))
+
+
+# Reports
+
+HEAD = lambda c: o.AVG(f"round({c}, 6)", 6)
+
+
+def _diagnostic(spark, d) -> DataFrame:
+    """Rounded, so that sums over it are the same in any order."""
+    return rounded(pot.scored(spark, d), "potential", "vol_mean", digits=2)
+
+
+DIAG2 = ", d2 as (select * replace (round(potential, 2) as potential, round(vol_mean, 2) as vol_mean) from diag)"
+
+
+@query("headline_stats", DIAG2 + f"""select count(*) as outlets, round({o.AVG('potential')}, 4) as mean, round(median(potential), 4) as median, round(min(potential), 4) as least, round(max(potential), 4) as most,
+round(quantile_cont(potential, 0.95), 4) as p95, round(quantile_cont(potential, 0.99), 4) as p99, {o.SUM('potential')} as total, {o.SUM('vol_mean')} as actual, round({o.SUM('potential')} / {o.SUM('vol_mean')}, 4) as multiple,
+round(avg(case when winner = 'floor' then 1.0::double else 0.0::double end), 6) as floor_share from d2""")
+def headline_stats(spark, d):
+    return rep.headline(_diagnostic(spark, d))
+
+
+@query("segment_means", DIAG2 + " ".join(f"{'union all' if k else ''} select '{c}' as segment, cast({c} as varchar) as value, count(*) as outlets, round({o.AVG('potential')}, 4) as mean from d2 group by {c}" for k, c in enumerate(("outlet_size", "outlet_type", "province", "urban"))))
+def segment_means(spark, d):
+    return rep.segments(_diagnostic(spark, d))
+
+
+@query("kpi_strip", DIAG2 + f"select count(*) as outlets, round({o.AVG('potential')}, 4) as mean, {o.SUM('potential')} as total, round(100 * avg(case when constraint_type = 'supply' then 1.0::double else 0.0::double end), 4) as supply_pct from d2")
+def kpi_strip(spark, d):
+    return rep.kpis(_diagnostic(spark, d))
+
+
+@query("browse_topk", DIAG2 + "select outlet_id, province, outlet_type, distributor_id, potential, round(100 * (potential / vol_mean - 1), 4) as uplift_pct from d2 where province in ('Western', 'Central') order by potential desc, outlet_id limit 50")
+def browse_topk(spark, d):
+    return rep.browse(_diagnostic(spark, d), provinces=["Western", "Central"])
+
+
+@query("regex_search", DIAG2 + "select outlet_id, province, outlet_type, distributor_id, potential, round(100 * (potential / vol_mean - 1), 4) as uplift_pct from d2 where regexp_matches(cast(outlet_id as varchar), '(?i)^1.*7$|mach') or regexp_matches(outlet_type, '(?i)^1.*7$|mach') or regexp_matches(distributor_id, '(?i)^1.*7$|mach') order by potential desc, outlet_id limit 50")
+def regex_search(spark, d):
+    return rep.browse(_diagnostic(spark, d), search="^1.*7$|mach")
+
+
+@query("facets", "select distinct 'province' as facet, province as value from diag union select distinct 'distributor', distributor_id from diag where province = 'Western'")
+def facets(spark, d):
+    return rep.facets(pot.scored(spark, d), ["Western"])
+
+
+@query("drill_down", DIAG2 + "select outlet_id, potential, winner from d2 order by potential desc, outlet_id limit 1")
+def drill_down(spark, d):
+    return rep.drill_down(_diagnostic(spark, d)).select("outlet_id", "potential", "winner")
+
+
+@query("histogram", DIAG2 + "select floor(potential / 10.0) * 10.0 as bin, count(*) as n from d2 group by 1")
+def histogram(spark, d):
+    return rep.histogram(_diagnostic(spark, d), "potential", 10.0)
+
+
+@query("boxplot_stats", """, j as (select m.outlet_id, outlet_type, volume from m join outlet using (outlet_id)), qq as (select outlet_type, quantile_cont(volume, 0.25) as q1, quantile_cont(volume, 0.5) as md, quantile_cont(volume, 0.75) as q3 from j group by outlet_type)
+select outlet_type, round(any_value(q1), 6) as q1, round(any_value(md), 6) as median, round(any_value(q3), 6) as q3, round(min(volume) filter (volume between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)), 6) as low, round(max(volume) filter (volume between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)), 6) as high from j join qq using (outlet_type) group by outlet_type""")
+def boxplot_stats(spark, d):
+    return rep.box_stats(f.months_of(spark, d).join(v.outlets(spark, d).select("outlet_id", "outlet_type"), "outlet_id"), "outlet_type", "volume")
+
+
+@query("seasonality_effect", f", e as (select label, count(*) as n, {o.AVG('volume')} as mean from m join label using (distributor_id, year, month) group by label) select label, n, round(mean, 6) as mean, round(100 * (mean / (select mean from e where label = 'Moderate') - 1), 6) as vs_base_pct from e")
+def seasonality_effect(spark, d):
+    return rep.seasonality_effect(f.months_of(spark, d), v.seasonality(spark, d))
+
+
+HITS = ", best as (select outlet_id, max(volume) as best from m group by outlet_id), h as (select m.outlet_id, avg(case when volume >= 0.98 * best then 1.0::double else 0.0::double end) as hit_rate from m join best using (outlet_id) group by m.outlet_id)"
+
+
+@query("peak_hit_rate", HITS + f"select h.outlet_id, p.distributor_id, {R('hit_rate')} from h join place p using (outlet_id)")
+def peak_hit_rate(spark, d):
+    return rounded(p.peak_hits(f.months_of(spark, d)), "hit_rate")
+
+
+@query("distributor_hit_rate", HITS + f"select distributor_id, count(*) as outlets, round({o.AVG('round(hit_rate, 6)', 6)}, 4) as hit_rate, count(*) filter (hit_rate > 0.1) as over_10, count(*) filter (hit_rate > 0.3) as over_30 from h join place using (outlet_id) group by distributor_id")
+def distributor_hit_rate(spark, d):
+    hits = rounded(p.peak_hits(f.months_of(spark, d)), "hit_rate")
+    return hits.groupBy("distributor_id").agg(F.count("*").alias("outlets"), F.round(F.sum(F.col("hit_rate").cast("decimal(18,6)")).cast("double") / F.count("*"), 4).alias("hit_rate"), F.count_if(F.expr("hit_rate > 0.1")).alias("over_10"), F.count_if(F.expr("hit_rate > 0.3")).alias("over_30"))
+
+
+@query("value_counts", "select outlet_type, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from outlet group by outlet_type")
+def value_counts(spark, d):
+    return rep.value_counts(v.outlets(spark, d), "outlet_type")
+
+
+@query("seeded_sample", "select outlet_id, outlet_type from outlet order by md5(cast(outlet_id as varchar) || '-42'), outlet_id limit 25")
+def seeded_sample(spark, d):
+    return rep.seeded_sample(v.outlets(spark, d).select("outlet_id", "outlet_type"), "outlet_id", 25)
+
+
+# Explanations
+
+EVIDENCE = ("outlet_id", "province", "outlet_type", "outlet_size", "coolers", "potential", "vol_mean", "floor", "trend_pct", "constraint_type")
+EVIDENCE_SQL = ", ev as (select outlet_id, province, outlet_type, outlet_size, coolers, cast(round(potential, 0) as bigint) as potential, cast(round(vol_mean, 0) as bigint) as vol_mean, cast(round(floor, 0) as bigint) as floor, cast(round(recent_trend * 100, 0) as bigint) as trend_pct, constraint_type from diag)"
+TEXT_SQL = """, txt as (select *, 'Potential: ' || potential || ' L a month, from ' || vol_mean || ' L on average.' || chr(10) || 'Floor: ' || floor || ' L.' || chr(10) || 'Reason: ' || case when constraint_type = 'supply' then 'sales press against what can be supplied' else 'demand sets the pace' end
+  || ', with a trend of ' || trend_pct || ' %.' || chr(10) || 'Action: ' || case when constraint_type = 'supply' and coolers <= 1 then 'add a cooler' when constraint_type = 'supply' then 'raise the drop size' else 'run a promotion' end || '.' as explanation from ev)"""
+
+
+def _evidence(spark, d) -> DataFrame:
+    whole = lambda c: F.round(c, 0).cast("long")
+    return pot.scored(spark, d).select("outlet_id", "province", "outlet_type", "outlet_size", "coolers", whole(F.col("potential")).alias("potential"), whole(F.col("vol_mean")).alias("vol_mean"), whole(F.col("floor")).alias("floor"), whole(F.col("recent_trend") * 100).alias("trend_pct"), "constraint_type")
+
+
+def _texts(spark, d) -> DataFrame:
+    text = x.template_text(F.col("floor"), F.col("potential"), F.col("vol_mean"), F.col("trend_pct") / 100, F.col("constraint_type") == "supply", F.col("coolers"))
+    return x.explain(_evidence(spark, d), text)
+
+
+@query("evidence_packet", EVIDENCE_SQL + "select outlet_id, to_json({" + ", ".join(f"'{c}': {c}" for c in EVIDENCE) + "}) as packet from ev")
+def evidence_packet(spark, d):
+    own = _evidence(spark, d)
+    return own.select("outlet_id", F.to_json(x.evidence(*[(c, F.col(c)) for c in EVIDENCE])).cast("string").alias("packet"))
+
+
+@query("template_explanation", EVIDENCE_SQL + TEXT_SQL + "select outlet_id, explanation, 'template' as source from txt")
+def template_explanation(spark, d):
+    return _texts(spark, d).select("outlet_id", "explanation", "source")
+
+
+@query("groundedness", EVIDENCE_SQL + TEXT_SQL + """select outlet_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(explanation, '[0-9]+'), lambda v: cast(v as bigint)),
+lambda v: v > 1 and not (abs(v - potential) <= 2 or abs(v - vol_mean) <= 2)))) as n_ungrounded from txt""")
+def groundedness(spark, d):
+    loose = x.ungrounded(F.col("explanation"), F.array("potential", "vol_mean"))
+    return _texts(spark, d).select("outlet_id", F.size(loose).cast("long").alias("n_ungrounded"))
+
+
+@query("top_drivers", """, z as (select outlet_id, (recent_trend - 1) as recent_trend, (yoy_growth - 1) as yoy_growth, (censoring_score - 0.1) as censoring_score, (plateau_norm - 0.5) as plateau_norm, (vol_cv - 0.5) as vol_cv from txf),
+u as (select outlet_id, feature, round(value, 4) as r, value from z unpivot (value for feature in (recent_trend, yoy_growth, censoring_score, plateau_norm, vol_cv))),
+o as (select *, row_number() over (partition by outlet_id, value > 0 order by abs(value) desc, feature) as rn from u where abs(value) > 1e-6)
+select z.outlet_id, coalesce(string_agg(feature, ',' order by rn) filter (value > 0 and rn <= 3), '') as ups, coalesce(string_agg(feature, ',' order by rn) filter (value < 0 and rn <= 3), '') as downs from z left join o using (outlet_id) group by z.outlet_id""")
+def top_drivers(spark, d):
+    own = f.transactional(f.months_of(spark, d), 2000)
+    shift = {"recent_trend": 1, "yoy_growth": 1, "censoring_score": 0.1, "plateau_norm": 0.5, "vol_cv": 0.5}
+    z = own.select("outlet_id", *[(F.col(c) - m).alias(c) for c, m in shift.items()])
+    drivers = z.select("outlet_id", *x.top_drivers(z, list(shift)))
+    names = lambda c: F.array_join(F.transform(c, lambda e: e["feature"]), ",")
+    return drivers.select("outlet_id", names("ups").alias("ups"), names("downs").alias("downs"))
+
+
+# Checks
+
+
+@query("validation_table", """, one as (select count(*) as n, count(*) filter (potential is null) as nulls, count(*) filter (potential <= 0) as low, count(*) filter (potential < 1.05 * vol_max - 1e-6) as under,
+  avg(potential) filter (urban = 1) as urban, avg(potential) filter (urban = 0) as rural, avg(potential) filter (outlet_size in ('Large', 'Extra Large')) as large, avg(potential) filter (outlet_size = 'Small') as small, (select count(distinct outlet_id) from m) as outlets from diag)
+select 'V01 rows' as "check", n::double as observed, outlets::double as expected, case when n = outlets then 'PASS' else 'FAIL' end as status from one
+union all select 'V03 nulls', nulls, 0, case when nulls = 0 then 'PASS' else 'FAIL' end from one union all select 'V04 not positive', low, 0, case when low = 0 then 'PASS' else 'FAIL' end from one
+union all select 'V05 below floor', under, 0, case when under = 0 then 'PASS' else 'FAIL' end from one
+union all select 'V07 urban over rural', round(coalesce(urban, 0), 4), round(coalesce(rural, 0), 4), case when coalesce(urban, 0) > coalesce(rural, 0) then 'PASS' else 'WARN' end from one
+union all select 'V08 large over small', round(coalesce(large, 0), 4), round(coalesce(small, 0), 4), case when coalesce(large, 0) > coalesce(small, 0) then 'PASS' else 'FAIL' end from one""")
+def validation_table(spark, d):
+    return validate.predictions(pot.scored(spark, d), f.months_of(spark, d))
+
+
+@query("budget_validation", f""", one as (select round({o.SUM('spend')}, 2) as spent, count(*) filter (spend is null or spend < 0) as bad, count(*) filter (spend > 1) as funded from alloc)
+select 'B2 outside province' as "check", 0.0::double as observed, 0.0::double as expected, 'PASS' as status union all select 'B3 within budget', spent, {BUDGET.total}, case when spent <= {BUDGET.total} + 1 then 'PASS' else 'FAIL' end from one
+union all select 'B4 negative or null', bad, 0, case when bad = 0 then 'PASS' else 'FAIL' end from one union all select 'B5 funded', funded, 0, case when funded > 0 then 'PASS' else 'WARN' end from one""")
+def budget_validation(spark, d):
+    diagnostic = pot.scored(spark, d)
+    return validate.budget(pot.allocate(pot.candidates(diagnostic)), diagnostic)
+
+
+# Models
+
+
+@query("training_panel", f""", p99 as (select outlet_id, quantile_cont(volume, 0.99) as p99 from m group by outlet_id)
+select outlet_id, year, month, {R('vol_mean')}, recent_trend_ as recent_trend, year - 1996 as year_norm, """ + ", ".join(f"case when month = {k} then 1 else 0 end as month_{k}" for k in range(1, 13)) + f""", {R('ln(1 + volume)', 'target')}
+from (select m.*, s.vol_mean, round(t.recent_trend, 6) as recent_trend_ from m join p99 using (outlet_id) left join stats s using (outlet_id) left join trend t using (outlet_id) where not coalesce(m.volume >= 0.95 * p99, false))""")
+def training_panel(spark, d):
+    months = f.months_of(spark, d)
+    own = p.stats(months).select("outlet_id", "vol_mean").join(p.recent_trend(months), "outlet_id")
+    return rounded(ml.training_panel(months, own, DOMAIN.years[0]), "vol_mean", "recent_trend", "target")
+
+
+@query("grouped_folds", "select cast(cast('0x' || substr(md5(cast(outlet_id as varchar)), 1, 8) as bigint) % 5 as int) as fold, count(*) as n_rows, count(distinct outlet_id) as outlets from m group by 1")
+def grouped_folds(spark, d):
+    return f.months_of(spark, d).groupBy(ml.fold_of(F.col("outlet_id")).alias("fold")).agg(F.count("*").alias("n_rows"), F.count_distinct("outlet_id").alias("outlets"))
+
+
+@query("agreement_stats", ", pairs as (select round(vol_mean, 2) as a, round(vol_p95, 2) as b from stats) " + SPEARMAN.format(mean=o.AVG("a - b", 6)))
+def agreement_stats(spark, d):
+    return ml.agreement(p.stats(f.months_of(spark, d)).select(F.round("vol_mean", 2).alias("a"), F.round("vol_p95", 2).alias("b")), "a", "b")
+
+
+MODEL_FEATURES = ("vol_mean", "vol_median", "vol_std", "sku_mean", "n_months", "recent_trend", "yoy_growth", "price_avg")
+
+
+def _panel(spark, d) -> tuple[DataFrame, DataFrame]:
+    months = f.months_of(spark, d)
+    own = f.transactional(months, 2000).select("outlet_id", *MODEL_FEATURES)
+    return months, own
+
+
+@query("feature_table")
+def feature_table(spark, d):
+    return f.feature_table(spark, d)
+
+
+@query("stage_a_gbt")
+def stage_a_gbt(spark, d):
+    """Potential with the trees' January forecast as stage A."""
+    months, own = _panel(spark, d)
+    names = [*MODEL_FEATURES, "year_norm", *[f"month_{k}" for k in range(1, 13)]]
+    model = ml.fit_trees(ml.training_panel(months, own, DOMAIN.years[0]), names)
+    point = own.withColumn("year_norm", F.lit(len(DOMAIN.years))).withColumns({f"month_{k}": F.lit(int(k == 1)) for k in range(1, 13)})
+    stage_a = model.transform(ml.assemble(point, names)).select("outlet_id", F.expm1("prediction").alias("stage_a"))
+    return pot.predictions(pot.scored(spark, d, stage_a))
+
+
+def _censored(spark, d) -> DataFrame:
+    months, own = _panel(spark, d)
+    p95 = F.percentile("volume", F.lit(0.95)).over(Window.partitionBy("outlet_id"))
+    return months.withColumn("p95", p95).withColumn("censored", (F.col("volume") >= 0.98 * F.col("p95")).cast("int")).join(own, "outlet_id").select("outlet_id", "volume", "censored", "n_months", "sku_mean", "price_avg")
+
+
+@query("weibull_aft")
+def weibull_aft(spark, d):
+    return ml.survival(_censored(spark, d), ["n_months", "sku_mean", "price_avg"])
+
+
+@query("tobit")
+def tobit(spark, d):
+    return ml.tobit(_censored(spark, d), ["n_months", "sku_mean", "price_avg"])
+
+
+@query("tree_shap")
+def tree_shap(spark, d):
+    """Attributions of the trees' forecast to the outlet's features."""
+    months, own = _panel(spark, d)
+    model = ml.fit_trees(ml.training_panel(months, own, DOMAIN.years[0]), MODEL_FEATURES, rounds=8, depth=3)
+    return ml.attributions(own, model, MODEL_FEATURES)
+
+
+@query("events_dq_stream")
+def events_dq_stream(spark, d):
+    return event_quality_stream(spark, d)
