@@ -12,6 +12,7 @@ from demandry.functions.exprs import clip, one_hot, pct_rank, province, tier
 from demandry.operators import panel as p
 from demandry.operators import spatial as s
 from demandry.plans import views as v
+from demandry.session import cut
 
 SIZE_ORDER = {name: k + 1 for k, name in enumerate(DOMAIN.sizes)}
 
@@ -86,7 +87,8 @@ def physical(df: DataFrame) -> DataFrame:
 
 
 def months_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.monthly(v.transactions(spark, sf_dir))
+    """The panel, cut off from the sales that it sums up: every feature reads it."""
+    return cut(p.monthly(v.transactions(spark, sf_dir)))
 
 
 def members(spark: SparkSession, sf_dir: str, months: DataFrame) -> DataFrame:

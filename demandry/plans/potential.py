@@ -11,6 +11,7 @@ from demandry.operators import budget as b
 from demandry.operators import panel as p
 from demandry.plans import features as f
 from demandry.plans import views as v
+from demandry.session import cut
 
 
 def uplift(df: DataFrame) -> DataFrame:
@@ -64,6 +65,7 @@ def candidates(diagnostic: DataFrame) -> DataFrame:
 
 def allocate(frame: DataFrame, exact: bool = True) -> DataFrame:
     """frame with spend (two digits) and increment (of the unrounded spend)."""
+    frame = cut(frame)
     spend = b.waterfill(frame, BUDGET.total, BUDGET.cap) if exact else b.greedy(frame, BUDGET.total, BUDGET.cap, BUDGET.step)
     joined = frame.join(spend, "outlet_id")
     return joined.withColumn("increment", b.response(F.col("gap"), F.col("k"), F.col("spend"))).withColumn("spend", F.round("spend", 2))

@@ -15,9 +15,9 @@ def headline(diagnostic: DataFrame) -> DataFrame:
     """One row: count, mean, median, extremes, P95, P99, totals, multiple, shares of the winners."""
     x = F.col("potential")
     return diagnostic.agg(
-        F.count("*").alias("outlets"), F.round(exact_avg(x), 4).alias("mean"), F.round(F.median(x), 4).alias("median"), F.round(F.min(x), 4).alias("least"), F.round(F.max(x), 4).alias("most"),
-        F.round(F.percentile(x, F.lit(0.95)), 4).alias("p95"), F.round(F.percentile(x, F.lit(0.99)), 4).alias("p99"), exact_sum(x).alias("total"), exact_sum(F.col("vol_mean")).alias("actual"),
-        F.round(exact_sum(x) / exact_sum(F.col("vol_mean")), 4).alias("multiple"), F.round(F.avg((F.col("winner") == "floor").cast("double")), 6).alias("floor_share"),
+        F.count("*").alias("outlets"), F.round(exact_avg(x, 4), 4).alias("mean"), F.round(F.median(x), 4).alias("median"), F.round(F.min(x), 4).alias("least"), F.round(F.max(x), 4).alias("most"),
+        F.round(F.percentile(x, F.lit(0.95)), 4).alias("p95"), F.round(F.percentile(x, F.lit(0.99)), 4).alias("p99"), exact_sum(x, 4).alias("total"), exact_sum(F.col("vol_mean"), 4).alias("actual"),
+        F.round(exact_sum(x, 4) / exact_sum(F.col("vol_mean"), 4), 4).alias("multiple"), F.round(F.avg((F.col("winner") == "floor").cast("double")), 6).alias("floor_share"),
     )
 
 
@@ -27,11 +27,11 @@ def segments(diagnostic: DataFrame) -> DataFrame:
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.groupBy("segment", "value").agg(F.count("*").alias("outlets"), F.round(exact_avg(F.col("potential")), 4).alias("mean"))
+    return every.groupBy("segment", "value").agg(F.count("*").alias("outlets"), F.round(exact_avg(F.col("potential"), 4), 4).alias("mean"))
 
 
 def kpis(diagnostic: DataFrame) -> DataFrame:
-    return diagnostic.agg(F.count("*").alias("outlets"), F.round(exact_avg(F.col("potential")), 4).alias("mean"), exact_sum(F.col("potential")).alias("total"), F.round(100 * F.avg((F.col("constraint_type") == "supply").cast("double")), 4).alias("supply_pct"))
+    return diagnostic.agg(F.count("*").alias("outlets"), F.round(exact_avg(F.col("potential"), 4), 4).alias("mean"), exact_sum(F.col("potential"), 4).alias("total"), F.round(100 * F.avg((F.col("constraint_type") == "supply").cast("double")), 4).alias("supply_pct"))
 
 
 def browse(diagnostic: DataFrame, provinces: list[str] | None = None, search: str | None = None, k: int = 50) -> DataFrame:

@@ -185,10 +185,10 @@ def seasonality_clean(spark, d):
     return silver.clean_seasonality(labels, labels).drop("row_no")
 
 
-@query("holidays_clean", """select day, name, kind, try_cast(day as date) as date, case when try_cast(day as date) is null then 'day is not datetime' when rn > 1 then 'duplicate on [''date'', ''name'', ''kind'']' end as failure_reason
+@query("holidays_clean", """select day, name, kind, cast(try_cast(day as date) as varchar) as date, case when try_cast(day as date) is null then 'day is not datetime' when rn > 1 then 'duplicate on [''date'', ''name'', ''kind'']' end as failure_reason
 from (select *, row_number() over (partition by try_cast(day as date), name, kind, try_cast(day as date) is null order by row_no) as rn from holiday)""")
 def holidays_clean(spark, d):
-    return silver.clean_holidays(v.holidays(spark)).drop("row_no")
+    return silver.clean_holidays(v.holidays(spark)).drop("row_no").withColumn("date", F.col("date").cast("string"))
 
 
 @query("working_days", """, ok as (select distinct cast(day as date) as date, name, kind from holiday where try_cast(day as date) between date '2000-01-01' and date '2000-01-31'),
@@ -444,25 +444,25 @@ HEAD = lambda c: o.AVG(f"round({c}, 6)", 6)
 
 def _diagnostic(spark, d) -> DataFrame:
     """Rounded, so that sums over it are the same in any order."""
-    return rounded(pot.scored(spark, d), "potential", "vol_mean", digits=2)
+    return rounded(pot.scored(spark, d), "potential", "vol_mean", digits=4)
 
 
-DIAG2 = ", d2 as (select * replace (round(potential, 2) as potential, round(vol_mean, 2) as vol_mean) from diag)"
+DIAG2 = ", d2 as (select * replace (round(potential, 4) as potential, round(vol_mean, 4) as vol_mean) from diag)"
 
 
-@query("headline_stats", DIAG2 + f"""select count(*) as outlets, round({o.AVG('potential')}, 4) as mean, round(median(potential), 4) as median, round(min(potential), 4) as least, round(max(potential), 4) as most,
-round(quantile_cont(potential, 0.95), 4) as p95, round(quantile_cont(potential, 0.99), 4) as p99, {o.SUM('potential')} as total, {o.SUM('vol_mean')} as actual, round({o.SUM('potential')} / {o.SUM('vol_mean')}, 4) as multiple,
+@query("headline_stats", DIAG2 + f"""select count(*) as outlets, round({o.AVG('potential', 4)}, 4) as mean, round(median(potential), 4) as median, round(min(potential), 4) as least, round(max(potential), 4) as most,
+round(quantile_cont(potential, 0.95), 4) as p95, round(quantile_cont(potential, 0.99), 4) as p99, {o.SUM('potential', 4)} as total, {o.SUM('vol_mean', 4)} as actual, round({o.SUM('potential', 4)} / {o.SUM('vol_mean', 4)}, 4) as multiple,
 round(avg(case when winner = 'floor' then 1.0::double else 0.0::double end), 6) as floor_share from d2""")
 def headline_stats(spark, d):
     return rep.headline(_diagnostic(spark, d))
 
 
-@query("segment_means", DIAG2 + " ".join(f"{'union all' if k else ''} select '{c}' as segment, cast({c} as varchar) as value, count(*) as outlets, round({o.AVG('potential')}, 4) as mean from d2 group by {c}" for k, c in enumerate(("outlet_size", "outlet_type", "province", "urban"))))
+@query("segment_means", DIAG2 + " ".join(f"{'union all' if k else ''} select '{c}' as segment, cast({c} as varchar) as value, count(*) as outlets, round({o.AVG('potential', 4)}, 4) as mean from d2 group by {c}" for k, c in enumerate(("outlet_size", "outlet_type", "province", "urban"))))
 def segment_means(spark, d):
     return rep.segments(_diagnostic(spark, d))
 
 
-@query("kpi_strip", DIAG2 + f"select count(*) as outlets, round({o.AVG('potential')}, 4) as mean, {o.SUM('potential')} as total, round(100 * avg(case when constraint_type = 'supply' then 1.0::double else 0.0::double end), 4) as supply_pct from d2")
+@query("kpi_strip", DIAG2 + f"select count(*) as outlets, round({o.AVG('potential', 4)}, 4) as mean, {o.SUM('potential', 4)} as total, round(100 * avg(case when constraint_type = 'supply' then 1.0::double else 0.0::double end), 4) as supply_pct from d2")
 def kpi_strip(spark, d):
     return rep.kpis(_diagnostic(spark, d))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "demandry", master: str | None = None, **conf: str) -> SparkSession:
@@ -13,3 +15,14 @@ def session(name: str = "demandry", master: str | None = None, **conf: str) -> S
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed to the folder in spark.checkpoint.dir (one of our own where it is unset, as in tests).
+
+    For small tables that several parts of a plan read; the files outlive the executors that wrote them.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="demandry-"))
+    return df.checkpoint()
