@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandry.functions.exprs import exact_avg, exact_sum, matches
+from demandry.functions.exprs import exact_avg, matches
 
 #: Groups of rejection reasons, the first that a reason's text contains.
 REASONS = (("null", "Missing values"), ("duplicate", "Duplicates"), ("p99.9", "Outliers"), ("above", "Outliers"), ("price", "Price checks"), ("out of range", "Bad quantities"), ("not in", "Unknown references"), ("box", "Bad coordinates"))
@@ -16,8 +16,8 @@ def headline(diagnostic: DataFrame) -> DataFrame:
     x = F.col("potential")
     return diagnostic.agg(
         F.count("*").alias("outlets"), F.round(exact_avg(x, 4), 4).alias("mean"), F.round(F.median(x), 4).alias("median"), F.round(F.min(x), 4).alias("least"), F.round(F.max(x), 4).alias("most"),
-        F.round(F.percentile(x, F.lit(0.95)), 4).alias("p95"), F.round(F.percentile(x, F.lit(0.99)), 4).alias("p99"), exact_sum(x, 4).alias("total"), exact_sum(F.col("vol_mean"), 4).alias("actual"),
-        F.round(exact_sum(x, 4) / exact_sum(F.col("vol_mean"), 4), 4).alias("multiple"), F.round(F.avg((F.col("winner") == "floor").cast("double")), 6).alias("floor_share"),
+        F.round(F.percentile(x, F.lit(0.95)), 4).alias("p95"), F.round(F.percentile(x, F.lit(0.99)), 4).alias("p99"), F.round(F.sum(x), 2).alias("total"), F.round(F.sum("vol_mean"), 2).alias("actual"),
+        F.round(F.sum(x) / F.sum("vol_mean"), 4).alias("multiple"), F.round(F.avg((F.col("winner") == "floor").cast("double")), 6).alias("floor_share"),
     )
 
 
@@ -31,7 +31,7 @@ def segments(diagnostic: DataFrame) -> DataFrame:
 
 
 def kpis(diagnostic: DataFrame) -> DataFrame:
-    return diagnostic.agg(F.count("*").alias("outlets"), F.round(exact_avg(F.col("potential"), 4), 4).alias("mean"), exact_sum(F.col("potential"), 4).alias("total"), F.round(100 * F.avg((F.col("constraint_type") == "supply").cast("double")), 4).alias("supply_pct"))
+    return diagnostic.agg(F.count("*").alias("outlets"), F.round(exact_avg(F.col("potential"), 4), 4).alias("mean"), F.round(F.sum("potential"), 2).alias("total"), F.round(100 * F.avg((F.col("constraint_type") == "supply").cast("double")), 4).alias("supply_pct"))
 
 
 def browse(diagnostic: DataFrame, provinces: list[str] | None = None, search: str | None = None, k: int = 50) -> DataFrame:

@@ -451,7 +451,7 @@ DIAG2 = ", d2 as (select * replace (round(potential, 4) as potential, round(vol_
 
 
 @query("headline_stats", DIAG2 + f"""select count(*) as outlets, round({o.AVG('potential', 4)}, 4) as mean, round(median(potential), 4) as median, round(min(potential), 4) as least, round(max(potential), 4) as most,
-round(quantile_cont(potential, 0.95), 4) as p95, round(quantile_cont(potential, 0.99), 4) as p99, {o.SUM('potential', 4)} as total, {o.SUM('vol_mean', 4)} as actual, round({o.SUM('potential', 4)} / {o.SUM('vol_mean', 4)}, 4) as multiple,
+round(quantile_cont(potential, 0.95), 4) as p95, round(quantile_cont(potential, 0.99), 4) as p99, round(sum(potential), 2) as total, round(sum(vol_mean), 2) as actual, round(sum(potential) / sum(vol_mean), 4) as multiple,
 round(avg(case when winner = 'floor' then 1.0::double else 0.0::double end), 6) as floor_share from d2""")
 def headline_stats(spark, d):
     return rep.headline(_diagnostic(spark, d))
@@ -462,7 +462,7 @@ def segment_means(spark, d):
     return rep.segments(_diagnostic(spark, d))
 
 
-@query("kpi_strip", DIAG2 + f"select count(*) as outlets, round({o.AVG('potential', 4)}, 4) as mean, {o.SUM('potential', 4)} as total, round(100 * avg(case when constraint_type = 'supply' then 1.0::double else 0.0::double end), 4) as supply_pct from d2")
+@query("kpi_strip", DIAG2 + f"select count(*) as outlets, round({o.AVG('potential', 4)}, 4) as mean, round(sum(potential), 2) as total, round(100 * avg(case when constraint_type = 'supply' then 1.0::double else 0.0::double end), 4) as supply_pct from d2")
 def kpi_strip(spark, d):
     return rep.kpis(_diagnostic(spark, d))
 
