@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from demandry.llm.common import materialise, small
 from demandry.llm.langid import UND, identify, remainder
 from demandry.llm.lines import drop_boilerplate
-from demandry.llm.mixing import mix, quality_weight, with_quality, word_count
+from demandry.llm.mixing import mix, text_weight, word_count
 from demandry.llm.simhash import simhash_groups
 from demandry.llm.suffix import contaminated, decontaminate
 
@@ -57,9 +57,11 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken (words)."""
-    rated = with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    mixed = mix(rated, word_count(F.col("text")), quality_weight(F.col("quality")))
+    """The documents that the mix takes, with size, source_size, target and taken (words).
+
+    Their weights come from the texts: labels would have to be joined, which moves every text through a shuffle.
+    """
+    mixed = mix(docs, word_count(F.col("text")), text_weight(F.col("text")))
     return mixed.where("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
 
 
