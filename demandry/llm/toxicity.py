@@ -182,12 +182,11 @@ class Lexicon:
         return cls([t for t, _ in terms], np.array([o for _, o in terms]), automaton([(t, e) for (t, _), e in zip(terms, edits, strict=True)]))
 
     def features(self, part: list[bytes | None]) -> np.ndarray:
-        """A row for each whole text: hits as they are, misspelled, quoted or reported, addressed; their weights; the length."""
+        """A row for each whole text: hits as they are, misspelled, quoted or reported, addressed; their weights. All 0 without a hit."""
         split = [words_of(t) for t in part]
         matched = self.machine.match(list(set().union(*split))) if split else {}
-        out = np.zeros((len(part), 9))
+        out = np.zeros((len(part), 8))
         for row, (text, words) in enumerate(zip(part, split, strict=True)):
-            out[row, 8] = math.log1p(len(words))
             places = [i for i, w in enumerate(words) if w in matched]
             if not places:
                 continue
@@ -206,7 +205,7 @@ class Lexicon:
                 value = float(self.odds[term]) * (0.5 if errors else 1.0) * (0.25 if said else 1.0)
                 weight += value
                 top = max(top, value)
-            out[row, :8] = [exact > 0, math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(aimed), top, math.log1p(weight), math.log1p(100 * len(places) / len(words))]
+            out[row] = [exact > 0, math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(aimed), top, math.log1p(weight), math.log1p(100 * len(places) / len(words))]
         return out
 
 
@@ -279,7 +278,7 @@ def fit_judge(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, te
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(rows), type=pa.list_(pa.float64()))], ["toxic", "x"])
 
     got = sorted((r[0], tuple(r[1])) for r in picked.mapInArrow(take, "toxic int, x array<double>").collect())
-    x, y = np.array([r[1] for r in got]).reshape(len(got), 9), np.array([r[0] for r in got], dtype=float)
+    x, y = np.array([r[1] for r in got]).reshape(len(got), 8), np.array([r[0] for r in got], dtype=float)
     return Judge(lexicon, *logistic(x, y))
 
 
