@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from demandry.llm.common import materialise, small
 from demandry.llm.langid import UND, identify, remainder
 from demandry.llm.lines import drop_boilerplate
-from demandry.llm.mixing import mix, text_weight, word_count
+from demandry.llm.mixing import mix, quality_weight, with_quality, word_count
 from demandry.llm.simhash import simhash_groups
 from demandry.llm.suffix import contaminated, decontaminate
 
@@ -57,12 +57,30 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken (words).
+    """The documents that the mix takes, with size, source_size, target and taken (words), weighed by their quality labels.
 
-    Their weights come from the texts: labels would have to be joined, which moves every text through a shuffle.
+    Labels are joined to narrow rows without the texts, named by two hashes of all columns (the second tells which are null), and the mix is of these rows.
+    The rows that it takes are then joined to the texts: always by a merge join, so that every size of input goes the
+    same way. Repeated rows may be taken differently: theirs are counted by what is taken, one text of each is kept, and
+    it is repeated by these counts.
     """
-    mixed = mix(docs, word_count(F.col("text")), text_weight(F.col("text")))
-    return mixed.where("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
+    names = ["size", "source_size", "target", "taken"]
+    kept = [c for c in docs.columns if c not in names]
+    row = ["__row", "__check"]
+    keyed = docs.select(*kept, F.xxhash64(*kept).alias("__row"), F.xxhash64(*[F.col(c).isNull() for c in kept], *kept).alias("__check"))
+    narrow = materialise(keyed.select(*row, "doc_id", "source", word_count(F.col("text")).alias("__words")), "words")
+    rated = with_quality(narrow, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    mixed = materialise(mix(rated, F.col("__words"), quality_weight(F.col("quality"))).where("taken > 0").select(*row, *names), "taken")
+    repeated = narrow.groupBy(*row).count().where("count > 1").select(*row).checkpoint()
+    many = repeated.count()
+    single = mixed.join(small(repeated, many), row, "left_anti")
+    once = keyed.join(single.hint("merge"), row)
+    if not many:
+        return once.select(*kept, *names)
+    counted = mixed.join(small(repeated, many), row, "left_semi").groupBy(*row, *names).agg(F.count("*").alias("__copies"))
+    one_of = keyed.join(small(repeated, many), row, "left_semi").dropDuplicates(row)
+    copies = one_of.join(counted, row).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    return once.select(*kept, *names).unionByName(copies.select(*kept, *names))
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmarks", benchmarks), ("mixture", mixture)]

@@ -23,12 +23,6 @@ def quality_weight(quality: Column) -> Column:
     return F.when(quality == 0, QUALITY[0]).when(quality == 1, QUALITY[1]).otherwise(QUALITY[None])
 
 
-def text_weight(text: Column) -> Column:
-    """The weights of QUALITY from the text alone: 4 if nine tenths of it are letters and white space, 1 below seven tenths."""
-    share = F.char_length(F.regexp_replace(text, r"[^\p{L}\s]", "")) / F.greatest(F.char_length(text), F.lit(1))
-    return F.when(share >= 0.9, QUALITY[1]).when(share < 0.7, QUALITY[0]).otherwise(QUALITY[None])
-
-
 def sampling_key(seed: str, *by: Column) -> Column:
     """-ln(u): an exponential variate that depends on the given columns only."""
     bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *by)), 1, 13), 16, 10).cast("double")

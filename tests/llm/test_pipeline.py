@@ -1,5 +1,8 @@
 """The pipeline's stages against plain versions of what they decide, and the registered queries."""
 
+import hashlib
+import math
+import random
 from collections import Counter
 
 import duckdb
@@ -58,6 +61,54 @@ def test_stages(spark, folder):
             assert set(rows) <= set(before) and docs.where("taken <= 0 or taken > 3 * size").count() == 0
 
 
+def plain_mixture(rows, labels):
+    """(row, taken) of what the mix takes: rows sorted by their keys within a source, weighed by their labels."""
+    best, sizes = {}, Counter()
+    for k, quality in labels:
+        best[k] = max(best.get(k, quality), quality)
+    for r in rows:
+        sizes[r[3]] += len((r[1] or "").split())
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, open_ = {}, set(names)
+    while True:
+        level = (sum(sizes.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 3 * sizes[s] + 1e-9}
+        if not over:
+            break
+        target |= {s: 3 * sizes[s] for s in over}
+        open_ -= over
+    target |= {s: weight[s] * level for s in open_}
+    found = Counter()
+    for s in names:
+        epochs, rest = divmod(math.floor(target[s] + 0.5), sizes[s])
+        keyed = []
+        for r in rows:
+            if r[3] == s:
+                n = len((r[1] or "").split())
+                bits = int(hashlib.md5(":".join(["mix"] + [str(r[0])] * (r[0] is not None) + [str(n)]).encode()).hexdigest()[:13], 16)
+                keyed.append((-math.log((bits + 0.5) / 2**52) / {0: 1, 1: 4, None: 2}[best.get(r[0])], -1 if r[0] is None else r[0], n, r))
+        for _, _, n, r in sorted(keyed, key=lambda x: x[:3]):
+            part = min(n, rest)
+            rest -= part
+            if epochs * n + part:
+                found[r, epochs * n + part] += 1
+    return found
+
+
+def test_mixture_weighs_by_labels(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"{k}w{j}" if k % 3 else "good" for j in range(rng.randrange(1, 60))), "en", rng.choice("abcd"), k) for k in range(600)]
+    rows += [(900, "copy of a page " * 5, "en", "b", 0)] * 40 + [(None, "no id", None, None, 0), (901, None, "en", "a", 0), (3, "other text of an id", "en", "c", 0), (902, "a null moves", None, "a", 0), (902, "a null moves", "a", None, 0)]
+    labels = [(k, rng.randrange(2)) for k in range(400)] + [(900, 1), (5, 0), (5, 1), (None, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.createDataFrame(rows, DOCS)
+    for data, plain in ((table, rows), (table.dropDuplicates(), sorted(set(rows), key=str))):
+        got = corpus_pipeline.mixture(spark, data, str(tmp_path)).collect()
+        assert Counter((tuple(r[c] for c in table.columns), r.taken) for r in got) == plain_mixture(plain, labels)
+    assert all(r.size == len((r.text or "").split()) for r in got)
+
+
 def test_run_gives_the_stages_rows(spark, folder):
     once = Counter(tuple(r) for r in corpus_pipeline.run(spark, folder).collect())
     assert once == Counter(tuple(r) for r in corpus_pipeline.run(spark, folder).collect())
