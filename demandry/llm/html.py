@@ -6,8 +6,9 @@ class that is frequent and has several tokens belongs to the template if the ele
 that valid classes nest. What a page has in between are the slots, of which those outside menus, headers, footers and
 the like are its text.
 
-A vector is kept as the exclusive or of a hash of (page, number) over the pages, beside the numbers of pages and of
-occurrences: sums that Spark forms partially before the shuffle, whatever the size of a host.
+Pages whose text is the same, outside menus and the like, count as one, so that copies of an article do not make it a
+template. A vector is kept as the exclusive or of a hash of (page, number) over the pages, beside the numbers of pages and
+of occurrences: sums that Spark forms partially before the shuffle, whatever the size of a host.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import BROADCAST_ROWS, batches, texts
+from .common import BROADCAST_ROWS, batches, materialise, texts
 
 #: A class is frequent on this share of the host's pages, and on this many pages; a repeated block of text on this share.
 FREQUENT, LEAST, REPEATED = 0.5, 3, 0.3
@@ -42,6 +43,8 @@ ASIDE = frozenset(
     "ad ads advert advertisement adverts advertising alert aside banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disclaimer discussion footer footnav gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup privacy promo promoted promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 CONTENT = frozenset("article articlebody main content maincontent post postbody entry story".split())
+#: After these words a class or id tells what a layout has or lacks, not what the element is (no-sidebar, page-with-menu).
+LAYOUT = frozenset("no not without has have with hide".split())
 
 TOKEN = regex.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?][^>]*>""",
@@ -56,14 +59,18 @@ SPACE = regex.compile(r"\s+")
 class Element:
     name: str
     path: int
-    aside: bool
+    unread: bool
+    named: bool
     main: bool
-    links: int = 0
+    wrapped: bool = False
 
 
 @dataclass
 class Block:
-    """A run of text with the place that it stands in; holder is the innermost element that is not a paragraph."""
+    """A run of text with the place that it stands in; holder is the innermost element that is not a paragraph.
+
+    wrapped: in an article whose wrapper has a word of ASIDE; it is read if the page has no other article.
+    """
 
     place: int
     holder: int
@@ -71,6 +78,7 @@ class Block:
     main: bool
     text: str
     linked: int
+    wrapped: bool
 
 
 @dataclass
@@ -86,7 +94,7 @@ def _hash(*parts: object) -> int:
 
 def parse(source: str) -> Page:
     """The tokens of a page and its blocks of text; what is not closed is closed as the standard would."""
-    page, stack = Page(), [Element("", 0, False, False)]
+    page, stack = Page(), [Element("", 0, False, False, False)]
     pieces: list[str] = []
     linked = anchor = 0
 
@@ -97,7 +105,7 @@ def parse(source: str) -> Page:
         if text:
             top = stack[-1]
             holder = next((e for e in reversed(stack) if e.name not in ENDS_P or e.name in HOLDS), stack[0])
-            page.blocks.append(Block(top.path, holder.path, top.aside, top.main, text, min(linked, len(text))))
+            page.blocks.append(Block(top.path, holder.path, top.unread or top.named, top.main, text, min(linked, len(text)), top.wrapped and not top.unread))
         linked = 0
 
     def add(raw: str) -> None:
@@ -148,21 +156,28 @@ def parse(source: str) -> Page:
                     break
                 if stack[k].name in HOLDS:
                     break
-        words, attributes = [], token[4]
+        words, means, attributes = [], set(), token[4]
         if attributes and ("=" in attributes):
             for got in NAMES.finditer(attributes):
-                words += PIECE.findall((got[1] or got[2] or got[3] or "").lower())
+                for one in (got[1] or got[2] or got[3] or "").lower().split():
+                    pieces_ = PIECE.findall(one)
+                    words += pieces_
+                    means.update(pieces_[: next((k for k, w in enumerate(pieces_) if w in LAYOUT), len(pieces_))])
         up = stack[-1]
         path = _hash(up.path, name, *sorted(set(words)))
-        inside = up.main or name in MAIN or not CONTENT.isdisjoint(words)
-        named = not ASIDE.isdisjoint(w for w in words if w != "header" or not up.main)  # a header of the article is part of it
-        out = up.aside or name in UNREAD or (name == "header" and not up.main) or (named and name not in ("html", "body"))
+        content = name in MAIN or not CONTENT.isdisjoint(means)
+        named = name not in ("html", "body") and not ASIDE.isdisjoint(w for w in means if w != "header" or not up.main)  # a header of the article is part of it
+        unread = up.unread or name in UNREAD or (name == "header" and not up.main)
+        wrapped = not named and (up.wrapped or (up.named and content))
         page.tokens[path] += 1
         page.parents[path] = up.path
-        stack.append(Element(name, path, out, inside))
+        stack.append(Element(name, path, unread, up.named or named, up.main or content, wrapped))
     if last < len(source):
         add(source[last:])
     flush()
+    if not any(b.main and not b.aside for b in page.blocks):
+        for block in page.blocks:
+            block.aside = block.aside and not block.wrapped
     for block in page.blocks:
         token = _hash(block.place, "#", block.text)
         page.tokens[token] += 1
@@ -175,39 +190,49 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-TOKENS = "host long, page long, token long, parent long, number int, block boolean"
+def body_of(page: Page) -> int:
+    """A hash of a page's text: its blocks outside asides, or all where there is none."""
+    own = [b for b in page.blocks if not b.aside] or page.blocks
+    return _hash("body", *[part for b in own for part in (b.place, b.text)])
+
+
+TOKENS = "host long, body long, token long, parent long, number int, block boolean"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, token, parent, number, block) of pages (host, page, html)."""
-    schema = pa.schema([("host", pa.int64()), ("page", pa.int64()), ("token", pa.int64()), ("parent", pa.int64()), ("number", pa.int32()), ("block", pa.bool_())])
+    """(host, body, token, parent, number, block) of pages (host, html); token 0 stands for the page itself."""
+    schema = pa.schema([("host", pa.int64()), ("body", pa.int64()), ("token", pa.int64()), ("parent", pa.int64()), ("number", pa.int32()), ("block", pa.bool_())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for k in range(0, whole.num_rows, 500):
                 part = whole.slice(k, 500)
                 rows: list[tuple] = []
-                for host, key, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part.column(2)), strict=True):
+                for host, source in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
                     page = parse((source or b"").decode("utf-8", "replace"))
                     blocks = {_hash(b.place, "#", b.text) for b in page.blocks}
-                    rows += [(host, key, t, page.parents[t], n, t in blocks) for t, n in page.tokens.items()]
+                    body = body_of(page)
+                    rows += [(host, body, t, page.parents[t], n, t in blocks) for t, n in page.tokens.items()]
+                    rows.append((host, body, 0, 0, 1, False))
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 yield batches(dict(zip(schema.names, columns, strict=True)), schema)
 
-    return pages.select("host", "page", "html").mapInArrow(run, TOKENS)
+    return pages.select("host", "html").mapInArrow(run, TOKENS)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, elements, blocks): the template tokens of each host, those of valid equivalence classes.
 
     Elements: classes of two or more tokens on the share FREQUENT of the pages. Blocks: text that stands in the same
-    place on the share REPEATED of them. Both need LEAST pages.
+    place on the share REPEATED of them. Both need LEAST pages. Pages of the same text count as one.
     """
-    tokens = page_tokens(pages).groupBy("host", "token").agg(
-        F.min("parent").alias("parent"), F.first("block").alias("block"), F.count("*").alias("pages"), F.sum("number").alias("number"), F.bit_xor(F.xxhash64("page", "number")).alias("vector")
+    tokens = page_tokens(pages).groupBy("host", "token", "body").agg(F.min("parent").alias("parent"), F.bool_or("block").alias("block"), F.max("number").alias("number"))
+    tokens = tokens.groupBy("host", "token").agg(
+        F.min("parent").alias("parent"), F.bool_or("block").alias("block"), F.count("*").alias("pages"), F.sum("number").alias("number"), F.bit_xor(F.xxhash64("body", "number")).alias("vector")
     )
-    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
-    often = tokens.where(F.col("pages") >= LEAST).join(totals, "host").where(F.col("pages") >= REPEATED * F.col("total"))
+    tokens = materialise(tokens.where((F.col("pages") >= LEAST) | (F.col("token") == 0)), "tokens")
+    totals = tokens.where("token = 0").select("host", F.col("pages").alias("total"))
+    often = tokens.where(F.col("token") != 0).join(totals, "host").where(F.col("pages") >= REPEATED * F.col("total"))
     classes = often.groupBy("host", "vector", "pages", "number", "total").agg(F.collect_set(F.struct("token", "parent", "block")).alias("tokens"))
     valid = classes.where(F.col("pages") >= FREQUENT * F.col("total")).where(F.size("tokens") > 1)
     take = lambda rows, keep, to: rows.select("host", F.explode("tokens").alias("t")).where(keep(F.col("t.block"))).groupBy("host").agg(F.collect_set("t.token").alias(to))
@@ -217,13 +242,15 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(source: str, elements: frozenset | set, blocks: frozenset | set) -> str:
     """The text of a page's slots, given its host's template.
 
-    Blocks that the template repeats and those in asides go; of what is left, the blocks in the main element count if
-    there are any, else those in holders whose text is mostly not links. Slots outside any template element (of a page
-    with another layout) are treated alike.
+    Blocks that the template repeats and those in asides go, but never all of the main element's; of what is left, the
+    blocks in the main element count if there are any, else those in holders whose text is mostly not links. Slots
+    outside any template element (of a page with another layout) are treated alike.
     """
     page = parse(source)
-    left = [b for b in page.blocks if not b.aside and _hash(b.place, "#", b.text) not in blocks]
-    if any(b.main for b in left):
+    own = [b for b in page.blocks if not b.aside]
+    spared = own and not any(b.main and _hash(b.place, "#", b.text) not in blocks for b in own)
+    left = [b for b in own if (spared and b.main) or _hash(b.place, "#", b.text) not in blocks]
+    if any(b.main and not b.wrapped for b in left):
         left = [b for b in left if b.main]
     nested: dict[int, int] = {}
 
@@ -246,7 +273,7 @@ def main_text(source: str, elements: frozenset | set, blocks: frozenset | set) -
         where = nested.setdefault(b.holder, slot(b.holder))
         size[where, b.holder] += len(b.text)
         links[where, b.holder] += b.linked
-    return " ".join(b.text for b in left if 2 * links[nested[b.holder], b.holder] <= size[nested[b.holder], b.holder])
+    return " ".join(b.text for b in left if b.main or 2 * links[nested[b.holder], b.holder] <= size[nested[b.holder], b.holder])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -259,7 +286,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     host = F.xxhash64(host_of(F.col(url_col)))
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    found = templates(keyed.select("host", F.xxhash64("id", "url", "html").alias("page"), "html")).checkpoint()
+    found = templates(keyed.select("host", "html")).checkpoint()
     known = found.withColumnRenamed("host", "__host")
     size = found.agg(F.sum(F.coalesce(F.size("elements"), F.lit(0)) + F.coalesce(F.size("blocks"), F.lit(0)))).first()[0] or 0
     if size <= 10 * broadcast_rows:

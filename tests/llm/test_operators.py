@@ -435,6 +435,25 @@ def test_main_text(spark):
     assert html.extract(table.limit(0)).count() == 0
 
 
+def test_articles_stay_whole(spark):
+    article = "<article><p>the same words</p><p>and more</p></article>"
+    plain = "<p>{0}a</p><p>{0}b</p>"
+    data = [page(k, "<p>a copied</p><p>text</p>", "copies") for k in range(40)] + [page(100 + k, plain.format(k), "copies") for k in range(7)]
+    data += [page(200 + k, f"{article}<p>read on day {k}</p>", "near") for k in range(9)]
+    data += [page(300 + k, f"<article><p>see {k}</p><ul><li><a href=1>linked {k}</a></ul><table><tr><td><a href=2>cell {k}</a></table></article>", "lists") for k in range(9)]
+    data += [page(400 + k, f'<div class="no-sidebar page-with-menu"><p>text {k}</p></div>', "layout") for k in range(9)]
+    data += [page(500 + k, f'<div class="sidebar left"><article><p>inner {k}</p></article><p>bar {k}</p></div>', "wrapper") for k in range(9)]
+    data += [page(600 + k, f'<article>own {k}</article><div class=related><article>other {k}</article></div>', "related") for k in range(9)]
+    data += [page(700 + k, f'<p>body {k}</p><div class=related><article>other {k}</article></div>', "both") for k in range(9)]
+    table = spark.createDataFrame(data + data[:5], "page_id long, url string, html string")
+    got = html.extract(table).collect()
+    text = {r.page_id: r.text for r in got}
+    assert len(got) == len(data) + 5
+    assert {text[k] for k in range(40)} == {"a copied text"} and text[103] == "3a 3b"
+    assert text[203] == "the same words and more" and text[304] == "see 4 linked 4 cell 4"
+    assert text[402] == "text 2" and text[502] == "inner 2" and text[602] == "own 2" and text[702].startswith("body 2")
+
+
 def test_classes_have_equal_vectors(spark):
     pages_ = spark.createDataFrame([(1, k, f"<body><div class=x><p>{k}</p></div>" + "<i>s</i><section><p>q</section>" * (k % 2)) for k in range(6)], "host long, page long, html string")
     found = html.templates(pages_).first()
