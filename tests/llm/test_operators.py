@@ -7,12 +7,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from demandry.llm import html, langid, licenses, lines, lm, media, mixing, mixmodel, simhash, suffix, toxicity, vptree
+from demandry.llm.common import LOWER
 from demandry.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -279,7 +281,7 @@ def test_lm_counts_and_scores(spark, docs, empty):
     got = lm.score_texts(docs.withColumn("score", F.lit("x")), ~held, held).collect()
     data = corpus()
     learn = [r for r in data if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 != 2]
-    tokens = lambda t: [*(t or "").encode().translate(mixmodel.LOWER).split(), b""]
+    tokens = lambda t: [*(t or "").encode().translate(LOWER).split(), b""]
     c = Counter(w for r in learn for w in tokens(r[1]))
     n, v = sum(c.values()), len(c)
     expected = Counter()
@@ -304,25 +306,103 @@ def test_codes_are_prefix_codes():
     assert len(seen) == 5 and sum(2.0 ** -len(p) for p in seen) == 1 and all(p[0][0] == 0 for p in seen)
 
 
+def lot(coder, docs):
+    """Codes, cuts and rare words of tokenised documents."""
+    found = [coder.numbers(pa.array(d, type=pa.large_binary())) for d in docs]
+    return np.concatenate([c for c, _, _ in found]), np.r_[0, np.cumsum([len(d) for d in docs])], [r for _, _, r in found]
+
+
 def test_bits_are_a_probability():
     """Over all words of a small vocabulary the paths' probabilities sum to one."""
     coder = mixmodel.Coder([b"aa", b"ab", b"ba"], [5, 3, 2], 1, 4)
-    mixer = mixmodel.Mixer()
-    counts = mixmodel.empty_counts()
-    for _, _, streams in coder.batches([b"aa ab aa ba aa", b"ab zz"]):
-        for s in streams:
-            mixmodel.count(counts, s)
-    predictor = mixmodel.Predictor.of(counts)
-    node = {}
-    for name in (b"aa", b"ab", b"ba", b"zz", None):
-        doc = [] if name is None else [name]
-        word, _ = coder.encode([doc], [np.array([coder.ids.get(w, coder.escape) for w in doc], dtype=np.int64)])
-        x, gate = predictor.inputs(word)
-        ptr = coder.word_code[0]
-        first = coder.end if name is None else coder.ids.get(name, coder.escape)
-        k = int(ptr[first + 1] - ptr[first])
-        node[name] = 2 ** -mixmodel.run(mixer, 0, [v[:k] for v in x], gate[:k], word.bit[:k])
-    assert sum(node.values()) == pytest.approx(1, abs=1e-3)
+    counts = coder.empty_counts()
+    streams, _ = coder.encode(*lot(coder, [[b"aa", b"ab", b"aa", b"ba", b"aa"], [b"ab", b"zz"]]))
+    mixmodel.count(counts, streams)
+    predictor, total = mixmodel.Predictor.of(coder.above, counts), 0
+    end = sum(mixmodel.run(mixmodel.Mixer(), predictor, coder.encode(*lot(coder, [[]]))[0][0]))
+    for name in (b"aa", b"ab", b"ba", b"zz"):
+        (word, _), _ = coder.encode(*lot(coder, [[name]]))
+        k = int(np.diff(coder.word_code[0])[int(np.maximum(lot(coder, [[name]])[0][0], -1)) if name != b"zz" else coder.escape])
+        one = mixmodel.Bits([s[:k] for s in word.slots], word.bit[:k], np.array([0, k]), mixmodel.WORDS)
+        total += 2 ** -mixmodel.run(mixmodel.Mixer(), predictor, one)[0]
+    assert total + 2**-end == pytest.approx(1, abs=1e-3)
+
+
+def test_rare_nodes_keep_the_words_share():
+    """What contexts don't predict of a path costs what the words' counts say."""
+    words_ = [f"w{k:05d}".encode() for k in range(20_000)]
+    coder = mixmodel.Coder(words_, [1 + 30_000 // (k + 1) for k in range(20_000)], 10, 10)
+    own = np.array([*coder.counts, 10, 10], dtype=float)
+    size = np.diff(coder.word_code[0])
+    assert coder.tail.max() > 1 and size.max() <= 16 and coder.above.sum(axis=1).max() == own.sum()
+    ptr, steps = coder.word_code
+    share = coder.above / np.maximum(coder.above.sum(axis=1), 1)[:, None]
+    cost = np.add.reduceat(-np.log2(share.reshape(-1)[steps]), ptr[:-1])
+    assert np.allclose(2.0 ** -(cost + coder.tail), own / own.sum())
+
+
+def test_counts_beyond_32_bits():
+    """Sums are of 64 bits: a node that was passed five thousand million times keeps its odds and its trust."""
+    coder = mixmodel.Coder([b"aa", b"ab"], [5 * 10**9, 10], 1, 4)
+    assert coder.above.max() >= 5 * 10**9
+    counts = [t.astype(np.uint64) for t in coder.empty_counts()]
+    counts[0][:2] = 5 * 10**9, 1
+    table = mixmodel.Predictor.of(coder.above, counts).tables[1]
+    assert table[0] >> 2 == -127 and table[0] & 3 == 3
+
+
+def test_weights_follow_short_documents():
+    """A document's weights move within its first bits: predictors that are always wrong are trusted less and less."""
+    n = 600
+    stream = mixmodel.Bits([np.zeros(n, dtype=np.intp)] * 3, np.ones(n, dtype=np.uint8), np.array([0, 100, n]), mixmodel.WORDS)
+    predictor = mixmodel.Predictor([np.full(1, (-24 << 2) + 3, dtype=np.int16)] * 6)
+    short, long_ = mixmodel.run(mixmodel.Mixer(), predictor, stream)
+    assert long_ / 500 < 0.8 * short / 100
+    alone = mixmodel.Bits(stream.slots, stream.bit[:100], np.array([0, 100]), mixmodel.WORDS)
+    assert mixmodel.run(mixmodel.Mixer(), predictor, mixmodel.Bits([s[:100] for s in alone.slots], alone.bit, alone.cut, alone.kind))[0] == pytest.approx(short)
+
+
+def test_passages_follow_content():
+    rng = np.random.default_rng(3)
+    one, other = rng.integers(0, 500, 4000), rng.integers(0, 500, 300)
+    codes = np.r_[one, other, one].astype(np.int32)
+    doc, start, end, key, hashed = mixmodel.passages(codes, np.array([0, 4000, 4000, 4300 + 4000]))
+    assert (end - start).max() <= mixmodel.LONGEST and (end > start).all() and set(doc) == {0, 2}
+    for d, a, b in ((0, 0, 4000), (2, 4000, 8300)):
+        own = doc == d
+        assert start[own][0] == a + mixmodel.ANCHOR and end[own][-1] == b and (start[own][1:] == end[own][:-1]).all()
+    first = set(zip(key[doc == 0], hashed[doc == 0]))
+    assert len(first & set(zip(key[doc == 2], hashed[doc == 2]))) >= len(first) - 2
+    assert all(len(x) == 0 for x in mixmodel.passages(np.zeros(3, dtype=np.int32), np.array([0, 3])))
+    same = mixmodel.passages(np.zeros(5000, dtype=np.int32), np.array([0, 5000]))
+    assert (same[2] - same[1]).max() <= mixmodel.LONGEST
+
+
+def test_long_runs_take_few_bits():
+    coder = mixmodel.Coder([b"aa", b"ab"], [5, 3], 1, 4)
+    tries = [b"x" * 40, b"x" * 41, b"x" * 100_000, b"ab" * 50, b"y" + b"x" * 40, b"x" * 8]
+    assert len({mixmodel.spelling(w) for w in tries}) == len(tries) and len(mixmodel.spelling(tries[2])) < 10
+    assert coder.encode(*lot(coder, [[tries[2]]]))[0][1].cut[-1] < 200
+
+
+def test_words_split_like_bytes():
+    """Arrow's words are those between ASCII white space, with A-Z in lower case and nothing else changed."""
+    tries = ["A b\tC\n", None, "", " \x0b\x0c\r ", "\x1cx\u00a0Y\u2003\u00c4\x85 z", "  two  \x1f words"]
+    found = list(mixmodel.tokens(pa.array(tries)))
+    got = [w.encode() for words_, _ in found for w in words_.to_pylist()]
+    assert got == [w for t in tries for w in (t or "").encode().translate(LOWER).split()]
+    assert np.concatenate([per for _, per in found]).tolist() == [len((t or "").encode().split()) for t in tries]
+
+
+def test_repeated_passages_are_expected(spark):
+    """A text that two training documents have costs less than one that is alone; a document doesn't expect itself."""
+    rng = random.Random(13)
+    data = [(k, " ".join(words(rng, "en", 300))) for k in range(60)]
+    data += [(100, data[3][1]), (101, data[4][1] + " and more words"), (102, data[5][1])]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.bits_per_byte for r in lm.score_texts(table, F.col("doc_id") != 102, F.col("doc_id") == 102).collect()}
+    alone = sorted(got[k] for k in range(6, 60))
+    assert all(got[k] < 0.7 * alone[0] for k in (3, 100, 4, 101, 102)) and got[5] > 0.8 * alone[0]
 
 
 # Toxicity
