@@ -385,13 +385,18 @@ def test_long_runs_take_few_bits():
     assert coder.encode(*lot(coder, [[tries[2]]]))[0][1].cut[-1] < 200
 
 
-def test_words_split_like_bytes():
+def test_words_split_like_bytes(monkeypatch):
     """Arrow's words are those between ASCII white space, with A-Z in lower case and nothing else changed."""
     tries = ["A b\tC\n", None, "", " \x0b\x0c\r ", "\x1cx\u00a0Y\u2003\u00c4\x85 z", "  two  \x1f words"]
     found = list(mixmodel.tokens(pa.array(tries)))
     got = [w.encode() for words_, _ in found for w in words_.to_pylist()]
     assert got == [w for t in tries for w in (t or "").encode().translate(LOWER).split()]
     assert np.concatenate([per for _, per in found]).tolist() == [len((t or "").encode().split()) for t in tries]
+    monkeypatch.setattr(mixmodel, "TEXT", 30)
+    many = [f"Text {k} \u00e9 " * (k % 5) for k in range(50)]
+    for column in (pa.array(many), pa.array(["x y", None, *many, "z"]).slice(2, 50)):
+        found = list(mixmodel.tokens(column))
+        assert len(found) > 20 and [w.encode() for words_, _ in found for w in words_.to_pylist()] == [w for t in many for w in t.encode().translate(LOWER).split()]
 
 
 def test_repeated_passages_are_expected(spark):
