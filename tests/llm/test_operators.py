@@ -539,11 +539,80 @@ def test_articles_stay_whole(spark):
     assert text[402] == "text 2" and text[502] == "inner 2" and text[602] == "own 2" and text[702].startswith("body 2")
 
 
-def test_classes_have_equal_vectors(spark):
-    pages_ = spark.createDataFrame([(1, k, f"<body><div class=x><p>{k}</p></div>" + "<i>s</i><section><p>q</section>" * (k % 2)) for k in range(6)], "host long, page long, html string")
-    found = html.templates(pages_).first()
-    names = {html._hash(0, "body"): "body", html._hash(html._hash(0, "body"), "div", "x"): "div"}
-    assert {names.get(e) for e in found.elements} >= {"body", "div"}
+def plain_classes(bodies):
+    """Brute force: the tokens of pages by their whole occurrence vectors."""
+    found = [html.parse(b) for b in bodies]
+    vectors = {}
+    for t in set().union(*(p.tokens for p in found)):
+        vectors.setdefault(tuple(p.tokens[t] for p in found), set()).add(t)
+    return found, vectors
+
+
+def test_classes_are_brute_force(spark):
+    """Tokens have equal sums of hashes where their whole vectors are equal, and the valid classes make the template."""
+    rng = random.Random(5)
+    bodies = [f"<body><div class=x><p>{k}</p></div>" + "<i>s</i><section><p>q</section>" * rng.randrange(3) + "<ul><li>a<li>b</ul>" * (k % 2) + f"<div><p>{k} w</p><p>same</p></div>" for k in range(12)]
+    found, vectors = plain_classes(bodies)
+    rows = html.page_tokens(spark.createDataFrame([(1, b) for b in bodies], "host long, html string")).where("token != 0")
+    got = rows.groupBy("token").agg(F.bit_xor(F.xxhash64("body", "number")).alias("v"), F.count("*").alias("n"), F.sum("number").alias("m")).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.v, r.n, r.m), set()).add(r.token)
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, vectors.values()))
+    host = html.templates(spark.createDataFrame([(1, b) for b in bodies], "host long, html string")).first()
+    often = {v: c for v, c in vectors.items() if sum(x > 0 for x in v) >= 6 and len(c) > 1}
+    places = {t for p in found for t in p.holds}
+    parent = {t: up for p in found for t, up in p.parents.items()}
+    inside = {t for c in often.values() for t in c if t in places}
+
+    def nested(t):
+        return not t or (t in inside and nested(parent[t]))
+
+    assert set(host.repeated) == {t for c in often.values() for t in c if t not in places and any(nested(x) for x in c if x in places) and nested(parent[t])}
+    assert len(host.repeated) >= 2
+
+
+def named_pages(rng, host, k, names):
+    """A page without any telling element or, where names are random, name; and its article."""
+    text = [" ".join(words(rng, "en", rng.choice([8, 20, 40]))) for _ in range(rng.choice([2, 4]))]
+    title = " ".join(words(rng, "en", 5))
+    said = "".join(f"<div class={names['one']}><b>u{rng.randrange(99)}</b><p>{' '.join(words(rng, 'en', 6))}</p></div>" for _ in range(rng.choice([1, 3, 5])))
+    body = (
+        f"<div class={names['menu']}>" + "".join(f"<a href={j}>{w}</a> " for j, w in enumerate(("home", "news", "all of it"))) + f"</div><div class={names['ad']}>{' '.join(words(rng, 'fr', 5))}</div>"
+        f"<div class={names['text']}><h1>{title}</h1>" + "".join(f"<p>{t}</p>" for t in text) + f"</div><div class={names['said']}>{said}</div><div class={names['end']}>{host} {k}</div>"
+    )
+    return f"<html><head><title>x</title></head><body>{body}</body></html>", " ".join([title, *text])
+
+
+def test_templates_decide(spark):
+    """With random class names on half of the hosts the article is still found, and it is not found without templates."""
+    rng, data, truth = random.Random(6), [], {}
+    for h in range(8):
+        plain = {"menu": "menu", "ad": "ad", "text": "content", "one": "comment", "said": "comments", "end": "footer"}
+        names = {n: f"z{rng.randrange(10**6)}" for n in plain} if h % 2 else plain
+        for k in range(12):
+            source, truth[100 * h + k] = named_pages(rng, f"h{h}", k, names)
+            data.append((100 * h + k, f"https://h{h}.example.com/{k}", source))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    hit = sum(sum((Counter(got[k].split()) & Counter(t.split())).values()) for k, t in truth.items())
+    assert hit / sum(len(t.split()) for t in truth.values()) > 0.95 and hit / sum(len(got[k].split()) for k in truth) > 0.95
+    without = {k: html.main_text(source) for k, _, source in data}
+    odd = [k for k in truth if k // 100 % 2]
+    assert sum(without[k] != got[k] for k in odd) == len(odd) and sum(got[k] == truth[k] for k in odd) > 0.9 * len(odd)
+
+
+def test_names_of_inline_elements_and_articles(spark):
+    assert html.main_text("<p>one <span class=ad>buy <span>it</span> now</span> two</p>") == "one two"
+    assert html.main_text('<article class="post topic-privacy"><p>text</p></article>') == "text"
+    assert html.main_text('<div><p>text here</p></div><article class="comment-body"><p>no</p></article>') == "text here"
+
+
+def test_repeated_articles_stay(spark):
+    """An article on three of a host's four pages, with different surroundings, is text on all of them."""
+    data = [(k, f"http://few/{k}", f"<body><div><p>{'the long story of this page' if k else 'another one here'}</p></div><footer>{k}</footer></body>") for k in range(4)]
+    data += [(10 + k, f"http://some/{k}", f"<body><div><p>{'the long story of this page' if k else 'another one here'}</p><p>at {k}</p></div></body>") for k in range(4)]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert text[1] == text[3] == "the long story of this page" and text[12] == "the long story of this page at 2"
 
 
 # Licences
