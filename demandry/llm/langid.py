@@ -17,8 +17,9 @@ from .common import batches, texts
 UND = "und"
 #: n-gram lengths of the blended spectrum, and the hashed presence features of all lengths together.
 SPECTRUM, FEATURES = (1, 2, 3), 1 << 13
-#: Bounds of what is fitted: labelled rows in all, landmarks among them; and the ridge.
-ROWS, LANDMARKS, RIDGE = 3000, 192, 1e-3
+#: Bounds of what is fitted: labelled rows in all and landmarks among them, or rows and landmarks of each language if
+#: that is more; and the ridge.
+ROWS, LANDMARKS, EACH, MARKS, RIDGE = 3000, 192, 16, 2, 1e-3
 #: Rows scored in one matrix product.
 BLOCK = 512
 
@@ -78,7 +79,7 @@ def fit(x: np.ndarray, languages: list[str], seed: int = 42) -> Model:
     rng, picked = np.random.default_rng(seed), []
     for k in range(len(names)):
         rows = np.flatnonzero(y[:, k] > 0)
-        picked += rng.choice(rows, min(len(rows), max(2, LANDMARKS // len(names))), replace=False).tolist()
+        picked += rng.choice(rows, min(len(rows), max(MARKS, LANDMARKS // len(names))), replace=False).tolist()
     marks = x[sorted(picked)]
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     keep = values > 1e-6 * values.max()
@@ -92,18 +93,20 @@ def fit(x: np.ndarray, languages: list[str], seed: int = 42) -> Model:
 
 
 def training_rows(docs: DataFrame, learn: Column, lang_col: str, id_col: str, text_col: str, rows: int) -> tuple[np.ndarray, list[str]]:
-    """Presence rows and languages of at most about `rows` labelled documents, an equal number of each language where it has them.
+    """Presence rows and languages of about `rows` labelled documents, or EACH of each language if that is more: an equal
+    number of each language where it has them.
 
-    The languages are counted over all rows; then documents are drawn by a hash of their id and their n-grams taken on
-    the executors, so that the driver gets bit rows of a fixed size.
+    The languages are counted over all rows, and all are learned: the lang column is taken to name languages, of which
+    there are some thousands at most. Documents are drawn by a hash of their id and their n-grams taken on the
+    executors, so that the driver gets bit rows of a fixed size.
     """
     usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANDMARKS // 2).collect()
-    share = {r[0]: min(1.0, rows / len(counts) / r[1]) for r in counts}
-    if not share:
+    counts = usable.groupBy("lang").count().collect()
+    if not counts:
         return np.zeros((0, FEATURES), dtype=np.uint8), []
-    limit = F.create_map(*[c for lang, s in share.items() for c in (F.lit(lang), F.lit(int(s * (1 << 30))))])
-    drawn = usable.where(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0)))
+    each = max(EACH, rows / len(counts))
+    limits = docs.sparkSession.createDataFrame([(r[0], int(min(1.0, each / r[1]) * (1 << 30))) for r in counts], "of string, upto long")
+    drawn = usable.join(F.broadcast(limits), F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) < F.col("upto"))
 
     def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS
 
-#: A line is boilerplate on a host if more than this share of its pages has it, on this many pages at least.
-RATIO, MIN_PAGES = 0.1, 5
+#: A line is boilerplate on a host if more than this share of its pages has it, on this many pages at least (so that a
+#: host of a few pages has none).
+RATIO, MIN_PAGES = 0.01, 5
 #: Ignored at both ends of a line.
 BLANK = " \t\r"
 
@@ -29,32 +30,38 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min
     return joined.where(F.col("pages") > ratio * F.col("total")).select("c.host", "key", "pages", "total")
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with its boilerplate lines dropped from the text, and n_lines and n_dropped (both longs).
 
     Pages are grouped by host (null is a host of its own); a line goes where more than `ratio` of the host's pages, and
-    at least `min_pages` of them, contain it. Blank lines neither count nor go. A page of which every line would go is
-    a copy of other pages rather than a page with boilerplate, and stays whole. A null text stays null with 0 lines;
-    repeated rows are pages of their own; other columns pass through, but n_lines and n_dropped are replaced.
+    at least `min_pages` of them, contain it. Blank lines neither count nor go. With keep_whole, a page of which every
+    line would go is taken for a copy of other pages rather than a page with boilerplate, and stays whole. A null text
+    stays null with 0 lines; repeated rows are pages of their own; other columns pass through, whatever their names, but
+    n_lines and n_dropped are replaced.
 
     Lines are counted as 128-bit keys after partial aggregation. A host has at most (lines of a mean page) / ratio
     boilerplate lines; their table is broadcast if counted to be small, else joined by host, where Spark splits a
-    skewed host.
+    skewed host. Of a host's lines only those are compared with a page's in full that share a hash with it.
     """
     found = boilerplate(docs, host_col, text_col, ratio, min_pages).checkpoint()
-    by_host = found.groupBy("host").agg(F.collect_set("key").alias("__drop")).withColumnRenamed("host", "__host")
+    by_host = found.groupBy(F.col("host").alias("of")).agg(F.collect_set("key").alias("drop"), F.collect_set("key.a").alias("hashes"))
     if found.count() <= broadcast_rows:
         by_host = F.broadcast(by_host)
-    kinds = lambda keep: F.filter(F.col("__lines"), lambda x: keep(F.btrim(x, F.lit(BLANK)) == "", F.array_contains(F.col("__drop"), _key(x))))
-    own = docs.join(by_host, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    own = own.withColumn("__lines", F.split(F.col(text_col), "\n")).withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kinds(lambda blank, hit: blank | ~hit)))
-    real = lambda lines: F.size(F.filter(F.col(lines), lambda x: F.btrim(x, F.lit(BLANK)) != "")).cast("long")
-    own = own.withColumn("n_lines", F.coalesce(F.when(F.col("__lines").isNotNull(), real("__lines")), F.lit(0).cast("long")))
-    own = own.withColumn("__left", F.coalesce(F.when(F.col("__kept").isNotNull(), real("__kept")), F.lit(0).cast("long")))
-    whole = (F.col("__left") == 0) | (F.col("__left") == F.col("n_lines"))
-    own = own.withColumn("n_dropped", F.when(whole, F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.col("__left")))
-    own = own.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(F.array_join("__kept", "\n")))
-    return own.drop("__host", "__drop", "__lines", "__kept", "__left")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(host_col).alias("host"), F.split(F.col(text_col), "\n").alias("lines"))
+    own = own.join(by_host, F.col("host").eqNullSafe(F.col("of")), "left")
+    blank = lambda x: F.btrim(x, F.lit(BLANK)) == ""
+    shared = F.array_intersect(F.transform("lines", lambda x: _key(x)["a"]), F.col("hashes"))
+    own = own.withColumn("shared", F.coalesce(shared, F.array().cast("array<bigint>")))
+    own = own.withColumn("mine", F.when(F.size("shared") > 0, F.filter("drop", lambda k: F.array_contains(F.col("shared"), k["a"]))))
+    own = own.withColumn("left", F.when(F.col("mine").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: blank(x) | ~F.array_contains(F.col("mine"), _key(x)))))
+    real = lambda lines: F.coalesce(F.size(F.filter(F.when(F.col("lines").isNotNull(), F.col(lines)), lambda x: ~blank(x))).cast("long"), F.lit(0).cast("long"))
+    own = own.withColumn("n_lines", F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(real("lines"))).withColumn("n_left", F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(real("left")))
+    same = F.col("n_left") == F.col("n_lines")
+    same = (same | (F.col("n_left") == 0)) if keep_whole else same
+    text = F.when(same, F.col("row")[text_col]).otherwise(F.array_join("left", "\n"))
+    dropped = F.when(same, F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.col("n_left"))
+    return own.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in kept], "n_lines", dropped.alias("n_dropped"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -84,8 +91,8 @@ with page as (
     coalesce(len(list_filter(kept, lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> '')), 0) as n_left from cut
 )
 select doc_id, source,
-  case when n_left = 0 or n_left = n_lines then text else array_to_string(kept, chr(10)) end as text,
+  case when n_left = n_lines then text else array_to_string(kept, chr(10)) end as text,
   cast(n_lines as bigint) as n_lines,
-  cast(case when n_left = 0 then 0 else n_lines - n_left end as bigint) as n_dropped
+  cast(n_lines - n_left as bigint) as n_dropped
 from counted
 """

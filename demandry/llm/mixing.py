@@ -55,36 +55,34 @@ def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", s
     order of exponential keys divided by the weights, and the document at the cut gives its first words up to the
     budget. So each source takes its target, rounded to a word. Null or non-positive weights count as 1, null sizes as
     0; a null source is a source; repeated rows are documents of their own (equal ones are interchangeable); an empty
-    table gives none. Columns of docs pass through, but those named here are replaced.
+    table gives none. Columns of docs pass through, whatever their names, but the four named here are replaced.
 
     Keys are binned within a source: sums of the bins tell which bin holds the cut, and only its documents are sorted,
     so that no task sorts a whole source.
     """
     names = ["size", "source_size", "target", "taken"]
-    own = docs.withColumn("__size", F.coalesce(size, F.lit(0)).cast("long")).withColumn("__weight", F.when(weight > 0, weight).otherwise(F.lit(1.0)))
-    own = own.withColumn("__key", sampling_key(seed, F.col(id_col).cast("string"), F.col("__size").cast("string")) / F.col("__weight"))
-    own = own.withColumn("__bin", F.least(F.floor((1 - F.exp(-2 * F.col("__key"))) * BINS), F.lit(BINS - 1)).cast("int"))
-    own = materialise(own.drop(*[n for n in names if n in docs.columns]), "mix")
-    bins = own.groupBy(source_col, "__bin").agg(F.sum("__size").alias("bin_size")).checkpoint()
-    targets = source_targets(bins.groupBy(source_col).agg(F.sum("bin_size").alias("source_size")), source_col)
+    kept = [c for c in docs.columns if c not in names]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.when(weight > 0, weight).otherwise(F.lit(1.0)).alias("weight"))
+    own = own.withColumn("key", sampling_key(seed, F.col("id").cast("string"), F.col("size").cast("string")) / F.col("weight")).drop("weight")
+    own = materialise(own.withColumn("bin", F.least(F.floor((1 - F.exp(-2 * F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")), "mix")
+    bins = own.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")).checkpoint()
+    targets = source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), "source")
     budget = F.round("target").cast("long")
-    targets = targets.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    targets = targets.withColumn("__rest", budget - F.col("__epochs") * F.col("source_size")).withColumnRenamed(source_col, "__source").checkpoint()
-    upto = F.sum("bin_size").over(Window.partitionBy(source_col).orderBy("__bin"))
-    cut = bins.withColumn("__upto", upto).join(targets, F.col(source_col).eqNullSafe(F.col("__source")))
-    cut = cut.where((F.col("__rest") > 0) & (F.col("__upto") >= F.col("__rest"))).groupBy("__source").agg(F.min(F.struct("__bin", (F.col("__upto") - F.col("bin_size")).alias("before"))).alias("cut"))
-    plan = targets.join(cut.select(F.col("__source").alias("__of"), F.col("cut.__bin").alias("__cut"), F.col("cut.before").alias("__before")), F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of").checkpoint()
+    targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    targets = targets.withColumn("rest", budget - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "of").checkpoint()
+    upto = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin"))
+    cut = bins.withColumn("upto", upto).join(targets, F.col("source").eqNullSafe(F.col("of")))
+    cut = cut.where((F.col("rest") > 0) & (F.col("upto") >= F.col("rest"))).groupBy(F.col("of").alias("at")).agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("cut"))
+    plan = targets.join(cut, F.col("of").eqNullSafe(F.col("at")), "left").drop("at").checkpoint()
     if plan.count() <= broadcast_rows:
         plan = F.broadcast(plan)
-    own = own.join(plan, F.col(source_col).eqNullSafe(F.col("__source")))
-    at_cut = F.coalesce(F.col("__bin") == F.col("__cut"), F.lit(False))
-    rows = Window.partitionBy(source_col).orderBy("__key", F.col(id_col), "__size").rowsBetween(Window.unboundedPreceding, 0)
-    sorted_ = own.where(at_cut).withColumn("__part", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - F.col("__before") - F.sum("__size").over(rows) + F.col("__size"))))
-    others = own.where(~at_cut).withColumn("__part", F.when(F.col("__bin") < F.col("__cut"), F.col("__size")).otherwise(F.lit(0)))
-    taken = (F.col("__epochs") * F.col("__size") + F.col("__part")).cast("long")
-    every = others.unionByName(sorted_)
-    kept = [c for c in docs.columns if c not in names]
-    return every.select(*kept, F.col("__size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"))
+    own = own.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    at_cut = F.coalesce(F.col("bin") == F.col("cut.bin"), F.lit(False))
+    rows = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = own.where(at_cut).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("cut.before") - F.sum("size").over(rows) + F.col("size"))))
+    others = own.where(~at_cut).withColumn("part", F.when(F.col("bin") < F.col("cut.bin"), F.col("size")).otherwise(F.lit(0)))
+    taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long")
+    return others.unionByName(sorted_).select(*[F.col("row")[c].alias(c) for c in kept], "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"))
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

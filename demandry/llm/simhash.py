@@ -16,6 +16,8 @@ from .common import LOWER, batches, materialise, shared_dir, texts
 from .components import components
 
 SEED = 42
+#: Shares into which the rows of one component, and those of one fingerprint, are dealt.
+SALTS = 16
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -41,14 +43,13 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp): one row per document, fp the fingerprint as a signed long. A null text counts as empty."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             prints = np.array([fingerprint(t, shingle) for t in texts(part.column(1))], dtype=np.uint64)
-            yield batches({"id": part.column(0), "fp": pa.array(prints.view(np.int64))}, schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, fp long")
 
 
 def links(prints: DataFrame, radius: int = 4, leaf: int = 2000, sample: int = 50_000, blocks: int | None = None) -> DataFrame:
@@ -65,21 +66,23 @@ def links(prints: DataFrame, radius: int = 4, leaf: int = 2000, sample: int = 50
     trees = [vptree.build(points, m, radius, width) for m in vptree.masks(blocks, radius)]
     first = np.cumsum([0] + [t.leaves for t in trees]).tolist()
     mask_of = [t.mask for t in trees for _ in range(t.leaves)]
-    shards = pa.schema([("shard", pa.int32()), ("fp", pa.int64())])
+    # Where the drawn points are too few for small leaves, a leaf is dealt by what its close pairs agree on.
+    parts_of = [max(1, -(-n // (t.leaves * 4 * leaf))) for t in trees]
+    shards = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("fp", pa.int64())])
 
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             fp = part.column(0).to_numpy(zero_copy_only=False)
-            for tree, base in zip(trees, first, strict=False):
+            for tree, base, parts_ in zip(trees, first, parts_of, strict=False):
                 at, where = tree.route(fp.view(np.uint64))
-                yield batches({"shard": pa.array(where + np.int32(base)), "fp": pa.array(fp[at])}, shards)
+                yield batches({"shard": pa.array(where + np.int32(base)), "part": pa.array(vptree.part_of(fp[at].view(np.uint64), tree.mask, parts_)), "fp": pa.array(fp[at])}, shards)
 
     def join(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         fp = np.unique(shard["fp"].to_numpy()).view(np.uint64)
         a, b = vptree.link(fp, mask_of[key[0]], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return prints.select("fp").mapInArrow(route, "shard int, fp long").groupBy("shard").applyInPandas(join, "a long, b long")
+    return prints.select("fp").mapInArrow(route, "shard int, part int, fp long").groupBy("shard", "part").applyInPandas(join, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
@@ -87,17 +90,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents link when their fingerprints differ in at most `radius` bits; component_id is the smallest id reachable,
     the document's own included. Null and empty texts have fingerprint 0 and link like any other; repeated rows stay;
-    a null id never becomes a component_id unless the whole component has none. An empty table gives no rows. Columns of
-    docs other than the two named are not read.
+    a null id never becomes a component_id unless the whole component has none; ids may be of any ordered type. An empty
+    table gives no rows. Columns of docs other than the two named are not read.
+
+    Components are found over distinct fingerprints. The last joins, by component and by fingerprint, are dealt by a
+    salt as well, as one component or fingerprint may hold a third of all rows.
     """
     shared_dir(docs.sparkSession)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = lambda c: F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt")
     own = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = own.groupBy("fp").agg(F.min("id").alias("least")).checkpoint()
     roots = components(links(classes.select("fp"), radius, blocks=blocks))
     grouped = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = grouped.join(least, "root").select("fp", "component_id")
-    return own.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    labels = grouped.select("fp", "root", salt("fp")).join(least.select("root", "component_id", salts), ["root", "salt"]).select("fp", "component_id")
+    return own.select("id", "fp", salt("id")).join(labels.select("fp", "component_id", salts), ["fp", "salt"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

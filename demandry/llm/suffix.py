@@ -17,7 +17,7 @@ WINDOW = 13
 ITEM_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Words of benchmark text that one pass over the documents searches for; more go in further passes.
 PASS_WORDS = 2_000_000
-SPANS = "id long, row long, n_words long, starts array<long>, ends array<long>, items array<string>"
+SPANS = "row long, n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
 class Tests:
@@ -114,7 +114,8 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def match_spans(docs: DataFrame, items: list[tuple[str, bytes]], id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: its longest verbatim matches as word spans [start, end), and the matched items."""
     tests = Tests(items, window)
-    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    kind = dict(docs.dtypes)[id_col]
+    schema = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -128,24 +129,27 @@ def match_spans(docs: DataFrame, items: list[tuple[str, bytes]], id_col: str = "
                 starts.append(s)
                 ends.append(e)
                 names.append(sorted({tests.names[k] for k in np.unique(tests.owner[which[a:b]])}))
-            yield batches({"id": part.column(0), "row": part.column(1), "n_words": counts, "starts": starts, "ends": ends, "items": names}, schema)
+            found = batches({"row": part.column(1), "n_words": counts, "starts": starts, "ends": ends, "items": names}, schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), *found.columns], ["id", *schema.names])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, SPANS)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {SPANS}")
 
 
 def _union_spans(rows: DataFrame) -> DataFrame:
-    """Spans of the same row from several passes made one; a row's matches are bounded by its own words."""
+    """Spans of the same row from several passes made one. Copies of a row are counted before the rows are grouped, and
+    repeated after, so that a group has one row for each pass; a row's matches are bounded by its own words."""
+    once = rows.groupBy("row", "pass").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("id", "n_words", "starts", "ends", "items")])
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         s = np.concatenate([np.asarray(x, dtype=np.int64) for x in part["starts"]])
         e = np.concatenate([np.asarray(x, dtype=np.int64) for x in part["ends"]])
         order = np.argsort(s, kind="stable")
         s, e = _merged(s[order], e[order])
-        copies = int((part["pass"] == part["pass"].min()).sum())
-        row = {"id": part["id"].iloc[0], "row": key[0], "n_words": part["n_words"].iloc[0], "starts": s, "ends": e, "items": sorted({x for names in part["items"] for x in names})}
-        return pd.DataFrame([row] * copies)
+        return pd.DataFrame([{"row": key[0], "n_words": part["n_words"].iloc[0], "starts": s, "ends": e, "items": sorted({x for names in part["items"] for x in names})}])
 
-    return rows.groupBy("row").applyInPandas(one, SPANS)
+    spans = once.groupBy("row").applyInPandas(one, SPANS)
+    ids = once.where("pass = 0").select(F.col("row").alias("of"), "id", F.sequence(F.lit(1).cast("long"), "copies").alias("copy"))
+    return spans.join(ids, F.col("row") == F.col("of")).select("id", *[c.split()[0] for c in SPANS.split(", ")], F.explode("copy")).drop("col")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
@@ -158,15 +162,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     `pass_words` words, whose matches are united, so that what each task holds is bounded.
 
     A null or empty text has no words and no hit; an item without words has no window; repeated rows stay; empty tables
-    are fine. The items of a row are in ascending string order.
+    are fine. An item with a null id is searched like any other and named by the empty string. Ids of documents may be
+    of any type. The items of a row are in ascending string order.
     """
-    tests = benchmark.where(F.col("text").isNotNull()).select(F.col(item_col).cast("string").alias("name"), F.encode("text", "UTF-8").alias("text")).withColumn("words", F.length(F.col("text")))
+    tests = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.encode("text", "UTF-8").alias("text")).withColumn("words", F.length(F.col("text")))
     size = tests.agg(F.sum("words")).first()[0] or 0  # bytes, at least the number of words
     passes = max(1, -(-size // (4 * pass_words)))
     found = []
     for k in range(passes):
         items = tests.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == k).select("name", "text").orderBy("name").collect()
-        found.append(match_spans(docs, [(r[0], bytes(r[1])) for r in items if r[0] is not None], id_col, text_col, window).withColumn("pass", F.lit(k)))
+        found.append(match_spans(docs, [(r[0], bytes(r[1])) for r in items], id_col, text_col, window).withColumn("pass", F.lit(k)))
     rows = found[0].drop("pass")
     if passes > 1:
         every = found[0]

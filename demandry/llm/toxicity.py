@@ -17,135 +17,143 @@ from pyspark.sql import types as T
 from .common import materialise, texts
 from .langid import remainder
 
-#: Labelled rows that are learned from at most; terms of the lexicon; those of them that may be misspelled.
-ROWS, TERMS, FUZZY_TERMS = 40_000, 240, 60
-#: A term shows in this many toxic documents, and in this share of them, at least, with at least these log-odds against the others.
-LEAST, SHARE, ODDS = 3, 0.02, 2.5
+#: Labelled rows that are learned from at most.
+ROWS = 40_000
+#: A term shows in this many toxic documents at least, with at least these log-odds against the others, and so that its
+#: likelihood ratio is beyond what chance gives among a million words.
+LEAST, ODDS, RATIO = 3, 2.5, 25.0
 #: Lengths of word beginnings that may become terms (written with a final *); least length of a term that may be misspelled.
 STEMS, FUZZY_LENGTH = (4, 5, 6), 5
-#: Characters of a word that the automaton reads; words on either side of a hit that its context has.
-READ, WINDOW = 24, 8
+#: Words on either side of a hit that its context has; characters of words that the automaton holds at once.
+WINDOW, HELD = 8, 1 << 22
 
 #: What marks a report of someone's words, and what addresses somebody.
 REPORT = frozenset("said says wrote writes called calling quote quoted quotes word words term terms slur insult claims claimed reported".split())
 ADDRESS = frozenset("you your yours yourself youre u ur du dich dir dein deine ihr euch tu te toi vous votre usted ustedes vosotros ti".split())
 QUOTES = regex.compile(r'["“”„«»]')
 
-SPACE = {c: " " for c in map(ord, '.,;:?!()[]{}<>|/\\"“”„«»…')}
+SPACE = {c: " " for c in map(ord, '.,;:?!()[]{}<>|/\\"“”„«»…\0')}
 
 
 def words_of(text: bytes | None) -> list[str]:
     return (text or b"").decode("utf-8", "replace").lower().translate(SPACE).split()
 
 
-@dataclass
 class Automaton:
-    """A deterministic automaton: the union of the terms' Levenshtein automata, intersected with their trie.
+    """A deterministic automaton: the union of the Levenshtein automata of terms, intersected with their trie.
 
-    State 0 is dead. term is the term that a state accepts (-1: none), errors the edits that it took, and a state that
-    has met a stem accepts whatever follows.
+    Terms are (term, edits allowed); one that ends in * is a stem, which takes no edits. A state is the set of the trie's
+    nodes that a word may have led to, with the edits that it took; state 0 is dead, and a state that has met a stem
+    accepts whatever follows. States are built when a word first leads to them, so that a large lexicon costs no more
+    than what texts have of it.
     """
 
-    classes: np.ndarray
-    table: np.ndarray
-    term: np.ndarray
-    errors: np.ndarray
-
-    def match(self, words: list[str]) -> dict[str, tuple[int, int]]:
-        """The words that the automaton accepts, with their term and errors."""
-        if not words or len(self.table) < 2:
-            return {}
-        chars = np.array(words, dtype=f"U{READ + 1}").view(np.uint32).reshape(len(words), READ + 1)
-        kind = self.classes[np.minimum(chars, len(self.classes) - 1)]
-        state, live = np.ones(len(words), dtype=np.int32), np.arange(len(words))
-        for k in range(READ + 1):
-            more = chars[live, k] != 0
-            live = live[more]
-            state[live] = self.table[state[live], kind[live, k]]
-            live = live[state[live] != 0]
-            if not len(live):
-                break
-        return {words[i]: (int(self.term[state[i]]), int(self.errors[state[i]])) for i in np.flatnonzero(self.term[state] >= 0)}
-
-
-def automaton(terms: list[tuple[str, int]]) -> Automaton:
-    """Of (term, edits allowed); a term that ends in * is a stem, which takes no edits."""
-    children: list[dict[str, int]] = [{}]
-    ends: list[tuple[int, int, bool] | None] = [None]
-    allow = [0]
-    for number, (term, edits) in enumerate(terms):
-        stem, node = term.endswith("*"), 0
-        allow[0] = max(allow[0], edits)
-        for c in term.rstrip("*"):
-            if c not in children[node]:
-                children[node][c] = len(children)
-                children.append({})
-                ends.append(None)
-                allow.append(0)
-            node = children[node][c]
-            allow[node] = max(allow[node], edits)
-        if ends[node] is None:
-            ends[node] = (number, edits, stem)
-    alphabet = sorted({c for node in children for c in node})
-    classes = np.zeros(0x3000, dtype=np.int32)
-    for k, c in enumerate(alphabet):
-        if ord(c) < len(classes) - 1:
-            classes[ord(c)] = k + 1
-
-    def closed(states: set[tuple[int, int]]) -> frozenset:
-        todo, seen = list(states), dict.fromkeys(states)
-        least: dict[int, int] = {}
+    def __init__(self, terms: list[tuple[str, int]]):
+        self.terms = terms
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[int, int, bool] | None] = [None]
+        self.allow = [0]
+        for number, (term, edits) in enumerate(terms):
+            stem, node = term.endswith("*"), 0
+            self.allow[0] = max(self.allow[0], edits)
+            for c in term.rstrip("*"):
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.ends.append(None)
+                    self.allow.append(0)
+                node = self.children[node][c]
+                self.allow[node] = max(self.allow[node], edits)
+            if self.ends[node] is None:
+                self.ends[node] = (number, edits, stem)
+        self.alphabet = [None, *sorted({c for node in self.children for c in node})]
+        self.classes = np.zeros(0x110000, dtype=np.int32)
+        self.classes[[ord(c) for c in self.alphabet[1:]]] = np.arange(1, len(self.alphabet))
+        #: Characters that decide: a longer word is dead by then, or has met a stem.
+        self.width = max((len(t) + e for t, e in terms), default=0) + 1
+        self.table = np.full((64, len(self.alphabet)), -1, dtype=np.int32)
+        self.table[0] = 0
+        self.states, self.number, self.term, self.errors = [], {}, [], []
+        self._state(frozenset())
+        self._state(self._closed({(0, 0)}))
+
+    def __reduce__(self):
+        return Automaton, (self.terms,)
+
+    def _state(self, states: frozenset) -> int:
+        if states not in self.number:
+            self.number[states] = len(self.states)
+            self.states.append(states)
+            term, errors = self._accepted(states)
+            self.term.append(term)
+            self.errors.append(errors)
+            if len(self.states) > len(self.table):
+                self.table = np.r_[self.table, np.full_like(self.table, -1)]
+        return self.number[states]
+
+    def _closed(self, states: set[tuple[int, int]]) -> frozenset:
+        """With the characters that may have been left out; of each node the fewest edits."""
+        todo, least = list(states), {}
         while todo:
             node, e = todo.pop()
-            for child in children[node].values() if node >= 0 else ():
-                if e < allow[child] and (child, e + 1) not in seen:
-                    seen[(child, e + 1)] = None
-                    todo.append((child, e + 1))
-        for node, e in seen:
-            least[node] = min(e, least.get(node, e))
+            if e >= least.get(node, e + 1):
+                continue
+            least[node] = e
+            if node >= 0:
+                todo += [(child, e + 1) for child in self.children[node].values() if e < self.allow[child]]
         return frozenset(least.items())
 
-    def accepted(states: frozenset) -> tuple[int, int]:
-        best = min(((e, ends[n][0]) for n, e in states if n >= 0 and ends[n] and e <= ends[n][1]), default=None)
-        stems = [(0, -1 - n) for n, _ in states if n < 0]
-        best = min([*stems, *([best] if best else [])], default=None)
+    def _accepted(self, states: frozenset) -> tuple[int, int]:
+        best = min(((e, self.ends[n][0]) for n, e in states if n >= 0 and self.ends[n] and e <= self.ends[n][1]), default=None)
+        best = min([*[(0, -1 - n) for n, _ in states if n < 0], *([best] if best else [])], default=None)
         return (best[1], best[0]) if best else (-1, 0)
 
-    def step(states: frozenset, c: str | None) -> frozenset:
+    def _step(self, states: frozenset, c: str | None) -> frozenset:
         after = set()
         for node, e in states:
             if node < 0:
                 after.add((node, e))
                 continue
-            if c in children[node]:
-                after.add((children[node][c], e))
-            if e < allow[node]:
+            if c in self.children[node]:
+                after.add((self.children[node][c], e))
+            if e < self.allow[node]:
                 after.add((node, e + 1))
-                after.update((child, e + 1) for child in children[node].values() if e < allow[child])
-        found = closed(after)
-        return found | {(-1 - ends[n][0], 0) for n, e in found if n >= 0 and ends[n] and ends[n][2] and e == 0}
-
-    start = closed({(0, 0)})
-    number, rows, todo = {frozenset(): 0, start: 1}, {}, [start]
-    while todo:
-        states = todo.pop()
-        row = []
-        for c in [None, *alphabet]:
-            after = step(states, c)
-            if after not in number:
-                number[after] = len(number)
-                todo.append(after)
-            row.append(number[after])
-        rows[number[states]] = row
-    table = np.zeros((len(number), len(alphabet) + 1), dtype=np.int32)
-    for k, row in rows.items():
-        table[k] = row
-    got = {k: accepted(s) for s, k in number.items()}
-    return Automaton(classes, table, np.array([got[k][0] for k in range(len(number))]), np.array([got[k][1] for k in range(len(number))]))
+                after.update((child, e + 1) for child in self.children[node].values() if e < self.allow[child])
+        found = self._closed(after)
+        return found | {(-1 - self.ends[n][0], 0) for n, e in found if n >= 0 and self.ends[n] and self.ends[n][2] and e == 0}
+
+    def match(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        """The words that the automaton accepts, with their term and errors. Words are read whole."""
+        found: dict[str, tuple[int, int]] = {}
+        lot = max(1, HELD // self.width)
+        for k in range(0, len(words) if self.terms else 0, lot):
+            found |= self._match(words[k : k + lot])
+        return found
+
+    def _match(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        chars = np.array(words, dtype=f"U{self.width}").view(np.uint32).reshape(len(words), self.width)
+        kind = self.classes[chars]
+        state, live = np.ones(len(words), dtype=np.int32), np.arange(len(words))
+        for k in range(self.width):
+            live = live[chars[live, k] != 0]
+            if not len(live):
+                break
+            now, by = state[live].astype(np.int64), kind[live, k]
+            after = self.table[now, by]
+            if (after < 0).any():
+                for pair in np.unique(now[after < 0] * len(self.alphabet) + by[after < 0]).tolist():
+                    at, c = divmod(pair, len(self.alphabet))
+                    to = self._state(self._step(self.states[at], self.alphabet[c]))
+                    self.table[at, c] = to
+                after = self.table[now, by]
+            state[live] = after
+            live = live[after != 0]
+        term = np.array(self.term)[state]
+        return {words[i]: (int(term[i]), self.errors[state[i]]) for i in np.flatnonzero(term >= 0)}
 
 
 def learn_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[tuple[str, float]]:
-    """(term, log-odds) of the strongest terms of (word or stem, toxic documents, other documents), by likelihood ratio."""
+    """(term, log-odds), the strongest first, of (word or stem, toxic documents, other documents)."""
     found, most = [], Counter()
     for term, t, _ in counts:
         for n in STEMS if not term.endswith("*") else ():
@@ -154,18 +162,27 @@ def learn_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> l
         if term.endswith("*") and t < 1.5 * most[term[:-1]]:
             continue  # one word makes up most of the stem
         odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        if t >= max(LEAST, SHARE * toxic) and odds >= ODDS:
+        if t >= LEAST and odds >= ODDS and likelihood_ratio(t, c, toxic, clean) >= RATIO:
             found.append((t * odds, term, odds))
     found.sort(key=lambda x: (-x[0], x[1]))
     taken: dict[str, float] = {}
+    begun: set[str] = set()
     for _, term, odds in found:
         bare = term.rstrip("*")
         inside = any(bare[:n] + "*" in taken for n in range(1, len(bare) + 1))
-        if not inside and len(taken) < TERMS and not (term.endswith("*") and any(x.startswith(bare) for x in taken)):
+        if not inside and not (term.endswith("*") and bare in begun):
             taken[term] = odds
+            begun.update(bare[:n] for n in STEMS)
     return list(taken.items())
 
 
+def likelihood_ratio(t: int, c: int, toxic: int, clean: int) -> float:
+    """Twice the log of how much likelier the counts are with the two shares that they show than with one share."""
+    expected = (t + c) * toxic / max(toxic + clean, 1)
+    rest = t + c - expected
+    return 2 * ((t * math.log(t / expected) if t else 0.0) + (c * math.log(c / rest) if c else 0.0)) if expected > 0 and (rest > 0 or not c) else 0.0
+
+
 @dataclass
 class Lexicon:
     terms: list[str]
@@ -174,12 +191,9 @@ class Lexicon:
 
     @classmethod
     def of(cls, terms: list[tuple[str, float]]) -> Lexicon:
-        may, edits = 0, []
-        for term, _ in terms:
-            fuzzy = not term.endswith("*") and len(term) >= FUZZY_LENGTH and may < FUZZY_TERMS
-            may += fuzzy
-            edits.append(int(fuzzy))
-        return cls([t for t, _ in terms], np.array([o for _, o in terms]), automaton([(t, e) for (t, _), e in zip(terms, edits, strict=True)]))
+        """Every word of FUZZY_LENGTH letters or more may be misspelled by one edit."""
+        edits = [int(not t.endswith("*") and len(t) >= FUZZY_LENGTH) for t, _ in terms]
+        return cls([t for t, _ in terms], np.array([o for _, o in terms]), Automaton([(t, e) for (t, _), e in zip(terms, edits, strict=True)]))
 
     def features(self, part: list[bytes | None]) -> np.ndarray:
         """A row for each whole text: hits as they are, misspelled, quoted or reported, addressed; their weights. All 0 without a hit."""
@@ -268,8 +282,11 @@ def fit_judge(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, te
     sums = {r[0]: r[1] for r in picked.groupBy("toxic").count().collect()}
     toxic, clean = sums.get(1, 0), sums.get(0, 0)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+    expected = (F.col("t") + F.col("c")) * F.lit(toxic / max(toxic + clean, 1))
+    ratio = 2 * (F.col("t") * F.log(F.col("t") / expected) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (F.col("t") + F.col("c") - expected))).otherwise(0.0))
     counts = picked.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    best = counts.where((F.col("t") >= max(LEAST, SHARE * toxic)) & (odds >= ODDS)).orderBy((F.col("t") * odds).desc(), "term").limit(20 * TERMS).collect()
+    # No more than the words of the drawn rows, of which few are that telling.
+    best = counts.where((F.col("t") >= LEAST) & (odds >= ODDS) & (ratio >= RATIO - 0.1)).collect() if toxic and clean else []
     lexicon = Lexicon.of(learn_terms([tuple(r) for r in best], toxic, clean))
 
     def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

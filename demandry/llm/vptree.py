@@ -8,8 +8,11 @@ Distances between unrelated fingerprints gather at 32 +- 4 bits, so over all 64
 nearly every boundary and prunes nothing. The trees are therefore built in the Hamming metric of *parts* of the bits:
 of `blocks` blocks, k differing bits leave at least `blocks - k` blocks untouched, so each close pair is at distance 0
 in the metric of one of the C(blocks, k) masks, and one tree for each mask, searched with radius 0, loses no pair.
-Where a mask's metric cannot split a shard any more (many near copies that share these bits), the tree goes on with
-vantage points in the full metric, searched with the full radius and its boundary overlap.
+
+Before that, a tree asks the full metric: where fingerprints gather around a vantage point (large groups of near
+copies), few lie between the ball and the rest, the triangle bounds send each to one side but for those near the
+boundary, and the group leaves the tree in shards of its own. Where neither such a gap nor a mask's metric splits a
+shard, the tree goes on with vantage points in the full metric, whatever the overlap.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from itertools import combinations
 import numpy as np
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A ball in the full metric is taken if at most this share straddles its boundary, and each side has at least that one.
+OVERLAP, SHARE = 0.03, 0.15
 
 
 def masks(blocks: int, radius: int) -> list[int]:
@@ -76,27 +81,52 @@ def distance(prints: np.ndarray, vantage: int, metric: int) -> np.ndarray:
     return np.bitwise_count((prints ^ np.uint64(vantage)) & np.uint64(metric)).astype(np.int16)
 
 
+def part_of(prints: np.ndarray, mask: int, parts: int) -> np.ndarray:
+    """One of so many parts, the same for all fingerprints that agree on the mask."""
+    mixed = (prints & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
 def build(sample: np.ndarray, mask: int, radius: int, leaf: int, seed: int = 42) -> Tree:
     """A tree whose leaves hold about `leaf` fingerprints of the sample. The sample affects balance only, not results."""
     rng, tree = np.random.default_rng(seed), Tree(mask)
 
+    def node(prints: np.ndarray, vantage: int, metric: int, r: int, threshold: int) -> int:
+        here, d = len(tree.vantage), distance(prints, vantage, metric)
+        for column, value in ((tree.vantage, vantage), (tree.metric, metric), (tree.radius, r), (tree.threshold, threshold), (tree.inner, 0), (tree.outer, 0)):
+            column.append(value)
+        tree.inner[here], tree.outer[here] = split(prints[d - r <= threshold]), split(prints[d + r > threshold])
+        return here
+
+    def gap(prints: np.ndarray) -> tuple[int, int] | None:
+        """(vantage, threshold) of a ball that few fingerprints straddle and that has a share of them, or None."""
+        best = None
+        for v in rng.choice(prints, min(16, len(prints)), replace=False):
+            upto = np.cumsum(np.bincount(distance(prints, int(v), int(FULL)), minlength=65))
+            t = np.arange(radius, 65 - radius)
+            inner, outer = upto[t + radius], len(prints) - upto[t - radius]
+            fine = (inner + outer - len(prints) <= OVERLAP * len(prints)) & (inner >= SHARE * len(prints)) & (outer >= SHARE * len(prints))
+            if fine.any():
+                k = int(np.argmin(np.where(fine, np.maximum(inner, outer), len(prints) + 1)))
+                most = int(max(inner[k], outer[k]))
+                if best is None or most < best[0]:
+                    best = (most, int(v), int(t[k]))
+        return best[1:] if best else None
+
     def split(prints: np.ndarray) -> int:
         if len(prints) > leaf:
-            for metric, r in ((mask, 0), (int(FULL), radius)):
+            if found := gap(prints):
+                return node(prints, found[0], int(FULL), radius, found[1])
+            for metric, r, most_left in ((mask, 0, 0.85), (int(FULL), radius, 0.7)):
                 best = None
                 for v in rng.choice(prints, min(8, len(prints)), replace=False):
                     d = distance(prints, int(v), metric)
                     for t in {int(np.median(d)) - 1, int(np.median(d))}:
-                        inner, outer = d - r <= t, d + r > t
-                        most = max(inner.sum(), outer.sum())
+                        most = max((d - r <= t).sum(), (d + r > t).sum())
                         if t >= 0 and (best is None or most < best[0]):
-                            best = (most, int(v), t, inner, outer)
-                if best and best[0] <= 0.85 * len(prints):
-                    node = len(tree.vantage)
-                    for column, value in ((tree.vantage, best[1]), (tree.metric, metric), (tree.radius, r), (tree.threshold, best[2]), (tree.inner, 0), (tree.outer, 0)):
-                        column.append(value)
-                    tree.inner[node], tree.outer[node] = split(prints[best[3]]), split(prints[best[4]])
-                    return node
+                            best = (most, int(v), t)
+                if best and best[0] <= most_left * len(prints):
+                    return node(prints, best[1], metric, r, best[2])
         tree.leaves += 1
         return -tree.leaves
 

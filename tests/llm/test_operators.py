@@ -131,6 +131,40 @@ def test_full_metric_nodes_overlap():
         assert all(where[i] & where[j] for j in near.tolist())
 
 
+def test_bounds_prune_on_documents(spark):
+    """On the documents of sf0.01 trees have nodes in the full metric, whose bounds send most fingerprints to one side."""
+    rows = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("fp").distinct().collect()
+    prints = np.sort(np.array([r[0] for r in rows], dtype=np.int64)).view(np.uint64)
+    groups = np.array([p ^ np.uint64(1 << a | 1 << b) for p in prints[:3] for a in range(24) for b in range(a)], dtype=np.uint64)
+    prints = np.unique(np.r_[prints, groups])
+    tree = vptree.build(prints, vptree.masks(5, 4)[0], 4, 50)
+    row, _ = tree.route(prints)
+    full = [k for k, m in enumerate(tree.metric) if m == int(vptree.FULL)]
+    assert full and tree.leaves > 10 and len(row) < 1.3 * len(prints)
+    d = vptree.distance(prints, tree.vantage[full[0]], int(vptree.FULL))
+    pruned = (d + 4 <= tree.threshold[full[0]]) | (d - 4 > tree.threshold[full[0]])
+    assert pruned.mean() >= 0.9
+
+
+def test_simhash_of_odd_tables(spark, docs, empty):
+    assert simhash.simhash_groups(empty).count() == 0
+    clash = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(1).alias("fp"), F.lit(2).alias("root"), F.lit(3).alias("salt"))
+    got = simhash.simhash_groups(clash).collect()
+    assert len(got) == len(corpus()) and all(r.component_id is None or r.doc_id is None or r.component_id <= r.doc_id for r in got)
+
+
+def test_leaves_are_dealt_further(spark):
+    """With few drawn points leaves are dealt by their mask, and no link is lost."""
+    rng = random.Random(21)
+    prints = [rng.getrandbits(64) for _ in range(3000)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 3, 4]))) for p in prints[:500]]
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in set(prints)], "fp long")
+    edges = simhash.links(df, 4, leaf=20, sample=60)
+    roots = {r.node % (1 << 64): r.root % (1 << 64) for r in components(edges).collect()}
+    expected = plain_components(prints)
+    assert len({(roots.get(p, p), expected[p]) for p in set(prints)}) == len(set(expected.values())) == len({roots.get(p, p) for p in set(prints)})
+
+
 def test_components_of_awkward_edges(spark):
     edges = spark.createDataFrame([(5, 5), (1, 2), (2, 1), (2, 3), (9, 8), (8, 7), (7, 6), (6, 9)], "a long, b long")
     assert {(r.node, r.root) for r in components(edges).collect()} >= {(2, 1), (3, 1), (7, 6), (8, 6), (9, 6)}
@@ -152,7 +186,7 @@ def plain_spans(text, items):
             for i in range(len(own) - n + 1):
                 if own[i : i + n] == ws[k : k + n]:
                     hit.update(range(i, i + n))
-                    found.add(str(name))
+                    found.add("" if name is None else str(name))
     return len(own), len(hit), sorted(found)
 
 
@@ -172,9 +206,9 @@ def _runs(text):
 @pytest.mark.parametrize("pass_words", [suffix.PASS_WORDS, 20])
 def test_decontamination_is_brute_force(spark, pass_words):
     rng = random.Random(4)
-    items = [(k, " ".join(words(rng, "en", 30))) for k in range(6)] + [(10, "Zebra"), (11, None), (12, "--- !"), (13, "un été là"), (2, " ".join(words(rng, "fr", 14)))]
+    items = [(k, " ".join(words(rng, "en", 30))) for k in range(6)] + [(10, "Zebra"), (11, None), (12, "--- !"), (13, "un été là"), (None, "a null named item"), (2, " ".join(words(rng, "fr", 14)))]
     data = [(k, " ".join(words(rng, "en", 20)) + "." * 3 + items[k % 6][1][: 20 * k] + " " + " ".join(words(rng, "en", 5)), "en", "s", 0) for k in range(20)]
-    data += [(50, "a zebra-crossing ZEBRA", "en", "s", 0), (51, None, "en", "s", 0), (52, "", "en", "s", 0), (53, items[0][1], "en", "s", 0), (53, items[0][1], "en", "s", 0), (54, items[0][1][:40] + " x " + items[0][1][40:], "en", "s", 0), (55, "un ÉTÉ là; Un été là", "fr", "s", 0)]
+    data += [(50, "a zebra-crossing ZEBRA", "en", "s", 0), (51, None, "en", "s", 0), (52, "", "en", "s", 0), (53, items[0][1], "en", "s", 0), (53, items[0][1], "en", "s", 0), (54, items[0][1][:40] + " x " + items[0][1][40:], "en", "s", 0), (55, "un ÉTÉ là; Un été là", "fr", "s", 0), (56, "a NULL named item", "en", "s", 0)]
     table = spark.createDataFrame(data, DOCS).withColumn("row", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in suffix.decontaminate(table, bench, pass_words=pass_words).collect())
@@ -194,11 +228,14 @@ def test_boilerplate_lines(spark, empty):
     data = [(k, f"Welcome to the site \nown line {k}\n\nfooter {k % 2}", "en", "a", 0) for k in range(10)] + [(20 + k, f"Welcome to the site\nother {k}", "en", "b", 0) for k in range(3)]
     data += [(40, None, "en", "a", 0), (41, "", "en", None, 0), (42, "Welcome to the site", "en", "a", 0), (42, "Welcome to the site", "en", "a", 0)]
     table = spark.createDataFrame(data, DOCS).withColumn("n_dropped", F.lit("x"))
-    for rows in (lines.BROADCAST_ROWS, 0):
-        got = {(r.doc_id, r.text, r.n_dropped) for r in lines.drop_boilerplate(table, ratio=0.5, broadcast_rows=rows).collect()}
+    clash = table.withColumns({c: F.lit(1) for c in ("drop", "lines", "row", "host", "left", "key")})
+    for rows, own in ((lines.BROADCAST_ROWS, table), (0, clash)):
+        got = {(r.doc_id, r.text, r.n_dropped) for r in lines.drop_boilerplate(own, ratio=0.5, keep_whole=True, broadcast_rows=rows).collect()}
         assert (3, "own line 3\n\nfooter 1", 1) in got  # blank lines stay, the trailing blank doesn't matter
         assert (20, "Welcome to the site\nother 0", 0) in got  # too few pages
         assert (42, "Welcome to the site", 0) in got and (40, None, 0) in got and (41, "", 0) in got
+    got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in lines.drop_boilerplate(table, ratio=0.5).collect()}
+    assert (42, "", 1, 1) in got and (40, None, 0, 0) in got and (41, "", 0, 0) in got
     assert lines.drop_boilerplate(empty).count() == 0
 
 
@@ -206,7 +243,7 @@ def test_boilerplate_lines(spark, empty):
 
 
 def test_mixture(spark, docs, empty):
-    table = docs.withColumn("target", F.lit("x"))
+    table = docs.withColumns({c: F.lit("x") for c in ("target", "__key", "key", "bin", "row", "of", "cut", "rest")})
     got = mixing.mix(table, mixing.word_count(F.col("text")), F.lit(1.0)).collect()
     assert len(got) == len(corpus())
     sizes = Counter()
@@ -263,6 +300,17 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in langid.identify(table, F.lit(False)).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """A hundred languages of letters of their own: none is left out."""
+    rng = random.Random(14)
+    data = []
+    for k in range(100):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(20)]
+        data += [(100 * k + j, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(12)), f"l{k:03d}", "s", 0) for j in range(12)]
+    got = langid.identify(spark.createDataFrame(data, DOCS), F.lit(True)).collect()
+    assert {r.lang_pred for r in got} == {f"l{k:03d}" for k in range(100)} and sum(r.lang == r.lang_pred for r in got) > 0.97 * len(got)
+
+
 def test_scores_do_not_see_labels(spark):
     rng = random.Random(8)
     data = [(i, " ".join(words(rng, lang, 20)), lang, "s", 0) for i in range(120) for lang in [rng.choice(list(SPELL))]]
@@ -415,7 +463,7 @@ def test_repeated_passages_are_expected(spark):
 
 def test_automaton_is_edit_distance():
     terms = [("loser", 1), ("trash", 1), ("scum", 0), ("vequ*", 0)]
-    machine = toxicity.automaton(terms)
+    machine = toxicity.Automaton(terms)
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -462,6 +510,16 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty, marks, ~held).count() == 0
 
 
+def test_long_foreign_and_many_terms():
+    """Terms of any length and script are met, whole words are read, and every term may be misspelled."""
+    long_ = "".join(random.Random(3).choice("abcdefgh") for _ in range(40))
+    terms = [(long_, 1), ("\u5927\u99ac\u9e7f\u9a8f\u9a6c", 1), ("\ud55c\uad6d*", 0), *[(f"{a}{b}term{c}", 1) for a in "qwrtz" for b in "psdfg" for c in "hjklyxcv"]]
+    machine = toxicity.Automaton(terms)
+    tries = [long_, long_[:-1], long_ + "x", long_ + "xy", long_[:25], "\u5927\u99ac\u9e7f\u9a8f\u9a6c", "\u5927\u99ac\u9e7f\u9a6c", "\u5927\u9a6c", "\ud55c\uad6d\uc5b4" * 30, "zgtermv", "zgterm", "zggermv", "zg"]
+    assert [w in machine.match(tries) for w in tries] == [True, True, True, False, False, True, True, False, True, True, True, True, False]
+    assert toxicity.learn_terms([("rare", 12, 0), ("rarer", 2, 0), ("often", 300, 3000)], 5000, 40_000)[0][0] == "rare"
+
+
 def test_quotation_weighs_less():
     lexicon = toxicity.Lexicon.of([("moron", 5.0)])
     said, meant = lexicon.features([b'he said "what a moron" to her', b"what a moron you are"])
