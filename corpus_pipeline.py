@@ -6,7 +6,7 @@ shared folder and reads it again for the next stage. All but the last return the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandry.llm.common import materialise, small
@@ -28,62 +28,76 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars follows the text."""
-    cut = drop_boilerplate(docs)
-    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Documents without their source's boilerplate lines; n_chars follows the text. A document of which every line
+    would go is a copy of others and is left whole to the next stage, which keeps one of them. Ties don't arise; repeated
+    rows count as pages of their own."""
+    cut = drop_boilerplate(docs, keep_whole=True)
+    return cut.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def row_key(columns: list[str]) -> Column:
+    """128 bits that name a row by all its columns, nulls told from empty values: rows are taken for equal where it is."""
+    own = [F.col(f"`{c}`") for c in columns]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit("row"), *[c.isNull() for c in own], *own).alias("b"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of repeated rows one.
+    """One document of each group of near-duplicates: the one of the least key; of repeated rows one.
 
-    Rows are named by a hash of all their columns. Only rows that are to go, or repeat, are joined to the documents, by
-    broadcast if they are counted to be few.
+    Only rows that are to go, or repeat, are joined to the documents, by broadcast if they are counted to be few.
     """
-    keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    groups = materialise(simhash_groups(keyed.select("__row", "text"), "__row"), "groups")
-    repeated = groups.where("__row = component_id").groupBy("__row").count().where("count > 1").select("__row")
-    bad = groups.where("__row != component_id").select("__row").distinct().unionByName(repeated).checkpoint()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(docs.columns).alias("key"))
+    groups = materialise(simhash_groups(keyed.select(F.col("row.text").alias("text"), "key"), "key"), "groups")
+    repeated = groups.where("key = component_id").groupBy("key").count().where("count > 1").select("key")
+    bad = groups.where("key != component_id").select("key").distinct().unionByName(repeated).checkpoint()
+    repeated = repeated.checkpoint()
     many = bad.count()
-    once = keyed.join(small(bad, many), "__row", "left_anti")
-    one_of = keyed.join(small(repeated, many), "__row", "left_semi").dropDuplicates(["__row"])
-    return once.unionByName(one_of).select(*docs.columns)
+    once = keyed.join(small(bad, many), "key", "left_anti")
+    one_of = keyed.join(small(repeated, many), "key", "left_semi").dropDuplicates(["key"])
+    return once.unionByName(one_of).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row").alias("__row")).distinct().checkpoint()
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(small(bad, bad.count()), "__row", "left_anti").select(*docs.columns)
+    """Documents that are not contaminated by the benchmark; repeated rows go or stay together."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(docs.columns).alias("key"))
+    found = decontaminate(keyed.select("key", F.col("row.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key")
+    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("key").distinct().checkpoint()
+    return keyed.join(small(bad, bad.count()), "key", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken (words), weighed by their quality labels.
+    """The documents that the mix takes, with size, source_size, target and taken (words), weighed by their quality labels;
+    columns of documents with these names are replaced.
 
-    Labels are joined to narrow rows without the texts, named by two hashes of all columns (the second tells which are null), and the mix is of these rows.
-    The rows that it takes are then joined to the texts: always by a merge join, so that every size of input goes the
-    same way. Repeated rows may be taken differently: theirs are counted by what is taken, one text of each is kept, and
-    it is repeated by these counts.
+    Labels are joined to narrow rows without the texts, and the mix is of these rows. Those that it takes are then joined
+    to the texts: always by a merge join, so that every size of input goes the same way. Repeated rows may be taken
+    differently: theirs are counted by what is taken, one text of each is kept, and it is repeated by these counts.
     """
     names = ["size", "source_size", "target", "taken"]
     kept = [c for c in docs.columns if c not in names]
-    row = ["__row", "__check"]
-    keyed = docs.select(*kept, F.xxhash64(*kept).alias("__row"), F.xxhash64(*[F.col(c).isNull() for c in kept], *kept).alias("__check"))
-    narrow = materialise(keyed.select(*row, "doc_id", "source", word_count(F.col("text")).alias("__words")), "words")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), row_key(kept).alias("key"))
+    narrow = materialise(keyed.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), word_count(F.col("row.text")).alias("words")), "words")
     rated = with_quality(narrow, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    mixed = materialise(mix(rated, F.col("__words"), quality_weight(F.col("quality"))).where("taken > 0").select(*row, *names), "taken")
-    repeated = narrow.groupBy(*row).count().where("count > 1").select(*row).checkpoint()
+    mixed = materialise(mix(rated, F.col("words"), quality_weight(F.col("quality"))).where("taken > 0").select("key", *names), "taken")
+    repeated = narrow.groupBy("key").count().where("count > 1").select("key").checkpoint()
     many = repeated.count()
-    single = mixed.join(small(repeated, many), row, "left_anti")
-    once = keyed.join(single.hint("merge"), row)
+    out = [*[F.col("row")[c].alias(c) for c in kept], *names]
+    once = keyed.join(mixed.join(small(repeated, many), "key", "left_anti").hint("merge"), "key").select(*out)
     if not many:
-        return once.select(*kept, *names)
-    counted = mixed.join(small(repeated, many), row, "left_semi").groupBy(*row, *names).agg(F.count("*").alias("__copies"))
-    one_of = keyed.join(small(repeated, many), row, "left_semi").dropDuplicates(row)
-    copies = one_of.join(counted, row).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
-    return once.select(*kept, *names).unionByName(copies.select(*kept, *names))
-
-
-STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmarks", benchmarks), ("mixture", mixture)]
+        return once
+    counted = mixed.join(small(repeated, many), "key", "left_semi").groupBy("key", *names).agg(F.count("*").alias("copies"))
+    one_of = keyed.join(small(repeated, many), "key", "left_semi").dropDuplicates(["key"])
+    copies = one_of.join(counted, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return once.unionByName(copies.select(*out))
+
+
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("benchmarks", benchmarks),
+    ("mixture", mixture),
+]
 #: SQL can't express the stages; tests/llm compares them with a brute-force version.
 ORACLE_SQL = None
 
