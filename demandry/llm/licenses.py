@@ -1,11 +1,13 @@
 """Licence notices by sparse TF-IDF cosine to templates, and inheritance from the nearest directory with a licence file.
 
-DataFrame functions only. The templates are fixed and few, so their inverse document frequencies and vectors are
-literals of the plan, and a line is scored where it lies, without a shuffle.
+DataFrame functions only. The templates are fixed and few, so their inverse document frequencies and postings (of each
+term the templates that have it, with its weight there) are literals of the plan, and a text is scored where it lies,
+without a shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -15,37 +17,90 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialise
 
-#: Short notices by which each licence is declared. A licence may have several.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+#: SPDX ids and names of licences. Of each, its name, a line that grants it and its SPDX line are templates.
+NAMES = {
+    "AGPL-3.0": "GNU Affero General Public License, version 3",
+    "Apache-2.0": "Apache License, Version 2.0",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "BSL-1.0": "Boost Software License, Version 1.0",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International License",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "CC0 1.0 Universal Public Domain Dedication",
+    "EPL-2.0": "Eclipse Public License, version 2.0",
+    "GPL-2.0": "GNU General Public License, version 2",
+    "GPL-3.0": "GNU General Public License, version 3",
+    "ISC": "ISC License",
+    "LGPL-2.1": "GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "GNU Lesser General Public License, version 3",
+    "MIT": "MIT License",
+    "MPL-2.0": "Mozilla Public License, version 2.0",
+    "Unlicense": "Unlicense",
+}
+#: Notices and parts of texts of the licences.
+EXCERPTS = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms are permitted under the BSD license."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-3-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This program is free software under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms are permitted under the BSD license."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0. Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0. Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide. CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Proprietary", "All rights reserved."),
 )
-#: A line without any of these is no notice. Words that carry no weight. Names of licence files.
-MARKERS = ("licen", "rights reserved", "public domain", "spdx", "copyright")
-STOP = ("a", "an", "and", "any", "are", "at", "in", "is", "may", "of", "the", "this", "to", "under", "you")
+#: Words that carry no weight. Names of licence files. What parts paragraphs, comment marks included.
+STOP = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "its", "may", "of", "on", "or", "that", "the", "this", "to", "under", "was", "with", "you")
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
+PARAGRAPH = r"\n[ \t\r*#/;-]*\n"
 
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: Cosine from which a line is a notice; share of a text's words in notices from which the text is a licence file.
-COSINE, FILE_SHARE = 0.6, 0.8
+#: Cosine from which a line or paragraph is a notice; share of a text's words in such lines, or in paragraphs of the
+#: cosine CLOSE, from which it is a licence file.
+COSINE, CLOSE, FILE_SHARE = 0.6, 0.8, 0.8
+
+
+def templates() -> list[tuple[str, str]]:
+    """(licence, text): the names, granting lines and SPDX lines, and the excerpts."""
+    ruled = [(k, text) for k, name in NAMES.items() for text in (name, f"Licensed under the {name}.", f"SPDX-License-Identifier: {k}")]
+    return [*ruled, *EXCERPTS]
 
 
 def template_vectors() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
     """(idf, idf of an unknown term, unit vectors of the templates)."""
-    bags = [(name, Counter(t for t in re.findall(TERM, text.lower()) if t not in STOP)) for name, text in TEMPLATES]
+    bags = [(name, Counter(t for t in re.findall(TERM, text.lower()) if t not in STOP)) for name, text in templates()]
     df = Counter(t for _, bag in bags for t in bag)
     idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in sorted(df.items())}
     rare = math.log(1 + len(bags)) + 1
@@ -56,40 +111,70 @@ def template_vectors() -> tuple[dict[str, float], float, list[tuple[str, dict[st
     return idf, rare, vectors
 
 
+def needed_terms() -> list[str]:
+    """Terms of which every text has one that comes to the cosine COSINE with any template.
+
+    A text that shares only the terms S with a template has at most the cosine sqrt(sum of squared weights over S), so of
+    each template the heaviest terms are taken until the rest falls short.
+    """
+    taken: set[str] = set()
+    for _, vector in template_vectors()[2]:
+        rest = sum(x * x for t, x in vector.items() if t not in taken)
+        for t, x in sorted(vector.items(), key=lambda p: (-p[1], p[0])):
+            if rest < COSINE**2 - 1e-9:
+                break
+            if t not in taken:
+                taken.add(t)
+                rest -= x * x
+    return sorted(taken)
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def best_template(line: Column) -> Column:
-    """struct(score, license) of the nearest template. Each unknown word of the line adds to its norm."""
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"))
+
+
+def best_template(terms: Column) -> Column:
+    """struct(score, license) of the template nearest to some terms; null without a shared one. Unknown terms add to the norm."""
     idf, rare, vectors = template_vectors()
-    terms = F.filter(F.regexp_extract_all(F.lower(line), F.lit(f"({TERM})")), lambda t: ~t.isin(*STOP))
-    known = F.array(*[F.lit(t) for t in idf])
-    weights = F.zip_with(F.transform(known, lambda v: F.size(F.filter(terms, lambda t: t == v)).cast("double")), F.array(*[F.lit(x) for x in idf.values()]), lambda n, x: n * x)
-    unknown = F.size(F.filter(terms, lambda t: ~F.array_contains(known, t))).cast("double")
-    # One pass binds terms and weights, so that no template counts words again.
-    return F.transform(F.array(F.struct(weights.alias("w"), unknown.alias("u"))), lambda b: _nearest(b["w"], b["u"], list(idf), rare, vectors))[0]
+    postings: dict[str, list] = {}
+    for k, (_, v) in enumerate(vectors):
+        for t, x in v.items():
+            postings.setdefault(t, []).append({"k": k, "x": x})
+    entries = F.from_json(F.lit(json.dumps({t: {"idf": x, "at": postings[t]} for t, x in idf.items()})), "map<string,struct<idf:double,at:array<struct<k:int,x:double>>>>")
+    names = F.array(*[F.lit(n) for n, _ in vectors])
+    own = F.filter(terms, lambda t: ~t.isin(*STOP))
+    weighed = F.transform(F.array_distinct(own), lambda t: F.struct(F.try_element_at(entries, t).alias("e"), F.size(F.filter(own, lambda x: x == t)).cast("double").alias("n")))
+    # One pass binds the weighed terms, so that no template counts words again.
+    return F.transform(F.array(weighed), lambda w: _nearest(w, rare, names))[0]
 
 
-def _nearest(weights: Column, unknown: Column, names: list[str], rare: float, vectors: list[tuple[str, dict[str, float]]]) -> Column:
-    norm = F.sqrt(_sum(F.transform(weights, lambda w: w * w)) + unknown * (rare * rare))
-    dots = [F.struct((_sum(F.zip_with(weights, F.array(*[F.lit(v.get(t, 0.0)) for t in names]), lambda w, x: w * x)) / F.greatest(norm, F.lit(1e-12))).alias("score"), F.lit(name).alias("license")) for name, v in vectors]
-    return F.greatest(*dots)
+def _nearest(weighed: Column, rare: float, names: Column) -> Column:
+    norm = F.sqrt(_sum(F.transform(weighed, lambda w: F.pow(w["n"] * F.coalesce(w["e"]["idf"], F.lit(rare)), F.lit(2.0)))))
+    shares = F.flatten(F.transform(F.filter(weighed, lambda w: w["e"].isNotNull()), lambda w: F.transform(w["e"]["at"], lambda p: F.struct(p["k"].alias("k"), (p["x"] * w["n"] * w["e"]["idf"]).alias("x")))))
+    one = lambda k: _sum(F.transform(F.filter(shares, lambda s: s["k"] == k), lambda s: s["x"]))
+    return F.array_max(F.transform(F.array_distinct(F.transform(shares, lambda s: s["k"])), lambda k: F.struct(F.round(one(k) / norm, 9).alias("score"), names[k].alias("license"))))
 
 
 def scan(docs: DataFrame, text_col: str = "text", path_col: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep columns, path, license, score and is_file of each document, from all its lines."""
-    lower = F.lower(F.col(text_col))
-    marked = F.coalesce(F.greatest(*[lower.contains(m) for m in MARKERS]), F.lit(False))
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.greatest(*[F.lower(x).contains(m) for m in MARKERS]))
+    """keep columns, path, license, score and is_file of each document, from all its lines and paragraphs."""
+    needed = F.array(*[F.lit(t) for t in needed_terms()])
     words = lambda x: F.size(F.regexp_extract_all(x, F.lit(r"(\S+)")))
-    found = F.when(marked, F.transform(lines, lambda x: F.struct(best_template(x).alias("best"), words(x).alias("words"))))
-    notices = F.filter(F.col("__found"), lambda x: x["best"]["score"] >= COSINE)
-    best = F.array_max(F.transform("__notices", lambda x: x["best"]))
-    share = F.aggregate("__notices", F.lit(0), lambda a, x: a + x["words"]) >= FILE_SHARE * words(F.col(text_col))
-    own = docs.withColumn("__found", found).withColumn("__notices", notices).withColumn("__best", best)
-    named = F.col(path_col).rlike(FILE_NAMES)
-    return own.select(*keep, F.col(path_col).alias("path"), F.col("__best.license").alias("license"), F.round("__best.score", 6).alias("score"), (F.col("__best").isNotNull() & (F.coalesce(named, F.lit(False)) | F.coalesce(share, F.lit(False)))).alias("is_file"))
+    scored = lambda units: F.transform(
+        F.filter(F.transform(units, lambda x: F.struct(_terms(x).alias("t"), x.alias("x"))), lambda u: F.arrays_overlap(u["t"], needed)),
+        lambda u: F.struct(best_template(u["t"]).alias("best"), words(u["x"]).alias("words")),
+    )
+    notices = lambda units: F.filter(scored(units), lambda x: x["best"]["score"] >= COSINE)
+    own = docs.select(*[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)], F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.coalesce(F.arrays_overlap(_terms(F.col(text_col)), needed), F.lit(False)).alias("marked"))
+    own = own.withColumn("lines", F.when(F.col("marked"), notices(F.split("text", "\n")))).withColumn("paragraphs", F.when(F.col("marked"), notices(F.split("text", PARAGRAPH))))
+    best = F.array_max(F.transform(F.concat("lines", "paragraphs"), lambda x: x["best"]))
+    total = lambda c, least: F.aggregate(F.filter(c, lambda x: x["best"]["score"] >= least), F.lit(0), lambda a, x: a + x["words"])
+    own = own.withColumn("best", best).withColumn("share", F.when(F.col("marked"), F.greatest(total("lines", COSINE), total("paragraphs", CLOSE)) >= FILE_SHARE * words(F.col("text"))))
+    is_file = F.col("best").isNotNull() & (F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False)) | F.coalesce("share", F.lit(False)))
+    return own.select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "path", F.col("best.license").alias("license"), F.round("best.score", 6).alias("score"), is_file.alias("is_file"))
 
 
 def parent(path: Column) -> Column:
@@ -120,8 +205,8 @@ def inherit(scanned: DataFrame, keep: tuple[str, ...] = (), broadcast_rows: int
 def license_scan(docs: DataFrame, text_col: str = "text", path_col: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: keep columns, path, license, score, origin, inherited_from.
 
-    A notice is a line with a marker word whose TF-IDF cosine to a template is at least COSINE; the best one decides
-    (on equal scores the last licence name). A licence file is a document with a notice that is named like one or
+    A notice is a line or a paragraph whose TF-IDF cosine to a template is at least COSINE; the best one decides (on equal
+    scores the last licence name). Only texts, lines and paragraphs are left out that can't come to that cosine. A licence file is a document with a notice that is named like one or
     consists of notices for FILE_SHARE of its words. Null and empty texts declare nothing but may inherit; a null path
     neither gives nor inherits; repeated rows stay; an empty table gives no rows; other columns of docs are not read.
     """
@@ -140,19 +225,18 @@ def _op7_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(t)}, {x!r})" for t, x in idf.items())
     cells = ", ".join(f"({k}, {quote(n)}, {quote(t)}, {x!r})" for k, (n, v) in enumerate(vectors) for t, x in v.items())
-    marked = lambda c: "(" + " or ".join(f"contains(lower({c}), {quote(m)})" for m in MARKERS) + ")"
-    term = TERM.replace("(?:", "(?:")
     return f"""
 with idf(term, idf) as (values {known}), cell(k, license, term, x) as (values {cells}),
 doc as (
   select row_number() over () as rid, doc_id, text,
     concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(cast(doc_id as varchar), '-')) as path from documents
 ), split as (
-  select rid, unnest(string_split(text, chr(10))) as line from doc where {marked("text")}
+  select rid, true as whole, unnest(regexp_split_to_array(text, '{PARAGRAPH}')) as line from doc
+  union all select rid, false, unnest(string_split(text, chr(10))) from doc
 ), line as (
-  select row_number() over () as lid, rid, line from split where {marked("line")}
+  select row_number() over () as lid, rid, whole, line from split
 ), term as (
-  select lid, unnest(regexp_extract_all(lower(line), '{term}')) as term from line
+  select lid, unnest(regexp_extract_all(lower(line), '{TERM}')) as term from line
 ), tf as (
   select t.lid, t.term, i.idf, count(*) as n from term t left join idf i using (term)
   where t.term not in ({", ".join(map(quote, STOP))}) group by all
@@ -161,11 +245,11 @@ doc as (
 ), dot as (
   select tf.lid, c.k, c.license, sum(tf.n * tf.idf * c.x) as dot from tf join cell c on tf.term = c.term group by all
 ), best as (
-  select d.lid, max(struct_pack(score := d.dot / n.norm, license := d.license)) as best from dot d join norm n using (lid) group by d.lid
+  select d.lid, max(struct_pack(score := round(d.dot / n.norm, 9), license := d.license)) as best from dot d join norm n using (lid) group by d.lid
 ), notice as (
-  select l.rid, best, len(regexp_extract_all(l.line, '\\S+')) as words from best b join line l using (lid) where best.score >= {COSINE}
+  select l.rid, l.whole, best, len(regexp_extract_all(l.line, '\\S+')) as words from best b join line l using (lid) where best.score >= {COSINE}
 ), per as (
-  select rid, max(best) as best, sum(words) as words from notice group by rid
+  select rid, max(best) as best, greatest(coalesce(sum(words) filter (whole and best.score >= {CLOSE}), 0), coalesce(sum(words) filter (not whole), 0)) as words from notice group by rid
 ), scanned as (
   select d.doc_id, d.path, p.best.license as license, round(p.best.score, 6) as score,
     coalesce(p.words >= {FILE_SHARE} * len(regexp_extract_all(d.text, '\\S+')), false) as is_file,

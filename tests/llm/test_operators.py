@@ -692,6 +692,45 @@ def test_licenses(spark, empty):
     assert licenses.license_scan(table.limit(0), keep=("doc_id",)).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+
+
+def test_real_notices(spark):
+    cases = {
+        "    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007": "GPL-3.0",
+        "# SPDX-License-Identifier: Apache-2.0\nimport os": "Apache-2.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD-3-Clause",
+        "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n */": "Apache-2.0",
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "GPL-3.0",
+        MIT_TEXT: "MIT",
+        "SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1",
+        "We publish our results and license nothing to the general public.": None,
+    }
+    rows = spark.createDataFrame([(k, t, f"d/{k}.txt") for k, t in enumerate(cases)], "doc_id long, text string, path string")
+    got = {r.doc_id: r for r in licenses.scan(rows, keep=("doc_id",)).collect()}
+    assert [got[k].license for k in range(len(cases))] == list(cases.values())
+    assert got[6].is_file and not got[1].is_file
+
+
+def test_needed_terms_lose_nothing():
+    """No template's share outside the needed terms comes to the cosine."""
+    needed = set(licenses.needed_terms())
+    assert all(sum(x * x for t, x in v.items() if t not in needed) < licenses.COSINE**2 for _, v in licenses.template_vectors()[2])
+
+
 def test_native_operators_have_no_python(spark, sf):
     for name in (lines.op3_line_dedup, licenses.op7_licenses):
         plan = name(spark, sf)._jdf.queryExecution().executedPlan().toString()
