@@ -82,7 +82,7 @@ EXCERPTS = (
     ("Proprietary", "All rights reserved."),
 )
 #: Words that carry no weight. Names of licence files. What parts paragraphs, comment marks included.
-STOP = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "its", "may", "of", "on", "or", "that", "the", "this", "to", "under", "was", "with", "you")
+STOP = ("a", "all", "an", "and", "any", "are", "as", "at", "be", "but", "by", "can", "do", "for", "from", "has", "if", "in", "into", "is", "it", "its", "may", "no", "not", "of", "on", "or", "out", "that", "the", "this", "to", "under", "was", "which", "with", "you", "your")
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 PARAGRAPH = r"\n[ \t\r*#/;-]*\n"
 
@@ -137,42 +137,57 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"))
 
 
-def best_template(terms: Column) -> Column:
-    """struct(score, license) of the template nearest to some terms; null without a shared one. Unknown terms add to the norm."""
+def scores(units: Column) -> Column:
+    """For each text of an array that may be a notice struct(best, words): best is struct(score, license) of the nearest
+    template, words the number of the text's words.
+
+    Left out is what can't come to COSINE: a text without a needed term, and one whose known terms weigh too little
+    beside its number of different unknown ones, each of which adds to the norm.
+    """
     idf, rare, vectors = template_vectors()
     postings: dict[str, list] = {}
     for k, (_, v) in enumerate(vectors):
         for t, x in v.items():
             postings.setdefault(t, []).append({"k": k, "x": x})
     entries = F.from_json(F.lit(json.dumps({t: {"idf": x, "at": postings[t]} for t, x in idf.items()})), "map<string,struct<idf:double,at:array<struct<k:int,x:double>>>>")
-    names = F.array(*[F.lit(n) for n, _ in vectors])
-    own = F.filter(terms, lambda t: ~t.isin(*STOP))
-    weighed = F.transform(F.array_distinct(own), lambda t: F.struct(F.try_element_at(entries, t).alias("e"), F.size(F.filter(own, lambda x: x == t)).cast("double").alias("n")))
-    # One pass binds the weighed terms, so that no template counts words again.
-    return F.transform(F.array(weighed), lambda w: _nearest(w, rare, names))[0]
+    names, known, needed = (F.array(*[F.lit(t) for t in ts]) for ts in ([n for n, _ in vectors], list(idf), needed_terms()))
+    square = lambda x: x * x
+    found = F.filter(F.transform(units, lambda x: F.struct(_terms(x).alias("t"), x.alias("x"))), lambda u: F.arrays_overlap(u["t"], needed))
+    own = F.transform(found, lambda u: F.struct(F.filter(u["t"], lambda t: ~t.isin(*STOP)).alias("t"), u["x"].alias("x")))
+    weighed = F.transform(
+        own,
+        lambda u: F.struct(
+            u["t"].alias("t"),
+            u["x"].alias("x"),
+            F.transform(F.array_intersect(u["t"], known), lambda t: F.struct(t.alias("t"), F.size(F.filter(u["t"], lambda x: x == t)).cast("double").alias("n"), F.try_element_at(entries, t).alias("e"))).alias("k"),
+            F.size(F.array_distinct(u["t"])).alias("d"),
+        ),
+    )
+    weight = lambda u: _sum(F.transform(u["k"], lambda k: square(k["n"] * k["e"]["idf"])))
+    fine = F.filter(weighed, lambda u: (1 - COSINE**2) * weight(u) >= (COSINE**2 - 1e-9) * (rare * rare) * (u["d"] - F.size(u["k"])))
+    # The few that are left are scored in full.
+    unknown = lambda u: F.transform(F.array_except(u["t"], known), lambda t: F.size(F.filter(u["t"], lambda x: x == t)).cast("double"))
+    norm = lambda u: F.sqrt(weight(u) + _sum(F.transform(unknown(u), square)) * (rare * rare))
+    shares = lambda u: F.flatten(F.transform(u["k"], lambda k: F.transform(k["e"]["at"], lambda p: F.struct(p["k"].alias("k"), (p["x"] * k["n"] * k["e"]["idf"]).alias("x")))))
+    one = lambda u, k: _sum(F.transform(F.filter(u["s"], lambda s: s["k"] == k), lambda s: s["x"]))
+    bound = F.transform(fine, lambda u: F.struct(shares(u).alias("s"), norm(u).alias("norm"), u["x"].alias("x")))
+    best = lambda u: F.array_max(F.transform(F.array_distinct(F.transform(u["s"], lambda s: s["k"])), lambda k: F.struct(F.round(one(u, k) / u["norm"], 9).alias("score"), names[k].alias("license"))))
+    return F.transform(bound, lambda u: F.struct(best(u).alias("best"), _words(u["x"]).alias("words")))
 
 
-def _nearest(weighed: Column, rare: float, names: Column) -> Column:
-    norm = F.sqrt(_sum(F.transform(weighed, lambda w: F.pow(w["n"] * F.coalesce(w["e"]["idf"], F.lit(rare)), F.lit(2.0)))))
-    shares = F.flatten(F.transform(F.filter(weighed, lambda w: w["e"].isNotNull()), lambda w: F.transform(w["e"]["at"], lambda p: F.struct(p["k"].alias("k"), (p["x"] * w["n"] * w["e"]["idf"]).alias("x")))))
-    one = lambda k: _sum(F.transform(F.filter(shares, lambda s: s["k"] == k), lambda s: s["x"]))
-    return F.array_max(F.transform(F.array_distinct(F.transform(shares, lambda s: s["k"])), lambda k: F.struct(F.round(one(k) / norm, 9).alias("score"), names[k].alias("license"))))
+def _words(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(r"(\S+)")))
 
 
 def scan(docs: DataFrame, text_col: str = "text", path_col: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
     """keep columns, path, license, score and is_file of each document, from all its lines and paragraphs."""
     needed = F.array(*[F.lit(t) for t in needed_terms()])
-    words = lambda x: F.size(F.regexp_extract_all(x, F.lit(r"(\S+)")))
-    scored = lambda units: F.transform(
-        F.filter(F.transform(units, lambda x: F.struct(_terms(x).alias("t"), x.alias("x"))), lambda u: F.arrays_overlap(u["t"], needed)),
-        lambda u: F.struct(best_template(u["t"]).alias("best"), words(u["x"]).alias("words")),
-    )
-    notices = lambda units: F.filter(scored(units), lambda x: x["best"]["score"] >= COSINE)
+    notices = lambda units: F.filter(scores(units), lambda x: x["best"]["score"] >= COSINE)
     own = docs.select(*[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)], F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.coalesce(F.arrays_overlap(_terms(F.col(text_col)), needed), F.lit(False)).alias("marked"))
     own = own.withColumn("lines", F.when(F.col("marked"), notices(F.split("text", "\n")))).withColumn("paragraphs", F.when(F.col("marked"), notices(F.split("text", PARAGRAPH))))
     best = F.array_max(F.transform(F.concat("lines", "paragraphs"), lambda x: x["best"]))
     total = lambda c, least: F.aggregate(F.filter(c, lambda x: x["best"]["score"] >= least), F.lit(0), lambda a, x: a + x["words"])
-    own = own.withColumn("best", best).withColumn("share", F.when(F.col("marked"), F.greatest(total("lines", COSINE), total("paragraphs", CLOSE)) >= FILE_SHARE * words(F.col("text"))))
+    own = own.withColumn("best", best).withColumn("share", F.when(F.col("marked"), F.greatest(total("lines", COSINE), total("paragraphs", CLOSE)) >= FILE_SHARE * _words(F.col("text"))))
     is_file = F.col("best").isNotNull() & (F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False)) | F.coalesce("share", F.lit(False)))
     return own.select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "path", F.col("best.license").alias("license"), F.round("best.score", 6).alias("score"), is_file.alias("is_file"))
 
