@@ -1,4 +1,4 @@
-"""Constants of the retail domain, in one place."""
+"""Constants of the retail domain, in one place. The values are fixed values: results depend on them as they are."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ class Domain:
     typos: dict = field(default_factory=lambda: {"MACHNERY": "MACHINERY", "BUILDNG": "BUILDING", "FURNITRE": "FURNITURE"})
     null_tokens: tuple[str, ...] = ("", "NA", "NaN", "nan", "null", "None", "N/A")
     box: tuple[float, float, float, float] = (5.9, 9.9, 79.5, 82.0)
-    provinces: tuple[tuple[str, str], ...] = (("DIST_W", "Western"), ("DIST_C", "Central"), ("DIST_NW", "North Western"), ("DIST_S", "Southern"))
+    provinces: tuple[tuple[str, str], ...] = (("DIST_W", "Western"), ("DIST_C", "Central"), ("DIST_NW", "North-Western"), ("DIST_S", "Southern"))
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class Decay:
     rings: tuple[int, ...] = (500, 1000, 2000)
     midpoints: tuple[float, ...] = (250.0, 750.0, 1500.0)
     types: tuple[str, ...] = ("school", "university", "bus_station", "hospital", "place_of_worship", "marketplace", "restaurant", "tourism")
-    lengths: tuple[float, ...] = (600.0, 900.0, 400.0, 1000.0, 700.0, 500.0, 300.0, 1200.0)
+    lengths: tuple[float, ...] = (250.0, 450.0, 180.0, 500.0, 300.0, 300.0, 200.0, 500.0)
     weights: tuple[float, ...] = (2.0, 1.0, 3.0, 2.0, 1.0, 1.0, 1.0, 1.0)
     power: float = 1.5
     radius: float = 500.0
@@ -47,7 +47,7 @@ class Potential:
     litres: float = 350.0
     turns: float = 4.0
     no_cooler: float = 120.0
-    season: dict = field(default_factory=lambda: {"Favorable": 1.1, "Moderate": 1.0, "Un-Favorable": 0.9})
+    season: dict = field(default_factory=lambda: {"Favorable": 1.3, "Moderate": 1.0, "Un-Favorable": 0.7})
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ class Budget:
     """Spend by outlet under diminishing returns."""
 
     province: str = "Western"
-    total: float = 500_000.0
+    total: float = 5_000_000.0
     cap: float = 50_000.0
     step: float = 1_000.0
     k_supply: float = 9e-5

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandry.operators.ranks import running
+
 
 def greedy(candidates: DataFrame, budget: float, cap: float, step: float) -> DataFrame:
     """(outlet_id, spend): steps in the order of their marginal gain, ties to the smaller id.
@@ -23,17 +25,17 @@ def greedy(candidates: DataFrame, budget: float, cap: float, step: float) -> Dat
 def waterfill(candidates: DataFrame, budget: float, cap: float) -> DataFrame:
     """(outlet_id, spend): the optimum spend = clip((ln(gap k) - level) / k, 0, cap) whose sum is the budget.
 
-    The sum is linear in the level between the points where an outlet enters or fills up. Sorted by these, running sums
-    of slopes give the sum at each point, and the level follows by interpolation. The breakpoints (two for each
-    candidate, two columns wide) go through one ordered window.
+    The sum is linear in the level between the points where an outlet enters or fills up. With the sums of slopes and of
+    slopes times points over the points above, it is known at each point; the level lies below the last point that the
+    budget reaches.
     """
     x = candidates.where("gap > 0").withColumn("top", F.log(F.col("gap") * F.col("k")))
-    points = x.select(F.explode(F.array(F.struct(F.col("top").alias("at"), (1 / F.col("k")).alias("slope")), F.struct((F.col("top") - F.col("k") * cap).alias("at"), (-1 / F.col("k")).alias("slope")))).alias("b")).select("b.*").groupBy("at").agg(F.sum("slope").alias("slope"))
-    down = Window.orderBy(F.desc("at"))
-    run = points.withColumn("rate", F.sum("slope").over(down)).withColumn("next", F.lead("at").over(down))
-    run = run.withColumn("gain", F.coalesce(F.col("rate") * (F.col("at") - F.col("next")), F.lit(0.0)))
-    run = run.withColumn("before", F.coalesce(F.sum("gain").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    level = run.where((F.col("before") <= budget) & (F.col("before") + F.col("gain") >= budget) & (F.col("rate") > 1e-12)).agg(F.max(F.col("at") - (budget - F.col("before")) / F.col("rate")).alias("level"))
+    enters, fills = F.struct(F.col("top").alias("at"), (1 / F.col("k")).alias("slope")), F.struct((F.col("top") - F.col("k") * cap).alias("at"), (-1 / F.col("k")).alias("slope"))
+    points = x.select(F.explode(F.array(enters, fills)).alias("b")).select("b.*").groupBy("at").agg(F.sum("slope").alias("slope"))
+    sums = running(points, [F.col("at").desc()], rate=F.col("slope"), weighed=F.col("slope") * F.col("at"))
+    sums = sums.withColumn("rate", F.col("rate") + F.col("slope")).withColumn("weighed", F.col("weighed") + F.col("slope") * F.col("at"))
+    last = sums.where(F.col("weighed") - F.col("at") * F.col("rate") <= budget).agg(F.min_by(F.struct("rate", "weighed"), "at").alias("s"))
+    level = last.select(F.when(F.col("s.rate") > 1e-6, (F.col("s.weighed") - budget) / F.col("s.rate")).alias("level"))
     spend = F.when(F.col("level").isNull(), F.lit(float(cap))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), (F.col("top") - F.col("level")) / F.col("k"))))
     filled = x.crossJoin(F.broadcast(level)).select("outlet_id", spend.alias("spend"))  # level is one row
     return candidates.select("outlet_id").join(filled, "outlet_id", "left").select("outlet_id", F.coalesce("spend", F.lit(0.0)).alias("spend"))

@@ -57,11 +57,27 @@ def template_text(floor: Column, potential: Column, mean: Column, trend: Column,
 
 
 def ungrounded(text: Column, allowed: Column, slack: int = 2) -> Column:
-    """Numbers of a text (not next to a letter, above 1) that aren't within the slack of an allowed whole number."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9.])(\d+)(?![A-Za-z0-9])"), F.lit(1)), lambda x: x.cast("long"))
+    """Numbers of a text (not next to a letter, above 1), rounded, that aren't within the slack of an allowed one."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9.])(\d+(?:\.\d+)?)(?![A-Za-z0-9])"), F.lit(1)), lambda x: F.round(x.cast("double")).cast("long"))
     return F.array_distinct(F.filter(found, lambda n: (n > 1) & ~F.exists(allowed, lambda a: F.abs(a - n) <= slack)))
 
 
+def allowed_numbers(*facts: Column, drivers: Column | None = None) -> Column:
+    """The whole numbers that a text may give: those of the packet's facts, and of its drivers' values."""
+    own = F.array(*[F.abs(F.round(f.cast("double"))).cast("long") for f in facts])
+    if drivers is not None:
+        own = F.concat(own, F.transform(drivers, lambda d: F.abs(F.round(d["value"])).cast("long")))
+    return F.filter(own, lambda x: x.isNotNull())
+
+
+def live_sample(df: DataFrame, score: str, n: int, key: str = "outlet_id", seed: int = 42) -> DataFrame:
+    """n rows to be explained live: a third of them the largest by score, the others drawn by a seeded hash of the key."""
+    top = df.orderBy(F.desc(score), key).limit(n // 3)
+    mixed = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
+    rest = df.join(F.broadcast(top.select(key)), key, "left_anti").orderBy(mixed, key).limit(n - n // 3)  # n // 3 rows
+    return top.unionByName(rest)
+
+
 def prompt(evidence_column: Column) -> Column:
     return F.concat(F.lit("Explain the potential in four lines, with no number that is not in this record: "), F.to_json(evidence_column))
 

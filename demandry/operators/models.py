@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandry.functions.exprs import exact_avg
+from demandry.operators.ranks import mean_ranks
+from demandry.session import cut
 
 
 def fold_of(key: Column, folds: int = 5) -> Column:
@@ -36,10 +38,46 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(filled)
 
 
-def fit_trees(panel: DataFrame, features: Sequence[str], rounds: int = 20, depth: int = 4, seed: int = 42) -> GBTRegressionModel:
-    """Boosted trees on the panel; the fold of the outlet's hash is the validation part that ends the rounds early."""
-    data = assemble(panel, features).withColumn("check", fold_of(F.col("outlet_id")) == 0)
-    return GBTRegressor(featuresCol="features", labelCol="target", maxIter=rounds, stepSize=0.2, maxDepth=depth, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="all", validationIndicatorCol="check", seed=seed).fit(data)
+def trees(rounds: int, rate: float, depth: int, seed: int) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol="target", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="all", seed=seed)
+
+
+def cross_validate(panel: DataFrame, features: Sequence[str], rounds: int = 2000, rate: float = 0.05, depth: int = 6, folds: int = 5, seed: int = 42) -> DataFrame:
+    """(fold, n_train, n_valid, best_round, rmse) of each fold: trees fitted on the other folds' outlets.
+
+    best_round is the one of the least error on the fold, rmse the error there, of log1p(volume). Spark's trees grow
+    level by level; a depth of 6 has as many leaves (64) as a leaf-wise tree of 63.
+    """
+    data = cut(assemble(panel, features).select("features", "target", fold_of(F.col("outlet_id"), folds).alias("fold")))
+    rows = []
+    for fold in range(folds):
+        train, valid = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
+        n = [train.count(), valid.count()]
+        if all(n):
+            errors = trees(rounds, rate, depth, seed).fit(train).evaluateEachIteration(valid, "squared")
+            best = int(np.argmin(errors))
+            rows.append((fold, *n, best + 1, float(math.sqrt(errors[best]))))
+    return panel.sparkSession.createDataFrame(rows, "fold int, n_train long, n_valid long, best_round int, rmse double")
+
+
+def cv_metrics(folds: DataFrame) -> DataFrame:
+    """One row of the folds' metrics: their number, mean and standard deviation of the RMSE, and the mean best round."""
+    return folds.agg(F.count("*").alias("folds"), F.avg("rmse").alias("rmse_mean"), F.coalesce(F.stddev_pop("rmse"), F.lit(0.0)).alias("rmse_std"), F.round(F.avg("best_round")).cast("int").alias("rounds"))
+
+
+def fit_trees(panel: DataFrame, features: Sequence[str], rounds: int, rate: float = 0.05, depth: int = 6, seed: int = 42) -> GBTRegressionModel:
+    """Boosted trees on the whole panel, with the rounds that cross-validation gave."""
+    return trees(rounds, rate, depth, seed).fit(assemble(panel, features))
+
+
+def save_trees(model: GBTRegressionModel, features: Sequence[str], path: str, spark) -> None:
+    """The model and its features' names, in a folder that load_trees reads; an older one is replaced."""
+    model.write().overwrite().save(f"{path}/trees")
+    spark.createDataFrame([(k, f) for k, f in enumerate(features)], "place int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_trees(path: str, spark) -> tuple[GBTRegressionModel, list[str]]:
+    return GBTRegressionModel.load(f"{path}/trees"), [r.feature for r in spark.read.parquet(f"{path}/features").orderBy("place").collect()]
 
 
 def importance(model: GBTRegressionModel, features: Sequence[str], spark) -> DataFrame:
@@ -70,7 +108,8 @@ def tobit(panel: DataFrame, features: Sequence[str], rounds: int = 25) -> DataFr
     sums (features squared) reach the driver, where the normal equations are solved.
     """
     names, p = list(features), len(features) + 1
-    cached = panel.select("outlet_id", "volume", "censored", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]).persist()
+    cached = panel.select("outlet_id", "volume", "censored", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    cached = cut(cached)
     mean_sd = cached.agg(*[F.avg(c) for c in names], *[F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in names], F.avg(F.log1p("volume")), F.coalesce(F.stddev_pop(F.log1p("volume")), F.lit(1.0))).first()
     centre = np.array([v or 0.0 for v in mean_sd[: p - 1]])
     spread = np.array([v or 1.0 for v in mean_sd[p - 1 : 2 * (p - 1)]])
@@ -198,9 +237,6 @@ def attributions(df: DataFrame, model: GBTRegressionModel, features: Sequence[st
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, Pearson, Spearman (average ranks) and mean difference, on complete pairs."""
-    from pyspark.sql import Window
-
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-    ranked = pairs.withColumn("ra", rank("a")).withColumn("rb", rank("b"))
+    ranked = mean_ranks(mean_ranks(cut(pairs), "a", "ra"), "b", "rb")
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 4).alias("pearson"), F.round(F.corr("ra", "rb"), 4).alias("spearman"), F.round(exact_avg(F.col("a") - F.col("b"), 6), 4).alias("mean_diff"))

@@ -78,10 +78,24 @@ def impute(df: DataFrame, cluster: Sequence[str], columns: Sequence[str], flag:
 
 #: The tags by which an element counts as a type of point of interest.
 POI_TAGS = (
-    ("school", "amenity", "school"), ("school", "amenity", "kindergarten"), ("university", "amenity", "university"), ("university", "amenity", "college"),
-    ("bus_station", "amenity", "bus_station"), ("bus_station", "highway", "bus_stop"), ("hospital", "amenity", "hospital"), ("hospital", "amenity", "clinic"),
-    ("place_of_worship", "amenity", "place_of_worship"), ("marketplace", "amenity", "marketplace"), ("marketplace", "shop", "supermarket"),
-    ("restaurant", "amenity", "restaurant"), ("restaurant", "amenity", "cafe"), ("tourism", "tourism", "hotel"), ("tourism", "tourism", "attraction"),
+    ("school", "amenity", "school"),
+    ("university", "amenity", "university"),
+    ("university", "amenity", "college"),
+    ("bus_station", "amenity", "bus_station"),
+    ("bus_station", "public_transport", "station"),
+    ("bus_station", "highway", "bus_stop"),
+    ("hospital", "amenity", "hospital"),
+    ("hospital", "amenity", "clinic"),
+    ("place_of_worship", "amenity", "place_of_worship"),
+    ("marketplace", "amenity", "marketplace"),
+    ("marketplace", "shop", "supermarket"),
+    ("restaurant", "amenity", "restaurant"),
+    ("restaurant", "amenity", "cafe"),
+    ("restaurant", "amenity", "fast_food"),
+    ("tourism", "tourism", "hotel"),
+    ("tourism", "tourism", "attraction"),
+    ("tourism", "tourism", "museum"),
+    ("tourism", "tourism", "guest_house"),
 )
 
 

@@ -11,6 +11,7 @@ from demandry.config import DECAY, DOMAIN, POTENTIAL
 from demandry.functions.exprs import clip, one_hot, pct_rank, province, tier
 from demandry.operators import panel as p
 from demandry.operators import spatial as s
+from demandry.operators.ranks import running
 from demandry.plans import views as v
 from demandry.session import cut
 
@@ -51,11 +52,9 @@ def temporal(primary: DataFrame, labels: DataFrame) -> DataFrame:
 def with_tiers(master: DataFrame, density: DataFrame) -> DataFrame:
     """Adds poi_tier (q1 to q4 by rank, ties by id) and urban (above the median)."""
     joined = master.join(density, "outlet_id", "left").withColumn("poi_density", F.coalesce("poi_density", F.lit(0)))
-    everyone = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy("poi_density", "outlet_id"))
-    ranked = joined.withColumn("rank", rank).withColumn("n", F.count("*").over(everyone))
-    median = joined.agg(F.median("poi_density").alias("median"))
-    flagged = ranked.crossJoin(F.broadcast(median))  # one row
+    ranked = running(joined, [F.col("poi_density").asc(), F.col("outlet_id").asc()], before=F.lit(1)).withColumn("rank", F.col("before") + 1).drop("before")
+    whole = joined.agg(F.median("poi_density").alias("median"), F.count("*").alias("n"))
+    flagged = ranked.crossJoin(F.broadcast(whole))  # one row
     return flagged.withColumn("poi_tier", F.concat(F.lit("q"), tier(F.col("rank"), F.col("n")).cast("string"))).withColumn("urban", (F.col("poi_density") > F.col("median")).cast("int")).drop("rank", "n", "median")
 
 

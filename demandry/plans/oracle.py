@@ -20,6 +20,9 @@ def _ring(k: str, n: int) -> list[str]:
     return [f"(case when {k} % 83 = 0 then {b} + 1 else {a} end)", b, c]
 
 
+#: Fixed values, written out again so that the SQL doesn't follow a wrong constant: decay lengths in metres, weights.
+LENGTHS = {"school": 250.0, "university": 450.0, "bus_station": 180.0, "hospital": 500.0, "place_of_worship": 300.0, "marketplace": 300.0, "restaurant": 200.0, "tourism": 500.0}
+WEIGHTS = {"school": 2.0, "university": 1.0, "bus_station": 3.0, "hospital": 2.0, "place_of_worship": 1.0, "marketplace": 1.0, "restaurant": 1.0, "tourism": 1.0}
 RING_COLUMNS = ", ".join(f"case when c_custkey % 9 <> 0 then {x} end as {t}_{r}" for n, t in enumerate(DECAY.types) for r, x in zip(DECAY.rings, _ring("c_custkey", n), strict=True))
 
 
@@ -30,7 +33,7 @@ def shell_sql(kind: str) -> list[str]:
 
 
 def exp_sql(kind: str, scale: float = 1.0) -> str:
-    length = DECAY.lengths[DECAY.types.index(kind)] * scale
+    length = LENGTHS[kind] * scale
     import math
 
     return "(0.0::double + " + " + ".join(f"({n}) * {math.exp(-m / length)!r}::double" for n, m in zip(shell_sql(kind), DECAY.midpoints, strict=True)) + ")"
@@ -41,7 +44,7 @@ def gravity_sql(kind: str) -> str:
 
 
 def weighted_sql(of) -> str:
-    return "(0.0::double + " + " + ".join(f"{w!r}::double * {of(t)}" for t, w in zip(DECAY.types, DECAY.weights, strict=True)) + ")"
+    return "(0.0::double + " + " + ".join(f"{w!r}::double * {of(t)}" for t, w in WEIGHTS.items()) + ")"
 
 
 PROVINCE = lambda d: "case " + " ".join(f"when starts_with({d}, '{p}_') then '{n}'" for p, n in DOMAIN.provinces) + " else 'Unknown' end"
@@ -114,7 +117,7 @@ with tx as (
   select s.*, recent_trend, yoy_growth, censoring_score, plateau_score, plateau_score / greatest((select max(plateau_score) from plateau), 1)::double as plateau_norm
   from stats s join trend using (outlet_id) join growth using (outlet_id) join cens using (outlet_id) join plateau using (outlet_id)
 ), density as (
-  select outlet_id, {" + ".join(f"{int(w)} * {t}_1000" for t, w in zip(DECAY.types, DECAY.weights, strict=True))} as poi_density from ring
+  select outlet_id, {" + ".join(f"{int(w)} * {t}_1000" for t, w in WEIGHTS.items())} as poi_density from ring
 ), ranked as (
   select o.*, p.distributor_id, p.province, coalesce(d.poi_density, 0) as poi_density, row_number() over (order by coalesce(d.poi_density, 0), o.outlet_id) as rn, count(*) over () as n
   from outlet o join place p using (outlet_id) left join density d using (outlet_id)
@@ -135,7 +138,7 @@ with tx as (
   from (select outlet_id, vol_max, vol_mean, case when coolers > 0 then coolers * {POTENTIAL.litres} * {POTENTIAL.turns} else {POTENTIAL.no_cooler} end::double as raw from member join stats using (outlet_id))
 ), pre as (
   select member.*, txf.* exclude (outlet_id), cluster_size, peer_p85, peer_p99, season_label, phys.* exclude (outlet_id), vol_p95 as stage_a,
-    case season_label when 'Favorable' then 1.1 when 'Moderate' then 1.0 else 0.9 end::double as season,
+    case season_label when 'Favorable' then 1.3 when 'Moderate' then 1.0 else 0.7 end::double as season,
     1 + 0.25::double * least(greatest(0.5::double * censoring_score + 0.5::double * plateau_norm, 0), 1) as uplift, {POTENTIAL.floor}::double * vol_max as floor,
     case when censoring_score > {POTENTIAL.supply_bound} then 'supply' else 'demand' end as constraint_type
   from member join txf using (outlet_id) join (select outlet_id, cluster_size, peer_p85, peer_p99 from peer) using (outlet_id) join season using (outlet_id) join phys using (outlet_id)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandry.session import cut
 from demandry.config import BUDGET, DECAY, DOMAIN, POTENTIAL
 from demandry.functions.exprs import ceil_to, pct_rank
 from demandry.operators import budget as b
@@ -366,7 +367,7 @@ def lambda_spearman(spark, d):
 
 
 @query("poi_tag_counts", f""", tag(poi_type, key, value) as (values {o.TAGS}),
-el as (select c.outlet_id, c.lat, c.lon, (e.event_id % 40 - 20) / 2000.0::double + c.lat as elat, (e.event_id % 31 - 15) / 2000.0::double + c.lon as elon, e.event_id, e.event_id % 15 as k from coord c join events e on e.user_id = c.outlet_id where c.lat <> 0),
+el as (select c.outlet_id, c.lat, c.lon, (e.event_id % 40 - 20) / 2000.0::double + c.lat as elat, (e.event_id % 31 - 15) / 2000.0::double + c.lon as elon, e.event_id, e.event_id % 18 as k from coord c join events e on e.user_id = c.outlet_id where c.lat <> 0),
 nm as (select *, row_number() over () - 1 as k from tag), t as (select el.*, n.poi_type, 2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(elat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(elat)) * pow(sin(radians(elon - lon) / 2), 2), 1.0))) as metres
   from el join nm h on el.k = h.k join tag n on n.key = h.key and n.value = h.value)
 select outlet_id, poi_type, count(distinct event_id) filter (metres <= 500) as n_500, count(distinct event_id) filter (metres <= 1000) as n_1000, count(distinct event_id) filter (metres <= 2000) as n_2000 from t group by outlet_id, poi_type""")
@@ -556,11 +557,18 @@ def template_explanation(spark, d):
     return _texts(spark, d).select("outlet_id", "explanation", "source")
 
 
-@query("groundedness", EVIDENCE_SQL + TEXT_SQL + """select outlet_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(explanation, '[0-9]+'), lambda v: cast(v as bigint)),
-lambda v: v > 1 and not (abs(v - potential) <= 2 or abs(v - vol_mean) <= 2)))) as n_ungrounded from txt""")
+@query("groundedness", EVIDENCE_SQL + TEXT_SQL + """select outlet_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(explanation, '[0-9]+(?:[.][0-9]+)?'), lambda v: cast(round(cast(v as double)) as bigint)),
+lambda v: v > 1 and not (abs(v - potential) <= 2 or abs(v - vol_mean) <= 2 or abs(v - floor) <= 2 or abs(v - abs(trend_pct)) <= 2 or abs(v - coalesce(coolers, v + 9)) <= 2)))) as n_ungrounded from txt""")
 def groundedness(spark, d):
-    loose = x.ungrounded(F.col("explanation"), F.array("potential", "vol_mean"))
-    return _texts(spark, d).select("outlet_id", F.size(loose).cast("long").alias("n_ungrounded"))
+    """Every number of the packet may stand in the text."""
+    facts = x.allowed_numbers(*[F.col(c) for c in ("potential", "vol_mean", "floor", "trend_pct", "coolers")])
+    return _texts(spark, d).select("outlet_id", F.size(x.ungrounded(F.col("explanation"), facts)).cast("long").alias("n_ungrounded"))
+
+
+@query("live_sample", EVIDENCE_SQL + """, top as (select outlet_id, potential from ev order by potential desc, outlet_id limit 8)
+select outlet_id, potential from top union all select * from (select outlet_id, potential from ev where outlet_id not in (select outlet_id from top) order by md5(outlet_id || '-42'), outlet_id limit 17)""")
+def live_sample(spark, d):
+    return x.live_sample(_evidence(spark, d).select("outlet_id", "potential"), "potential", 25)
 
 
 @query("top_drivers", """, z as (select outlet_id, (recent_trend - 1) as recent_trend, (yoy_growth - 1) as yoy_growth, (censoring_score - 0.1) as censoring_score, (plateau_norm - 0.5) as plateau_norm, (vol_cv - 0.5) as vol_cv from txf),
@@ -629,6 +637,29 @@ def _panel(spark, d) -> tuple[DataFrame, DataFrame]:
     return months, own
 
 
+#: The queries' trees are small, so that they take seconds; the operators' defaults are the full ones.
+SMALL = {"rounds": 8, "rate": 0.3, "depth": 3}
+
+
+def _model(spark, d):
+    """(features of the outlets, training panel, trees, names) of the one model that forecasts and is explained."""
+    months, own = _panel(spark, d)
+    names = [*MODEL_FEATURES, "year_norm", *[f"month_{k}" for k in range(1, 13)]]
+    panel = cut(ml.training_panel(months, own, DOMAIN.years[0]))
+    rounds = ml.cv_metrics(ml.cross_validate(panel, names, **SMALL)).first()["rounds"] or 1
+    return own, panel, ml.fit_trees(panel, names, rounds, SMALL["rate"], SMALL["depth"]), names
+
+
+@query("cv_metrics")
+def cv_metrics(spark, d):
+    """Folds of outlets: rounds and error of each, then those of all."""
+    months, own = _panel(spark, d)
+    names = [*MODEL_FEATURES, "year_norm", *[f"month_{k}" for k in range(1, 13)]]
+    folds = ml.cross_validate(ml.training_panel(months, own, DOMAIN.years[0]), names, **SMALL)
+    whole = ml.cv_metrics(folds)
+    return folds.select(F.col("fold").cast("string").alias("fold"), "best_round", F.round("rmse", 6).alias("rmse")).unionByName(whole.select(F.lit("all").alias("fold"), F.col("rounds").alias("best_round"), F.round("rmse_mean", 6).alias("rmse")))
+
+
 @query("feature_table")
 def feature_table(spark, d):
     return f.feature_table(spark, d)
@@ -637,9 +668,7 @@ def feature_table(spark, d):
 @query("stage_a_gbt")
 def stage_a_gbt(spark, d):
     """Potential with the trees' January forecast as stage A."""
-    months, own = _panel(spark, d)
-    names = [*MODEL_FEATURES, "year_norm", *[f"month_{k}" for k in range(1, 13)]]
-    model = ml.fit_trees(ml.training_panel(months, own, DOMAIN.years[0]), names)
+    own, panel, model, names = _model(spark, d)
     point = own.withColumn("year_norm", F.lit(len(DOMAIN.years))).withColumns({f"month_{k}": F.lit(int(k == 1)) for k in range(1, 13)})
     stage_a = model.transform(ml.assemble(point, names)).select("outlet_id", F.expm1("prediction").alias("stage_a"))
     return pot.predictions(pot.scored(spark, d, stage_a))
@@ -663,12 +692,13 @@ def tobit(spark, d):
 
 @query("tree_shap")
 def tree_shap(spark, d):
-    """Attributions of the trees' forecast to the outlet's features."""
-    months, own = _panel(spark, d)
-    model = ml.fit_trees(ml.training_panel(months, own, DOMAIN.years[0]), MODEL_FEATURES, rounds=8, depth=3)
-    return ml.attributions(own, model, MODEL_FEATURES)
+    """Attributions of the January forecast of the trees that stage_a_gbt predicts with, to all their features."""
+    own, _, model, names = _model(spark, d)
+    point = own.withColumn("year_norm", F.lit(len(DOMAIN.years))).withColumns({f"month_{k}": F.lit(int(k == 1)) for k in range(1, 13)})
+    return ml.attributions(point, model, names)
 
 
-@query("events_dq_stream")
+@query("events_dq_stream", """select cast(ts as date) as day, case when event_id is null or user_id is null or ts is null or coalesce(value < 0, false)
+  or try_cast(json_extract_string(props, '$.k') as bigint) is null then 'rejected' else 'passed' end as status, count(*) as n from events where ts is not null group by all""")
 def events_dq_stream(spark, d):
     return event_quality_stream(spark, d)

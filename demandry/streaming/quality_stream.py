@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +17,27 @@ def tag_events(events: DataFrame) -> DataFrame:
     return q.tag(events, q.null_reason(events, ["event_id", "user_id", "ts"]), q.range_reason("value", 0.0), F.when(~F.coalesce(readable, F.lit(False)), "props unreadable"))
 
 
-def event_quality_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_quality_stream(spark: SparkSession, sf_dir: str, out: str | None = None) -> DataFrame:
     """(day, status, n): events by day and by whether they passed, from a stream that ends with the files.
 
-    Late events are dropped after a day; state is bounded by the watermark.
+    Each batch writes the counts that it changed to a folder of its own in out/counts, so that a batch that runs again
+    after a failure replaces its own rows; the state is in out/state, from which a stream started again with the same out
+    goes on. Counts of a day are kept until events of more than a day later have come; what comes later still is left out.
+    Without out a new folder in the shared one is taken.
     """
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
+    if out is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="demandry-")
+        out = f"{shared.rstrip('/')}/quality-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern, so that a folder of files and a single file are read alike.
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     tagged = tag_events(stream).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
     counts = tagged.groupBy(F.window("ts", "1 day").alias("w"), F.when(F.col(q.REASON).isNull(), "passed").otherwise("rejected").alias("status")).agg(F.count("*").alias("n"))
-    name = f"quality_{uuid.uuid4().hex}"
-    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.to_date("w.start").alias("day"), "status", "n")
 
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.select(F.to_date("w.start").alias("day"), "status", "n").write.mode("overwrite").parquet(f"{out}/counts/batch={batch}")
+
+    run = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    written = spark.read.schema("day date, status string, n long, batch long").parquet(f"{out}/counts")
+    return written.groupBy("day", "status").agg(F.max_by("n", "batch").alias("n"))

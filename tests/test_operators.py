@@ -181,7 +181,7 @@ def test_attributions_add_up(spark):
     x = rng.normal(size=(400, 3))
     y = np.where(x[:, 0] > 0, 2.0, 0.0) + x[:, 1] * (x[:, 2] > 0)
     df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "outlet_id long, a double, b double, c double, target double")
-    model = models.fit_trees(df, ["a", "b", "c"], rounds=5, depth=3)
+    model = models.fit_trees(df, ["a", "b", "c"], rounds=5, rate=0.2, depth=3)
     own = models.attributions(df, model, ["a", "b", "c"])
     direct = dict(rows(model.transform(models.assemble(df, ["a", "b", "c"])).select("outlet_id", "prediction")))
     for r in own.collect():
@@ -203,3 +203,58 @@ def test_tobit_recovers_a_censored_line(spark):
 
 def test_domain_constants():
     assert len(DOMAIN.sizes) == 4 and DOMAIN.box[0] < DOMAIN.box[1]
+
+
+def test_fixed_values():
+    """What results depend on, against literals."""
+    from demandry.config import BUDGET, DECAY, DOMAIN, POTENTIAL
+    from demandry.operators.spatial import POI_TAGS
+
+    assert dict(zip(DECAY.types, DECAY.lengths, strict=True)) == {"bus_station": 180, "restaurant": 200, "school": 250, "marketplace": 300, "place_of_worship": 300, "university": 450, "hospital": 500, "tourism": 500}
+    assert dict(zip(DECAY.types, DECAY.weights, strict=True)) == {"school": 2, "university": 1, "bus_station": 3, "hospital": 2, "place_of_worship": 1, "marketplace": 1, "restaurant": 1, "tourism": 1}
+    assert POTENTIAL.season == {"Favorable": 1.3, "Moderate": 1.0, "Un-Favorable": 0.7} and (BUDGET.total, BUDGET.cap) == (5_000_000, 50_000)
+    assert dict(DOMAIN.provinces)["DIST_NW"] == "North-Western"
+    assert {("bus_station", "public_transport", "station"), ("restaurant", "amenity", "fast_food"), ("tourism", "tourism", "museum"), ("tourism", "tourism", "guest_house")} <= set(POI_TAGS)
+    assert len(POI_TAGS) == 18 and ("school", "amenity", "kindergarten") not in POI_TAGS
+
+
+def test_running_sums_and_ranks(spark):
+    import random
+
+    from demandry.operators import ranks
+
+    rng = random.Random(3)
+    data = [(k, rng.choice([1.0, 2.0, 2.5, None, rng.random()])) for k in range(400)]
+    df = spark.createDataFrame(data, "id long, x double")
+    got = {r.id: r.before for r in ranks.running(df.where("x is not null"), [F.col("x").desc(), F.col("id").asc()], before=F.col("x")).collect()}
+    total = 0.0
+    for k, x in sorted(((k, x) for k, x in data if x is not None), key=lambda p: (-p[1], p[0])):
+        assert abs(got[k] - total) < 1e-9
+        total += x
+    mean = {r.id: r.rank for r in ranks.mean_ranks(df, "x", "rank").collect()}
+    known = sorted(x for _, x in data if x is not None)
+    assert all(mean[k] is None if x is None else mean[k] == known.index(x) + (known.count(x) + 1) / 2 for k, x in data)
+    assert ranks.running(df.limit(0), [F.col("x").asc()], n=F.lit(1)).count() == 0
+
+
+def test_cross_validation_and_saved_trees(spark, tmp_path):
+    rng = __import__("random").Random(5)
+    data = [(o, rng.random(), rng.random()) for o in range(60) for _ in range(8)]
+    df = spark.createDataFrame([(o, a, b, 3 * a + (b > 0.5)) for o, a, b in data], "outlet_id long, a double, b double, target double")
+    folds = models.cross_validate(df, ["a", "b"], rounds=6, rate=0.3, depth=3, folds=3)
+    got = folds.collect()
+    assert len(got) == 3 and sum(r.n_valid for r in got) == len(data) and all(r.n_train + r.n_valid == len(data) and 1 <= r.best_round <= 6 and 0 < r.rmse < 1 for r in got)
+    rounds = models.cv_metrics(folds).first()["rounds"]
+    model = models.fit_trees(df, ["a", "b"], rounds, 0.3, 3)
+    models.save_trees(model, ["a", "b"], f"{tmp_path}/m", spark)
+    again, names = models.load_trees(f"{tmp_path}/m", spark)
+    sums = [m.transform(models.assemble(df, names)).agg(F.sum("prediction")).first()[0] for m in (model, again)]
+    assert names == ["a", "b"] and abs(sums[0] - sums[1]) < 1e-9
+
+
+def test_groundedness_of_decimals(spark):
+    from demandry.operators import explain
+
+    df = spark.createDataFrame([("At 12.5 L and 40 L, up 7.", 12.4, [("a", 40.2)]), ("At 99.6 L.", 12.4, [])], "text string, potential double, drivers array<struct<feature:string,value:double>>")
+    got = df.select(explain.ungrounded(F.col("text"), explain.allowed_numbers(F.col("potential"), drivers=F.col("drivers"))).alias("n")).collect()
+    assert [sorted(r.n) for r in got] == [[7], [100]]
