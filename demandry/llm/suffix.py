@@ -15,6 +15,8 @@ from .common import batches, ranges, texts
 WINDOW = 13
 #: Keeps 0-9, a-z and every byte of a non-ASCII character, lower-cases A-Z, and turns the rest of ASCII into spaces.
 ITEM_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Documents of a shard, whose suffixes are sorted together.
+SHARD = 2000
 #: Words of benchmark text that one pass over the documents searches for; more go in further passes.
 PASS_WORDS = 2_000_000
 SPANS = "row long, n_words long, starts array<long>, ends array<long>, items array<string>"
@@ -118,7 +120,7 @@ def match_spans(docs: DataFrame, items: list[tuple[str, bytes]], id_col: str = "
     schema = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (whole.slice(k, SHARD) for whole in parts for k in range(0, whole.num_rows, SHARD)):
             counts, doc, first, which = shard_matches(texts(part.column(2)), tests)
             order = np.lexsort((first, doc))
             doc, first, which = doc[order], first[order], which[order]
@@ -155,7 +157,7 @@ def _union_spans(rows: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """One row per document: (id column, row, n_words, starts, ends, items, n_hit); row is a hash of the id and the text.
 
-    Each shard of documents (an Arrow batch) becomes an array of word suffixes; every test suffix is binary-searched in
+    Each shard of documents (SHARD of them at most) becomes an array of word suffixes; every test suffix is binary-searched in
     it, which gives all its verbatim matches and their locations. A window is `window` consecutive words of an item, or
     the whole of a shorter item; matches of neighbouring windows join into the longest match. Suffixes whose leading
     words begin no window are left out, as no search reaches them. The benchmark is taken in passes of at most
