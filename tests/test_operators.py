@@ -131,7 +131,7 @@ def test_poi_counts(spark):
     el = [(1, 7.0, 80.0, "node", 1, 7.0, 80.0, {"amenity": "school", "tourism": "hotel"}), (1, 7.0, 80.0, "node", 1, 7.0, 80.0, {"amenity": "school"}), (1, 7.0, 80.0, "node", 2, 7.006, 80.0, {"amenity": "school"}), (1, 7.0, 80.0, "way", 3, None, None, {"amenity": "school"})]
     df = spark.createDataFrame(el, "outlet_id long, lat double, lon double, kind string, element_id long, elat double, elon double, tags map<string,string>")
     assert sorted(rows(spatial.poi_counts(df))) == [(1, "school", 1, 2, 2), (1, "tourism", 1, 1, 1)]
-    assert '"school"' not in spatial.radius_query(7, 80) and "kindergarten|" in spatial.radius_query(7, 80)
+    assert '"school"' not in spatial.radius_query(7, 80) and "fast_food|hospital|" in spatial.radius_query(7, 80)
 
 
 def test_impute(spark):
