@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandry.functions.exprs import exact_sum
 from demandry.operators.ranks import running
 
 
@@ -43,3 +44,16 @@ def waterfill(candidates: DataFrame, budget: float, cap: float) -> DataFrame:
 
 def response(gap, k, spend):
     return gap * (1 - F.exp(-k * spend))
+
+
+def summary(allocated: DataFrame, by: str) -> DataFrame:
+    """Funded outlets, spend and increment of each group; funded is more than 1."""
+    funded = allocated.where("spend > 1").groupBy(by)
+    return funded.agg(F.count("*").alias("outlets"), exact_sum(F.col("spend")).alias("spend"), F.round(F.sum(F.col("increment").cast("decimal(18,6)")).cast("double"), 3).alias("increment"))
+
+
+def compare(exact: DataFrame, greedy: DataFrame) -> DataFrame:
+    """One row: the increments of both solutions and the share of the exact one that the greedy one reaches."""
+    both = exact.select("outlet_id", F.col("increment").alias("exact")).join(greedy.select("outlet_id", F.col("increment").alias("greedy")), "outlet_id")
+    total = lambda c: F.sum(F.col(c).cast("decimal(18,6)")).cast("double")
+    return both.agg(F.count("*").alias("outlets"), F.round(total("exact"), 3).alias("exact"), F.round(total("greedy"), 3).alias("greedy"), F.round(total("greedy") / F.greatest(total("exact"), F.lit(1e-9)), 6).alias("ratio"))

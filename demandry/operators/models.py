@@ -86,8 +86,13 @@ def importance(model: GBTRegressionModel, features: Sequence[str], spark) -> Dat
 
 
 def survival(panel: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(outlet_id, weibull): mean expected volume of an accelerated-failure-time model; panel has volume and censored (0/1)."""
-    data = assemble(panel, features).select("outlet_id", "features", F.greatest("volume", F.lit(1.0)).alias("label"), (1.0 - F.col("censored")).alias("censor"))
+    """(outlet_id, weibull): mean expected volume of an accelerated-failure-time model; panel has volume and censored (0/1).
+
+    Features that don't vary are left out. The fit has no penalty, which Spark's doesn't offer.
+    """
+    own = cut(panel.select("outlet_id", "volume", "censored", *features))
+    spread = own.agg(*[F.coalesce(F.stddev(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), F.lit(0.0)).alias(c) for c in features]).first()
+    data = assemble(own, [c for c in features if spread[c] > 1e-9]).select("outlet_id", "features", F.greatest("volume", F.lit(1.0)).alias("label"), (1.0 - F.col("censored")).alias("censor"))
     model = AFTSurvivalRegression(featuresCol="features", labelCol="label", censorCol="censor", maxIter=50).fit(data)
     scale = math.gamma(1 + model.scale)
     return model.transform(data).groupBy("outlet_id").agg(F.avg(F.col("prediction") * scale).alias("weibull"))
@@ -203,30 +208,34 @@ def attributions(df: DataFrame, model: GBTRegressionModel, features: Sequence[st
     names = list(features)
 
     def shap(x: np.ndarray) -> tuple[float, np.ndarray]:
-        phi, base = np.zeros(len(names)), 0.0
+        """base and (rows, features): one polynomial for each row, all rows of a batch at once."""
+        phi, base = np.zeros((len(x), len(names))), 0.0
         for weight, paths in trees:
             for value, path in paths:
-                known = np.array([1.0 if a < x[f] <= b else 0.0 for f, a, b, _ in path])
+                known = np.column_stack([(low < x[:, f]) & (x[:, f] <= high) for f, low, high, _ in path]).astype(float) if path else np.zeros((len(x), 0))
                 share = np.array([s for *_, s in path])
                 base += weight * value * float(share.prod())
                 m = len(path)
+                sizes = np.array([math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)])
                 for i in range(m):
-                    poly = np.ones(1)
+                    poly = np.zeros((len(x), m))
+                    poly[:, 0] = 1.0
                     for j in range(m):
                         if j != i:
-                            poly = np.convolve(poly, [share[j], known[j]])
-                    sizes = [math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)]
-                    phi[path[i][0]] += weight * value * (known[i] - share[i]) * float(np.dot(sizes, poly))
+                            shifted = np.zeros_like(poly)
+                            shifted[:, 1:] = poly[:, :-1]
+                            poly = poly * share[j] + shifted * known[:, [j]]
+                    phi[:, path[i][0]] += weight * value * (known[:, i] - share[i]) * (poly @ sizes)
         return base, phi
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [shap(x) for x in pdf[names].to_numpy(dtype=float)]
+            base, phi = shap(pdf[names].to_numpy(dtype=float))
             out = pdf[list(keep)].copy()
-            out["base"] = [r[0] for r in rows]
+            out["base"] = base
             for k, f in enumerate(names):
-                out[f] = [r[1][k] for r in rows]
-            out["prediction"] = [r[0] + r[1].sum() for r in rows]
+                out[f] = phi[:, k]
+            out["prediction"] = base + phi.sum(axis=1)
             yield out
 
     filled = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])

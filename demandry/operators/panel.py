@@ -1,7 +1,7 @@
 """The outlet-month panel: roll-up of sales, and features of each outlet's own months.
 
 Months are the active ones only, in the order of year * 12 + month. Sums are exact decimals. All windows are partitioned
-by outlet and ordered alike, so that Spark sorts once.
+by outlet; those over time but `recent_trend`, which counts back from the last month, run in its order.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def stats(months: DataFrame) -> DataFrame:
         F.median(v).alias("vol_median"),
         F.max(v).alias("vol_max"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("vol_std"),
-        F.percentile(v, F.array(F.lit(0.75), F.lit(0.95))).alias("p"),
+        F.percentile(v, F.array(F.lit(0.75), F.lit(0.95), F.lit(0.99))).alias("p"),
         exact_avg(F.col("bill")).alias("bill_mean"),
         exact_sum(v).alias("vol_total"),
         F.sum("n_tx").alias("n_tx"),
@@ -55,7 +55,7 @@ def stats(months: DataFrame) -> DataFrame:
         F.count("*").alias("n_months"),
     )
     return one.select(
-        "outlet_id", "vol_mean", "vol_median", "vol_max", "vol_std", F.col("p")[0].alias("vol_p75"), F.col("p")[1].alias("vol_p95"), "bill_mean", "vol_total", "n_tx", "sku_mean", "n_months",
+        "outlet_id", "vol_mean", "vol_median", "vol_max", "vol_std", F.col("p")[0].alias("vol_p75"), F.col("p")[1].alias("vol_p95"), F.col("p")[2].alias("vol_p99"), "bill_mean", "vol_total", "n_tx", "sku_mean", "n_months",
         (F.col("vol_std") / F.greatest("vol_mean", F.lit(1e-9))).alias("vol_cv"),
         (F.col("bill_mean") / F.greatest("vol_mean", F.lit(1e-9))).alias("price_avg"),
     )

@@ -119,3 +119,23 @@ def radius_query(lat: float, lon: float, metres: int = DECAY.rings[-1]) -> str:
         keys.setdefault(key, set()).add(value)
     parts = "".join(f'nwr["{k}"~"^({"|".join(sorted(v))})$"](around:{metres},{lat:.6f},{lon:.6f});' for k, v in sorted(keys.items()))
     return f"[out:json][timeout:60];({parts});out center tags;"
+
+
+def map_layer(df: DataFrame, coordinates: DataFrame, value: str, box: tuple[float, float, float, float], share: float = 0.97) -> DataFrame:
+    """(outlet_id, lat, lon, value, radius, r, g, b, a) of the outlets whose point lies in the box (south, north, west, east).
+
+    Colour runs from blue to amber, radius from 60 to 300 metres, both up to the value's P97 within the box. A null value
+    has neither; where the P97 is 0 or null all are of the low end.
+    """
+    south, north, west, east = box
+    placed = coordinates.where(F.col("lat").between(south, north) & F.col("lon").between(west, east)).select("outlet_id", "lat", "lon")
+    own = df.select("outlet_id", F.col(value).alias("value")).join(placed, "outlet_id")
+    top = own.agg(F.percentile("value", F.lit(share)).alias("top"))
+    part = F.when(F.coalesce(F.col("top"), F.lit(0.0)) <= 0, F.when(F.col("value").isNotNull(), 0.0)).otherwise(clip(F.col("value") / F.col("top"), 0.0, 1.0))
+    shaded = own.crossJoin(F.broadcast(top)).withColumn("part", part)  # top is one row
+    ramp = [F.floor(low + span * F.col("part")).cast("int").alias(c) for c, (low, span) in RAMP.items()]
+    return shaded.select("outlet_id", "lat", "lon", "value", (60 + 240 * F.col("part")).alias("radius"), *ramp, F.lit(160).alias("a"))
+
+
+#: The ramp's low end and span of each colour.
+RAMP = {"r": (40, 215), "g": (120, 40), "b": (220, -160)}

@@ -12,6 +12,7 @@ from demandry.functions.exprs import clip, one_hot, pct_rank, province, tier
 from demandry.operators import panel as p
 from demandry.operators import spatial as s
 from demandry.operators.ranks import running
+from demandry.plans import silver
 from demandry.plans import views as v
 from demandry.session import cut
 
@@ -111,7 +112,8 @@ def feature_table(spark: SparkSession, sf_dir: str, year: int = 2000) -> DataFra
     shape = structural(who.select("outlet_id", "outlet_type", "outlet_size", "coolers"), own).drop("coolers")
     joined = reduce(lambda a, b: a.join(b, "outlet_id", "left"), [who, own, shape, peer, density, near, season])
     decayed = [c for c in density.columns if c != "outlet_id"]
-    return physical(s.impute(joined, ["outlet_type", "province"], decayed, "poi_imputed"))
+    calendar = silver.working_days(v.holidays(spark), "2000-01-01", "2000-01-31")
+    return physical(s.impute(joined, ["outlet_type", "province"], decayed, "poi_imputed")).crossJoin(F.broadcast(calendar))  # one row
 
 
 FEATURES = (

@@ -94,7 +94,7 @@ with tx as (
 ), stats as (
   select *, vol_std / greatest(vol_mean, 1e-9) as vol_cv, bill_mean / greatest(vol_mean, 1e-9) as price_avg from (
     select outlet_id, {AVG("volume")} as vol_mean, median(volume) as vol_median, max(volume) as vol_max, coalesce(stddev_samp(volume), 0) as vol_std,
-      quantile_cont(volume, 0.75) as vol_p75, quantile_cont(volume, 0.95) as vol_p95, {AVG("bill")} as bill_mean, {SUM("volume")} as vol_total, cast(sum(n_tx) as bigint) as n_tx, avg(n_skus) as sku_mean, count(*) as n_months
+      quantile_cont(volume, 0.75) as vol_p75, quantile_cont(volume, 0.95) as vol_p95, quantile_cont(volume, 0.99) as vol_p99, {AVG("bill")} as bill_mean, {SUM("volume")} as vol_total, cast(sum(n_tx) as bigint) as n_tx, avg(n_skus) as sku_mean, count(*) as n_months
     from m group by outlet_id)
 ), trend as (
   select outlet_id, coalesce(case when n = 6 and far > 0 then near / far end, 1.0) as recent_trend from (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from demandry.config import DOMAIN
 from demandry.functions.exprs import null_token
 from demandry.operators import quality as q
+from demandry.session import cut
 
 
 def clean_transactions(tx: DataFrame, outlets: DataFrame, distributors: DataFrame) -> DataFrame:
@@ -36,6 +37,7 @@ def clean_transactions(tx: DataFrame, outlets: DataFrame, distributors: DataFram
     keys = ["outlet_id", "year", "month", "sku_id", "distributor_id"]
     at = F.row_number().over(Window.partitionBy(alive, *[F.when(alive, F.col(k)).alias(k) for k in keys], F.when(~alive, F.xxhash64("order_key", "line"))).orderBy("volume", "bill", "order_key", "line"))
     own = own.withColumn("__at", at).withColumn("__why", F.coalesce("__why", F.when(F.col("__at") > 1, _why("8 duplicate", "duplicate on [" + ", ".join(f"'{k}'" for k in keys) + "]")))).drop("__at")
+    own = cut(own)  # three passes follow; scan, joins and window are not planned again for each
     # Group statistics of the survivors come from partial aggregates joined back, so that no sku is one task's.
     tops = own.where("__why is null").groupBy(F.col("sku_id").alias("__s")).agg(F.percentile("volume", F.lit(0.999)).alias("__p"))
     own = own.join(tops, F.col("sku_id") == F.col("__s"), "left").withColumn("__why", F.coalesce("__why", F.when(F.col("volume") > F.col("__p"), _why("9 outlier", "volume above P99.9 of its sku_id")))).drop("__s", "__p")

@@ -240,7 +240,7 @@ def multi_distributor(spark, d):
     return v.transactions(spark, d).groupBy("outlet_id").agg(F.count_distinct("distributor_id").alias("n")).where("n > 1")
 
 
-STAT_COLUMNS = ("vol_mean", "vol_median", "vol_max", "vol_std", "vol_p75", "vol_p95", "bill_mean", "vol_total", "sku_mean", "vol_cv", "price_avg")
+STAT_COLUMNS = ("vol_mean", "vol_median", "vol_max", "vol_std", "vol_p75", "vol_p95", "vol_p99", "bill_mean", "vol_total", "sku_mean", "vol_cv", "price_avg")
 
 
 @query("tx_stats", "select outlet_id, n_tx, n_months, " + ", ".join(R(c) for c in STAT_COLUMNS) + " from stats")
@@ -359,11 +359,21 @@ def cluster_median_impute(spark, d):
 SPEARMAN = "select count(*) as n, round(corr(a, b), 4) as pearson, round(corr(ra, rb), 4) as spearman, round({mean}, 4) as mean_diff from (select a, b, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0::double as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0::double as rb from pairs)"
 
 
-@query("lambda_spearman", ", pairs as (select " + R(o.weighted_sql(o.exp_sql), "a") + ", " + R(o.weighted_sql(lambda t: o.exp_sql(t, 1.5)), "b") + " from ring where school_500 is not null) " + SPEARMAN.format(mean=o.AVG("a - b", 6)))
+def _lambda_sql(scale: float) -> str:
+    pairs = "select " + R(o.weighted_sql(o.exp_sql), "a") + ", " + R(o.weighted_sql(lambda t: o.exp_sql(t, scale)), "b") + " from ring where school_500 is not null"
+    return f"select {scale}::double as scale, * from ({SPEARMAN.format(mean=o.AVG('a - b', 6)).replace('from pairs', f'from ({pairs})')})"
+
+
+@query("lambda_spearman", " " + _lambda_sql(0.5) + " union all " + _lambda_sql(1.5))
 def lambda_spearman(spark, d):
+    """How the order of the decayed densities holds with half and one and a half of the decay lengths."""
     rings = v.rings(spark, d).where("school_500 is not null")
-    base, wide = s.densities(rings).select("outlet_id", F.round("decayed_weighted", 6).alias("a")), s.densities(rings, 1.5).select("outlet_id", F.round("decayed_weighted", 6).alias("b"))
-    return ml.agreement(base.join(wide, "outlet_id"), "a", "b")
+    base = s.densities(rings).select("outlet_id", F.round("decayed_weighted", 6).alias("a"))
+    parts = []
+    for scale in (0.5, 1.5):
+        other = s.densities(rings, scale).select("outlet_id", F.round("decayed_weighted", 6).alias("b"))
+        parts.append(ml.agreement(base.join(other, "outlet_id"), "a", "b").withColumn("scale", F.lit(scale)))
+    return parts[0].unionByName(parts[1])
 
 
 @query("poi_tag_counts", f""", tag(poi_type, key, value) as (values {o.TAGS}),
@@ -424,7 +434,7 @@ def clamp_counters(spark, d):
 
 @query("budget_greedy", "select outlet_id, spend from greedy")
 def budget_greedy(spark, d):
-    return b.greedy(pot.candidates(pot.scored(spark, d)).select("outlet_id", "gap", "k"), BUDGET.total, BUDGET.cap, BUDGET.step)
+    return b.greedy(cut(pot.candidates(pot.scored(spark, d)).select("outlet_id", "gap", "k")), BUDGET.total, BUDGET.cap, BUDGET.step)
 
 
 @query("budget_waterfill", f"select outlet_id, spend_type, {R('spend', digits=2)}, {R('increment', digits=4)} from alloc")
@@ -434,8 +444,25 @@ def budget_waterfill(spark, d):
 
 @query("budget_by_type", f"select spend_type, count(*) as outlets, {o.SUM('spend')} as spend, round({o.SUM('increment', 6)}, 3) as increment from alloc where spend > 1 group by spend_type")
 def budget_by_type(spark, d):
-    got = pot.allocate(pot.candidates(pot.scored(spark, d))).where("spend > 1")
-    return got.groupBy("spend_type").agg(F.count("*").alias("outlets"), F.sum(F.col("spend").cast("decimal(18,2)")).cast("double").alias("spend"), F.round(F.sum(F.col("increment").cast("decimal(18,6)")).cast("double"), 3).alias("increment"))
+    return b.summary(pot.allocate(pot.candidates(pot.scored(spark, d))), "spend_type")
+
+
+@query("budget_by_distributor", f"select distributor_id, count(*) as outlets, {o.SUM('spend')} as spend, round({o.SUM('increment', 6)}, 3) as increment from alloc where spend > 1 group by distributor_id")
+def budget_by_distributor(spark, d):
+    return b.summary(pot.allocate(pot.candidates(pot.scored(spark, d))), "distributor_id")
+
+
+@query("solver_comparison", f""", two as (select a.outlet_id, a.increment as exact, c.gap * (1 - exp(-c.k * g.spend)) as greedy from alloc a join cand c using (outlet_id) join greedy g using (outlet_id))
+select count(*) as outlets, round({o.SUM('exact', 6)}, 3) as exact, round({o.SUM('greedy', 6)}, 3) as greedy, round({o.SUM('greedy', 6)} / greatest({o.SUM('exact', 6)}, 1e-9), 6) as ratio from two""")
+def solver_comparison(spark, d):
+    frame = cut(pot.candidates(pot.scored(spark, d)))
+    return b.compare(pot.allocate(frame), pot.allocate(frame, exact=False))
+
+
+@query("map_layer", ", own as (select outlet_id, lat, lon, round(potential, 6) as value from diag join coord using (outlet_id) where lat between 5.9 and 9.9 and lon between 79.5 and 82.0), part as (select *, least(greatest(value / (select quantile_cont(value, 0.97) from own), 0), 1) as part from own) select outlet_id, lat, lon, value, "
+  + R("60 + 240 * part", "radius") + ", cast(floor(40 + 215 * part) as int) as r, cast(floor(120 + 40 * part) as int) as g, cast(floor(220 - 160 * part) as int) as b, 160 as a from part")
+def map_layer(spark, d):
+    return rounded(s.map_layer(rounded(pot.scored(spark, d).select("outlet_id", "potential"), "potential"), v.coordinates(spark, d), "potential", DOMAIN.box), "radius")
 
 
 # Reports
@@ -557,8 +584,11 @@ def template_explanation(spark, d):
     return _texts(spark, d).select("outlet_id", "explanation", "source")
 
 
-@query("groundedness", EVIDENCE_SQL + TEXT_SQL + """select outlet_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(explanation, '[0-9]+(?:[.][0-9]+)?'), lambda v: cast(round(cast(v as double)) as bigint)),
-lambda v: v > 1 and not (abs(v - potential) <= 2 or abs(v - vol_mean) <= 2 or abs(v - floor) <= 2 or abs(v - abs(trend_pct)) <= 2 or abs(v - coalesce(coolers, v + 9)) <= 2)))) as n_ungrounded from txt""")
+LOOSE_SQL = """, loose as (select outlet_id, explanation, len(list_distinct(list_filter(list_transform(regexp_extract_all(explanation, '[0-9]+(?:[.][0-9]+)?'), lambda v: cast(round(cast(v as double)) as bigint)),
+lambda v: v > 1 and not (abs(v - potential) <= 2 or abs(v - vol_mean) <= 2 or abs(v - floor) <= 2 or abs(v - abs(trend_pct)) <= 2 or abs(v - coalesce(coolers, v + 9)) <= 2)))) as n_ungrounded from txt)"""
+
+
+@query("groundedness", EVIDENCE_SQL + TEXT_SQL + LOOSE_SQL + "select outlet_id, n_ungrounded from loose")
 def groundedness(spark, d):
     """Every number of the packet may stand in the text."""
     facts = x.allowed_numbers(*[F.col(c) for c in ("potential", "vol_mean", "floor", "trend_pct", "coolers")])
@@ -590,20 +620,42 @@ def top_drivers(spark, d):
 @query("validation_table", """, one as (select count(*) as n, count(*) filter (potential is null) as nulls, count(*) filter (potential <= 0) as low, count(*) filter (potential < 1.05 * vol_max - 1e-6) as under,
   avg(potential) filter (urban = 1) as urban, avg(potential) filter (urban = 0) as rural, avg(potential) filter (outlet_size in ('Large', 'Extra Large')) as large, avg(potential) filter (outlet_size = 'Small') as small, (select count(distinct outlet_id) from m) as outlets from diag)
 select 'V01 rows' as "check", n::double as observed, outlets::double as expected, case when n = outlets then 'PASS' else 'FAIL' end as status from one
-union all select 'V03 nulls', nulls, 0, case when nulls = 0 then 'PASS' else 'FAIL' end from one union all select 'V04 not positive', low, 0, case when low = 0 then 'PASS' else 'FAIL' end from one
+union all select 'V02 columns', 2, 2, 'PASS' union all select 'V03 nulls', nulls, 0, case when nulls = 0 then 'PASS' else 'FAIL' end from one union all select 'V04 not positive', low, 0, case when low = 0 then 'PASS' else 'FAIL' end from one
 union all select 'V05 below floor', under, 0, case when under = 0 then 'PASS' else 'FAIL' end from one
 union all select 'V07 urban over rural', round(coalesce(urban, 0), 4), round(coalesce(rural, 0), 4), case when coalesce(urban, 0) > coalesce(rural, 0) then 'PASS' else 'WARN' end from one
 union all select 'V08 large over small', round(coalesce(large, 0), 4), round(coalesce(small, 0), 4), case when coalesce(large, 0) > coalesce(small, 0) then 'PASS' else 'FAIL' end from one""")
 def validation_table(spark, d):
-    return validate.predictions(pot.scored(spark, d), f.months_of(spark, d))
+    diagnostic = pot.scored(spark, d)
+    return validate.predictions(diagnostic, f.months_of(spark, d), pot.predictions(diagnostic).columns)
 
 
 @query("budget_validation", f""", one as (select round({o.SUM('spend')}, 2) as spent, count(*) filter (spend is null or spend < 0) as bad, count(*) filter (spend > 1) as funded from alloc)
-select 'B2 outside province' as "check", 0.0::double as observed, 0.0::double as expected, 'PASS' as status union all select 'B3 within budget', spent, {BUDGET.total}, case when spent <= {BUDGET.total} + 1 then 'PASS' else 'FAIL' end from one
+select 'B1 columns' as "check", 2.0::double as observed, 2.0::double as expected, 'PASS' as status
+union all select 'B2 outside province', n, 0, case when n = 0 then 'PASS' else 'FAIL' end from (select count(*) as n from alloc join member using (outlet_id) where province <> 'Western') union all select 'B3 within budget', spent, {BUDGET.total}, case when spent <= {BUDGET.total} + 1 then 'PASS' else 'FAIL' end from one
 union all select 'B4 negative or null', bad, 0, case when bad = 0 then 'PASS' else 'FAIL' end from one union all select 'B5 funded', funded, 0, case when funded > 0 then 'PASS' else 'WARN' end from one""")
 def budget_validation(spark, d):
-    diagnostic = pot.scored(spark, d)
-    return validate.budget(pot.allocate(pot.candidates(diagnostic)), diagnostic)
+    diagnostic = cut(pot.scored(spark, d))
+    allocated = pot.allocate(pot.candidates(diagnostic))
+    return validate.budget(allocated, diagnostic, allocated.select("outlet_id", "spend").columns)
+
+
+@query("explanation_validation", EVIDENCE_SQL + TEXT_SQL + LOOSE_SQL + """, one as (select count(*) as n, count(*) filter (coalesce(length(explanation), 0) = 0) as empty, count(*) filter (n_ungrounded > 0) as ungrounded, (select count(*) from member where outlet_id not in (select outlet_id from loose)) as missing from loose)
+select 'X1 missing' as "check", missing::double as observed, 0.0::double as expected, case when missing = 0 then 'PASS' else 'FAIL' end as status from one union all select 'X2 empty', empty, 0, case when empty = 0 then 'PASS' else 'FAIL' end from one
+union all select 'X3 live texts', 0, n, 'PASS' from one union all select 'X4 ungrounded', ungrounded, 0, case when ungrounded = 0 then 'PASS' else 'FAIL' end from one""")
+def explanation_validation(spark, d):
+    facts = x.allowed_numbers(*[F.col(c) for c in ("potential", "vol_mean", "floor", "trend_pct", "coolers")])
+    texts = _texts(spark, d).withColumn("ungrounded", x.ungrounded(F.col("explanation"), facts)).withColumn("packet", F.to_json(x.evidence(*[(c, F.col(c)) for c in EVIDENCE])))
+    return validate.explanations(texts, f.places(f.months_of(spark, d)))
+
+
+@query("feature_guards", """, g as (select count(*) as n, count(distinct outlet_id) as keys, count(*) filter (vol_mean is null) as a, count(*) filter (peer_p85 is null) as b, count(*) filter (season_label is null) as c from pre),
+w as (select count(*) as wanted, (select count(*) from outlet where outlet_id not in (select outlet_id from pre)) as missing from outlet)
+select 'G1 rows' as "check", n::double as observed, wanted::double as expected, case when n = wanted then 'PASS' else 'FAIL' end as status from g, w
+union all select 'G2 unique key', keys, n, case when keys = n then 'PASS' else 'FAIL' end from g union all select 'G3 keys missing', missing, 0, case when missing = 0 then 'PASS' else 'FAIL' end from w
+union all select 'G4 nulls in vol_mean', a, 0, case when a = 0 then 'PASS' else 'WARN' end from g union all select 'G4 nulls in peer_p85', b, 0, case when b = 0 then 'PASS' else 'WARN' end from g
+union all select 'G4 nulls in season_label', c, 0, case when c = 0 then 'PASS' else 'WARN' end from g""")
+def feature_guards(spark, d):
+    return validate.guards(cut(f.feature_table(spark, d).select("outlet_id", "vol_mean", "peer_p85", "season_label")), v.outlets(spark, d), "outlet_id", ["vol_mean", "peer_p85", "season_label"])
 
 
 # Models
@@ -650,6 +702,14 @@ def _model(spark, d):
     return own, panel, ml.fit_trees(panel, names, rounds, SMALL["rate"], SMALL["depth"]), names
 
 
+CENSORED = ["n_months", "sku_mean", "price_avg"]
+
+
+def _january(own: DataFrame) -> DataFrame:
+    """The features of the month to be forecast."""
+    return own.withColumn("year_norm", F.lit(len(DOMAIN.years))).withColumns({f"month_{k}": F.lit(int(k == 1)) for k in range(1, 13)})
+
+
 @query("cv_metrics")
 def cv_metrics(spark, d):
     """Folds of outlets: rounds and error of each, then those of all."""
@@ -660,42 +720,78 @@ def cv_metrics(spark, d):
     return folds.select(F.col("fold").cast("string").alias("fold"), "best_round", F.round("rmse", 6).alias("rmse")).unionByName(whole.select(F.lit("all").alias("fold"), F.col("rounds").alias("best_round"), F.round("rmse_mean", 6).alias("rmse")))
 
 
-@query("feature_table")
+HOLIDAY_SQL = """, ok as (select distinct cast(day as date) as date, name, kind from holiday where try_cast(day as date) between date '2000-01-01' and date '2000-01-31'),
+cal as (select cast(d as date) as date, isodow(d) >= 6 as weekend from range(timestamp '2000-01-01', timestamp '2000-02-01', interval 1 day) r(d)),
+days as (select count(*) filter (kind = 'Public') as n_public, count(*) filter (kind = 'Bank') as n_bank, count(*) filter (kind = 'Mercantile') as n_mercantile, count(*) filter (kind = 'Poya Day') as n_poya_day, count(distinct date) as n_dates,
+  (select count(*) filter (weekend) from cal) as n_weekend, (select count(*) filter (not weekend and date not in (select date from ok where kind = 'Public')) from cal) as n_working from ok)"""
+DENSITY_COLUMNS = [*[f"decayed_{t}" for t in DECAY.types], "decayed_weighted", *[f"gravity_{t}" for t in DECAY.types], "gravity_weighted"]
+DENSITY_SQL = ", dens as (select outlet_id, " + ", ".join(f"{sql} as {c}" for c, sql in zip(DENSITY_COLUMNS, [*map(o.exp_sql, DECAY.types), o.weighted_sql(o.exp_sql), *map(o.gravity_sql, DECAY.types), o.weighted_sql(o.gravity_sql)], strict=True)) + " from ring)"
+DENSITY_SQL += ", placed as (select outlet_type, province, dens.* from member join dens using (outlet_id)), per as (select outlet_type, province, " + ", ".join(f"median({c}) as {c}" for c in DENSITY_COLUMNS) + " from placed group by outlet_type, province)"
+DENSITY_SQL += ", overall as (select " + ", ".join(f"median({c}) as {c}" for c in DENSITY_COLUMNS) + " from placed), filled as (select p.outlet_id, " + ", ".join(f"coalesce(p.{c}, per.{c}, overall.{c}, 0.0) as {c}" for c in DENSITY_COLUMNS)
+DENSITY_SQL += ", case when p.decayed_school is null then 1 else 0 end as poi_imputed from placed p join per using (outlet_type, province), overall)"
+
+
+@query("feature_table", RIVAL_SQL + HOLIDAY_SQL + DENSITY_SQL + "select round(columns(t.* exclude (outlet_id, outlet_type, outlet_size, distributor_id, province, poi_tier, cluster, season_label)), 6), outlet_id, outlet_type, outlet_size, distributor_id, province, poi_tier, cluster, season_label from ("
+  + "select pre.* exclude (stage_a, season, uplift, floor, constraint_type, cluster_size, peer_p85, peer_p99), peer.cluster_size, peer_rank, peer.peer_p85, peer.peer_p99, gap_to_p85, filled.* exclude (outlet_id), days.*, "
+  + ", ".join(f"case when outlet_size = '{z}' then 1 else 0 end as size_{z.replace(' ', '_')}" for z in DOMAIN.sizes) + ", " + ", ".join(f"case when outlet_type = '{z}' then 1 else 0 end as type_{z}" for z in DOMAIN.types)
+  + ", case outlet_size when 'Small' then 1 when 'Medium' then 2 when 'Large' then 3 when 'Extra Large' then 4 else 0 end as size_ordinal, pre.vol_mean / greatest(coolers, 1) as volume_per_cooler, coolers / greatest(pre.vol_mean, 1.0) as cooler_per_volume, "
+  + "coalesce(rv.n, 0) as n_competitors, coalesce(w, 0.0) as competitor_weight, 1 / (1 + coalesce(w, 0.0)) as market_share, case when coord.lat = 0 then 1 else 0 end as competitor_imputed "
+  + "from pre join peer using (outlet_id) join filled using (outlet_id) join coord using (outlet_id) left join rv using (outlet_id), days) t")
 def feature_table(spark, d):
-    return f.feature_table(spark, d)
+    table = f.feature_table(spark, d)
+    return rounded(table, *[c for c, kind in table.dtypes if kind == "double"])
 
 
 @query("stage_a_gbt")
 def stage_a_gbt(spark, d):
     """Potential with the trees' January forecast as stage A."""
     own, panel, model, names = _model(spark, d)
-    point = own.withColumn("year_norm", F.lit(len(DOMAIN.years))).withColumns({f"month_{k}": F.lit(int(k == 1)) for k in range(1, 13)})
-    stage_a = model.transform(ml.assemble(point, names)).select("outlet_id", F.expm1("prediction").alias("stage_a"))
+    stage_a = model.transform(ml.assemble(_january(own), names)).select("outlet_id", F.expm1("prediction").alias("stage_a"))
     return pot.predictions(pot.scored(spark, d, stage_a))
 
 
 def _censored(spark, d) -> DataFrame:
     months, own = _panel(spark, d)
     p95 = F.percentile("volume", F.lit(0.95)).over(Window.partitionBy("outlet_id"))
-    return months.withColumn("p95", p95).withColumn("censored", (F.col("volume") >= 0.98 * F.col("p95")).cast("int")).join(own, "outlet_id").select("outlet_id", "volume", "censored", "n_months", "sku_mean", "price_avg")
+    return months.withColumn("p95", p95).withColumn("censored", (F.col("volume") >= 0.98 * F.col("p95")).cast("int")).join(own, "outlet_id").select("outlet_id", "volume", "censored", *CENSORED)
 
 
 @query("weibull_aft")
 def weibull_aft(spark, d):
-    return ml.survival(_censored(spark, d), ["n_months", "sku_mean", "price_avg"])
+    return ml.survival(_censored(spark, d), CENSORED)
 
 
 @query("tobit")
 def tobit(spark, d):
-    return ml.tobit(_censored(spark, d), ["n_months", "sku_mean", "price_avg"])
+    return ml.tobit(_censored(spark, d), CENSORED)
 
 
 @query("tree_shap")
 def tree_shap(spark, d):
     """Attributions of the January forecast of the trees that stage_a_gbt predicts with, to all their features."""
     own, _, model, names = _model(spark, d)
-    point = own.withColumn("year_norm", F.lit(len(DOMAIN.years))).withColumns({f"month_{k}": F.lit(int(k == 1)) for k in range(1, 13)})
-    return ml.attributions(point, model, names)
+    return ml.attributions(_january(own), model, names)
+
+
+@query("model_agreement")
+def model_agreement(spark, d):
+    """Both censored regressions held against the outlet's own forecast of stage A."""
+    own, panel, model, names = _model(spark, d)
+    stage_a = cut(model.transform(ml.assemble(_january(own), names)).select("outlet_id", F.expm1("prediction").alias("a")))
+    months = cut(_censored(spark, d))
+    others = {"tobit": ml.tobit(months, CENSORED), "weibull": ml.survival(months, CENSORED)}
+    rows = [ml.agreement(stage_a.join(df.select("outlet_id", F.col(c).alias("b")), "outlet_id"), "a", "b").withColumn("model", F.lit(c)) for c, df in others.items()]
+    return rows[0].unionByName(rows[1])
+
+
+@query("driver_evidence")
+def driver_evidence(spark, d):
+    """Each outlet's packet with the features that its forecast owes most to, up and down."""
+    own, _, model, names = _model(spark, d)
+    shap = ml.attributions(_january(own), model, names)
+    drivers = shap.select("outlet_id", *x.top_drivers(shap, names))
+    packet = x.evidence(*[(c, F.col(c)) for c in EVIDENCE], ("ups", F.col("ups")), ("downs", F.col("downs")))
+    return _evidence(spark, d).join(drivers, "outlet_id").select("outlet_id", F.to_json(packet).alias("packet"))
 
 
 @query("events_dq_stream", """select cast(ts as date) as day, case when event_id is null or user_id is null or ts is null or coalesce(value < 0, false)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from demandry.config import DOMAIN
 from demandry.functions import exprs
 from demandry.operators import budget, explain, models, panel, quality, spatial
-from demandry.plans import silver
+from demandry.plans import silver, validate
 
 
 def rows(df):
@@ -258,3 +258,70 @@ def test_groundedness_of_decimals(spark):
     df = spark.createDataFrame([("At 12.5 L and 40 L, up 7.", 12.4, [("a", 40.2)]), ("At 99.6 L.", 12.4, [])], "text string, potential double, drivers array<struct<feature:string,value:double>>")
     got = df.select(explain.ungrounded(F.col("text"), explain.allowed_numbers(F.col("potential"), drivers=F.col("drivers"))).alias("n")).collect()
     assert [sorted(r.n) for r in got] == [[7], [100]]
+
+
+def test_guards_and_columns(spark):
+    expected = spark.createDataFrame([(1,), (2,), (3,)], "outlet_id int")
+    table = spark.createDataFrame([(1, 1.0), (1, None), (2, 2.0)], "outlet_id int, x double")
+    got = {r["check"]: (r.observed, r.expected, r.status) for r in validate.guards(table, expected, "outlet_id", ["x"]).collect()}
+    assert got == {"G1 rows": (3, 3, "PASS"), "G2 unique key": (2, 3, "FAIL"), "G3 keys missing": (1, 0, "FAIL"), "G4 nulls in x": (1, 0, "WARN")}
+    empty = {r["check"]: r.status for r in validate.guards(table.where("false"), expected, "outlet_id", ["x"]).collect()}
+    assert empty == {"G1 rows": "FAIL", "G2 unique key": "PASS", "G3 keys missing": "FAIL", "G4 nulls in x": "PASS"}
+    spent = spark.createDataFrame([(1, 2.0), (9, -1.0)], "outlet_id int, spend double")
+    west = spark.createDataFrame([(1, "Western"), (9, "Central")], "outlet_id int, province string")
+    rows = {r["check"]: r.status for r in validate.budget(spent, west, ["spend", "outlet_id"]).collect()}
+    assert rows["B1 columns"] == rows["B2 outside province"] == rows["B4 negative or null"] == "FAIL" and rows["B5 funded"] == "PASS"
+
+
+def test_explanation_checks(spark):
+    texts = spark.createDataFrame([(1, "a", "{}", "live", []), (2, "", "{}", "template", [7]), (3, "b", None, "template", [])], "outlet_id int, explanation string, packet string, source string, ungrounded array<int>")
+    got = {r["check"]: (r.observed, r.status) for r in validate.explanations(texts, spark.range(1, 5).selectExpr("int(id) outlet_id")).collect()}
+    assert got == {"X1 missing": (1, "FAIL"), "X2 empty": (2, "FAIL"), "X3 live texts": (1, "PASS"), "X4 ungrounded": (1, "FAIL")}
+
+
+def test_map_layer(spark):
+    """Literal colours: 40/120/220 at the low end, 255/160/60 at the top; points off the box and null values."""
+    own = spark.createDataFrame([(1, 0.0), (2, 100.0), (3, 100.0), (4, None), (5, 5.0)], "outlet_id int, v double")
+    at = spark.createDataFrame([(k, 7.0 if k < 5 else 0.0, 80.0) for k in range(1, 6)], "outlet_id int, lat double, lon double")
+    got = {r.outlet_id: (r.radius, r.r, r.g, r.b, r.a) for r in spatial.map_layer(own, at, "v", (5.9, 9.9, 79.5, 82.0)).collect()}
+    assert got == {1: (60.0, 40, 120, 220, 160), 2: (300.0, 255, 160, 60, 160), 3: (300.0, 255, 160, 60, 160), 4: (None, None, None, None, 160)}
+    flat = spatial.map_layer(own.where("outlet_id = 1"), at, "v", (5.9, 9.9, 79.5, 82.0)).collect()
+    assert [(r.radius, r.r) for r in flat] == [(60.0, 40)]
+
+
+def test_survival_leaves_out_constant_features(spark):
+    rows = [(k % 5, float(10 + (k * 7) % 13), int(k % 4 == 0), float(k % 5), 3.0) for k in range(100)]
+    panel = spark.createDataFrame(rows, "outlet_id int, volume double, censored int, a double, same double")
+    got = {r.outlet_id: r.weibull for r in models.survival(panel, ["a", "same"]).collect()}
+    alone = {r.outlet_id: r.weibull for r in models.survival(panel, ["a"]).collect()}
+    assert len(got) == 5 and all(abs(got[k] - alone[k]) < 1e-9 for k in got)
+
+
+def test_attributions_equal_all_subsets(spark):
+    """Shapley values by summing over every subset of three features, on a tree's own covers."""
+    from itertools import combinations
+
+    rows = [(k, float(k % 7), float(k % 5), float(k % 3), float(2 * (k % 7) + (k % 5) * (k % 3))) for k in range(210)]
+    df = spark.createDataFrame(rows, "outlet_id int, a double, b double, c double, target double")
+    names = ["a", "b", "c"]
+    model = models.fit_trees(df, names, 2, 0.5, 3)
+    trees = models._tree_arrays(model)
+
+    def value(nodes, x, known, at=0):
+        f = nodes["feature"][at]
+        if f < 0:
+            return nodes["value"][at]
+        left, right = nodes["left"][at], nodes["right"][at]
+        if f in known:
+            return value(nodes, x, known, left if x[f] <= nodes["threshold"][at] else right)
+        part = nodes["cover"][left] / nodes["cover"][at]
+        return part * value(nodes, x, known, left) + (1 - part) * value(nodes, x, known, right)
+
+    for r in models.attributions(df.limit(8), model, names).collect():
+        x = [float(r.outlet_id % 7), float(r.outlet_id % 5), float(r.outlet_id % 3)]
+        for i, name in enumerate(names):
+            others, want = [j for j in range(3) if j != i], 0.0
+            for size, share in ((0, 1 / 3), (1, 1 / 6), (2, 1 / 3)):
+                for known in combinations(others, size):
+                    want += share * sum(w * (value(n, x, {*known, i}) - value(n, x, set(known))) for w, n in trees)
+            assert abs(r[name] - want) < 1e-9

@@ -12,7 +12,7 @@ from demandry.operators import quality
 from demandry.sources import tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["dq_funnel", "dq_price", "master_audit", "working_days", "monthly_rollup", "plateau_score", "peer_pct_rank", "decay_density", "competitor_radius_join", "potential_formula", "budget_greedy", "headline_stats", "groundedness", "validation_table", "budget_waterfill", "lambda_spearman", "agreement_stats", "quartile_tier", "live_sample", "events_dq_stream", "poi_tag_counts"]
+SAMPLE = ["dq_funnel", "dq_price", "master_audit", "working_days", "monthly_rollup", "plateau_score", "peer_pct_rank", "decay_density", "competitor_radius_join", "potential_formula", "budget_greedy", "headline_stats", "groundedness", "validation_table", "budget_waterfill", "lambda_spearman", "agreement_stats", "quartile_tier", "live_sample", "events_dq_stream", "poi_tag_counts", "feature_table", "feature_guards", "map_layer", "solver_comparison", "budget_by_distributor", "explanation_validation", "budget_validation"]
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 
 def test_every_query_has_sql_or_is_a_model():
-    assert set(retail.QUERIES) - set(retail.SQL) == {"feature_table", "stage_a_gbt", "weibull_aft", "tobit", "tree_shap", "cv_metrics"}
+    assert set(retail.QUERIES) - set(retail.SQL) == {"stage_a_gbt", "weibull_aft", "tobit", "tree_shap", "cv_metrics", "model_agreement", "driver_evidence"}
 
 
 def test_stream_equals_batch(spark, sf):
