@@ -16,12 +16,14 @@ from demandry.llm.mixing import mix, quality_weight, with_quality, word_count
 from demandry.llm.simhash import simhash_groups
 from demandry.llm.suffix import contaminated, decontaminate
 
-#: A document whose language is less sure than this is rejected: no learned language is near it.
-SURE = 0.3
+#: A document whose language is less probably right than wrong is rejected.
+SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter, and those near none, go."""
+    """Documents in a learned language; those without a letter go, and those whose language is less probably right than
+    wrong, by a curve that is calibrated on held-back documents and doesn't depend on the number of languages. An empty
+    table gives none; repeated rows stay; without a labelled document all go."""
     learn = F.coalesce(remainder("doc_id", 4) != 2, F.lit(False))
     found = identify(docs, learn)
     return found.where((F.col("lang_pred") != UND) & (F.col("score") >= SURE)).select(*docs.columns)

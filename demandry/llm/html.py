@@ -48,6 +48,8 @@ ASIDE = frozenset(
 CONTENT = frozenset("article articlebody main content maincontent post postbody entry story".split())
 #: Elements that are part of a text and can't hold an article.
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd ul ol dl tr td th pre address figure hr".split())
+#: Words that leave the meaning of the word beside them as it is (comments-section, ad-box).
+NEUTRAL = frozenset("area bar block body bottom box button buttons col column container content form group holder id inner item items left link links list outer panel region right row section slot top unit widget wrap wrapper".split())
 #: After these words a class or id tells what a layout has or lacks, not what the element is (no-sidebar, page-with-menu).
 LAYOUT = frozenset("no not without has have with hide".split())
 
@@ -110,16 +112,20 @@ def _hash(*parts: object) -> int:
     return xxh64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), 7) >> 1
 
 
-def meaning(attributes: str) -> tuple[list[str], set[str], set[str]]:
-    """(words of class, id and role; those that say what the element is; the first of each name)."""
-    words, means, first = [], set(), set()
+def meaning(attributes: str) -> tuple[list[str], set[str], set[str], set[str]]:
+    """(words of class, id and role; those that say what the element is; the first of each name; those of names that are
+    of ASIDE and NEUTRAL words only)."""
+    words, means, first, alone = [], set(), set(), set()
     for got in NAMES.finditer(attributes):
         for one in (got[1] or got[2] or got[3] or "").lower().split():
             parts = PIECE.findall(one)
             words += parts
             first.update(parts[:1])
-            means.update(parts[: next((k for k, w in enumerate(parts) if w in LAYOUT), len(parts))])
-    return words, means, first
+            told = parts[: next((k for k, w in enumerate(parts) if w in LAYOUT), len(parts))]
+            means.update(told)
+            if all(w in ASIDE or w in NEUTRAL or w.isdecimal() for w in told):
+                alone.update(told)
+    return words, means, first, alone
 
 
 def parse(source: str) -> Page:
@@ -164,7 +170,7 @@ def parse(source: str) -> Page:
         if name in INLINE:
             if muted:
                 muted += (name == mute) * (-1 if token[2] else 1)
-            elif not token[2] and "=" in token[4] and not ASIDE.isdisjoint(meaning(token[4])[1]):
+            elif not token[2] and "=" in token[4] and not ASIDE.isdisjoint(meaning(token[4])[3 if stack[-1].main else 1]):
                 muted, mute = 1, name
             if name == "a":
                 anchor = 0 if token[2] else 1
@@ -194,12 +200,13 @@ def parse(source: str) -> Page:
                     break
                 if stack[k].name in HOLDS:
                     break
-        words, means, first = meaning(token[4]) if "=" in token[4] else ((), frozenset(), frozenset())
+        words, means, first, alone = meaning(token[4]) if "=" in token[4] else ((), frozenset(), frozenset(), frozenset())
         up = stack[-1]
         path = _hash(up.path, name, *sorted(set(words)))
         content = name in MAIN or not CONTENT.isdisjoint(means)
-        # An article may be about a word of ASIDE, and its header is a part of it.
-        told = first if name in MAIN else means
+        # An article may be about a word of ASIDE, as a part of it may (related-work, alert-text); its header is a part of
+        # it, and a quotation in it stays whatever its name.
+        told = first if name in MAIN else (frozenset() if name == "blockquote" else alone) if up.main else means
         named = name not in ("html", "body") and not ASIDE.isdisjoint(w for w in told if w != "header" or not up.main)
         unread = up.unread or name in UNREAD or (name == "header" and not up.main)
         wrapped = not named and (up.wrapped or (up.named and content))

@@ -59,6 +59,8 @@ class Model:
     landmarks: np.ndarray
     weights: np.ndarray
     offset: np.ndarray
+    #: Slope and offset of the logistic curve from a margin to the probability that the language is right.
+    sure: tuple[float, float] = (0.0, 0.0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.languages):
@@ -92,6 +94,50 @@ def fit(x: np.ndarray, languages: list[str], seed: int = 42) -> Model:
     return Model(names, marks, root @ w, offset - mean @ w)
 
 
+def margins(values: np.ndarray) -> np.ndarray:
+    """How far each row's best regression is above its second best (above the least value, -1, if there is one only)."""
+    if values.shape[1] < 2:
+        return values.max(axis=1, initial=-1.0) + 1
+    top = np.partition(values, -2, axis=1)[:, -2:]
+    return top.max(axis=1) - top.min(axis=1)
+
+
+def calibrated(margin: np.ndarray, right: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """(slope, offset) of a logistic regression of right on margin by Newton's steps; a slope is never below 0.
+
+    Targets are drawn in by one row each way, so that rows told without an error still give a finite curve; margins are
+    of two regressions only, so the curve means the same for few and for many languages.
+    """
+    if not len(margin):
+        return 0.0, 0.0
+    good, bad = int(right.sum()), int((~right).sum())
+    target = np.where(right, (good + 1) / (good + 2), 1 / (bad + 2))
+    x, w = np.c_[margin, np.ones(len(margin))], np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * w)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    if w[0] < 0:
+        return 0.0, float(np.log((good + 1) / (bad + 1)))
+    return float(w[0]), float(w[1])
+
+
+def trained(x: np.ndarray, languages: list[str], seed: int = 42) -> Model:
+    """A model of all rows, whose probabilities come from every fifth row of each language told by a model of the others."""
+    model, at, seen = fit(x, languages, seed), np.zeros(len(languages), dtype=bool), {}
+    for k, name in enumerate(languages):
+        seen[name] = seen.get(name, 0) + 1
+        at[k] = seen[name] % 5 == 0
+    if at.any():
+        rest = fit(x[~at], [n for n, held in zip(languages, at, strict=True) if not held], seed)
+        values = rest.score(x[at])
+        right = np.array([rest.languages[k] for k in values.argmax(axis=1)]) == np.array(languages, dtype=object)[at]
+        model.sure = calibrated(margins(values), right)
+    return model
+
+
 def training_rows(docs: DataFrame, learn: Column, lang_col: str, id_col: str, text_col: str, rows: int) -> tuple[np.ndarray, list[str]]:
     """Presence rows and languages of about `rows` labelled documents, or EACH of each language if that is more: an equal
     number of each language where it has them.
@@ -124,11 +170,12 @@ def identify(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str
     """docs with lang_pred (a learned language, or `und` for a null text or one without a letter) and score (0 to 1).
 
     Fitted on a bounded sample (`rows`) of the rows where `learn` holds and text and language are not null; every whole
-    text is scored, in batched matrix products. The score is the softmax of the regressions at the predicted language;
-    0 for `und`. Without labelled rows every text is `und`. Repeated rows stay, columns pass through (lang_pred and
+    text is scored, in batched matrix products. The score is the probability that the language is right: a logistic curve
+    of the margin between the two best regressions, calibrated on rows held back from a first fit (a half where there
+    are none); 0 for `und`. Without labelled rows every text is `und`. Repeated rows stay, columns pass through (lang_pred and
     score are replaced), an empty table gives no rows. Prediction reads the text alone.
     """
-    model = fit(*training_rows(docs, learn, lang_col, id_col, text_col, rows))
+    model = trained(*training_rows(docs, learn, lang_col, id_col, text_col, rows))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +185,14 @@ def identify(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str
             for k in range(0, part.num_rows, BLOCK):
                 block = texts(column.slice(k, BLOCK))
                 values = model.score(presence(block))
-                odds = np.exp(4 * (values - values.max(axis=1, keepdims=True, initial=-np.inf)))
-                for text, v, o in zip(block, values, odds, strict=True):
+                sure = 1 / (1 + np.exp(-np.clip(model.sure[0] * margins(values) + model.sure[1], -30, 30)))
+                for text, v, p in zip(block, values, sure.tolist(), strict=True):
                     if text is None or not len(v) or not LETTER.search(text.decode("utf-8", "replace")):
                         names.append(UND)
                         scores.append(0.0)
                     else:
                         names.append(model.languages[int(np.argmax(v))])
-                        scores.append(float(o.max() / o.sum()))
+                        scores.append(p)
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], [*kept, "lang_pred", "score"])
 
     inner = docs.select(*kept)

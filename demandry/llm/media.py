@@ -27,7 +27,7 @@ LEAST, MOST, BITS = 512, 8192, 10
 #: The filter of shared digests has 2**FILTER bits; where it fills up, more chunks take the shuffled way, none is lost.
 FILTER, BLOCK = 26, 13
 GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:4] for b in range(256)), dtype="<u4")
-MANIFEST = "doc_id long, n_bytes long, media_bytes long, media binary, sizes array<int>, digests array<binary>, pack binary, refs int"
+MANIFEST = "n_bytes long, media_bytes long, media binary, sizes array<int>, digests array<binary>, pack binary, refs int"
 
 
 def to_media(text: bytes | None) -> tuple[int, bytes]:
@@ -160,7 +160,8 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                         own[name] = press.compress(c)
             yield pa.RecordBatch.from_arrays([pa.array(list(own), type=pa.binary()), pa.array(list(own.values()), type=pa.binary())], ["digest", "bytes"])
 
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(manifest, MANIFEST), "manifest")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = materialise(docs.select("doc_id", "text").mapInArrow(manifest, f"doc_id {kind}, {MANIFEST}"), "manifest")
     once = materialise(docs.select("text").mapInArrow(shared, "digest binary, bytes binary").dropDuplicates(["digest"]), "chunks")
     return rows, once
 
@@ -208,7 +209,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The payload of each whole text is stored as media and read back from the store. Media with shared chunks are rebuilt
     once for all documents that have them: their references join the chunk table by digest and come together by
     medium, of whose own length the group is. A null text is an empty payload of one unit of zeros; repeated rows stay;
-    an empty table gives no rows; other columns of docs are not read.
+    an empty table gives no rows; other columns of docs are not read. Ids of documents may be of any type.
     """
     rows, once = store(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     none = F.lit(None).cast("array<struct<pos:int,bytes:binary>>").alias("got")

@@ -19,7 +19,7 @@ ITEM_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 SHARD = 2000
 #: Words of benchmark text that one pass over the documents searches for; more go in further passes.
 PASS_WORDS = 2_000_000
-SPANS = "row long, n_words long, starts array<long>, ends array<long>, items array<string>"
+SPANS = "row string, n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
 class Tests:
@@ -117,7 +117,7 @@ def match_spans(docs: DataFrame, items: list[tuple[str, bytes]], id_col: str = "
     """One row per document: its longest verbatim matches as word spans [start, end), and the matched items."""
     tests = Tests(items, window)
     kind = dict(docs.dtypes)[id_col]
-    schema = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    schema = pa.schema([("row", pa.string()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (whole.slice(k, SHARD) for whole in parts for k in range(0, whole.num_rows, SHARD)):
@@ -134,7 +134,9 @@ def match_spans(docs: DataFrame, items: list[tuple[str, bytes]], id_col: str = "
             found = batches({"row": part.column(1), "n_words": counts, "starts": starts, "ends": ends, "items": names}, schema)
             yield pa.RecordBatch.from_arrays([part.column(0), *found.columns], ["id", *schema.names])
 
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {SPANS}")
+    own = (F.col(id_col), F.col(text_col))
+    row = F.concat(F.hex(F.xxhash64(*own)), F.lit("-"), F.hex(F.xxhash64(F.lit("row"), *[c.isNull() for c in own], *own)))
+    return docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {SPANS}")
 
 
 def _union_spans(rows: DataFrame) -> DataFrame:
@@ -155,7 +157,8 @@ def _union_spans(rows: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
-    """One row per document: (id column, row, n_words, starts, ends, items, n_hit); row is a hash of the id and the text.
+    """One row per document: (id column, row, n_words, starts, ends, items, n_hit); row names it by 128 bits of
+    the id and the text.
 
     Each shard of documents (SHARD of them at most) becomes an array of word suffixes; every test suffix is binary-searched in
     it, which gives all its verbatim matches and their locations. A window is `window` consecutive words of an item, or
