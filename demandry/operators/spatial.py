@@ -12,19 +12,48 @@ from demandry.config import DECAY
 from demandry.functions.exprs import clip, haversine
 
 
-def radius_join(points: DataFrame, metres: float, id_col: str = "outlet_id", lat: str = "lat", lon: str = "lon", max_latitude: float = 60.0) -> DataFrame:
-    """(id, other, metres): all ordered pairs of different points within the radius.
+#: Points of a cell that one task compares with as many around it.
+DENSE = 2000
 
-    Cells are at least as wide as the radius, so a partner is in one of the nine cells around a point's own: an equi-join
-    on the cell, then the exact distance. Points without coordinates have no partner.
+
+def _band_cells(lat: Column, turn: float, height: float) -> Column:
+    """How many cells go round the earth in the band of a latitude: each as wide as the radius reaches anywhere in it."""
+    edge = F.least(F.greatest(F.abs(lat * height), F.abs((lat + 1) * height)), F.lit(90.0))
+    sine = math.sin(turn) / F.cos(F.radians(edge))
+    return F.when(F.radians(edge) + turn < math.pi / 2, F.greatest(F.floor(F.lit(360.0) / F.degrees(F.asin(F.least(sine, F.lit(1.0))))), F.lit(1))).otherwise(F.lit(1)).cast("long")
+
+
+def radius_join(points: DataFrame, metres: float, id_col: str = "outlet_id", lat: str = "lat", lon: str = "lon", dense: int = DENSE) -> DataFrame:
+    """(id, other, metres): all ordered pairs of different points within the radius, anywhere on earth.
+
+    Bands of latitude are at least as high as the radius and cut into cells as wide as it reaches in them, so that a
+    point's partners lie in few cells of its own band and the two beside it, round the date line and the poles too.
+    Points are counted by cell first: both sides of a cell with more than `dense` points are dealt to parts of that size,
+    of which each pair meets in one task. Points without coordinates have no partner.
     """
-    dlat = metres / 111_000.0
-    dlon = metres / (111_000.0 * math.cos(math.radians(max_latitude)))
-    own = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(id_col).alias("id"), F.col(lat).alias("y"), F.col(lon).alias("x"), F.floor(F.col(lat) / dlat).alias("cy"), F.floor(F.col(lon) / dlon).alias("cx"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = own.select("id", "y", "x", "cy", "cx", F.explode(around).alias("d")).select(F.col("id").alias("other"), F.col("y").alias("y2"), F.col("x").alias("x2"), (F.col("cy") + F.col("d.i")).alias("cy"), (F.col("cx") + F.col("d.j")).alias("cx"))
-    pairs = own.join(spread, ["cy", "cx"]).where("id != other")
+    turn = metres / DECAY.earth  # the radius as an angle
+    height = max(math.degrees(turn) * (1 + 1e-9), 1e-6)
+    own = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x")).withColumn("band", F.floor(F.col("y") / height))
+    east = F.pmod(F.col("x") + 180.0, F.lit(360.0)) / 360.0
+    cells = _band_cells(F.col("band"), turn, height)
+    left = own.withColumn("cell", F.pmod(F.floor(east * cells), cells))
+    # What a point reaches at its own latitude: half the width of the circle around it.
+    cosine = F.cos(F.radians("y"))
+    reach = F.when(F.abs(F.radians("y")) + turn < math.pi / 2, F.asin(F.least(math.sin(turn) / cosine, F.lit(1.0))) * (1 + 1e-9) / (2 * math.pi)).otherwise(F.lit(0.5))
+    near = own.select(F.col("id").alias("other"), F.col("y").alias("y2"), F.col("x").alias("x2"), east.alias("east"), reach.alias("reach"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band")).withColumn("cells", cells)
+    first, last = F.floor((F.col("east") - F.col("reach")) * F.col("cells")), F.floor((F.col("east") + F.col("reach")) * F.col("cells"))
+    last = F.least(last, first + F.col("cells") - 1)
+    right = near.select("other", "y2", "x2", "band", F.explode(F.sequence(first, last)).alias("at"), "cells").withColumn("cell", F.pmod(F.col("at"), F.col("cells"))).drop("at", "cells")
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / dense), F.lit(1)).cast("int")
+    sizes = left.groupBy("band", "cell").agg(F.count("*").alias("n")).join(right.groupBy("band", "cell").agg(F.count("*").alias("m")), ["band", "cell"])
+    crowded = sizes.where((F.col("n") > dense) | (F.col("m") > dense)).select("band", "cell", parts("n").alias("lots"), parts("m").alias("others"))
+    dealt = lambda df: df.join(crowded, ["band", "cell"], "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("lots", "others")})
+    part = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = dealt(left).select("id", "y", "x", "band", "cell", part("id", "lots").alias("lot"), every("others").alias("other_lot"))
+    b = dealt(right).select("other", "y2", "x2", "band", "cell", part("other", "others").alias("other_lot"), every("lots").alias("lot"))
     far = haversine(F.col("y"), F.col("x"), F.col("y2"), F.col("x2"), DECAY.earth)
+    pairs = a.join(b, ["band", "cell", "lot", "other_lot"]).where("id != other")
     return pairs.select("id", "other", far.alias("metres")).where(F.col("metres") <= metres)
 
 

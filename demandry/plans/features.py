@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandry.config import DECAY, DOMAIN, POTENTIAL
-from demandry.functions.exprs import clip, one_hot, pct_rank, province, tier
+from demandry.functions.exprs import clip, one_hot, province, tier
 from demandry.operators import panel as p
 from demandry.operators import spatial as s
-from demandry.operators.ranks import running
+from demandry.operators.ranks import pct_ranks, quantiles, running
 from demandry.plans import silver
 from demandry.plans import views as v
 from demandry.session import cut
@@ -66,8 +66,8 @@ def cluster_key(df: DataFrame) -> DataFrame:
 
 def peers(members: DataFrame, months: DataFrame) -> DataFrame:
     """members (outlet_id, cluster, vol_mean) with cluster_size, peer_rank and the P85 and P99 of the cluster's months."""
-    by_month = months.join(members.select("outlet_id", "cluster"), "outlet_id").groupBy("cluster").agg(F.percentile("volume", F.array(F.lit(0.85), F.lit(0.99))).alias("q"))
-    ranked = members.withColumn("cluster_size", F.count("*").over(Window.partitionBy("cluster"))).withColumn("peer_rank", pct_rank(F.col("vol_mean"), F.col("cluster")))
+    by_month = quantiles(months.join(members.select("outlet_id", "cluster"), "outlet_id"), F.col("volume"), (0.85, 0.99), ["cluster"]).drop("n")
+    ranked = pct_ranks(members, "vol_mean", "peer_rank", "cluster_size", ["cluster"])
     joined = ranked.join(by_month, "cluster", "left").withColumn("peer_p85", F.col("q")[0]).withColumn("peer_p99", F.col("q")[1]).drop("q")
     return joined.withColumn("gap_to_p85", F.greatest(F.col("peer_p85") - F.col("vol_mean"), F.lit(0.0)))
 

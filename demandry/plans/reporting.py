@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandry.functions.exprs import exact_avg, matches
+from demandry.operators.ranks import quantiles
+from demandry.session import cut
 
 #: Groups of rejection reasons, the first that a reason's text contains.
 REASONS = (("null", "Missing values"), ("duplicate", "Duplicates"), ("p99.9", "Outliers"), ("above", "Outliers"), ("price", "Price checks"), ("out of range", "Bad quantities"), ("not in", "Unknown references"), ("box", "Bad coordinates"))
@@ -13,12 +15,13 @@ REASONS = (("null", "Missing values"), ("duplicate", "Duplicates"), ("p99.9", "O
 
 def headline(diagnostic: DataFrame) -> DataFrame:
     """One row: count, mean, median, extremes, P95, P99, totals, multiple, shares of the winners."""
-    x = F.col("potential")
-    return diagnostic.agg(
-        F.count("*").alias("outlets"), F.round(exact_avg(x, 4), 4).alias("mean"), F.round(F.median(x), 4).alias("median"), F.round(F.min(x), 4).alias("least"), F.round(F.max(x), 4).alias("most"),
-        F.round(F.percentile(x, F.lit(0.95)), 4).alias("p95"), F.round(F.percentile(x, F.lit(0.99)), 4).alias("p99"), F.round(F.sum(x), 2).alias("total"), F.round(F.sum("vol_mean"), 2).alias("actual"),
+    x, own = F.col("potential"), cut(diagnostic.select("potential", "vol_mean", "winner"))
+    ranks = quantiles(own, x, (0.5, 0.95, 0.99)).select(*[F.round(F.col("q")[k], 4).alias(c) for k, c in enumerate(("median", "p95", "p99"))])
+    one = own.agg(
+        F.count("*").alias("outlets"), F.round(exact_avg(x, 4), 4).alias("mean"), F.round(F.min(x), 4).alias("least"), F.round(F.max(x), 4).alias("most"), F.round(F.sum(x), 2).alias("total"), F.round(F.sum("vol_mean"), 2).alias("actual"),
         F.round(F.sum(x) / F.sum("vol_mean"), 4).alias("multiple"), F.round(F.avg((F.col("winner") == "floor").cast("double")), 6).alias("floor_share"),
     )
+    return one.join(F.broadcast(ranks), F.lit(True), "left").select("outlets", "mean", "median", "least", "most", "p95", "p99", *one.columns[4:])  # one row each
 
 
 def segments(diagnostic: DataFrame) -> DataFrame:
@@ -74,7 +77,8 @@ def histogram(df: DataFrame, column: str, width: float) -> DataFrame:
 
 def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
     """Quartiles and whiskers (1.5 quartile ranges, within the data) of each group."""
-    q = df.groupBy(by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    df = cut(df.select(by, column))
+    q = quantiles(df, F.col(column), (0.25, 0.5, 0.75), [by])
     bounds = q.select(F.col(by).alias("__by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     joined = df.join(bounds, F.col(by).eqNullSafe(F.col("__by")))
     reach = 1.5 * (F.col("q3") - F.col("q1"))

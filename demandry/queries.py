@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from demandry.session import cut
 from demandry.config import BUDGET, DECAY, DOMAIN, POTENTIAL
-from demandry.functions.exprs import ceil_to, pct_rank
+from demandry.functions.exprs import ceil_to
 from demandry.operators import budget as b
 from demandry.operators import explain as x
 from demandry.operators import models as ml
 from demandry.operators import panel as p
 from demandry.operators import quality as q
 from demandry.operators import spatial as s
+from demandry.operators.ranks import pct_ranks
 from demandry.plans import features as f
 from demandry.plans import oracle as o
 from demandry.plans import potential as pot
@@ -307,7 +308,8 @@ def peer_percentiles(spark, d):
 
 @query("order_value_rank", """select o_orderkey, round((rank() over (partition by o_orderpriority order by o_totalprice) + (count(*) over (partition by o_orderpriority, o_totalprice) - 1) / 2.0::double) / count(*) over (partition by o_orderpriority), 9) as value_rank from orders""")
 def order_value_rank(spark, d):
-    return v.table(spark, d, "orders").select("o_orderkey", F.round(pct_rank(F.col("o_totalprice"), F.col("o_orderpriority")), 9).alias("value_rank"))
+    own = v.table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return pct_ranks(own, "o_totalprice", "value_rank", "n", ["o_orderpriority"]).select("o_orderkey", F.round("value_rank", 9).alias("value_rank"))
 
 
 # Places

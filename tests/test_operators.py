@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from demandry.config import DOMAIN
 from demandry.functions import exprs
-from demandry.operators import budget, explain, models, panel, quality, spatial
+from demandry.operators import budget, explain, models, panel, quality, ranks, spatial
 from demandry.plans import silver, validate
 
 
@@ -325,3 +325,103 @@ def test_attributions_equal_all_subsets(spark):
                 for known in combinations(others, size):
                     want += share * sum(w * (value(n, x, {*known, i}) - value(n, x, set(known))) for w, n in trees)
             assert abs(r[name] - want) < 1e-9
+
+
+# Ranks and percentiles by ranges
+
+
+def group_rows():
+    rng = random.Random(11)
+    rows = [("big", round(rng.lognormvariate(0, 2), 6)) for _ in range(3000)] + [("big", 1.5)] * 900 + [("ties", 4.0)] * 500 + [("ties", 5.0)]
+    rows += [(None, rng.random()) for _ in range(40)] + [("one", 3.0), ("none", None), ("none", None), ("two", 1.0), ("two", 2.0), ("two", None)]
+    return rows
+
+
+@pytest.mark.parametrize(("accuracy", "small"), [(10_000, 50_000), (100, 50)])
+def test_quantiles_are_exact(spark, accuracy, small):
+    rows, shares = group_rows(), (0.0, 0.01, 0.25, 0.5, 0.85, 0.999, 1.0)
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    got = {r.g: (r.n, r.q) for r in ranks.quantiles(df, F.col("x"), shares, ["g"], accuracy, small).collect()}
+    want = {r.g: (r.n, r.q) for r in df.groupBy("g").agg(F.count("x").alias("n"), F.percentile("x", F.array(*[F.lit(s) for s in shares])).alias("q")).collect()}
+    assert set(got) == set(want)
+    for g, (n, q) in want.items():
+        assert got[g][0] == n and (got[g][1] is None) == (q is None)
+        assert q is None or got[g][1] == pytest.approx(q, rel=1e-12)
+    whole = ranks.quantiles(df, F.col("x"), (0.3, 0.99), (), accuracy, small).first()
+    assert whole.q == pytest.approx(df.agg(F.percentile("x", F.array(F.lit(0.3), F.lit(0.99)))).first()[0], rel=1e-12)
+    assert ranks.quantiles(df.limit(0), F.col("x"), (0.5,), ["g"]).collect() == []
+
+
+def test_brackets_leave_most_values_out(spark):
+    """Of a large group only the values near its percentiles are ranked."""
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"), F.lit("g").alias("g"))
+    kept = []
+    inner, ranks.running = ranks.running, lambda rows, *a, **k: kept.append(rows.count()) or inner(rows, *a, **k)
+    try:
+        q = ranks.quantiles(df, F.col("x"), (0.5, 0.99), ["g"]).first().q
+    finally:
+        ranks.running = inner
+    assert q == pytest.approx(df.agg(F.percentile("x", F.array(F.lit(0.5), F.lit(0.99)))).first()[0])
+    assert kept[0] < 2000
+
+
+def test_ranks_in_groups(spark):
+    rows = group_rows()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, g string, x double").repartition(5)
+    got = {r.i: (r.rank, r.size) for r in ranks.pct_ranks(df, "x", "rank", "size", ["g"]).collect()}
+    want = {r.i: (r.rank, r.size) for r in df.withColumn("rank", exprs.pct_rank(F.col("x"), F.col("g"))).withColumn("size", F.expr("count(*) over (partition by g)")).collect()}
+    assert got == {i: (pytest.approx(p) if p is not None else None, n) for i, (p, n) in want.items()}
+
+
+def test_running_sums_in_groups_span_ranges(spark):
+    df = spark.createDataFrame([("a" if i % 10 else None, i, 1 + i % 3) for i in range(2000)], "g string, i int, v int").repartition(6)
+    got = {r.i: r.before for r in ranks.running(df, [F.col("i").asc()], ["g"], before=F.col("v")).collect()}
+    total = {"a": 0, None: 0}
+    for i in range(2000):
+        g = "a" if i % 10 else None
+        assert got[i] == total[g]
+        total[g] += 1 + i % 3
+
+
+def test_no_plan_ranks_a_group_in_one_window(spark, sf):
+    from demandry import queries as retail
+
+    for name in ("peer_pct_rank", "peer_percentiles", "dq_price", "dq_p999", "boxplot_stats", "headline_stats", "order_value_rank"):
+        plan = retail.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan.replace("approx_percentile(", "") and "windowspecdefinition(cluster" not in plan and "windowspecdefinition(o_orderpriority" not in plan, name
+
+
+# Radius join anywhere on earth
+
+
+def plain_pairs(points, metres):
+    y, x = np.radians([p[1] for p in points]), np.radians([p[2] for p in points])
+    a = np.sin((y[:, None] - y) / 2) ** 2 + np.cos(y)[:, None] * np.cos(y) * np.sin((x[:, None] - x) / 2) ** 2
+    near = 2 * 6_371_000.0 * np.arcsin(np.sqrt(np.minimum(a, 1))) <= metres
+    np.fill_diagonal(near, False)
+    return {(points[i][0], points[j][0]) for i, j in zip(*np.nonzero(near), strict=True)}
+
+
+def test_radius_join_anywhere(spark):
+    rng, points = random.Random(9), []
+    for lat in (0.0, 7.0, 59.9, 75.0, -75.0, 88.0, 89.999, -90.0):
+        for lon in (80.0, 179.999, -180.0):
+            spread = 0.02 / max(math.cos(math.radians(lat)), 1e-4)
+            points += [(len(points) + i, max(-90.0, min(90.0, lat + rng.uniform(-0.02, 0.02))), (lon + rng.uniform(-spread, spread) + 540) % 360 - 180) for i in range(60)]
+    df = spark.createDataFrame([*points, (9000, None, 1.0)], "outlet_id int, lat double, lon double")
+    assert {(r.id, r.other) for r in spatial.radius_join(df, 700.0, dense=10).collect()} == plain_pairs(points, 700.0)
+
+
+def test_crowded_cells_are_split(spark):
+    """10,000 points in one cell: every pair once, and no task with more than two parts of points."""
+    rng = random.Random(10)
+    points = [(i, 7.0 + rng.uniform(0, 0.004), 80.0 + rng.uniform(0, 0.004)) for i in range(10_000)]
+    df = spark.createDataFrame(points, "outlet_id int, lat double, lon double")
+    got = spatial.radius_join(df, 60.0, dense=1000)
+    assert got.count() == len(plain_pairs(points, 60.0))
+    wide = spatial.radius_join(df, 600.0, dense=1000)
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "lot" in plan
+    few = spark.createDataFrame(points[:300], "outlet_id int, lat double, lon double")
+    pairs = [(r.id, r.other) for r in spatial.radius_join(few, 600.0, dense=20).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == plain_pairs(points[:300], 600.0)
