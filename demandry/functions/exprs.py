@@ -38,6 +38,22 @@ def exact_avg(x: Column, scale: int = 2) -> Column:
     return exact_sum(x, scale) / F.count(x)
 
 
+def array_sum(xs: Column, scale: int = 2) -> Column:
+    """The exact sum of an array's numbers; nulls don't count, null of none."""
+    kind = f"decimal(18,{scale})"
+    known = F.filter(xs, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast(kind), lambda a, x: (a + x.cast(kind)).cast(kind)).cast("double"))
+
+
+def array_quantile(ranked: str, share: float) -> Column:
+    """The percentile of a sorted array without nulls, linear between ranks; null of none."""
+    n = F.size(ranked)
+    place = F.lit(share) * (n - 1)
+    low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+    a, b = F.try_element_at(F.col(ranked), low + 1), F.try_element_at(F.col(ranked), high + 1)
+    return F.when(n > 0, F.when(low == high, a).otherwise((high - place) * a + (place - low) * b))
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6_371_000.0) -> Column:
     """Metres between two points in degrees."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)

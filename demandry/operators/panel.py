@@ -1,22 +1,15 @@
 """The outlet-month panel: roll-up of sales, and features of each outlet's own months.
 
-Months are the active ones only, in the order of year * 12 + month. Sums are exact decimals. All windows are partitioned
-by outlet; those over time but `recent_trend`, which counts back from the last month, run in its order.
+Months are the active ones only, in the order of year * 12 + month. Sums are exact decimals. An outlet's months are as
+many as there are months, so they are gathered in one array in one grouping, and the features read it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandry.functions.exprs import exact_avg, exact_sum
-
-def of_outlet():
-    return Window.partitionBy("outlet_id")
-
-
-def by_time():
-    return of_outlet().orderBy("time_idx")
+from demandry.functions.exprs import array_quantile, array_sum, exact_avg, exact_sum
 
 
 def monthly(tx: DataFrame) -> DataFrame:
@@ -30,68 +23,97 @@ def monthly(tx: DataFrame) -> DataFrame:
     )
 
 
-def timed(months: DataFrame) -> DataFrame:
-    return months.withColumn("time_idx", F.col("year") * 12 + F.col("month"))
-
-
-def primary_distributor(months: DataFrame) -> DataFrame:
-    """(outlet_id, distributor_id): the most frequent over its months, ties to the smallest."""
-    return months.groupBy("outlet_id").agg(F.mode("distributor_id", True).alias("distributor_id"))
+#: Columns of the profile that are statistics of the months, in the order of `stats`.
+STATS = ("vol_mean", "vol_median", "vol_max", "vol_std", "vol_p75", "vol_p95", "vol_p99", "bill_mean", "vol_total", "n_tx", "sku_mean", "n_months", "vol_cv", "price_avg")
 
 
-def stats(months: DataFrame) -> DataFrame:
-    """Aggregates of each outlet's months, in one grouping."""
+def profile(months: DataFrame, year: int = 0, share: float = 0.98, change: float = 0.05) -> DataFrame:
+    """One row per outlet, of one grouping: distributor_id (the most frequent, ties to the smallest), volumes (in order of
+    time), STATS, recent_trend, yoy_growth (of a year), censoring_score, plateau_score and hit_rate. Null volumes don't
+    count but for the number of months."""
     v = F.col("volume")
+    mean = lambda y: exact_avg(F.when(F.col("year") == y, v))
     one = months.groupBy("outlet_id").agg(
+        F.mode("distributor_id", True).alias("distributor_id"),
+        F.sort_array(F.collect_list(F.struct((F.col("year") * 12 + F.col("month")).alias("time_idx"), "volume"))).alias("timed"),
         exact_avg(v).alias("vol_mean"),
-        F.median(v).alias("vol_median"),
         F.max(v).alias("vol_max"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("vol_std"),
-        F.percentile(v, F.array(F.lit(0.75), F.lit(0.95), F.lit(0.99))).alias("p"),
         exact_avg(F.col("bill")).alias("bill_mean"),
         exact_sum(v).alias("vol_total"),
         F.sum("n_tx").alias("n_tx"),
         F.avg("n_skus").alias("sku_mean"),
         F.count("*").alias("n_months"),
+        mean(year).alias("now"),
+        mean(year - 1).alias("then"),
     )
+    one = one.withColumn("volumes", F.transform("timed", lambda m: m["volume"])).withColumn("ranked", F.array_sort(F.filter("volumes", lambda x: x.isNotNull())))
+    one = one.withColumns({"vol_median": array_quantile("ranked", 0.5), "vol_p75": array_quantile("ranked", 0.75), "vol_p95": array_quantile("ranked", 0.95), "vol_p99": array_quantile("ranked", 0.99)})
+    near = lambda limit: F.size(F.filter("ranked", lambda x: x >= share * limit)) / F.when(F.size("ranked") > 0, F.size("ranked"))
     return one.select(
-        "outlet_id", "vol_mean", "vol_median", "vol_max", "vol_std", F.col("p")[0].alias("vol_p75"), F.col("p")[1].alias("vol_p95"), F.col("p")[2].alias("vol_p99"), "bill_mean", "vol_total", "n_tx", "sku_mean", "n_months",
+        "outlet_id", "distributor_id", "volumes", "vol_mean", "vol_median", "vol_max", "vol_std", "vol_p75", "vol_p95", "vol_p99", "bill_mean", "vol_total", "n_tx", "sku_mean", "n_months",
         (F.col("vol_std") / F.greatest("vol_mean", F.lit(1e-9))).alias("vol_cv"),
         (F.col("bill_mean") / F.greatest("vol_mean", F.lit(1e-9))).alias("price_avg"),
+        _trend().alias("recent_trend"),
+        F.coalesce(F.when(F.col("then") > 0, F.col("now") / F.col("then")), F.lit(1.0)).alias("yoy_growth"),
+        near(F.col("vol_p95")).alias("censoring_score"),
+        _plateau(change).alias("plateau_score"),
+        near(F.col("vol_max")).alias("hit_rate"),
     )
 
 
+def _trend() -> Column:
+    """Mean of the last three active months over that of the three before; 1 with fewer than six or where those sold nothing.
+
+    Both means are of three months, so the ratio of sums is the ratio of means.
+    """
+    n = F.size("volumes")
+    last = F.when(n >= 6, F.slice("volumes", F.greatest(n - 5, F.lit(1)), F.lit(6)))
+    near, far = array_sum(F.slice(last, 4, 3)), array_sum(F.slice(last, 1, 3))
+    return F.coalesce(F.when((n >= 6) & (far > 0), near / far), F.lit(1.0))
+
+
+def _plateau(change: float) -> Column:
+    """Longest run of neighbouring active months that both reach the outlet's P75 and differ by less than `change`; counts
+    pairs, 0 with fewer than three months."""
+    n = F.size("volumes")
+    pairs = F.arrays_zip(F.slice("volumes", F.lit(1), F.greatest(n - 1, F.lit(0))).alias("a"), F.slice("volumes", F.lit(2), F.greatest(n - 1, F.lit(0))).alias("b"))
+    flat = lambda p: F.coalesce((p["a"] >= F.col("vol_p75")) & (p["b"] >= F.col("vol_p75")) & (F.abs(p["b"] - p["a"]) / F.greatest(p["a"], F.lit(1e-9)) < change), F.lit(False))
+
+    def step(state: Column, p: Column) -> Column:
+        run = F.when(flat(p), state["run"] + 1).otherwise(F.lit(0).cast("long"))
+        return F.struct(run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(F.aggregate(pairs, zero, step, lambda s: s["best"]))
+
+
+def primary_distributor(months: DataFrame) -> DataFrame:
+    """(outlet_id, distributor_id): the most frequent over its months, ties to the smallest."""
+    return months.groupBy("outlet_id").agg(F.mode("distributor_id", True).alias("distributor_id"))
+
+
+def stats(months: DataFrame) -> DataFrame:
+    """Aggregates of each outlet's months."""
+    return profile(months).select("outlet_id", *STATS)
+
+
 def recent_trend(months: DataFrame) -> DataFrame:
-    """Mean of the last three active months over that of the three before; 1 with fewer than six or where those sold nothing."""
-    back = F.row_number().over(of_outlet().orderBy(F.desc("time_idx")))
-    near, far = F.when(F.col("back") <= 3, F.col("volume")), F.when(F.col("back").between(4, 6), F.col("volume"))
-    one = timed(months).withColumn("back", back).where("back <= 6").groupBy("outlet_id").agg(F.count("*").alias("n"), exact_sum(near).alias("near"), exact_sum(far).alias("far"))
-    # Both means are of three months, so the ratio of sums is the ratio of means.
-    return one.select("outlet_id", F.coalesce(F.when((F.col("n") == 6) & (F.col("far") > 0), F.col("near") / F.col("far")), F.lit(1.0)).alias("recent_trend"))
+    return profile(months).select("outlet_id", "recent_trend")
 
 
 def growth(months: DataFrame, year: int) -> DataFrame:
     """Mean month of a year over that of the year before; 1 where either is missing."""
-    mean = lambda y: exact_avg(F.when(F.col("year") == y, F.col("volume")))
-    one = months.groupBy("outlet_id").agg(mean(year).alias("now"), mean(year - 1).alias("then"))
-    return one.select("outlet_id", F.coalesce(F.when(F.col("then") > 0, F.col("now") / F.col("then")), F.lit(1.0)).alias("yoy_growth"))
+    return profile(months, year).select("outlet_id", "yoy_growth")
 
 
 def censoring_score(months: DataFrame, share: float = 0.98) -> DataFrame:
     """Share of an outlet's months near its own P95."""
-    one = months.withColumn("p95", F.percentile("volume", F.lit(0.95)).over(of_outlet()))
-    return one.groupBy("outlet_id").agg(F.avg((F.col("volume") >= share * F.col("p95")).cast("double")).alias("censoring_score"))
+    return profile(months, share=share).select("outlet_id", "censoring_score")
 
 
 def plateau_score(months: DataFrame, change: float = 0.05) -> DataFrame:
-    """Longest run of neighbouring active months that both reach the outlet's P75 and differ by less than 5 %; counts
-    pairs, 0 with fewer than three months."""
-    prev = F.lag("volume").over(by_time())
-    own = timed(months).withColumn("p75", F.percentile("volume", F.lit(0.75)).over(of_outlet())).withColumn("prev", prev).withColumn("n", F.count("*").over(of_outlet()))
-    flat = F.coalesce((F.col("prev") >= F.col("p75")) & (F.col("volume") >= F.col("p75")) & (F.abs(F.col("volume") - F.col("prev")) / F.greatest("prev", F.lit(1e-9)) < change), F.lit(False))
-    runs = own.withColumn("flat", flat.cast("int")).withColumn("run", F.sum(1 - F.col("flat")).over(by_time()))
-    longest = runs.groupBy("outlet_id", "run").agg(F.sum("flat").alias("length"), F.max("n").alias("n")).groupBy("outlet_id").agg(F.max("length").alias("length"), F.max("n").alias("n"))
-    return longest.select("outlet_id", F.when(F.col("n") < 3, F.lit(0)).otherwise(F.col("length")).cast("long").alias("plateau_score"))
+    return profile(months, change=change).select("outlet_id", "plateau_score")
 
 
 def latest_label(labels: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -101,5 +123,4 @@ def latest_label(labels: DataFrame, key: str, order: str, value: str) -> DataFra
 
 def peak_hits(months: DataFrame, share: float = 0.98) -> DataFrame:
     """(outlet_id, distributor_id, hit_rate): the share of an outlet's months within 2 % of its best."""
-    best = months.withColumn("best", F.max("volume").over(of_outlet()))
-    return best.groupBy("outlet_id").agg(F.avg((F.col("volume") >= share * F.col("best")).cast("double")).alias("hit_rate"), F.mode("distributor_id", True).alias("distributor_id"))
+    return profile(months, share=share).select("outlet_id", "hit_rate", "distributor_id")

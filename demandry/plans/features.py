@@ -29,18 +29,20 @@ def structural(master: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def transactional(months: DataFrame, year: int) -> DataFrame:
-    """Everything an outlet's own months tell; each part groups by outlet, so that they are joined where they lie."""
-    plateau = p.plateau_score(months)
-    longest = plateau.agg(F.max("plateau_score").alias("most"))
-    parts = [p.stats(months), p.recent_trend(months), p.growth(months, year), p.censoring_score(months), plateau]
-    joined = reduce(lambda a, b: a.join(b, "outlet_id"), parts).crossJoin(F.broadcast(longest))  # one row
-    return joined.withColumn("plateau_norm", F.col("plateau_score") / F.greatest("most", F.lit(1))).drop("most")
+def profile_of(spark: SparkSession, sf_dir: str, year: int = 2000) -> DataFrame:
+    """Each outlet's own months as one row (`panel.profile`), cut off from the sales that it sums up: every feature reads it."""
+    return cut(p.profile(p.monthly(v.transactions(spark, sf_dir)), year))
 
 
-def places(months: DataFrame, prefixes: tuple[tuple[str, str], ...] = DOMAIN.provinces) -> DataFrame:
+def transactional(own: DataFrame) -> DataFrame:
+    """The profile with plateau_norm, the plateau over the longest of all."""
+    longest = own.agg(F.max("plateau_score").alias("most"))
+    return own.crossJoin(F.broadcast(longest)).withColumn("plateau_norm", F.col("plateau_score") / F.greatest("most", F.lit(1))).drop("most")  # one row
+
+
+def places(own: DataFrame, prefixes: tuple[tuple[str, str], ...] = DOMAIN.provinces) -> DataFrame:
     """(outlet_id, distributor_id, province) of the primary distributor."""
-    return p.primary_distributor(months).withColumn("province", province(F.col("distributor_id"), prefixes))
+    return own.select("outlet_id", "distributor_id").withColumn("province", province(F.col("distributor_id"), prefixes))
 
 
 def temporal(primary: DataFrame, labels: DataFrame) -> DataFrame:
@@ -54,7 +56,9 @@ def with_tiers(master: DataFrame, density: DataFrame) -> DataFrame:
     """Adds poi_tier (q1 to q4 by rank, ties by id) and urban (above the median)."""
     joined = master.join(density, "outlet_id", "left").withColumn("poi_density", F.coalesce("poi_density", F.lit(0)))
     ranked = running(joined, [F.col("poi_density").asc(), F.col("outlet_id").asc()], before=F.lit(1)).withColumn("rank", F.col("before") + 1).drop("before")
-    whole = joined.agg(F.median("poi_density").alias("median"), F.count("*").alias("n"))
+    n = ranked.agg(F.count("*").alias("n"))
+    middle = ranked.crossJoin(F.broadcast(n)).where((F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (F.col("rank") == F.floor((F.col("n") + 2) / 2)))  # one row
+    whole = middle.agg(F.avg("poi_density").alias("median"), F.max("n").alias("n"))
     flagged = ranked.crossJoin(F.broadcast(whole))  # one row
     return flagged.withColumn("poi_tier", F.concat(F.lit("q"), tier(F.col("rank"), F.col("n")).cast("string"))).withColumn("urban", (F.col("poi_density") > F.col("median")).cast("int")).drop("rank", "n", "median")
 
@@ -64,10 +68,12 @@ def cluster_key(df: DataFrame) -> DataFrame:
     return df.withColumn("cluster", F.concat_ws("|", *parts))
 
 
-def peers(members: DataFrame, months: DataFrame) -> DataFrame:
-    """members (outlet_id, cluster, vol_mean) with cluster_size, peer_rank and the P85 and P99 of the cluster's months."""
-    by_month = quantiles(months.join(members.select("outlet_id", "cluster"), "outlet_id"), F.col("volume"), (0.85, 0.99), ["cluster"]).drop("n")
-    ranked = pct_ranks(members, "vol_mean", "peer_rank", "cluster_size", ["cluster"])
+def peers(members: DataFrame) -> DataFrame:
+    """(outlet_id, cluster, vol_mean, cluster_size, peer_rank, peer_p85, peer_p99, gap_to_p85) of members (outlet_id, cluster,
+    vol_mean, volumes): the P85 and P99 are of the months of all in the cluster."""
+    members = cut(members.select("outlet_id", "cluster", "vol_mean", "volumes"))
+    by_month = quantiles(members.select("cluster", F.explode("volumes").alias("volume")), F.col("volume"), (0.85, 0.99), ["cluster"]).drop("n")
+    ranked = pct_ranks(members.drop("volumes"), "vol_mean", "peer_rank", "cluster_size", ["cluster"])
     joined = ranked.join(by_month, "cluster", "left").withColumn("peer_p85", F.col("q")[0]).withColumn("peer_p99", F.col("q")[1]).drop("q")
     return joined.withColumn("gap_to_p85", F.greatest(F.col("peer_p85") - F.col("vol_mean"), F.lit(0.0)))
 
@@ -87,30 +93,30 @@ def physical(df: DataFrame) -> DataFrame:
 
 
 def months_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel, cut off from the sales that it sums up: every feature reads it."""
-    return cut(p.monthly(v.transactions(spark, sf_dir)))
+    """The panel of the sales."""
+    return p.monthly(v.transactions(spark, sf_dir))
 
 
-def members(spark: SparkSession, sf_dir: str, months: DataFrame) -> DataFrame:
-    """(outlet_id, province, distributor_id, outlet_type, outlet_size, coolers, poi_density, poi_tier, urban, cluster)."""
+def members(spark: SparkSession, sf_dir: str, own: DataFrame) -> DataFrame:
+    """(outlet_id, province, distributor_id, outlet_type, outlet_size, coolers, poi_density, poi_tier, urban, cluster) of the
+    outlets of a profile."""
     master = v.outlets(spark, sf_dir)
     rings = v.rings(spark, sf_dir)
     density = rings.select("outlet_id", s.ring_density(rings).alias("poi_density"))
-    placed = master.join(places(months), "outlet_id")
+    placed = master.join(places(own), "outlet_id")
     return cluster_key(with_tiers(placed, density))
 
 
 def feature_table(spark: SparkSession, sf_dir: str, year: int = 2000) -> DataFrame:
     """One row per active outlet with all features."""
-    months = months_of(spark, sf_dir)
-    own = transactional(months, year)
-    who = members(spark, sf_dir, months)
-    peer = peers(who.join(own.select("outlet_id", "vol_mean"), "outlet_id").select("outlet_id", "cluster", "vol_mean"), months).drop("vol_mean", "cluster")
+    own = transactional(profile_of(spark, sf_dir, year))
+    who = members(spark, sf_dir, own)
+    peer = peers(who.join(own.select("outlet_id", "vol_mean", "volumes"), "outlet_id")).drop("vol_mean", "cluster")
     density = s.densities(v.rings(spark, sf_dir))
     near = s.rivals(v.coordinates(spark, sf_dir).where("lat != 0"), who)
     season = temporal(who.select("outlet_id", "distributor_id"), v.seasonality(spark, sf_dir).where(F.col("label").isin(*DOMAIN.labels)))
     shape = structural(who.select("outlet_id", "outlet_type", "outlet_size", "coolers"), own).drop("coolers")
-    joined = reduce(lambda a, b: a.join(b, "outlet_id", "left"), [who, own, shape, peer, density, near, season])
+    joined = reduce(lambda a, b: a.join(b, "outlet_id", "left"), [who, own.drop("distributor_id", "volumes", "hit_rate"), shape, peer, density, near, season])
     decayed = [c for c in density.columns if c != "outlet_id"]
     calendar = silver.working_days(v.holidays(spark), "2000-01-01", "2000-01-31")
     return physical(s.impute(joined, ["outlet_type", "province"], decayed, "poi_imputed")).crossJoin(F.broadcast(calendar))  # one row

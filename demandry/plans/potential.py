@@ -37,10 +37,10 @@ def combine(df: DataFrame) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str, stage_a: DataFrame | None = None) -> DataFrame:
     """The diagnostic table. stage_a (outlet_id, stage_a) is the model's answer; without one the outlet's own P95 stands in."""
-    months = f.months_of(spark, sf_dir)
-    own = f.transactional(months, 2000)
-    who = f.members(spark, sf_dir, months)
-    peer = f.peers(who.join(own.select("outlet_id", "vol_mean"), "outlet_id").select("outlet_id", "cluster", "vol_mean"), months).select("outlet_id", "cluster_size", "peer_p85", "peer_p99")
+    own = f.transactional(f.profile_of(spark, sf_dir))
+    who = f.members(spark, sf_dir, own)
+    peer = f.peers(who.join(own.select("outlet_id", "vol_mean", "volumes"), "outlet_id")).select("outlet_id", "cluster_size", "peer_p85", "peer_p99")
+    own = own.drop("distributor_id", "volumes", "hit_rate")
     season = f.temporal(who.select("outlet_id", "distributor_id"), v.seasonality(spark, sf_dir).where("label != 'Unknown'"))
     joined = who.join(own, "outlet_id").join(peer, "outlet_id").join(season, "outlet_id")
     joined = joined.join(stage_a, "outlet_id", "left") if stage_a is not None else joined.withColumn("stage_a", F.col("vol_p95"))

@@ -233,7 +233,7 @@ def monthly_rollup(spark, d):
 
 @query("primary_distributor", "select outlet_id, distributor_id, province from place")
 def primary_distributor(spark, d):
-    return f.places(f.months_of(spark, d))
+    return f.places(f.profile_of(spark, d))
 
 
 @query("multi_distributor", "select outlet_id, count(distinct distributor_id) as n from tx group by outlet_id having count(distinct distributor_id) > 1")
@@ -277,23 +277,22 @@ def structural_onehot(spark, d):
 
 @query("seasonality_latest", "select outlet_id, season_label from season")
 def seasonality_latest(spark, d):
-    return f.temporal(f.places(f.months_of(spark, d)), v.seasonality(spark, d).where("label != 'Unknown'"))
+    return f.temporal(f.places(f.profile_of(spark, d)), v.seasonality(spark, d).where("label != 'Unknown'"))
 
 
 @query("peer_cluster", "select outlet_id, cluster, poi_tier, urban from member")
 def peer_cluster(spark, d):
-    return f.members(spark, d, f.months_of(spark, d)).select("outlet_id", "cluster", "poi_tier", "urban")
+    return f.members(spark, d, f.profile_of(spark, d)).select("outlet_id", "cluster", "poi_tier", "urban")
 
 
 @query("quartile_tier", "select poi_tier, count(*) as n, min(poi_density) as low, max(poi_density) as high from member group by poi_tier")
 def quartile_tier(spark, d):
-    return f.members(spark, d, f.months_of(spark, d)).groupBy("poi_tier").agg(F.count("*").alias("n"), F.min("poi_density").alias("low"), F.max("poi_density").alias("high"))
+    return f.members(spark, d, f.profile_of(spark, d)).groupBy("poi_tier").agg(F.count("*").alias("n"), F.min("poi_density").alias("low"), F.max("poi_density").alias("high"))
 
 
 def _peers(spark, d) -> DataFrame:
-    months = f.months_of(spark, d)
-    who = f.members(spark, d, months).join(p.stats(months).select("outlet_id", "vol_mean"), "outlet_id")
-    return f.peers(who.select("outlet_id", "cluster", "vol_mean"), months)
+    own = f.profile_of(spark, d)
+    return f.peers(f.members(spark, d, own).join(own.select("outlet_id", "vol_mean", "volumes"), "outlet_id"))
 
 
 @query("peer_pct_rank", f"select outlet_id, cluster_size, {R('peer_rank')} from peer")
@@ -353,7 +352,7 @@ def radius_pairs(spark, d):
 c as (select outlet_type, province, median(school) as cs, median(hospital) as ch from x group by outlet_type, province)
 select x.outlet_id, outlet_type, province, coalesce(school, cs, (select median(school) from x), 0.0) as school, coalesce(hospital, ch, (select median(hospital) from x), 0.0) as hospital, case when school is null then 1 else 0 end as poi_imputed from x join c using (outlet_type, province)""")
 def cluster_median_impute(spark, d):
-    who = f.members(spark, d, f.months_of(spark, d)).select("outlet_id", "outlet_type", "province")
+    who = f.members(spark, d, f.profile_of(spark, d)).select("outlet_id", "outlet_type", "province")
     rings = v.rings(spark, d).select("outlet_id", F.col("school_1000").cast("double").alias("school"), F.col("hospital_1000").cast("double").alias("hospital"))
     return s.impute(who.join(rings, "outlet_id", "left"), ["outlet_type", "province"], ["school", "hospital"], "poi_imputed")
 
@@ -608,7 +607,7 @@ u as (select outlet_id, feature, round(value, 4) as r, value from z unpivot (val
 o as (select *, row_number() over (partition by outlet_id, value > 0 order by abs(value) desc, feature) as rn from u where abs(value) > 1e-6)
 select z.outlet_id, coalesce(string_agg(feature, ',' order by rn) filter (value > 0 and rn <= 3), '') as ups, coalesce(string_agg(feature, ',' order by rn) filter (value < 0 and rn <= 3), '') as downs from z left join o using (outlet_id) group by z.outlet_id""")
 def top_drivers(spark, d):
-    own = f.transactional(f.months_of(spark, d), 2000)
+    own = f.transactional(f.profile_of(spark, d))
     shift = {"recent_trend": 1, "yoy_growth": 1, "censoring_score": 0.1, "plateau_norm": 0.5, "vol_cv": 0.5}
     z = own.select("outlet_id", *[(F.col(c) - m).alias(c) for c, m in shift.items()])
     drivers = z.select("outlet_id", *x.top_drivers(z, list(shift)))
@@ -647,7 +646,7 @@ union all select 'X3 live texts', 0, n, 'PASS' from one union all select 'X4 ung
 def explanation_validation(spark, d):
     facts = x.allowed_numbers(*[F.col(c) for c in ("potential", "vol_mean", "floor", "trend_pct", "coolers")])
     texts = _texts(spark, d).withColumn("ungrounded", x.ungrounded(F.col("explanation"), facts)).withColumn("packet", F.to_json(x.evidence(*[(c, F.col(c)) for c in EVIDENCE])))
-    return validate.explanations(texts, f.places(f.months_of(spark, d)))
+    return validate.explanations(texts, f.places(f.profile_of(spark, d)))
 
 
 @query("feature_guards", """, g as (select count(*) as n, count(distinct outlet_id) as keys, count(*) filter (vol_mean is null) as a, count(*) filter (peer_p85 is null) as b, count(*) filter (season_label is null) as c from pre),
@@ -667,8 +666,8 @@ def feature_guards(spark, d):
 select outlet_id, year, month, {R('vol_mean')}, recent_trend_ as recent_trend, year - 1996 as year_norm, """ + ", ".join(f"case when month = {k} then 1 else 0 end as month_{k}" for k in range(1, 13)) + f""", {R('ln(1 + volume)', 'target')}
 from (select m.*, s.vol_mean, round(t.recent_trend, 6) as recent_trend_ from m join p99 using (outlet_id) left join stats s using (outlet_id) left join trend t using (outlet_id) where not coalesce(m.volume >= 0.95 * p99, false))""")
 def training_panel(spark, d):
-    months = f.months_of(spark, d)
-    own = p.stats(months).select("outlet_id", "vol_mean").join(p.recent_trend(months), "outlet_id")
+    months = cut(f.months_of(spark, d))
+    own = p.profile(months).select("outlet_id", "vol_mean", "recent_trend")
     return rounded(ml.training_panel(months, own, DOMAIN.years[0]), "vol_mean", "recent_trend", "target")
 
 
@@ -686,8 +685,8 @@ MODEL_FEATURES = ("vol_mean", "vol_median", "vol_std", "sku_mean", "n_months", "
 
 
 def _panel(spark, d) -> tuple[DataFrame, DataFrame]:
-    months = f.months_of(spark, d)
-    own = f.transactional(months, 2000).select("outlet_id", *MODEL_FEATURES)
+    months = cut(f.months_of(spark, d))
+    own = f.transactional(cut(p.profile(months, 2000))).select("outlet_id", *MODEL_FEATURES)
     return months, own
 
 
