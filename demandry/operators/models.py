@@ -1,25 +1,56 @@
-"""Models of demand: boosted trees, a censored (Tobit) regression, a Weibull survival regression, tree attributions."""
+"""Models of demand: boosted trees with folds of outlets, and tree attributions."""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandry.functions.exprs import exact_avg
-from demandry.operators.ranks import mean_ranks
+from demandry.operators.ranks import mean_ranks, running
 from demandry.session import cut
 
 
-def fold_of(key: Column, folds: int = 5) -> Column:
-    """A fold by the key's hash, so that all rows of an outlet share one."""
-    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+def shares(loads: list[int], size: int, groups: int) -> list[int]:
+    """How many of some equal groups go to each fold, if one after the other goes to the fold that has the least rows
+    (of equal ones the first)."""
+    taken = lambda level: [max(0, -(-(level - load) // size)) for load in loads]
+    low, high = min(loads), max(loads) + size * groups + 1
+    while high - low > 1:  # the highest level below which no more than the groups are taken
+        level = (low + high) // 2
+        low, high = (level, high) if sum(taken(level)) <= groups else (low, level)
+    out = taken(low)
+    for k in range(len(loads)):
+        if sum(out) < groups and loads[k] + size * out[k] == low:
+            out[k] += 1
+    return out
+
+
+def balanced_folds(panel: DataFrame, key: str, folds: int = 5) -> DataFrame:
+    """(key, n_rows, fold): all rows of a key in one fold, the largest keys dealt first, each to the fold with the least
+    rows so far.
+
+    Only the number of keys of each size reaches the driver, where sizes are dealt; keys of one size are taken in the
+    order of a hash, and their place among them, by ranges, tells the fold. A null key is a key.
+    """
+    sizes = cut(panel.groupBy(key).agg(F.count("*").alias("n_rows")))
+    loads, rules = [0] * folds, []
+    for size, groups in sizes.groupBy("n_rows").agg(F.count("*")).orderBy(F.desc("n_rows")).collect():  # a row for each size
+        counts = shares(loads, size, groups)
+        rules.append((size, [sum(counts[: k + 1]) for k in range(folds)]))
+        loads = [load + size * n for load, n in zip(loads, counts, strict=True)]
+    rule = panel.sparkSession.createDataFrame(rules, "of_size long, upto array<long>")
+    name = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    placed = running(sizes.withColumn("name", name), [F.col("name").asc(), F.col(key).asc()], ["n_rows"], before=F.lit(1))
+    fold = F.size(F.filter("upto", lambda u: u <= F.col("before"))).cast("int")
+    return placed.join(F.broadcast(rule), F.col("n_rows") == F.col("of_size")).select(key, "n_rows", fold.alias("fold"))  # sizes
 
 
 def training_panel(months: DataFrame, features: DataFrame, first_year: int, share: float = 0.95) -> DataFrame:
@@ -38,36 +69,70 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(filled)
 
 
-def trees(rounds: int, rate: float, depth: int, seed: int) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol="target", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="all", seed=seed)
+#: Least rows of a leaf, and the shares of rows and of features that a tree sees.
+LEAF, ROWS, COLUMNS = 200, 0.8, 0.8
+#: Rounds without gain after which no more are fitted, and how many are fitted at first.
+PATIENCE, FIRST = 50, 100
+
 
+def trees(rounds: int, rate: float, depth: int, seed: int, leaf: int = LEAF) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol="target", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=leaf, subsamplingRate=ROWS, featureSubsetStrategy=str(COLUMNS), seed=seed)
 
-def cross_validate(panel: DataFrame, features: Sequence[str], rounds: int = 2000, rate: float = 0.05, depth: int = 6, folds: int = 5, seed: int = 42) -> DataFrame:
-    """(fold, n_train, n_valid, best_round, rmse) of each fold: trees fitted on the other folds' outlets.
 
-    best_round is the one of the least error on the fold, rmse the error there, of log1p(volume). Spark's trees grow
-    level by level; a depth of 6 has as many leaves (64) as a leaf-wise tree of 63.
+def stopping_round(errors: Sequence[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """(best round, whether `patience` rounds without gain follow it), of the errors of rounds 1, 2, ..."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def early_stopped(train: DataFrame, valid: DataFrame, rounds: int, rate: float, depth: int, seed: int, leaf: int = LEAF, patience: int = PATIENCE, first: int = FIRST) -> tuple[int, float, int]:
+    """(best round, error there, rounds fitted): trees are fitted until `patience` rounds bring no gain on valid.
+
+    Rounds are doubled from `first`, as trees of the same seed begin alike: at most twice as many are fitted as it takes
+    to stop, and never more than `rounds`.
     """
-    data = cut(assemble(panel, features).select("features", "target", fold_of(F.col("outlet_id"), folds).alias("fold")))
-    rows = []
+    fitted = min(first, rounds)
+    while True:
+        errors = trees(fitted, rate, depth, seed, leaf).fit(train).evaluateEachIteration(valid, "squared")
+        best, stopped = stopping_round(errors, patience)
+        if stopped or fitted >= rounds:
+            return best, float(math.sqrt(errors[best - 1])), fitted
+        fitted = min(2 * fitted, rounds)
+
+
+def cross_validate(panel: DataFrame, features: Sequence[str], rounds: int = 2000, rate: float = 0.05, depth: int = 6, folds: int = 5, seed: int = 42, leaf: int = LEAF) -> DataFrame:
+    """(fold, n_train, n_valid, best_round, rmse, fitted) of each fold: trees fitted on the other folds' outlets.
+
+    Folds have all rows of an outlet and are balanced by rows. best_round is the one of the least error on the fold, up to
+    PATIENCE rounds without gain; rmse the error there, of log1p(volume). Spark's trees grow level by level; a depth of 6
+    has as many leaves (64) as a leaf-wise tree of 63.
+    """
+    dealt = balanced_folds(panel, "outlet_id", folds)
+    joined = assemble(panel, features).join(dealt.select(F.col("outlet_id").alias("of"), "fold"), F.col("outlet_id").eqNullSafe(F.col("of")))
+    data = cut(joined.select("features", "target", "fold"))
+    sizes, rows = {r[0]: r[1] for r in data.groupBy("fold").count().collect()}, []
+    whole = sum(sizes.values())
     for fold in range(folds):
-        train, valid = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        n = [train.count(), valid.count()]
+        n = [whole - sizes.get(fold, 0), sizes.get(fold, 0)]
         if all(n):
-            errors = trees(rounds, rate, depth, seed).fit(train).evaluateEachIteration(valid, "squared")
-            best = int(np.argmin(errors))
-            rows.append((fold, *n, best + 1, float(math.sqrt(errors[best]))))
-    return panel.sparkSession.createDataFrame(rows, "fold int, n_train long, n_valid long, best_round int, rmse double")
+            best, error, fitted = early_stopped(data.where(F.col("fold") != fold), data.where(F.col("fold") == fold), rounds, rate, depth, seed, leaf)
+            rows.append((fold, *n, best, error, fitted))
+    return panel.sparkSession.createDataFrame(rows, "fold int, n_train long, n_valid long, best_round int, rmse double, fitted int")
 
 
 def cv_metrics(folds: DataFrame) -> DataFrame:
     """One row of the folds' metrics: their number, mean and standard deviation of the RMSE, and the mean best round."""
-    return folds.agg(F.count("*").alias("folds"), F.avg("rmse").alias("rmse_mean"), F.coalesce(F.stddev_pop("rmse"), F.lit(0.0)).alias("rmse_std"), F.round(F.avg("best_round")).cast("int").alias("rounds"))
+    return folds.agg(F.count("*").alias("folds"), F.avg("rmse").alias("rmse_mean"), F.coalesce(F.stddev_pop("rmse"), F.lit(0.0)).alias("rmse_std"), F.floor(F.avg("best_round")).cast("int").alias("rounds"))
 
 
-def fit_trees(panel: DataFrame, features: Sequence[str], rounds: int, rate: float = 0.05, depth: int = 6, seed: int = 42) -> GBTRegressionModel:
+def fit_trees(panel: DataFrame, features: Sequence[str], rounds: int, rate: float = 0.05, depth: int = 6, seed: int = 42, leaf: int = LEAF) -> GBTRegressionModel:
     """Boosted trees on the whole panel, with the rounds that cross-validation gave."""
-    return trees(rounds, rate, depth, seed).fit(assemble(panel, features))
+    return trees(rounds, rate, depth, seed, leaf).fit(assemble(panel, features))
 
 
 def save_trees(model: GBTRegressionModel, features: Sequence[str], path: str, spark) -> None:
@@ -81,80 +146,10 @@ def load_trees(path: str, spark) -> tuple[GBTRegressionModel, list[str]]:
 
 
 def importance(model: GBTRegressionModel, features: Sequence[str], spark) -> DataFrame:
-    rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
-    return spark.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")
-
-
-def survival(panel: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(outlet_id, weibull): mean expected volume of an accelerated-failure-time model; panel has volume and censored (0/1).
-
-    Features that don't vary are left out. The fit has no penalty, which Spark's doesn't offer.
-    """
-    own = cut(panel.select("outlet_id", "volume", "censored", *features))
-    spread = own.agg(*[F.coalesce(F.stddev(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), F.lit(0.0)).alias(c) for c in features]).first()
-    data = assemble(own, [c for c in features if spread[c] > 1e-9]).select("outlet_id", "features", F.greatest("volume", F.lit(1.0)).alias("label"), (1.0 - F.col("censored")).alias("censor"))
-    model = AFTSurvivalRegression(featuresCol="features", labelCol="label", censorCol="censor", maxIter=50).fit(data)
-    scale = math.gamma(1 + model.scale)
-    return model.transform(data).groupBy("outlet_id").agg(F.avg(F.col("prediction") * scale).alias("weibull"))
-
-
-def _phi(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Density of the normal, and its ratio to the upper tail's complement (inverse Mills ratio of -z)."""
-    density = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
-    tail = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
-    ratio = np.where(tail > 1e-300, density / np.maximum(tail, 1e-300), -z)
-    return density, np.where(z < -30, -z, ratio)
-
-
-def tobit(panel: DataFrame, features: Sequence[str], rounds: int = 25) -> DataFrame:
-    """(outlet_id, tobit): latent demand of a regression of log1p(volume) whose censored months are lower bounds.
-
-    Expectation-maximisation: each round is one pass that sums x x', x y* and the variance over partitions; only these
-    sums (features squared) reach the driver, where the normal equations are solved.
-    """
-    names, p = list(features), len(features) + 1
-    cached = panel.select("outlet_id", "volume", "censored", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
-    cached = cut(cached)
-    mean_sd = cached.agg(*[F.avg(c) for c in names], *[F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in names], F.avg(F.log1p("volume")), F.coalesce(F.stddev_pop(F.log1p("volume")), F.lit(1.0))).first()
-    centre = np.array([v or 0.0 for v in mean_sd[: p - 1]])
-    spread = np.array([v or 1.0 for v in mean_sd[p - 1 : 2 * (p - 1)]])
-    beta, sigma = np.r_[mean_sd[-2] or 0.0, np.zeros(p - 1)], max(mean_sd[-1] or 1.0, 1e-3)
-
-    def design(pdf: pd.DataFrame) -> np.ndarray:
-        return np.c_[np.ones(len(pdf)), (pdf[names].to_numpy(dtype=float) - centre) / spread]
-
-    def sums(beta: np.ndarray, sigma: float):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            xx, xy, yy, n = np.zeros((p, p)), np.zeros(p), 0.0, 0
-            for pdf in parts:
-                x, y, cens = design(pdf), np.log1p(pdf["volume"].to_numpy(dtype=float)), pdf["censored"].to_numpy() > 0
-                mu = x @ beta
-                u = (mu - y) / sigma
-                _, m = _phi(u)
-                star = np.where(cens, mu + sigma * m, y)
-                var = np.where(cens, sigma**2 * np.maximum(1 - u * m - m * m, 0), 0)
-                xx += x.T @ x
-                xy += x.T @ star
-                yy += float((star * star + var).sum())
-                n += len(pdf)
-            yield pd.DataFrame({"s": [np.r_[xx.ravel(), xy, yy, n].tolist()]})
-
-        got = cached.mapInPandas(run, "s array<double>").select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("v")).orderBy("pos").collect()
-        s = np.array([r[1] for r in got])
-        return s[: p * p].reshape(p, p), s[p * p : p * p + p], s[-2], s[-1]
-
-    for _ in range(rounds):
-        xx, xy, yy, n = sums(beta, sigma)
-        if not n:
-            break
-        new = np.linalg.solve(xx + 1e-8 * np.eye(p), xy)
-        sigma_new = math.sqrt(max((yy - 2 * new @ xy + new @ xx @ new) / n, 1e-8))
-        moved = max(np.abs(new - beta).max(), abs(sigma_new - sigma))
-        beta, sigma = new, sigma_new
-        if moved < 1e-6:
-            break
-    latent = sum((F.lit(float(b / s)) * (F.col(c) - float(m)) for b, s, m, c in zip(beta[1:], spread, centre, names, strict=True)), F.lit(float(beta[0])))
-    return cached.groupBy("outlet_id").agg(F.expm1(F.avg(latent)).alias("tobit"))
+    """(feature, gain, splits): each feature's share of the gain, and how many splits of all trees are on it."""
+    splits = Counter(f for _, nodes in _tree_arrays(model) for f in nodes["feature"] if f >= 0)
+    rows = [(f, float(v), splits[k]) for k, (f, v) in enumerate(zip(features, model.featureImportances.toArray(), strict=True))]
+    return spark.createDataFrame(rows, "feature string, gain double, splits int").orderBy(F.desc("gain"), "feature")
 
 
 def _tree_arrays(model: GBTRegressionModel) -> list[tuple[float, dict]]:

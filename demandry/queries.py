@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandry.session import cut
 from demandry.config import BUDGET, DECAY, DOMAIN, POTENTIAL
 from demandry.functions.exprs import ceil_to
 from demandry.operators import budget as b
+from demandry.operators import censored as cen
 from demandry.operators import explain as x
 from demandry.operators import models as ml
 from demandry.operators import panel as p
@@ -35,7 +36,7 @@ def query(name: str, sql: str | None = None):
     def add(function: Callable) -> Callable:
         QUERIES[name] = function
         if sql:
-            SQL[name] = o.BASE + sql
+            SQL[name] = o.BASE.replace("with tx as", "with recursive tx as", 1) + sql if "union all select s.rn" in sql else o.BASE + sql
         return function
 
     return add
@@ -671,9 +672,14 @@ def training_panel(spark, d):
     return rounded(ml.training_panel(months, own, DOMAIN.years[0]), "vol_mean", "recent_trend", "target")
 
 
-@query("grouped_folds", "select cast(cast('0x' || substr(md5(cast(outlet_id as varchar)), 1, 8) as bigint) % 5 as int) as fold, count(*) as n_rows, count(distinct outlet_id) as outlets from m group by 1")
+@query("grouped_folds", """, sizes as (select outlet_id, count(*) as n, row_number() over (order by count(*) desc) as rn from m group by outlet_id),
+dealt(rn, n, fold, loads) as (
+  select 0::bigint, 0::bigint, 0, [0, 0, 0, 0, 0]::bigint[]
+  union all select s.rn, s.n, list_position(d.loads, list_min(d.loads)) - 1, [case when k = list_position(d.loads, list_min(d.loads)) then d.loads[k] + s.n else d.loads[k] end for k in [1, 2, 3, 4, 5]] from dealt d join sizes s on s.rn = d.rn + 1)
+select fold::int as fold, sum(n)::bigint as n_rows, count(*) as outlets from dealt where rn > 0 group by fold""")
 def grouped_folds(spark, d):
-    return f.months_of(spark, d).groupBy(ml.fold_of(F.col("outlet_id")).alias("fold")).agg(F.count("*").alias("n_rows"), F.count_distinct("outlet_id").alias("outlets"))
+    """Rows and outlets of each fold, the largest outlets dealt first to the fold with the least rows."""
+    return ml.balanced_folds(f.months_of(spark, d), "outlet_id").groupBy("fold").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("outlets"))
 
 
 @query("agreement_stats", ", pairs as (select round(vol_mean, 2) as a, round(vol_p95, 2) as b from stats) " + SPEARMAN.format(mean=o.AVG("a - b", 6)))
@@ -681,26 +687,22 @@ def agreement_stats(spark, d):
     return ml.agreement(p.stats(f.months_of(spark, d)).select(F.round("vol_mean", 2).alias("a"), F.round("vol_p95", 2).alias("b")), "a", "b")
 
 
-MODEL_FEATURES = ("vol_mean", "vol_median", "vol_std", "sku_mean", "n_months", "recent_trend", "yoy_growth", "price_avg")
-
-
 def _panel(spark, d) -> tuple[DataFrame, DataFrame]:
-    months = cut(f.months_of(spark, d))
-    own = f.transactional(cut(p.profile(months, 2000))).select("outlet_id", *MODEL_FEATURES)
-    return months, own
+    """(months, features of the outlets)."""
+    return cut(f.months_of(spark, d)), cut(f.feature_table(spark, d).select("outlet_id", *f.FEATURES))
 
 
 #: The queries' trees are small, so that they take seconds; the operators' defaults are the full ones.
-SMALL = {"rounds": 8, "rate": 0.3, "depth": 3}
+SMALL = {"rounds": 8, "rate": 0.3, "depth": 3, "leaf": 20}
 
 
 def _model(spark, d):
     """(features of the outlets, training panel, trees, names) of the one model that forecasts and is explained."""
     months, own = _panel(spark, d)
-    names = [*MODEL_FEATURES, "year_norm", *[f"month_{k}" for k in range(1, 13)]]
+    names = [*f.FEATURES, "year_norm", *[f"month_{k}" for k in range(1, 13)]]
     panel = cut(ml.training_panel(months, own, DOMAIN.years[0]))
     rounds = ml.cv_metrics(ml.cross_validate(panel, names, **SMALL)).first()["rounds"] or 1
-    return own, panel, ml.fit_trees(panel, names, rounds, SMALL["rate"], SMALL["depth"]), names
+    return own, panel, ml.fit_trees(panel, names, rounds, SMALL["rate"], SMALL["depth"], leaf=SMALL["leaf"]), names
 
 
 CENSORED = ["n_months", "sku_mean", "price_avg"]
@@ -715,7 +717,7 @@ def _january(own: DataFrame) -> DataFrame:
 def cv_metrics(spark, d):
     """Folds of outlets: rounds and error of each, then those of all."""
     months, own = _panel(spark, d)
-    names = [*MODEL_FEATURES, "year_norm", *[f"month_{k}" for k in range(1, 13)]]
+    names = [*f.FEATURES, "year_norm", *[f"month_{k}" for k in range(1, 13)]]
     folds = ml.cross_validate(ml.training_panel(months, own, DOMAIN.years[0]), names, **SMALL)
     whole = ml.cv_metrics(folds)
     return folds.select(F.col("fold").cast("string").alias("fold"), "best_round", F.round("rmse", 6).alias("rmse")).unionByName(whole.select(F.lit("all").alias("fold"), F.col("rounds").alias("best_round"), F.round("rmse_mean", 6).alias("rmse")))
@@ -752,19 +754,18 @@ def stage_a_gbt(spark, d):
 
 
 def _censored(spark, d) -> DataFrame:
-    months, own = _panel(spark, d)
-    p95 = F.percentile("volume", F.lit(0.95)).over(Window.partitionBy("outlet_id"))
-    return months.withColumn("p95", p95).withColumn("censored", (F.col("volume") >= 0.98 * F.col("p95")).cast("int")).join(own, "outlet_id").select("outlet_id", "volume", "censored", *CENSORED)
+    own = f.profile_of(spark, d).select("outlet_id", "vol_p95", *CENSORED, F.explode("volumes").alias("volume"))
+    return own.select("outlet_id", "volume", (F.col("volume") >= 0.98 * F.col("vol_p95")).cast("int").alias("censored"), *CENSORED)
 
 
 @query("weibull_aft")
 def weibull_aft(spark, d):
-    return ml.survival(_censored(spark, d), CENSORED)
+    return cen.survival(_censored(spark, d), CENSORED)
 
 
 @query("tobit")
 def tobit(spark, d):
-    return ml.tobit(_censored(spark, d), CENSORED)
+    return cen.tobit(_censored(spark, d), CENSORED)
 
 
 @query("tree_shap")
@@ -780,7 +781,7 @@ def model_agreement(spark, d):
     own, panel, model, names = _model(spark, d)
     stage_a = cut(model.transform(ml.assemble(_january(own), names)).select("outlet_id", F.expm1("prediction").alias("a")))
     months = cut(_censored(spark, d))
-    others = {"tobit": ml.tobit(months, CENSORED), "weibull": ml.survival(months, CENSORED)}
+    others = {"tobit": cen.tobit(months, CENSORED), "weibull": cen.survival(months, CENSORED)}
     rows = [ml.agreement(stage_a.join(df.select("outlet_id", F.col(c).alias("b")), "outlet_id"), "a", "b").withColumn("model", F.lit(c)) for c, df in others.items()]
     return rows[0].unionByName(rows[1])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from demandry.config import DOMAIN
 from demandry.functions import exprs
-from demandry.operators import budget, explain, models, panel, quality, ranks, spatial
+from demandry.operators import budget, censored, explain, models, panel, quality, ranks, spatial
 from demandry.plans import silver, validate
 
 
@@ -181,7 +181,7 @@ def test_attributions_add_up(spark):
     x = rng.normal(size=(400, 3))
     y = np.where(x[:, 0] > 0, 2.0, 0.0) + x[:, 1] * (x[:, 2] > 0)
     df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "outlet_id long, a double, b double, c double, target double")
-    model = models.fit_trees(df, ["a", "b", "c"], rounds=5, rate=0.2, depth=3)
+    model = models.fit_trees(df, ["a", "b", "c"], rounds=5, rate=0.2, depth=3, leaf=20)
     own = models.attributions(df, model, ["a", "b", "c"])
     direct = dict(rows(model.transform(models.assemble(df, ["a", "b", "c"])).select("outlet_id", "prediction")))
     for r in own.collect():
@@ -195,7 +195,7 @@ def test_tobit_recovers_a_censored_line(spark):
     latent = 3 + 0.5 * x + rng.normal(scale=0.3, size=3000)
     seen = np.minimum(latent, 3.2)
     df = spark.createDataFrame([(i, float(a), float(np.expm1(s)), int(v > 3.2)) for i, (a, s, v) in enumerate(zip(x, seen, latent, strict=True))], "outlet_id long, x double, volume double, censored int")
-    got = models.tobit(df, ["x"], rounds=60).toPandas().set_index("outlet_id")["tobit"]
+    got = censored.tobit(df, ["x"]).toPandas().set_index("outlet_id")["tobit"]
     fitted = np.log1p(got.loc[range(3000)].to_numpy())
     slope, offset = np.polyfit(x, fitted, 1)
     assert slope == pytest.approx(0.5, abs=0.03) and offset == pytest.approx(3, abs=0.03)
@@ -241,11 +241,11 @@ def test_cross_validation_and_saved_trees(spark, tmp_path):
     rng = __import__("random").Random(5)
     data = [(o, rng.random(), rng.random()) for o in range(60) for _ in range(8)]
     df = spark.createDataFrame([(o, a, b, 3 * a + (b > 0.5)) for o, a, b in data], "outlet_id long, a double, b double, target double")
-    folds = models.cross_validate(df, ["a", "b"], rounds=6, rate=0.3, depth=3, folds=3)
+    folds = models.cross_validate(df, ["a", "b"], rounds=6, rate=0.3, depth=3, folds=3, leaf=20)
     got = folds.collect()
     assert len(got) == 3 and sum(r.n_valid for r in got) == len(data) and all(r.n_train + r.n_valid == len(data) and 1 <= r.best_round <= 6 and 0 < r.rmse < 1 for r in got)
     rounds = models.cv_metrics(folds).first()["rounds"]
-    model = models.fit_trees(df, ["a", "b"], rounds, 0.3, 3)
+    model = models.fit_trees(df, ["a", "b"], rounds, 0.3, 3, leaf=20)
     models.save_trees(model, ["a", "b"], f"{tmp_path}/m", spark)
     again, names = models.load_trees(f"{tmp_path}/m", spark)
     sums = [m.transform(models.assemble(df, names)).agg(F.sum("prediction")).first()[0] for m in (model, again)]
@@ -292,8 +292,8 @@ def test_map_layer(spark):
 def test_survival_leaves_out_constant_features(spark):
     rows = [(k % 5, float(10 + (k * 7) % 13), int(k % 4 == 0), float(k % 5), 3.0) for k in range(100)]
     panel = spark.createDataFrame(rows, "outlet_id int, volume double, censored int, a double, same double")
-    got = {r.outlet_id: r.weibull for r in models.survival(panel, ["a", "same"]).collect()}
-    alone = {r.outlet_id: r.weibull for r in models.survival(panel, ["a"]).collect()}
+    got = {r.outlet_id: r.weibull for r in censored.survival(panel, ["a", "same"]).collect()}
+    alone = {r.outlet_id: r.weibull for r in censored.survival(panel, ["a"]).collect()}
     assert len(got) == 5 and all(abs(got[k] - alone[k]) < 1e-9 for k in got)
 
 
@@ -304,7 +304,7 @@ def test_attributions_equal_all_subsets(spark):
     rows = [(k, float(k % 7), float(k % 5), float(k % 3), float(2 * (k % 7) + (k % 5) * (k % 3))) for k in range(210)]
     df = spark.createDataFrame(rows, "outlet_id int, a double, b double, c double, target double")
     names = ["a", "b", "c"]
-    model = models.fit_trees(df, names, 2, 0.5, 3)
+    model = models.fit_trees(df, names, 2, 0.5, 3, leaf=20)
     trees = models._tree_arrays(model)
 
     def value(nodes, x, known, at=0):
@@ -425,3 +425,108 @@ def test_crowded_cells_are_split(spark):
     few = spark.createDataFrame(points[:300], "outlet_id int, lat double, lon double")
     pairs = [(r.id, r.other) for r in spatial.radius_join(few, 600.0, dense=20).collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == plain_pairs(points[:300], 600.0)
+
+
+# Censored models, folds, early stop
+
+
+def test_normal_tail_is_exact():
+    s = np.r_[np.linspace(-36, 8, 400), -3.0, -2.999999, 12.0]
+    log_tail, mills = censored.normal_tail(s)
+    want = np.array([math.log(0.5 * math.erfc(-v / math.sqrt(2))) for v in s])
+    assert np.allclose(log_tail, want, rtol=1e-11, atol=1e-14)
+    density = np.exp(-0.5 * s * s) / math.sqrt(2 * math.pi)
+    assert np.allclose(mills, density / np.exp(want), rtol=1e-10)
+    assert censored.normal_tail(np.array([-1000.0]))[1][0] == pytest.approx(1000.001, rel=1e-6)
+
+
+@pytest.mark.parametrize("of", [censored.tobit_sums, censored.weibull_sums])
+def test_derivatives_equal_differences(of):
+    rng = np.random.default_rng(4)
+    x, y, cens = np.c_[np.ones(60), rng.normal(size=(60, 2))], rng.normal(1, 1, 60), rng.random(60) < 0.4
+    p = np.array([0.3, -0.2, 0.4, 0.7])
+    _, gradient, hessian = of(x, y, cens, p)
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-6
+        up, down = of(x, y, cens, p + step), of(x, y, cens, p - step)
+        assert gradient[k] == pytest.approx((up[0] - down[0]) / 2e-6, rel=1e-6, abs=1e-6)
+        assert np.allclose(hessian[k], (up[1] - down[1]) / 2e-6, rtol=1e-5, atol=1e-5)
+
+
+def test_tobit_fits_known_parameters(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(2, 20_000))
+    latent = 3 + 0.5 * a - 0.25 * b + rng.normal(scale=0.4, size=20_000)
+    seen = np.minimum(latent, 3.3)
+    df = spark.createDataFrame(pd.DataFrame({"outlet_id": range(20_000), "volume": np.expm1(seen), "censored": (latent > 3.3).astype(int), "a": a, "b": b, "same": 1.0}))
+    data = censored.table(df, ["a", "b", "same"], F.log1p)
+    beta, sigma = censored.fit_tobit(data)
+    assert data.names == ["a", "b"] and beta[1:] / data.spread == pytest.approx([0.5, -0.25], abs=0.02) and sigma == pytest.approx(0.4, abs=0.01)
+    assert beta[0] - (beta[1:] / data.spread * data.centre).sum() == pytest.approx(3, abs=0.02)
+    at = np.r_[beta / sigma, 1 / sigma]
+    assert np.abs(data.evaluator(censored.tobit_sums, np.log1p)(at)[1]).max() < 1e-2
+    with pytest.raises(censored.NotConverged):
+        censored.fit_tobit(data, rounds=1)
+    assert censored.tobit(df.limit(0), ["a"]).collect() == []
+
+
+def test_survival_fits_known_parameters_and_equals_sparks(spark):
+    from pyspark.ml.regression import AFTSurvivalRegression
+
+    rng = np.random.default_rng(3)
+    n, shape = 5000, 1.8
+    a, b = rng.normal(size=(2, n))
+    t = np.exp(4 + 0.6 * a - 0.3 * b) * rng.weibull(shape, n) + 1
+    limit = np.exp(rng.normal(4.8, 0.6, n)) + 1
+    df = spark.createDataFrame(pd.DataFrame({"outlet_id": range(n), "volume": np.minimum(t, limit), "censored": (t > limit).astype(int), "a": a, "b": b}))
+    data = censored.table(df, ["a", "b"], lambda v: F.log(F.greatest(v, F.lit(1.0))))
+    beta, found = censored.fit_weibull(data, penalty=0.0)
+    assert beta[1:] / data.spread == pytest.approx([0.6, -0.3], abs=0.05) and found == pytest.approx(shape, rel=0.05)
+    ready = models.assemble(df, ["a", "b"]).select("features", F.col("volume").alias("label"), (1.0 - F.col("censored")).alias("censor"))
+    model = AFTSurvivalRegression(maxIter=200, tol=1e-10).fit(ready)
+    assert list(model.coefficients) == pytest.approx(list(beta[1:] / data.spread), abs=1e-4) and 1 / model.scale == pytest.approx(found, rel=1e-4)
+    ridged, _ = censored.fit_weibull(data, penalty=0.5)
+    assert (np.abs(ridged[1:]) < np.abs(beta[1:])).all()
+    got = {r.outlet_id: r.weibull for r in censored.survival(df, ["a", "b"], penalty=0.0).where("outlet_id < 3").collect()}
+    assert got[0] == pytest.approx(math.exp(beta[0] + (beta[1:] * (np.array([a[0], b[0]]) - data.centre) / data.spread).sum()) * math.gamma(1 + 1 / found), rel=1e-9)
+
+
+def greedy_folds(sizes, folds):
+    loads, counts = [0] * folds, [0] * folds
+    for size in sorted(sizes, reverse=True):
+        k = loads.index(min(loads))
+        loads[k] += size
+        counts[k] += 1
+    return loads, counts
+
+
+def test_folds_are_balanced(spark):
+    rng = random.Random(6)
+    for _ in range(200):
+        loads, size, groups = [rng.randrange(40) for _ in range(5)], rng.randrange(1, 9), rng.randrange(60)
+        want = list(loads)
+        for _ in range(groups):
+            want[want.index(min(want))] += size
+        assert [load + size * n for load, n in zip(loads, models.shares(loads, size, groups), strict=True)] == want
+    sizes = {f"o{k}": rng.choice([1, 2, 3, 12, 30]) for k in range(150)} | {"huge": 400, None: 7}
+    df = spark.createDataFrame([(o, j) for o, n in sizes.items() for j in range(n)], "outlet string, j int").repartition(5)
+    got = models.balanced_folds(df, "outlet", 5).collect()
+    assert {r.outlet: r.n_rows for r in got} == sizes
+    loads = [sum(r.n_rows for r in got if r.fold == k) for k in range(5)]
+    assert (loads, [sum(r.fold == k for r in got) for k in range(5)]) == greedy_folds(sizes.values(), 5)
+
+
+def test_stop_after_rounds_without_gain(spark):
+    assert models.stopping_round([3, 2, 1, 1.5, 1.2, 0.5], patience=2) == (3, True)
+    assert models.stopping_round([3, 2, 1, 1.5, 0.5], patience=3) == (5, False)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 2))
+    df = spark.createDataFrame(pd.DataFrame({"outlet_id": range(600), "a": x[:, 0], "b": x[:, 1], "target": np.sign(x[:, 0]) + rng.normal(scale=1.0, size=600)}))
+    data = models.assemble(df, ["a", "b"]).select("outlet_id", "features", "target")
+    train, valid = data.where("outlet_id < 400").cache(), data.where("outlet_id >= 400").cache()
+    best, error, fitted = models.early_stopped(train, valid, 2000, 0.3, 3, 42, leaf=20, patience=5, first=8)
+    assert fitted <= 64 and best + 5 <= fitted
+    errors = models.trees(fitted, 0.3, 3, 42, 20).fit(train).evaluateEachIteration(valid, "squared")
+    assert (best, True) == models.stopping_round(errors, 5) and error == pytest.approx(math.sqrt(errors[best - 1]))
+    splits = models.importance(models.fit_trees(df, ["a", "b"], 3, 0.3, 3, leaf=20), ["a", "b"], spark).collect()
+    assert splits[0].feature == "a" and all(r.splits > 0 for r in splits)
