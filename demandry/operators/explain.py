@@ -22,14 +22,14 @@ def label_for(name: str) -> str:
     return LABELS.get(name, name.replace("_", " "))
 
 
-def top_drivers(df: DataFrame, features: Sequence[str], k: int = 3, least: float = 1e-6) -> list[Column]:
+def top_drivers(df: DataFrame, features: Sequence[str], k: int = 3, least: float = 1e-6, of: dict[str, Column] | None = None) -> list[Column]:
     """(ups, downs): the k largest positive and negative contributions of a row as arrays of (feature, value).
 
-    month_* contributions count as one. Values are rounded to four digits; equal ones are in the order of their names.
+    A contribution is the column of its feature, or what `of` has for it. month_* contributions count as one. Values are rounded to four digits; equal ones are in the order of their names.
     """
     months = [f for f in features if f.startswith("month_")]
     rest = [f for f in features if f not in months]
-    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in rest]
+    pairs = [F.struct(F.lit(f).alias("feature"), (of or {}).get(f, F.col(f)).alias("value")) for f in rest]
     if months:
         pairs.append(F.struct(F.lit("month").alias("feature"), sum((F.col(m) for m in months), F.lit(0.0)).alias("value")))
     every = F.array(*pairs)
@@ -45,6 +45,28 @@ def evidence(*columns: tuple[str, Column]) -> Column:
     return F.struct(*[c.alias(name) for name, c in columns])
 
 
+#: The facts of a packet in their order, with the digits that each is rounded to (none: taken as it is).
+PACKET = (
+    ("outlet_id", None), ("province", None), ("distributor_id", None), ("outlet_type", None), ("outlet_size", None), ("potential", 0), ("vol_max", 0), ("vol_mean", 0), ("uplift_vs_peak_pct", 0),
+    ("coolers", 0), ("physical_max", 0), ("decayed_weighted", 3), ("n_competitors", 0), ("market_share", 2), ("peer_rank_pct", 0), ("months_at_ceiling_pct", 0), ("constraint_type", None), ("season", 2),
+)
+
+
+def facts(df: DataFrame) -> DataFrame:
+    """The facts of each outlet's packet (PACKET), halves rounded to even, null where a fact isn't known.
+
+    df has the diagnostic's columns and decayed_weighted, n_competitors, market_share and peer_rank.
+    """
+    peak = F.greatest(F.coalesce("vol_max", F.lit(1.0)), F.lit(1.0))
+    own = df.withColumns(
+        {
+            "uplift_vs_peak_pct": (F.col("potential") / peak - 1) * 100, "peer_rank_pct": F.col("peer_rank") * 100, "months_at_ceiling_pct": F.col("censoring_score") * 100,
+            **{c: F.coalesce(F.col(c), F.lit("Unknown")) for c in ("province", "distributor_id", "outlet_type", "outlet_size")},
+        }
+    )
+    return own.select(*[F.col(c) if digits is None else F.bround(F.col(c).cast("double"), digits).alias(c) for c, digits in PACKET])
+
+
 def template_text(floor: Column, potential: Column, mean: Column, trend: Column, supply: Column, coolers: Column) -> Column:
     """Four labelled lines from whole numbers of the evidence."""
     whole = lambda c: F.round(c, 0).cast("long").cast("string")

@@ -118,7 +118,7 @@ def feature_table(spark: SparkSession, sf_dir: str, year: int = 2000) -> DataFra
     shape = structural(who.select("outlet_id", "outlet_type", "outlet_size", "coolers"), own).drop("coolers")
     joined = reduce(lambda a, b: a.join(b, "outlet_id", "left"), [who, own.drop("distributor_id", "volumes", "hit_rate"), shape, peer, density, near, season])
     decayed = [c for c in density.columns if c != "outlet_id"]
-    calendar = silver.working_days(v.holidays(spark), "2000-01-01", "2000-01-31")
+    calendar = silver.working_days(v.holidays(spark, sf_dir), "2000-01-01", "2000-01-31")
     return physical(s.impute(joined, ["outlet_type", "province"], decayed, "poi_imputed")).crossJoin(F.broadcast(calendar))  # one row
 
 

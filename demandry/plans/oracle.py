@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from demandry.config import BUDGET, DECAY, DOMAIN, POTENTIAL
 from demandry.operators.spatial import POI_TAGS
-from demandry.plans.views import HOLIDAYS, PREFIXES
+from demandry.plans.views import KINDS, PREFIXES
 
 ARR = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 IN = lambda xs: "(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in xs) + ")"
@@ -80,8 +80,14 @@ with tx as (
   select {DIST("n")} as distributor_id, cast(y as bigint) as year, cast(mo as bigint) as month,
     case when (n * 7 + y * 3 + mo * 5) % 37 = 0 then 'Unknown' else ({ARR(DOMAIN.labels)})[cast((n * 7 + y * 3 + mo * 5) % 3 + 1 as int)] end as label, n as row_no
   from seller, unnest({list(DOMAIN.years)}) as a(y), unnest({list(DOMAIN.months)}) as b(mo)
-), holiday(day, name, kind, row_no) as (
-  values {", ".join(f"('{d}', '{n}', '{k}', {i})" for i, (d, n, k) in enumerate(HOLIDAYS))}
+), hday as (
+  select o_orderdate::date as date, date_diff('day', date '1990-01-01', o_orderdate::date) as k, case when k % 31 = 0 then 'day ' || k else strftime(o_orderdate::date, '%Y-%m-%d') end as day, 'Holiday ' || (k % 50) as name
+  from (select distinct o_orderdate::date as o_orderdate from orders where o_orderdate is not null)
+), holiday as (
+  select day, name, ({ARR(KINDS)})[cast(k % 4 + 1 as int)] as kind, k * 3 as row_no from hday where k % 7 = 0
+  union all select day, name, ({ARR(KINDS)})[cast((k + 1) % 4 + 1 as int)], k * 3 + 1 from hday where k % 7 = 3
+  union all select day, name, ({ARR(KINDS)})[cast((k + 2) % 4 + 1 as int)], k * 3 + 1 from hday where k % 21 = 0
+  union all select day, name, ({ARR(KINDS)})[cast(k % 4 + 1 as int)], k * 3 + 2 from hday where k % 35 = 0
 ), mode_m as (
   select outlet_id, year, month, distributor_id from (
     select outlet_id, year, month, distributor_id, row_number() over (partition by outlet_id, year, month order by count(*) desc, distributor_id) as rn from tx group by outlet_id, year, month, distributor_id) where rn = 1
@@ -170,7 +176,7 @@ with tx as (
 ), water as (
   select outlet_id, case when gap > 0 then case when level is null then {BUDGET.cap}::double else greatest(0.0, least({BUDGET.cap}::double, (ln(gap * k) - level) / k)) end else 0.0 end as spend from cand, lvl
 ), alloc as (
-  select cand.*, round(spend, 2) as spend, gap * (1 - exp(-k * spend)) as increment from cand join water using (outlet_id)
+  select cand.*, round_even(spend, 2) as spend, gap * (1 - exp(-k * spend)) as increment from cand join water using (outlet_id)
 )
 """
 

@@ -39,7 +39,7 @@ def scored(spark: SparkSession, sf_dir: str, stage_a: DataFrame | None = None) -
     """The diagnostic table. stage_a (outlet_id, stage_a) is the model's answer; without one the outlet's own P95 stands in."""
     own = f.transactional(f.profile_of(spark, sf_dir))
     who = f.members(spark, sf_dir, own)
-    peer = f.peers(who.join(own.select("outlet_id", "vol_mean", "volumes"), "outlet_id")).select("outlet_id", "cluster_size", "peer_p85", "peer_p99")
+    peer = f.peers(who.join(own.select("outlet_id", "vol_mean", "volumes"), "outlet_id")).select("outlet_id", "cluster_size", "peer_rank", "peer_p85", "peer_p99")
     own = own.drop("distributor_id", "volumes", "hit_rate")
     season = f.temporal(who.select("outlet_id", "distributor_id"), v.seasonality(spark, sf_dir).where("label != 'Unknown'"))
     joined = who.join(own, "outlet_id").join(peer, "outlet_id").join(season, "outlet_id")
@@ -64,8 +64,8 @@ def candidates(diagnostic: DataFrame) -> DataFrame:
 
 
 def allocate(frame: DataFrame, exact: bool = True) -> DataFrame:
-    """frame with spend (two digits) and increment (of the unrounded spend)."""
+    """frame with spend (two digits, halves to even) and increment (of the unrounded spend)."""
     frame = cut(frame)
     spend = b.waterfill(frame, BUDGET.total, BUDGET.cap) if exact else b.greedy(frame, BUDGET.total, BUDGET.cap, BUDGET.step)
     joined = frame.join(spend, "outlet_id")
-    return joined.withColumn("increment", b.response(F.col("gap"), F.col("k"), F.col("spend"))).withColumn("spend", F.round("spend", 2))
+    return joined.withColumn("increment", b.response(F.col("gap"), F.col("k"), F.col("spend"))).withColumn("spend", F.bround("spend", 2))

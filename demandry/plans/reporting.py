@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandry.config import POTENTIAL
 from demandry.functions.exprs import exact_avg, matches
 from demandry.operators.ranks import quantiles
 from demandry.session import cut
@@ -24,6 +25,54 @@ def headline(diagnostic: DataFrame) -> DataFrame:
     return one.join(F.broadcast(ranks), F.lit(True), "left").select("outlets", "mean", "median", "least", "most", "p95", "p99", *one.columns[4:])  # one row each
 
 
+def serving(predictions: DataFrame, diagnostic: DataFrame, extra: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """One row for each prediction, with what explains it, where it is, constraint_type and uplift_pct over the best month;
+    what a prediction has no row for is null. Columns that diagnostic has already aren't taken from extra."""
+    more = extra.select("outlet_id", *[c for c in extra.columns if c not in diagnostic.columns])
+    joined = predictions.join(diagnostic.drop("constraint_type"), "outlet_id", "left").join(more, "outlet_id", "left").join(coordinates.select("outlet_id", "lat", "lon"), "outlet_id", "left")
+    kind = F.when(F.col("censoring_score") > POTENTIAL.supply_bound, "supply").when(F.col("censoring_score").isNotNull(), "demand")
+    return joined.withColumn("constraint_type", kind).withColumn("uplift_pct", (F.col("max_monthly_litres") / F.greatest("vol_max", F.lit(1.0)) - 1) * 100)
+
+
+def budget_view(detail: DataFrame | None, bare: DataFrame) -> DataFrame:
+    """Funded outlets (spend above 1), the dearest first: of the detailed table, or of the bare one where there is none."""
+    own = detail if detail is not None else bare
+    return own.where("spend > 1").orderBy(F.desc("spend"), "outlet_id")
+
+
+def geo_points(predictions: DataFrame, coordinates: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """(outlet_id, lat, lon, log_litres) of the outlets within the box: log10 of the prediction, 1 at least."""
+    south, north, west, east = box
+    placed = coordinates.where(F.col("lat").between(south, north) & F.col("lon").between(west, east)).select("outlet_id", "lat", "lon")
+    return predictions.join(placed, "outlet_id").select("outlet_id", "lat", "lon", F.log10(F.greatest("max_monthly_litres", F.lit(1.0))).alias("log_litres"))
+
+
+def driver_example(diagnostic: DataFrame, drivers: DataFrame) -> DataFrame:
+    """(outlet_id, feature, value): the drivers, least first, of the largest potential among the outlets that supply holds
+    back (of any, if there is none). drivers has outlet_id, ups and downs."""
+    own = diagnostic.join(drivers.select("outlet_id", "ups", "downs"), "outlet_id").withColumn("held", (F.col("censoring_score") > POTENTIAL.supply_bound).cast("int"))
+    one = own.orderBy(F.desc_nulls_last("held"), F.desc("potential"), "outlet_id").limit(1)
+    return one.select("outlet_id", F.explode(F.concat("ups", "downs")).alias("d")).select("outlet_id", "d.feature", "d.value").orderBy("value", "feature")
+
+
+def outlet_trends(months: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(outlet_id, at, volume, peak): the months of n outlets, drawn by a hash, on a time axis in years, with their best."""
+    months = cut(months.select("outlet_id", "year", "month", "volume"))
+    peaks = months.groupBy("outlet_id").agg(F.max("volume").alias("peak"))
+    drawn = seeded_sample(peaks, "outlet_id", n, seed)
+    return months.join(F.broadcast(drawn), "outlet_id").select("outlet_id", (F.col("year") + (F.col("month") - 1) / 12).alias("at"), "volume", "peak")  # n rows
+
+
+def panel_counts(profile: DataFrame) -> DataFrame:
+    """One row of the panel's headline numbers: outlets, outlet-months, median active months, median month, and outlets
+    with more than three tenths of their months near the best."""
+    own = cut(profile.select("n_months", "volumes", "hit_rate"))
+    active = quantiles(own, F.col("n_months"), (0.5,)).select(F.col("q")[0].alias("median_months"))
+    litres = quantiles(own.select(F.explode("volumes").alias("v")), F.col("v"), (0.5,)).select(F.col("q")[0].alias("median_volume"))
+    one = own.agg(F.count("*").alias("outlets"), F.sum("n_months").alias("outlet_months"), F.count_if(F.col("hit_rate") > 0.3).alias("near_best"))
+    return one.crossJoin(F.broadcast(active)).crossJoin(F.broadcast(litres))  # one row each
+
+
 def segments(diagnostic: DataFrame) -> DataFrame:
     """(segment, value, outlets, mean) by size, type, province and town."""
     parts = [diagnostic.select(F.lit(c).alias("segment"), F.col(c).cast("string").alias("value"), "potential") for c in ("outlet_size", "outlet_type", "province", "urban")]

@@ -72,6 +72,11 @@ def clean_outlets(raw: DataFrame) -> DataFrame:
     return own.select("outlet_id", F.col("__kind").alias("outlet_type"), F.when(F.col("__size_bad"), "Medium").otherwise(F.col("__title")).alias("outlet_size"), coolers.alias("coolers"))
 
 
+def conflicting_types(raw: DataFrame) -> DataFrame:
+    """(outlet_id, n): ids whose rows name more than one type, after typos."""
+    return _steps(raw).where("outlet_id is not null").groupBy("outlet_id").agg(F.count_distinct("__kind").alias("n")).where("n > 1")
+
+
 def audit_outlets(raw: DataFrame) -> DataFrame:
     """(row_no, failure_reason): everything that clean_outlets replaced or dropped; a row may show several times."""
     own = _steps(raw).withColumn("__at", F.row_number().over(Window.partitionBy("outlet_id").orderBy("row_no")))

@@ -30,13 +30,17 @@ def _table(one: DataFrame, *rows) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def predictions(diagnostic: DataFrame, expected_rows: DataFrame, handed: Sequence[str] = PREDICTION_COLUMNS) -> DataFrame:
-    """Rows, columns of the hand-over, nulls, positivity, floor, and the order of segments."""
+def predictions(diagnostic: DataFrame, expected_rows: DataFrame, handed: Sequence[str] = PREDICTION_COLUMNS, imputed: DataFrame | None = None) -> DataFrame:
+    """Rows, columns of the hand-over, nulls, positivity, floor, and the order of segments. imputed (outlet_id, imputed 0/1)
+    tells whose places were guessed: their share says how far the order of town and country can be trusted."""
+    if imputed is None:
+        imputed = diagnostic.select("outlet_id", F.lit(0).alias("imputed"))
+    diagnostic = diagnostic.drop("imputed").join(imputed.select("outlet_id", "imputed"), "outlet_id", "left")
     x = F.col("potential")
     mean = lambda cond: F.coalesce(F.avg(F.when(cond, x)), F.lit(0.0))
     one = diagnostic.agg(
         F.count("*").alias("n"), F.count_if(x.isNull()).alias("nulls"), F.count_if(x <= 0).alias("low"), F.count_if(x < POTENTIAL.floor * F.col("vol_max") - 1e-6).alias("under"),
-        mean(F.col("urban") == 1).alias("urban"), mean(F.col("urban") == 0).alias("rural"), mean(F.col("outlet_size").isin("Large", "Extra Large")).alias("large"), mean(F.col("outlet_size") == "Small").alias("small"),
+        mean(F.col("urban") == 1).alias("urban"), mean(F.col("urban") == 0).alias("rural"), mean(F.col("outlet_size").isin("Large", "Extra Large")).alias("large"), mean(F.col("outlet_size") == "Small").alias("small"), (100 * F.avg(F.coalesce("imputed", F.lit(1)).cast("double"))).alias("guessed"),
     ).crossJoin(F.broadcast(expected_rows.agg(F.count_distinct("outlet_id").alias("outlets"))))  # one row each
     zero = F.lit(0)
     return _table(
@@ -47,6 +51,7 @@ def predictions(diagnostic: DataFrame, expected_rows: DataFrame, handed: Sequenc
         _row("V04 not positive", F.col("low"), zero, F.col("low") == 0),
         _row("V05 below floor", F.col("under"), zero, F.col("under") == 0),
         _row("V07 urban over rural", F.round("urban", 4), F.round("rural", 4), F.col("urban") > F.col("rural"), "WARN"),
+        _row("V07 places imputed in percent", F.round("guessed", 4), zero, F.col("guessed") == 0, "WARN"),
         _row("V08 large over small", F.round("large", 4), F.round("small", 4), F.col("large") > F.col("small")),
     )
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandry.session import cut
+from demandry.session import cut, shared_folder
 from demandry.config import BUDGET, DECAY, DOMAIN, POTENTIAL
 from demandry.functions.exprs import ceil_to
 from demandry.operators import budget as b
@@ -24,6 +26,7 @@ from demandry.plans import potential as pot
 from demandry.plans import reporting as rep
 from demandry.plans import silver, validate
 from demandry.plans import views as v
+from demandry.sources import places
 from demandry.streaming.quality_stream import event_quality_stream
 
 QUERIES: dict[str, Callable] = {}
@@ -149,13 +152,6 @@ def reject_buckets(spark, d):
     return rep.reject_buckets(_tagged(spark, d).where(F.col(q.REASON).isNotNull()))
 
 
-@query("funnel_summary", FUNNEL_SQL + """select 'transactions' as dataset, u.metric, u.value from (
-  select count(*) as input, count(*) filter (stage = 'passed') as final, count(*) filter (stage <> 'passed') as rejected from s4) unpivot (value for metric in (input, final, rejected)) u""")
-def funnel_summary(spark, d):
-    passed = F.col("stage") == "passed"
-    return q.summary("transactions", {"input": F.count("*"), "final": F.count_if(passed), "rejected": F.count_if(~passed)}, _tagged(spark, d))
-
-
 MASTER_SQL = f""", fx as (
   select *, array_to_string(list_transform(string_split(lower(trim(outlet_size)), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as title,
     coalesce(case trim(outlet_type) when 'MACHNERY' then 'MACHINERY' when 'BUILDNG' then 'BUILDING' when 'FURNITRE' then 'FURNITURE' else trim(outlet_type) end, 'Unknown') as kind,
@@ -163,6 +159,24 @@ MASTER_SQL = f""", fx as (
 )"""
 
 
+@query("funnel_summary", FUNNEL_SQL + MASTER_SQL + """, counts as (
+  select 'transactions' as dataset, 'input' as metric, count(*) as value from s4 union all select 'transactions', 'final', count(*) filter (stage = 'passed') from s4 union all select 'transactions', 'rejected', count(*) filter (stage <> 'passed') from s4
+  union all select 'outlet_master', 'input', count(*) from fx union all select 'outlet_master', 'final', count(*) filter (outlet_id is not null and rn = 1) from fx union all select 'outlet_master', 'rejected', count(*) filter (outlet_id is null or rn > 1) from fx
+  union all select 'outlet_coordinates', 'input', count(*) from coord union all select 'outlet_coordinates', 'out_of_box', count(*) filter (lat = 0) from coord
+  union all select 'transactions', 'ghost_outlets', count(*) from fx where outlet_id is not null and rn = 1 and outlet_id not in (select outlet_id from s4 where stage = 'passed'))
+select * from counts""")
+def funnel_summary(spark, d):
+    """Rows in and out of each table's rules, and the outlets of the clean master that no clean sale is from."""
+    passed, tagged, raw = F.col("stage") == "passed", cut(_tagged(spark, d).select("outlet_id", "stage")), v.raw_outlets(spark, d)
+    places, master = silver.clean_coordinates(v.coordinates(spark, d)), silver.clean_outlets(raw)
+    sizes = q.summary("outlet_master", {"final": F.count("*")}, master).unionByName(q.summary("outlet_master", {"input": F.count("*")}, raw))
+    dropped = sizes.groupBy("dataset").agg(F.sum(F.when(F.col("metric") == "input", F.col("value")).otherwise(-F.col("value"))).alias("value")).select("dataset", F.lit("rejected").alias("metric"), "value")
+    ghosts = master.join(tagged.where(passed).select("outlet_id"), "outlet_id", "left_anti")
+    parts = [q.summary("transactions", {"input": F.count("*"), "final": F.count_if(passed), "rejected": F.count_if(~passed)}, tagged), sizes, dropped]
+    parts += [q.summary("outlet_coordinates", {"input": F.count("*"), "out_of_box": F.count_if(~F.col("in_box"))}, places), q.summary("transactions", {"ghost_outlets": F.count("*")}, ghosts)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("master_impute", MASTER_SQL + f"""select outlet_id, kind as outlet_type, case when coalesce(title in {o.IN(DOMAIN.sizes)}, false) then title else 'Medium' end as outlet_size,
   cast(case when number is null then 1 when number < 0 then 0 else floor(number) end as bigint) as coolers from fx where outlet_id is not null and rn = 1""")
 def master_impute(spark, d):
@@ -191,7 +205,7 @@ def seasonality_clean(spark, d):
 @query("holidays_clean", """select day, name, kind, cast(try_cast(day as date) as varchar) as date, case when try_cast(day as date) is null then 'day is not datetime' when rn > 1 then 'duplicate on [''date'', ''name'', ''kind'']' end as failure_reason
 from (select *, row_number() over (partition by try_cast(day as date), name, kind, try_cast(day as date) is null order by row_no) as rn from holiday)""")
 def holidays_clean(spark, d):
-    return silver.clean_holidays(v.holidays(spark)).drop("row_no").withColumn("date", F.col("date").cast("string"))
+    return silver.clean_holidays(v.holidays(spark, d)).drop("row_no").withColumn("date", F.col("date").cast("string"))
 
 
 @query("working_days", """, ok as (select distinct cast(day as date) as date, name, kind from holiday where try_cast(day as date) between date '2000-01-01' and date '2000-01-31'),
@@ -199,19 +213,21 @@ cal as (select cast(d as date) as date, isodow(d) >= 6 as weekend from range(tim
 select count(*) filter (kind = 'Public') as n_public, count(*) filter (kind = 'Bank') as n_bank, count(*) filter (kind = 'Mercantile') as n_mercantile, count(*) filter (kind = 'Poya Day') as n_poya_day, count(distinct date) as n_dates,
   (select count(*) filter (weekend) from cal) as n_weekend, (select count(*) filter (not weekend and date not in (select date from ok where kind = 'Public')) from cal) as n_working from ok""")
 def working_days(spark, d):
-    return silver.working_days(v.holidays(spark), "2000-01-01", "2000-01-31")
+    return silver.working_days(v.holidays(spark, d), "2000-01-01", "2000-01-31")
 
 
-@query("advisory_counts", """select 'multi_distributor' as metric, count(*) as value from (select outlet_id from tx group by outlet_id having count(distinct distributor_id) > 1)
+@query("advisory_counts", MASTER_SQL + """select 'multi_distributor' as metric, count(*) as value from (select outlet_id from tx group by outlet_id having count(distinct distributor_id) > 1)
+union all select 'conflicting_type', count(*) from (select outlet_id from fx where outlet_id is not null group by outlet_id having count(distinct kind) > 1)
 union all select 'no_cooler_but_large', count(*) from outlet where coolers = 0 and outlet_size in ('Large', 'Extra Large')
 union all select 'ghost_outlets', count(*) from outlet where outlet_id not in (select outlet_id from tx where year = 1996)""")
 def advisory_counts(spark, d):
     tx, master = v.transactions(spark, d), v.outlets(spark, d)
     many = tx.groupBy("outlet_id").agg(F.count_distinct("distributor_id").alias("n")).where("n > 1")
+    conflicting = silver.conflicting_types(v.raw_outlets(spark, d))
     bare = master.where("coolers = 0 and outlet_size in ('Large', 'Extra Large')")
     ghosts = master.join(tx.where("year = 1996").select("outlet_id"), "outlet_id", "left_anti")
     one = lambda df, name: df.agg(F.lit(name).alias("metric"), F.count("*").alias("value"))
-    return one(many, "multi_distributor").unionByName(one(bare, "no_cooler_but_large")).unionByName(one(ghosts, "ghost_outlets"))
+    return one(many, "multi_distributor").unionByName(one(conflicting, "conflicting_type")).unionByName(one(bare, "no_cooler_but_large")).unionByName(one(ghosts, "ghost_outlets"))
 
 
 @query("ghost_outlets", "select outlet_id from outlet where outlet_id not in (select outlet_id from tx where year = 1996)")
@@ -597,6 +613,20 @@ def groundedness(spark, d):
     return _texts(spark, d).select("outlet_id", F.size(x.ungrounded(F.col("explanation"), facts)).cast("long").alias("n_ungrounded"))
 
 
+SHIFT = {"recent_trend": 1, "yoy_growth": 1, "censoring_score": 0.1, "plateau_norm": 0.5, "vol_cv": 0.5}
+
+
+def _drivers(own: DataFrame) -> list:
+    """Ups and downs of what sets an outlet apart, without a model: features less their usual values."""
+    return x.top_drivers(own, list(SHIFT), of={c: F.col(c) - m for c, m in SHIFT.items()})
+
+
+def _facts(spark, d) -> DataFrame:
+    near = s.rivals(v.coordinates(spark, d).where("lat != 0"), v.outlets(spark, d)).select("outlet_id", "n_competitors", "market_share")
+    density = s.densities(v.rings(spark, d)).select("outlet_id", "decayed_weighted")
+    return x.facts(pot.scored(spark, d).join(near, "outlet_id", "left").join(density, "outlet_id", "left"))
+
+
 @query("live_sample", EVIDENCE_SQL + """, top as (select outlet_id, potential from ev order by potential desc, outlet_id limit 8)
 select outlet_id, potential from top union all select * from (select outlet_id, potential from ev where outlet_id not in (select outlet_id from top) order by md5(outlet_id || '-42'), outlet_id limit 17)""")
 def live_sample(spark, d):
@@ -609,13 +639,67 @@ o as (select *, row_number() over (partition by outlet_id, value > 0 order by ab
 select z.outlet_id, coalesce(string_agg(feature, ',' order by rn) filter (value > 0 and rn <= 3), '') as ups, coalesce(string_agg(feature, ',' order by rn) filter (value < 0 and rn <= 3), '') as downs from z left join o using (outlet_id) group by z.outlet_id""")
 def top_drivers(spark, d):
     own = f.transactional(f.profile_of(spark, d))
-    shift = {"recent_trend": 1, "yoy_growth": 1, "censoring_score": 0.1, "plateau_norm": 0.5, "vol_cv": 0.5}
-    z = own.select("outlet_id", *[(F.col(c) - m).alias(c) for c, m in shift.items()])
-    drivers = z.select("outlet_id", *x.top_drivers(z, list(shift)))
+    drivers = own.select("outlet_id", *_drivers(own))
     names = lambda c: F.array_join(F.transform(c, lambda e: e["feature"]), ",")
     return drivers.select("outlet_id", names("ups").alias("ups"), names("downs").alias("downs"))
 
 
+DRIVER_SQL = """, z as (select outlet_id, (recent_trend - 1) as recent_trend, (yoy_growth - 1) as yoy_growth, (censoring_score - 0.1) as censoring_score, (plateau_norm - 0.5) as plateau_norm, (vol_cv - 0.5) as vol_cv from txf),
+u as (select outlet_id, feature, value from z unpivot (value for feature in (recent_trend, yoy_growth, censoring_score, plateau_norm, vol_cv))),
+o as (select *, row_number() over (partition by outlet_id, value > 0 order by abs(value) desc, feature) as rn from u where abs(value) > 1e-6)"""
+
+
+@query("driver_example", DRIVER_SQL + f""", one as (select outlet_id from diag order by (censoring_score > {POTENTIAL.supply_bound})::int desc, potential desc, outlet_id limit 1)
+select outlet_id, feature, round(value, 4) as value from o join one using (outlet_id) where rn <= 3""")
+def driver_example(spark, d):
+    own = f.transactional(f.profile_of(spark, d))
+    return rep.driver_example(pot.scored(spark, d), own.select("outlet_id", *_drivers(own)))
+
+
+@query("evidence_facts", RIVAL_SQL + ", " + "dens as (select outlet_id, " + o.weighted_sql(o.exp_sql) + f""" as decayed_weighted from ring)
+select diag.outlet_id, province, distributor_id, outlet_type, outlet_size, round_even(potential, 0) as potential, round_even(vol_max, 0) as vol_max, round_even(vol_mean, 0) as vol_mean, round_even((potential / greatest(vol_max, 1) - 1) * 100, 0) as uplift_vs_peak_pct,
+  coolers::double as coolers, round_even(physical_max, 0) as physical_max, round_even(decayed_weighted, 3) as decayed_weighted, coalesce(rv.n, 0)::double as n_competitors, round_even(1 / (1 + coalesce(w, 0.0)), 2) as market_share,
+  round_even(peer_rank * 100, 0) as peer_rank_pct, round_even(censoring_score * 100, 0) as months_at_ceiling_pct, constraint_type, season
+from diag join (select outlet_id, peer_rank from peer) using (outlet_id) left join dens using (outlet_id) left join rv on rv.outlet_id = diag.outlet_id""")
+def evidence_facts(spark, d):
+    """The facts of each outlet's packet but for its drivers."""
+    return _facts(spark, d)
+
+
+@query("serving_view", ", " + "dens as (select outlet_id, " + o.weighted_sql(o.exp_sql) + """ as decayed_weighted from ring)
+select outlet_id, ceil(round(potential, 6) * 100) / 100 as max_monthly_litres, round(decayed_weighted, 6) as decayed_weighted, lat, lon, constraint_type, round((ceil(round(potential, 6) * 100) / 100 / greatest(vol_max, 1.0) - 1) * 100, 6) as uplift_pct
+from diag left join dens using (outlet_id) left join coord using (outlet_id)""")
+def serving_view(spark, d):
+    diagnostic = cut(pot.scored(spark, d))
+    handed = diagnostic.select("outlet_id", ceil_to(F.round("potential", 6)).alias("max_monthly_litres"))
+    got = rep.serving(handed, diagnostic, s.densities(v.rings(spark, d)).select("outlet_id", "decayed_weighted"), v.coordinates(spark, d))
+    return rounded(got.select("outlet_id", "max_monthly_litres", "decayed_weighted", "lat", "lon", "constraint_type", "uplift_pct"), "decayed_weighted", "uplift_pct")
+
+
+@query("budget_view", f"select outlet_id, distributor_id, spend_type, {R('spend', digits=2)} from alloc where spend > 1 order by spend desc, outlet_id")
+def budget_view(spark, d):
+    detail = pot.allocate(pot.candidates(pot.scored(spark, d)))
+    return rep.budget_view(detail, detail.select("outlet_id", "spend")).select("outlet_id", "distributor_id", "spend_type", "spend")
+
+
+@query("geo_log10", "select outlet_id, lat, lon, round(log10(greatest(ceil(round(potential, 6) * 100) / 100, 1.0)), 6) as log_litres from diag join coord using (outlet_id) where lat between 5.9 and 9.9 and lon between 79.5 and 82.0")
+def geo_log10(spark, d):
+    handed = pot.scored(spark, d).select("outlet_id", ceil_to(F.round("potential", 6)).alias("max_monthly_litres"))
+    return rounded(rep.geo_points(handed, v.coordinates(spark, d), DOMAIN.box), "log_litres")
+
+
+@query("outlet_trends", """, peaks as (select outlet_id, max(volume) as peak from m group by outlet_id), drawn as (select * from peaks order by md5(cast(outlet_id as varchar) || '-42'), outlet_id limit 20)
+select outlet_id, round(year + (month - 1) / 12, 6) as at, volume, peak from m join drawn using (outlet_id)""")
+def outlet_trends(spark, d):
+    return rounded(rep.outlet_trends(f.months_of(spark, d), 20), "at")
+
+
+@query("panel_counts", HITS + """select (select count(*) from h) as outlets, (select count(*) from m) as outlet_months, (select count(*) from h where hit_rate > 0.3) as near_best,
+(select median(n) from (select count(*) as n from m group by outlet_id)) as median_months, (select median(volume) from m) as median_volume""")
+def panel_counts(spark, d):
+    return rep.panel_counts(f.profile_of(spark, d))
+
+
 # Checks
 
 
@@ -625,10 +709,11 @@ select 'V01 rows' as "check", n::double as observed, outlets::double as expected
 union all select 'V02 columns', 2, 2, 'PASS' union all select 'V03 nulls', nulls, 0, case when nulls = 0 then 'PASS' else 'FAIL' end from one union all select 'V04 not positive', low, 0, case when low = 0 then 'PASS' else 'FAIL' end from one
 union all select 'V05 below floor', under, 0, case when under = 0 then 'PASS' else 'FAIL' end from one
 union all select 'V07 urban over rural', round(coalesce(urban, 0), 4), round(coalesce(rural, 0), 4), case when coalesce(urban, 0) > coalesce(rural, 0) then 'PASS' else 'WARN' end from one
+union all select 'V07 places imputed in percent', g, 0, case when g = 0 then 'PASS' else 'WARN' end from (select round(100 * avg(case when school_500 is null then 1.0::double else 0.0::double end), 4) as g from diag join ring using (outlet_id))
 union all select 'V08 large over small', round(coalesce(large, 0), 4), round(coalesce(small, 0), 4), case when coalesce(large, 0) > coalesce(small, 0) then 'PASS' else 'FAIL' end from one""")
 def validation_table(spark, d):
     diagnostic = pot.scored(spark, d)
-    return validate.predictions(diagnostic, f.months_of(spark, d), pot.predictions(diagnostic).columns)
+    return validate.predictions(diagnostic, f.months_of(spark, d), pot.predictions(diagnostic).columns, v.rings(spark, d).select("outlet_id", F.col("school_500").isNull().cast("int").alias("imputed")))
 
 
 @query("budget_validation", f""", one as (select round({o.SUM('spend')}, 2) as spent, count(*) filter (spend is null or spend < 0) as bad, count(*) filter (spend > 1) as funded from alloc)
@@ -660,6 +745,19 @@ def feature_guards(spark, d):
     return validate.guards(cut(f.feature_table(spark, d).select("outlet_id", "vol_mean", "peer_p85", "season_label")), v.outlets(spark, d), "outlet_id", ["vol_mean", "peer_p85", "season_label"])
 
 
+@query("resume_batches", "select outlet_id, outlet_type, 'b' || (outlet_id % 4) as batch from outlet")
+def resume_batches(spark, d):
+    """The master appended in four batches by a run that stops within the third, and by the one that goes on with it."""
+    folder, own = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}", v.outlets(spark, d).select("outlet_id", "outlet_type")
+    part = lambda k: own.where(F.col("outlet_id") % 4 == k)
+    for k in range(2):
+        places.append_batch(part(k), folder, f"b{k}")
+    part(2).write.parquet(f"{folder}/rows/batch=b2")  # stopped before its commit
+    for k in range(4):
+        places.append_batch(part(k), folder, f"b{k}")
+    return places.read_batches(spark, folder, own.schema)
+
+
 # Models
 
 
@@ -788,12 +886,12 @@ def model_agreement(spark, d):
 
 @query("driver_evidence")
 def driver_evidence(spark, d):
-    """Each outlet's packet with the features that its forecast owes most to, up and down."""
+    """Each outlet's packet of 20 fields, with the features that its forecast owes most to, up and down."""
     own, _, model, names = _model(spark, d)
     shap = ml.attributions(_january(own), model, names)
     drivers = shap.select("outlet_id", *x.top_drivers(shap, names))
-    packet = x.evidence(*[(c, F.col(c)) for c in EVIDENCE], ("ups", F.col("ups")), ("downs", F.col("downs")))
-    return _evidence(spark, d).join(drivers, "outlet_id").select("outlet_id", F.to_json(packet).alias("packet"))
+    packet = x.evidence(*[(c, F.col(c)) for c, _ in x.PACKET], ("ups", F.col("ups")), ("downs", F.col("downs")))
+    return _facts(spark, d).join(drivers, "outlet_id").select("outlet_id", F.to_json(packet, {"ignoreNullFields": "false"}).alias("packet"))
 
 
 @query("events_dq_stream", """select cast(ts as date) as day, case when event_id is null or user_id is null or ts is null or coalesce(value < 0, false)

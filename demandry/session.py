@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,23 @@ def session(name: str = "demandry", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or the one already set for checkpoints. Where neither is
+    there, one of our own on a local master (as in tests), and an error on a cluster, whose executors could not see it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="demandry-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed to the folder in spark.checkpoint.dir (one of our own where it is unset, as in tests).
+    """df checkpointed to the shared folder.
 
     For small tables that several parts of a plan read; the files outlive the executors that wrote them.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="demandry-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

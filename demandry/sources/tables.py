@@ -69,9 +69,11 @@ def ingest(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], Data
     return {name: read_csv(spark, folder, name) for name in SCHEMAS}, spark.createDataFrame(rows, "dataset string, missing array<string>, unexpected array<string>")
 
 
-def profile(df: DataFrame, name: str) -> DataFrame:
-    """One row: the table's name, columns with types, and number of rows."""
-    return df.agg(F.lit(name).alias("dataset"), F.lit(", ".join(f"{c}:{t}" for c, t in df.dtypes)).alias("columns"), F.count("*").alias("n_rows"))
+def profile(df: DataFrame, name: str, head: int = 3) -> DataFrame:
+    """One row: the table's name, columns with types, number of rows, and the first rows as JSON."""
+    first = df.limit(head).agg(F.collect_list(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})).alias("head"))
+    one = df.agg(F.lit(name).alias("dataset"), F.lit(", ".join(f"{c}:{t}" for c, t in df.dtypes)).alias("columns"), F.count("*").alias("n_rows"))
+    return one.crossJoin(F.broadcast(first))  # one row each
 
 
 def read_poi(spark: SparkSession, folder: str) -> DataFrame:

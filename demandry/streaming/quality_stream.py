@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandry.operators import quality as q
+from demandry.session import shared_folder
 
 
 def tag_events(events: DataFrame) -> DataFrame:
@@ -26,8 +26,7 @@ def event_quality_stream(spark: SparkSession, sf_dir: str, out: str | None = Non
     Without out a new folder in the shared one is taken.
     """
     if out is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="demandry-")
-        out = f"{shared.rstrip('/')}/quality-{uuid.uuid4().hex}"
+        out = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern, so that a folder of files and a single file are read alike.
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")

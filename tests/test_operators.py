@@ -530,3 +530,78 @@ def test_stop_after_rounds_without_gain(spark):
     assert (best, True) == models.stopping_round(errors, 5) and error == pytest.approx(math.sqrt(errors[best - 1]))
     splits = models.importance(models.fit_trees(df, ["a", "b"], 3, 0.3, 3, leaf=20), ["a", "b"], spark).collect()
     assert splits[0].feature == "a" and all(r.splits > 0 for r in splits)
+
+
+# Views and checks
+
+
+def test_checks_tell_wrong_columns_and_guesses(spark):
+    diag = spark.createDataFrame([(1, 10.0, 9.0, 1, "Large"), (2, 5.0, 4.0, 0, "Small")], "outlet_id long, potential double, vol_max double, urban int, outlet_size string")
+    good = {r.check: r for r in validate.predictions(diag, diag, ["outlet_id", "max_monthly_litres"]).collect()}
+    assert good["V02 columns"].status == "PASS" and good["V07 places imputed in percent"].status == "PASS"
+    imputed = spark.createDataFrame([(1, 1), (2, 0)], "outlet_id long, imputed int")
+    for columns, placed in ((["max_monthly_litres", "outlet_id"], 0), (["outlet_id"], 1), (["outlet_id", "max_monthly_litres", "more"], 2)):
+        checks = validate.predictions(diag, diag, columns, imputed)
+        bad = {r.check: r for r in checks.collect()}
+        assert (bad["V02 columns"].status, bad["V02 columns"].observed) == ("FAIL", placed) and bad["V07 places imputed in percent"].observed == 50.0
+        assert validate.exit_code(checks) == 1
+    spent = spark.createDataFrame([(1, 5.0)], "outlet_id long, spend double")
+    own = diag.withColumn("province", F.lit("Western"))
+    assert {r.check: r.status for r in validate.budget(spent, own, ["spend", "outlet_id"]).collect()}["B1 columns"] == "FAIL"
+    fine = validate.budget(spent, own)
+    assert {r.status for r in fine.collect()} == {"PASS"} and validate.exit_code(validate.all_checks(fine, None)) == 0
+
+
+def test_a_provider_answers_first(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "outlet_id long, t string")
+    provider = lambda d: d.withColumn("live_text", F.when(F.col("outlet_id") == 1, F.concat(F.lit("live "), "t")))
+    assert {(r.outlet_id, r.explanation, r.source) for r in explain.explain(df, F.col("t"), provider).collect()} == {(1, "live a", "live"), (2, "b", "template")}
+    said = df.select(explain.prompt(explain.evidence(("outlet_id", F.col("outlet_id")), ("t", F.col("t"))))).first()[0]
+    assert said.endswith('{"outlet_id":1,"t":"a"}')
+
+
+def test_packets_round_halves_to_even(spark):
+    row = {"outlet_id": 1, "province": None, "distributor_id": "d", "outlet_type": "t", "outlet_size": "s", "potential": 2.5, "vol_max": 1.5, "vol_mean": 0.5, "coolers": 3, "physical_max": None, "decayed_weighted": 0.0625, "n_competitors": 2, "market_share": 0.125, "peer_rank": 0.985, "censoring_score": 0.045, "constraint_type": "supply", "season": 1.3}
+    df = spark.createDataFrame([tuple(row.values())], "outlet_id long, province string, distributor_id string, outlet_type string, outlet_size string, potential double, vol_max double, vol_mean double, coolers long, physical_max double, decayed_weighted double, n_competitors long, market_share double, peer_rank double, censoring_score double, constraint_type string, season double")
+    got = explain.facts(df).first().asDict()
+    assert len(got) == 18 and (got["potential"], got["vol_max"], got["vol_mean"], got["market_share"], got["decayed_weighted"], got["physical_max"], got["province"]) == (2.0, 2.0, 0.0, 0.12, 0.062, None, "Unknown")
+
+
+def test_serving_and_budget_views(spark):
+    from demandry.plans import reporting
+
+    handed = spark.createDataFrame([(1, 30.0), (2, 8.0)], "outlet_id long, max_monthly_litres double")
+    diag = spark.createDataFrame([(1, 20.0, 0.2, "kept")], "outlet_id long, vol_max double, censoring_score double, note string")
+    extra = spark.createDataFrame([(1, "other", 7)], "outlet_id long, note string, coolers int")
+    at = spark.createDataFrame([(2, 7.0, 80.0)], "outlet_id long, lat double, lon double")
+    got = {r.outlet_id: r for r in reporting.serving(handed, diag, extra, at).collect()}
+    assert (got[1].note, got[1].coolers, got[1].constraint_type, got[1].uplift_pct, got[1].lat) == ("kept", 7, "supply", 50.0, None)
+    assert (got[2].constraint_type, got[2].uplift_pct, got[2].lat) == (None, None, 7.0) or got[2].uplift_pct == 700.0
+    bare = spark.createDataFrame([(1, 5.0), (2, 0.5), (3, 9.0)], "outlet_id long, spend double")
+    assert [r.outlet_id for r in reporting.budget_view(None, bare).collect()] == [3, 1]
+    assert reporting.budget_view(bare.withColumn("spend_type", F.lit("x")), bare).columns == ["outlet_id", "spend", "spend_type"]
+
+
+def test_profile_has_the_first_rows(spark):
+    from demandry.sources import tables
+
+    got = tables.profile(spark.range(9).select("id", F.lit(None).cast("string").alias("n")).coalesce(1), "t").first()
+    assert got.n_rows == 9 and got.head == ['{"id":0,"n":null}', '{"id":1,"n":null}', '{"id":2,"n":null}'] and got.columns == "id:bigint, n:string"
+
+
+def test_conflicting_types(spark):
+    raw = spark.createDataFrame([(1, "a", " MACHNERY "), (1, "a", "MACHINERY"), (2, "a", "x"), (2, "a", "y"), (None, "a", "z")], "outlet_id long, outlet_size string, outlet_type string").withColumn("coolers", F.lit("1"))
+    assert [r.outlet_id for r in silver.conflicting_types(raw).collect()] == [2]
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from demandry.session import shared_folder
+
+    made = []
+    fake = lambda master, folder=None: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append))
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(fake(master))
+    assert shared_folder(fake("yarn", "hdfs:///shared/")) == "hdfs:///shared" and shared_folder(fake("local[4]")) in made
