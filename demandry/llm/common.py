@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandry.session import shared_folder
+
 #: Lower-cases A-Z and nothing else, on UTF-8 bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A word of the corpus: anything between ASCII white space (space, \t, \n, \v, \f, \r).
@@ -19,12 +20,8 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="demandry-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    """The folder that all executors share; an error on a cluster where spark.checkpoint.dir is unset."""
+    return shared_folder(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

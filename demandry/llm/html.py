@@ -70,6 +70,7 @@ class Element:
     named: bool
     main: bool
     wrapped: bool = False
+    seen: Counter = field(default_factory=Counter)
 
 
 @dataclass
@@ -202,7 +203,12 @@ def parse(source: str) -> Page:
                     break
         words, means, first, alone = meaning(token[4]) if "=" in token[4] else ((), frozenset(), frozenset(), frozenset())
         up = stack[-1]
-        path = _hash(up.path, name, *sorted(set(words)))
+        # Siblings without class, id and role are told apart by their turn, but for the parts of a text.
+        turn = []
+        if not words and name not in PARTS:
+            up.seen[name] += 1
+            turn = [f"#{up.seen[name]}"] if up.seen[name] > 1 else []
+        path = _hash(up.path, name, *sorted(set(words)), *turn)
         content = name in MAIN or not CONTENT.isdisjoint(means)
         # An article may be about a word of ASIDE, as a part of it may (related-work, alert-text); its header is a part of
         # it, and a quotation in it stays whatever its name.

@@ -19,6 +19,7 @@ from .common import BROADCAST_ROWS, materialise
 
 #: SPDX ids and names of licences. Of each, its name, a line that grants it and its SPDX line are templates.
 NAMES = {
+    "0BSD": "BSD Zero Clause License",
     "AGPL-3.0": "GNU Affero General Public License, version 3",
     "Apache-2.0": "Apache License, Version 2.0",
     "BSD-2-Clause": "BSD 2-Clause License",
@@ -26,6 +27,9 @@ NAMES = {
     "BSL-1.0": "Boost Software License, Version 1.0",
     "CC-BY-4.0": "Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-ND-4.0": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "CC-BY-NC-SA-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-ND-4.0": "Creative Commons Attribution-NoDerivatives 4.0 International License",
     "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC0-1.0": "CC0 1.0 Universal Public Domain Dedication",
     "EPL-2.0": "Eclipse Public License, version 2.0",
@@ -35,9 +39,12 @@ NAMES = {
     "LGPL-2.1": "GNU Lesser General Public License, version 2.1",
     "LGPL-3.0": "GNU Lesser General Public License, version 3",
     "MIT": "MIT License",
+    "MIT-0": "MIT No Attribution License",
     "MPL-2.0": "Mozilla Public License, version 2.0",
     "Unlicense": "Unlicense",
 }
+#: Licences whose SPDX ids say which versions are meant; of each, these ids are templates of their own.
+VERSIONED, RANGES = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"), ("only", "or-later")
 #: Notices and parts of texts of the licences.
 EXCERPTS = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -50,12 +57,12 @@ EXCERPTS = (
     ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms are permitted under the BSD license."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("BSD-3-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("BSD-3-Clause", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-2-Clause", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
@@ -66,6 +73,9 @@ EXCERPTS = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -76,6 +86,9 @@ EXCERPTS = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0. Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide. CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
@@ -86,6 +99,9 @@ STOP = ("a", "all", "an", "and", "any", "are", "as", "at", "be", "but", "by", "c
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 PARAGRAPH = r"\n[ \t\r*#/;-]*\n"
 
+#: An SPDX expression of several licences: it is the answer where a text has one beside a notice.
+EXPRESSION = r"(?i:SPDX-License-Identifier):[ \t]*([(]?[A-Za-z0-9.+-]+[)]?(?:[ \t]+(?:OR|AND|WITH)[ \t]+[(]?[A-Za-z0-9.+-]+[)]?)+)"
+
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Cosine from which a line or paragraph is a notice; share of a text's words in such lines, or in paragraphs of the
 #: cosine CLOSE, from which it is a licence file.
@@ -95,6 +111,7 @@ COSINE, CLOSE, FILE_SHARE = 0.6, 0.8, 0.8
 def templates() -> list[tuple[str, str]]:
     """(licence, text): the names, granting lines and SPDX lines, and the excerpts."""
     ruled = [(k, text) for k, name in NAMES.items() for text in (name, f"Licensed under the {name}.", f"SPDX-License-Identifier: {k}")]
+    ruled += [(f"{k}-{r}", f"SPDX-License-Identifier: {k}-{r}") for k in VERSIONED for r in RANGES]
     return [*ruled, *EXCERPTS]
 
 
@@ -188,8 +205,10 @@ def scan(docs: DataFrame, text_col: str = "text", path_col: str = "path", keep:
     best = F.array_max(F.transform(F.concat("lines", "paragraphs"), lambda x: x["best"]))
     total = lambda c, least: F.aggregate(F.filter(c, lambda x: x["best"]["score"] >= least), F.lit(0), lambda a, x: a + x["words"])
     own = own.withColumn("best", best).withColumn("share", F.when(F.col("marked"), F.greatest(total("lines", COSINE), total("paragraphs", CLOSE)) >= FILE_SHARE * _words(F.col("text"))))
+    several = F.regexp_replace(F.regexp_extract("text", EXPRESSION, 1), r"[ \t]+", " ")
+    named = F.when(F.col("best").isNotNull() & (several != ""), several).otherwise(F.col("best.license"))
     is_file = F.col("best").isNotNull() & (F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False)) | F.coalesce("share", F.lit(False)))
-    return own.select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "path", F.col("best.license").alias("license"), F.round("best.score", 6).alias("score"), is_file.alias("is_file"))
+    return own.select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "path", named.alias("license"), F.round("best.score", 6).alias("score"), is_file.alias("is_file"))
 
 
 def parent(path: Column) -> Column:
@@ -221,7 +240,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", path_col: str = "path"
     """One row per document: keep columns, path, license, score, origin, inherited_from.
 
     A notice is a line or a paragraph whose TF-IDF cosine to a template is at least COSINE; the best one decides (on equal
-    scores the last licence name). Only texts, lines and paragraphs are left out that can't come to that cosine. A licence file is a document with a notice that is named like one or
+    scores the last licence name), but for an SPDX expression of several licences, which is taken as it is written. Only texts, lines and paragraphs are left out that can't come to that cosine. A licence file is a document with a notice that is named like one or
     consists of notices for FILE_SHARE of its words. Null and empty texts declare nothing but may inherit; a null path
     neither gives nor inherits; repeated rows stay; an empty table gives no rows; other columns of docs are not read.
     """
@@ -266,7 +285,7 @@ doc as (
 ), per as (
   select rid, max(best) as best, greatest(coalesce(sum(words) filter (whole and best.score >= {CLOSE}), 0), coalesce(sum(words) filter (not whole), 0)) as words from notice group by rid
 ), scanned as (
-  select d.doc_id, d.path, p.best.license as license, round(p.best.score, 6) as score,
+  select d.doc_id, d.path, case when p.best is not null and coalesce(regexp_extract(d.text, '{EXPRESSION}', 1), '') <> '' then regexp_replace(regexp_extract(d.text, '{EXPRESSION}', 1), '[ \t]+', ' ', 'g') else p.best.license end as license, round(p.best.score, 6) as score,
     coalesce(p.words >= {FILE_SHARE} * len(regexp_extract_all(d.text, '\\S+')), false) as is_file,
     regexp_replace(d.path, '/?[^/]*$', '') as folder
   from doc d left join per p using (rid)

@@ -712,7 +712,7 @@ def test_real_notices(spark):
         "    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007": "GPL-3.0",
         "# SPDX-License-Identifier: Apache-2.0\nimport os": "Apache-2.0",
         "Permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD-2-Clause",
         "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n */": "Apache-2.0",
         "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "GPL-3.0",
         MIT_TEXT: "MIT",
