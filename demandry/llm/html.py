@@ -19,6 +19,7 @@ import html as entities
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -70,7 +71,7 @@ class Element:
     named: bool
     main: bool
     wrapped: bool = False
-    seen: Counter = field(default_factory=Counter)
+    seen: dict[str, int] | None = None
 
 
 @dataclass
@@ -116,9 +117,15 @@ def _hash(*parts: object) -> int:
 def meaning(attributes: str) -> tuple[list[str], set[str], set[str], set[str]]:
     """(words of class, id and role; those that say what the element is; the first of each name; those of names that are
     of ASIDE and NEUTRAL words only)."""
+    return names_mean(tuple(got[1] or got[2] or got[3] or "" for got in NAMES.finditer(attributes)))
+
+
+@lru_cache(1 << 14)
+def names_mean(names: tuple[str, ...]) -> tuple[list[str], set[str], set[str], set[str]]:
+    """What the values of class, id and role mean; pages of a host share most of them."""
     words, means, first, alone = [], set(), set(), set()
-    for got in NAMES.finditer(attributes):
-        for one in (got[1] or got[2] or got[3] or "").lower().split():
+    for name in names:
+        for one in name.lower().split():
             parts = PIECE.findall(one)
             words += parts
             first.update(parts[:1])
@@ -206,8 +213,9 @@ def parse(source: str) -> Page:
         # Siblings without class, id and role are told apart by their turn, but for the parts of a text.
         turn = []
         if not words and name not in PARTS:
-            up.seen[name] += 1
-            turn = [f"#{up.seen[name]}"] if up.seen[name] > 1 else []
+            up.seen = up.seen or {}
+            up.seen[name] = nth = up.seen.get(name, 0) + 1
+            turn = [f"#{nth}"] if nth > 1 else []
         path = _hash(up.path, name, *sorted(set(words)), *turn)
         content = name in MAIN or not CONTENT.isdisjoint(means)
         # An article may be about a word of ASIDE, as a part of it may (related-work, alert-text); its header is a part of
