@@ -115,9 +115,9 @@ def test_run_gives_the_stages_rows(spark, folder):
     assert sum(once.values()) > 0
 
 
-def test_all_ten_are_registered():
+def test_all_thirteen_are_registered():
     names = set(__spark_entry__.queries())
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11)) and set(queries.QUERIES) | {"pipeline"} <= names
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14)) and set(queries.QUERIES) | {"pipeline"} <= names
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
