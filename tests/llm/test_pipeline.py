@@ -123,7 +123,7 @@ def test_all_thirteen_are_registered():
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = con.execute(queries.SQL[name])
     columns = sorted(c[0] for c in got.description)
