@@ -458,6 +458,37 @@ def test_repeated_passages_are_expected(spark):
     assert all(got[k] < 0.7 * alone[0] for k in (3, 100, 4, 101, 102)) and got[5] > 0.8 * alone[0]
 
 
+def test_documents_do_not_expect_themselves(spark):
+    """What is expected at each place, by counting all other training texts; a key or a passage may recur in a text."""
+    rng = random.Random(29)
+    texts = [(row, rng.random() < 0.8, [rng.randrange(12) for _ in range(size)]) for row, size in enumerate([0, 1, 2, 3, 5, 8, 13, 21, 2, 3, 4, 1])]
+    texts = [(row, learn, keys, [k if rng.random() < 0.5 else rng.randrange(3) for k in keys]) for row, learn, keys in texts]
+    texts += [(100, True, [50, 51, 50, 50], [7, 7, 7, 8]), (101, True, [60, 60, 60], [9, 9, 8]), (102, True, [60], [8]), (103, False, [50, 50], [7, 6])]
+    table = spark.createDataFrame(texts, "row long, learn boolean, keys array<long>, hashes array<long>")
+    got = {r.row: r.told for r in lm.told(table).collect()}
+    pairs = Counter((k, h) for _, learn, keys, hashes in texts if learn for k, h in zip(keys, hashes))
+    best = {}
+    for (k, h), n in pairs.items():
+        best[k] = max(best.get(k, (0, 0)), (n, h))
+    wanted = []
+    first = np.cumsum([0, *[len(t[2]) for t in texts]])
+    for number, (row, learn, keys, hashes) in enumerate(texts):
+        own = Counter(zip(keys, hashes))
+        for place, (k, h) in enumerate(zip(keys, hashes)):
+            if k in best:
+                n, e = best[k]
+                n -= own[k, e] if learn else 0
+                if n > 0:
+                    wanted.append((int(first[number]) + place, 0 if n == 1 else 1 if n < 4 else 2, int(h == e)))
+    found = [np.array(got.get(t[0], ()), dtype=np.int64) for t in texts]
+    doc = np.repeat(np.arange(len(texts)), [len(t[2]) for t in texts])
+    key = np.array([k for t in texts for k in t[2]], dtype=np.int64).view(np.uint64)
+    assert list(zip(*(x.tolist() for x in lm.elsewhere(found, first, doc, key)))) == wanted
+    alone = {int(first[k]) + p for k, t in enumerate(texts) for p in range(len(t[2])) if t[0] == 100}
+    assert len(wanted) > 20 and not alone & {w[0] for w in wanted}
+    assert all(len(x) == 0 for x in lm.elsewhere([np.zeros(0, dtype=np.int64)], np.array([0, 0]), doc[:0], key[:0]))
+
+
 # Toxicity
 
 
