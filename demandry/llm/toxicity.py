@@ -26,6 +26,8 @@ LEAST, ODDS, RATIO = 3, 2.5, 25.0
 STEMS, FUZZY_LENGTH = (4, 5, 6), 5
 #: Words on either side of a hit that its context has; characters of words that the automaton holds at once.
 WINDOW, HELD = 8, 1 << 22
+#: Words of a quotation at most; between marks further apart nothing is quoted.
+QUOTED = 40
 
 #: What marks a report of someone's words, and what addresses somebody.
 REPORT = frozenset("said says wrote writes called calling quote quoted quotes word words term terms slur insult claims claimed reported".split())
@@ -224,10 +226,10 @@ class Lexicon:
 
 
 def quoted_words(text: bytes) -> list[bool]:
-    """For each word whether it stands between two quotation marks no more than 40 words apart."""
+    """For each word whether it stands between two quotation marks no more than QUOTED words apart."""
     pieces = QUOTES.split(text.decode("utf-8", "replace").lower())
     sizes = [len(p.translate(SPACE).split()) for p in pieces]
-    return [k % 2 == 1 and k + 1 < len(pieces) and size <= 40 for k, size in enumerate(sizes) for _ in range(size)]
+    return [k % 2 == 1 and k + 1 < len(pieces) and size <= QUOTED for k, size in enumerate(sizes) for _ in range(size)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,6 +308,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     bounded sample of them, and every whole text is scored from the text alone. Null and empty texts get the score of a
     text without a hit; without labels every score is 0.5. Repeated rows stay, columns pass through (score and predicted
     are replaced), repeated labels of an id count once (the largest), an empty table gives no rows.
+
+    A term of FUZZY_LENGTH letters or more is met with one edit as well; shorter terms and stems as they are. What stands
+    between two quotation marks counts as quoted up to QUOTED words; beyond these the marks are taken for unpaired ones.
     """
     judge = fit_judge(docs, labels, learn, id_col, text_col, rows)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
