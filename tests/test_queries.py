@@ -114,3 +114,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_coordinates_of_large_keys(spark, tmp_path):
+    """Keys whose cubes exceed 64 bits, against Python's own integers."""
+    from demandry.plans import views
+
+    keys = [0, 1, 96, 97, 99_999, 100_000, 100_001, 815_000, 899_999, 5_400_000, 3_000_000_019, 9_007_199_254_740_993]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    found = {r.outlet_id: (r.lat, r.lon) for r in views.coordinates(spark, str(tmp_path)).collect()}
+    assert found == {k: (0.0, 0.0) if k % 97 == 0 else ((68000 + (k * k * 31 + k * 7919) % 1999) / 10000, (798000 + (k**3 * 17 + k * 104729 + 13) % 1997) / 10000) for k in keys}
