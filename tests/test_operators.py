@@ -279,6 +279,19 @@ def test_explanation_checks(spark):
     assert got == {"X1 missing": (1, "FAIL"), "X2 empty": (2, "FAIL"), "X3 live texts": (1, "PASS"), "X4 ungrounded": (1, "FAIL")}
 
 
+def test_rivals_at_the_same_point(spark):
+    """Many outlets at few points: rivals by brute force, from one row of the join for each pair of points."""
+    points = [(k, 6.9 + (k % 3) * 0.002, 79.9 + (k % 2) * 0.003) for k in range(60)]
+    df = spark.createDataFrame(points, "outlet_id long, lat double, lon double")
+    near = {k: [] for k, _, _ in points}
+    for r in spatial.radius_join(df, 500.0).collect():
+        near[r.id].append(r.metres)
+    for r in spatial.rivals(df, df).collect():
+        assert r.n_competitors == len(near[r.outlet_id]) and r.competitor_weight == pytest.approx(sum(math.exp(-m / 250) for m in near[r.outlet_id]))
+    spots = spark.createDataFrame([(1, 6.9, 79.9, 7), (2, 6.902, 79.9, 5)], "id long, lat double, lon double, here long")
+    assert {(r.id, r.other, r.here) for r in spatial.radius_join(spots, 500.0, "id", carry=["here"]).collect()} == {(1, 2, 5), (2, 1, 7)}
+
+
 def test_map_layer(spark):
     """Literal colours: 40/120/220 at the low end, 255/160/60 at the top; points off the box and null values."""
     own = spark.createDataFrame([(1, 0.0), (2, 100.0), (3, 100.0), (4, None), (5, 5.0)], "outlet_id int, v double")
@@ -605,3 +618,22 @@ def test_clusters_need_a_shared_folder():
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             shared_folder(fake(master))
     assert shared_folder(fake("yarn", "hdfs:///shared/")) == "hdfs:///shared" and shared_folder(fake("local[4]")) in made
+
+
+def test_monthly_with_nulls(spark):
+    """Null years, months, skus and distributors, ties and mixed outlets, against a plain count."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice([1999, 2000, 0, None]), rnd.choice([1, 0, None]), rnd.choice(["b", "a", "c", None, None]), rnd.choice(["s", "t", None]), float(rnd.randint(1, 9)), 1.25) for _ in range(300)]
+    df = spark.createDataFrame(rows, "outlet_id long, year long, month long, distributor_id string, sku_id string, volume double, bill double")
+    groups = {}
+    for o, y, m, *rest in rows:
+        if o is not None:
+            groups.setdefault((o, y, m), []).append(rest)
+    expected = {}
+    for key, own in groups.items():
+        names = [d for d, *_ in own if d is not None]
+        mode = min(names, key=lambda d: (-names.count(d), d)) if names else None
+        expected[key] = (sum(v for _, _, v, _ in own), sum(b for *_, b in own), len({s for _, s, _, _ in own} - {None}), len(own), mode)
+    found = [((r.outlet_id, r.year, r.month), (r.volume, r.bill, r.n_skus, r.n_tx, r.distributor_id)) for r in panel.monthly(df).collect()]
+    assert len(found) == len(expected) and dict(found) == expected
+    assert dict(panel.monthly(df).dtypes)["year"] == "bigint"
