@@ -637,3 +637,16 @@ def test_monthly_with_nulls(spark):
     found = [((r.outlet_id, r.year, r.month), (r.volume, r.bill, r.n_skus, r.n_tx, r.distributor_id)) for r in panel.monthly(df).collect()]
     assert len(found) == len(expected) and dict(found) == expected
     assert dict(panel.monthly(df).dtypes)["year"] == "bigint"
+
+
+def test_with_quantiles_few_and_many_groups(spark, monkeypatch):
+    """Few groups are broadcast, many aren't; null groups have percentiles of their own, in df or in another table."""
+    df = spark.createDataFrame([(k, None if k % 3 == 0 else f"g{k % 3}", float(k)) for k in range(30)], "id long, g string, v double")
+    expected = {k: round(float(np.percentile([x for x in range(30) if x % 3 == k % 3], 90)), 6) for k in range(30)}
+    for few in (100_000, 0):
+        monkeypatch.setattr(ranks, "FEW", few)
+        out = ranks.with_quantiles(df, F.col("v"), (0.9,), "g", "q", "n")
+        assert ("strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()) is bool(few)
+        assert {r.id: round(r.q[0], 6) for r in out.collect()} == expected and {r.n for r in out.collect()} == {10}
+    other = ranks.with_quantiles(df, F.col("v"), (0.5,), "g", "q", of=df.where("g = 'g1'")).collect()
+    assert len(other) == 30 and all((r.q is None) == (r.g != "g1") for r in other)
