@@ -75,10 +75,8 @@ def panel_counts(profile: DataFrame) -> DataFrame:
 
 def segments(diagnostic: DataFrame) -> DataFrame:
     """(segment, value, outlets, mean) by size, type, province and town."""
-    parts = [diagnostic.select(F.lit(c).alias("segment"), F.col(c).cast("string").alias("value"), "potential") for c in ("outlet_size", "outlet_type", "province", "urban")]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    kinds = F.array(*[F.struct(F.lit(c).alias("segment"), F.col(c).cast("string").alias("value")) for c in ("outlet_size", "outlet_type", "province", "urban")])
+    every = diagnostic.select("potential", F.explode(kinds).alias("kind")).select("kind.*", "potential")
     return every.groupBy("segment", "value").agg(F.count("*").alias("outlets"), F.round(exact_avg(F.col("potential"), 4), 4).alias("mean"))
 
 
