@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from demandry.llm import html, langid, licenses, media, suffix
+from demandry.llm import html, langid, licenses, lm, media, suffix
 
 from .test_operators import DOCS, corpus
 
@@ -145,3 +145,24 @@ def test_templates_tell_unnamed_siblings_apart(spark, sf):
 
     assert precision(0) > precision(1)
     assert precision(0) >= 0.98
+
+
+def test_lm_learns_from_no_sample(spark):
+    """A document's score is the same whatever its id, and so whichever share of the ids a hash would draw: no row has a part in
+    the model that others don't have."""
+    texts = [" ".join(f"w{(i * 7 + k * k) % 53}" for k in range(60 + i % 5)) for i in range(300)]
+    scores = []
+    for salt in ("a", "b"):
+        docs = spark.createDataFrame([(f"{salt}{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").coalesce(1)
+        scores.append({r.doc_id[1:]: round(r.score, 6) for r in lm.score_texts(docs, F.lit(True), F.lit(False)).collect()})
+    assert scores[0] == scores[1]
+
+
+def test_word_counts_in_many_lots(spark, monkeypatch):
+    """Counts are merged and passed on when a task holds many words; ends are counted with them."""
+    monkeypatch.setattr(lm, "HELD_WORDS", 20)
+    monkeypatch.setattr(lm.model, "TEXT", 64)
+    texts = [" ".join(f"v{(i * k) % 31}" for k in range(12)) for i in range(40)] + [None, "", "  "]
+    expected = Counter(w.encode() for t in texts for w in (t or "").split()) + Counter({b"": len(texts)})
+    found = lm.word_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)).collect()
+    assert Counter({bytes(r.word): r.c for r in found}) == expected and len(found) == len(expected)
